@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.common import text_of
 
-NONE = np.iinfo(np.int64).max
 #: Matches kept by an encoder; the table starts anew beyond that. It saves time and changes no result.
-KEPT = 300_000
+KEPT = 600_000
 #: Characters encoded at a time.
 SLICE = 1_000_000
 
@@ -41,79 +41,142 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[k] for k in range(len(ranks))]
 
 
+class PairRanks:
+    """Rank of each pair of tokens that merges: an open-addressing hash table, probed for whole arrays at once."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.zeros(1 << self.bits, np.int32)
+        for key, rank in sorted(pairs.items()):
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = at + 1 & (1 << self.bits) - 1
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray, none: int) -> np.ndarray:
+        """The rank of each pair, ``none`` where it does not merge (or one of the two is absent: negative)."""
+        key = np.where((a < 0) | (b < 0), np.int64(-2), a.astype(np.int64) << 32 | b)
+        at = self._slot(key)
+        there = self.keys.take(at)
+        out = np.where(there == key, self.ranks.take(at), none)
+        rest = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        while len(rest):
+            at[rest] = at[rest] + 1 & (1 << self.bits) - 1
+            there = self.keys.take(at[rest])
+            hit = there == key[rest]
+            out[rest[hit]] = self.ranks.take(at[rest[hit]])
+            rest = rest[~hit & (there >= 0)]
+        return out
+
+
 class SegmentForest:
-    """Segment trees of leftmost minimum pair ranks, one for each word, advanced together."""
+    """Segment trees of leftmost minimum pair ranks, one for each word, advanced together.
+
+    A leaf holds rank * width + position, so that a plain minimum is the leftmost one of least rank. Trees of the
+    same width lie in one flat array, ``2 * width`` nodes each.
+    """
 
     def __init__(self, tokens: list[bytes]):
         rank = {t: k for k, t in enumerate(tokens)}
-        self.of_byte = np.array([rank[bytes([b])] for b in range(256)], np.int64)
+        self.of_byte = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for t, k in rank.items():
             for cut in range(1, len(t)):
                 if (a := rank.get(t[:cut])) is not None and (b := rank.get(t[cut:])) is not None:
                     pairs[a << 32 | b] = k
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of the pair of neighbours, NONE if they do not merge (or one of them is absent: -1)."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
-
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word (not empty)."""
-        out: list[np.ndarray] = [None] * len(words)
+        self.pairs = PairRanks(pairs)
+        left, right = np.divmod(np.arange(1 << 16), 256)
+        self.of_bytes = self.pairs.of(self.of_byte[left], self.of_byte[right], -1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word (not empty), as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(words)
         size = np.array([len(w) for w in words], np.int64)
         width = np.int64(1) << np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64)
         for p in np.unique(width).tolist():
-            rows, step = np.flatnonzero(width == p), max(1, (1 << 20) // p)
+            rows, step = np.flatnonzero(width == p), max(1, (1 << 17) // p)
             for k in range(0, len(rows), step):
                 part = rows[k : k + step].tolist()
-                for r, ids in zip(part, self._merged([words[r] for r in part], p)):
-                    out[r] = ids
+                ids, ends = self._merged([words[r] for r in part], p)
+                start = 0
+                for r, end in zip(part, ends):
+                    out[r] = ids[start:end]
+                    start = end
         return out
 
-    def _merged(self, words: list[bytes], p: int) -> list[np.ndarray]:
-        n = len(words)
+    def _merged(self, words: list[bytes], p: int) -> tuple[bytes, list[int]]:
+        """The ids of all words of this width one after the other, and where those of each word end."""
+        n, q = len(words), p + 1
+        kind = np.int32 if len(self.pairs.keys) * p < 1 << 31 else np.int64
+        none = np.iinfo(kind).max
         raw = np.frombuffer(b"".join(w.ljust(p, b"\0") for w in words), np.uint8).reshape(n, p)
         size = np.array([len(w) for w in words])
-        live = np.arange(p) < size[:, None]
-        # one more column stands for "no neighbour"
-        token = np.full((n, p + 1), -1, np.int64)
-        token[:, :p] = np.where(live, self.of_byte[raw], -1)
-        right = np.tile(np.minimum(np.arange(1, p + 2), p), (n, 1))
-        right[:, :p] = np.where(np.arange(1, p + 1) < size[:, None], np.arange(1, p + 1), p)
-        left = np.tile(np.concatenate([[p], np.arange(p - 1), [p]]), (n, 1))
-        tree = np.full((n, 2 * p), NONE, np.int64)
-        first = self._rank(token[:, : p - 1], token[:, 1:p])
-        tree[:, p : 2 * p - 1] = np.where(first == NONE, NONE, first * p + np.arange(p - 1))
+        place = np.arange(p)
+        # a row of neighbours has one place more, which stands for "none"
+        token = np.full((n, q), -1, np.int32)
+        token[:, :p] = np.where(place < size[:, None], self.of_byte[raw], -1)
+        right = np.full((n, q), p, np.int32)
+        right[:, :p] = np.where(place + 1 < size[:, None], place + 1, p)
+        left = np.empty((n, q), np.int32)
+        left[:] = np.concatenate([[p], place])
+        tree = np.full((n, 2 * p), none, kind)
+        first = self.of_bytes.take(raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:])
+        tree[:, p : 2 * p - 1] = np.where((first < 0) | (place[1:] >= size[:, None]), none, first.astype(kind) * p + place[:-1])
         level = p
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
             level //= 2
-        todo = np.flatnonzero(tree[:, 1] != NONE)
+        # from here on flat, by row offsets
+        token, right, left, tree = token.ravel(), right.ravel(), left.ravel(), tree.ravel()
+        todo = np.flatnonzero(tree[1 :: 2 * p] != none)
         while len(todo):
-            root = tree[todo, 1]
-            at, merged = root % p, root // p
-            dead = right[todo, at]
-            after, before = right[todo, dead], left[todo, at]
-            token[todo, at], token[todo, dead] = merged, -1
-            right[todo, at], left[todo, after] = after, at
-            leaf = np.stack([at, dead, before])
-            value = np.stack([self._rank(merged, token[todo, after]), np.full(len(todo), NONE), self._rank(token[todo, before], merged)])
+            row, base = todo * q, todo * (2 * p)
+            root = tree.take(base + 1)
+            merged, at = root // p, root % p
+            dead = right.take(row + at)
+            after, before = right.take(row + dead), left.take(row + at)
+            token[row + dead] = -1
+            token[row + at] = merged
+            right[row + at] = after
+            left[row + after] = at
+            leaf = np.concatenate([at, before, dead])
+            rank = self.pairs.of(np.concatenate([merged, token.take(row + before)]), np.concatenate([token.take(row + after), merged]), -1)
+            value = np.full(len(leaf), none, kind)
+            value[: len(rank)] = np.where(rank < 0, none, rank.astype(kind) * p + leaf[: len(rank)])
             real = leaf < p
-            value = np.where(value == NONE, NONE, value * p + leaf)
-            row = np.broadcast_to(todo, leaf.shape)[real]
+            offset = np.concatenate([base, base, base])[real]
             node = leaf[real] + p
-            tree[row, node] = value[real]
+            tree[offset + node] = value[real]
             for _ in range(p.bit_length() - 1):
-                node = node >> 1
-                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
-            todo = todo[tree[todo, 1] != NONE]
-        ids = token[:, :p]
+                node >>= 1
+                child = offset + 2 * node
+                tree[offset + node] = np.minimum(tree.take(child), tree.take(child + 1))
+            todo = todo[tree.take(base + 1) != none]
+        ids = token.reshape(n, q)[:, :p]
         kept = ids >= 0
-        return np.split(ids[kept], np.cumsum(kept.sum(axis=1))[:-1])
+        return ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+
+
+def latin(pattern: str):
+    """``findall`` of the same pattern for texts of code points below 256, by the standard library, which is faster:
+    classes are spelled out as the code points that they hold there."""
+    spelled = {c: "".join(re.escape(chr(k)) for k in range(256) if regex.match(c, chr(k))) for c in {*regex.findall(r"\\p\{\w+\}", pattern), r"\s"}}
+    out, inside = "", False
+    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, flags=regex.DOTALL):
+        if part == r"\S" and not inside:
+            out += f"[^{spelled[r'\s']}]"
+        elif part in spelled:
+            out += spelled[part] if inside else f"[{spelled[part]}]"
+        elif part.startswith("\\") and part[1].isalpha():
+            return regex.compile(pattern).findall  # a class that is not spelled out here
+        else:
+            inside = part == "[" or inside and part != "]"
+            out += part
+    return re.compile(out).findall
 
 
 class Encoder:
@@ -121,10 +184,17 @@ class Encoder:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.whole = tokens, {t: k for k, t in enumerate(tokens)}
-        self.find = regex.compile(pattern).findall
+        self.find, self.find_latin = regex.compile(pattern).findall, latin(pattern)
         self.forest = SegmentForest(tokens)
         self.known: dict[str, bytes] = {}
 
+    def _split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find(text)
+        return self.find_latin(text)
+
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > KEPT:
             self.known.clear()
@@ -138,7 +208,7 @@ class Encoder:
                 raw.append(b)
         if rest:
             for w, ids in zip(rest, self.forest.encode(raw)):
-                self.known[w] = ids.astype("<u4").tobytes()
+                self.known[w] = ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -148,7 +218,7 @@ class Encoder:
             while end < len(texts) and chars + len(texts[end]) <= SLICE:
                 chars += len(texts[end])
                 end += 1
-            found = [self.find(t) for t in texts[k:end]]
+            found = [self._split(t) for t in texts[k:end]]
             pool = set().union(*found)
             if fresh := pool.difference(self.known):
                 if len(self.known) + len(fresh) > KEPT:
