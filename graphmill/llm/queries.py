@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, exact_dedup, langid, media, quality, simhash, toxicity
+from graphmill.llm import bpe, exact_dedup, langid, lm, media, quality, simhash, toxicity
 from graphmill.llm.common import fold, table, written
 
 
@@ -48,6 +48,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, fold("doc_id", 5) != 1)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _learnable(spark, sf_dir))
@@ -65,7 +71,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op3_language_id, op4_toxicity, op5_byte_bpe, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op3_language_id, op4_toxicity, op5_byte_bpe, op6_lm_scoring, op8_quality, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
