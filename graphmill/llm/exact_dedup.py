@@ -2,7 +2,8 @@
 
 The index is a table of one row for each distinct text, bucketed and sorted by the SHA-256 digest. A batch of
 documents is reduced to its digests, its groups are anti-joined with the index (sort-merge; the index side
-needs no shuffle) and what is new is appended. All of it is DataFrame code that runs in the JVM.
+needs no shuffle) and what is new is appended. Rows meet the label of their digest in a join that keeps hot digests
+where they are. All of it is DataFrame code that runs in the JVM.
 
 Defined cases: a null text counts as empty; an empty text is a text like any other; repeated rows (same id, same
 text) are members of one group and share the decision of their id; rows with a null id never win against a row
@@ -16,11 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.llm.common import text_of, written
-
-#: A digest is hot if it holds more than this share of a batch. At most 1 / HOT_SHARE digests can be hot, so the
-#: table of hot digests has a proven size and may be broadcast, however skewed the data.
-HOT_SHARE = 1 / 4096
-
+from graphmill.llm.skew import join_labels
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col).cast("binary"), 256).alias("text_sha256"))
@@ -32,9 +29,8 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name = spark, name
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        if not spark.catalog.tableExists(name):
+            self._append(spark.createDataFrame([], "text_sha256 string, keep_id long, group_size long"))
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -58,26 +54,11 @@ class DigestIndex:
         """
         rows = written(digests(docs, id_col, text_col), "digests")
         groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            known = self.table().select("text_sha256", F.col("keep_id").alias("known_id"))
-            found = written(groups, "groups")
-            self._append(found.hint("merge").join(known.hint("merge"), "text_sha256", "left_anti"))
-            keep = self.table().select("text_sha256", "keep_id")
-            labels = found.drop("keep_id").hint("merge").join(keep.hint("merge"), "text_sha256")
-        else:
-            self._append(groups)
-            labels = self.table()
-        return self._decide(rows, labels)
-
-    @staticmethod
-    def _decide(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Give each row its group's label. Hot groups come from a broadcast of at most 1 / HOT_SHARE rows, so no
-        task gathers the rows of one; all others meet their label in a sort-merge join."""
-        total = rows.count()
-        hot = F.broadcast(labels.filter(F.col("group_size") > F.lit(total * HOT_SHARE)))
-        cold = labels.filter(F.col("group_size") <= F.lit(total * HOT_SHARE))
-        from_hot = rows.join(hot, "text_sha256")
-        from_cold = rows.join(hot, "text_sha256", "left_anti").hint("merge").join(cold.hint("merge"), "text_sha256")
-        return from_hot.unionByName(from_cold).select(
+        groups = written(groups, "groups")
+        known = self.table().select("text_sha256")
+        self._append(groups.hint("merge").join(known.hint("merge"), "text_sha256", "left_anti"))
+        keep = self.table().select("text_sha256", "keep_id")
+        labels = groups.drop("keep_id").hint("merge").join(keep.hint("merge"), "text_sha256")
+        return join_labels(rows, labels, "text_sha256", "group_size", rows.count()).select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
         )

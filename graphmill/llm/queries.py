@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, exact_dedup, langid, lm, media, quality, simhash, toxicity
+from graphmill.llm import bpe, exact_dedup, langid, lm, media, mixing, quality, simhash, toxicity
 from graphmill.llm.common import fold, table, written
 
 
@@ -54,6 +54,23 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: Shares of tokens that the mix is to have.
+MIX = {"clean": 0.9, "poor": 0.07, "toxic": 0.03}
+
+
+def domain() -> Column:
+    """The domain of a labelled document."""
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, table(spark, sf_dir, "labels"), domain())
+    mixed = mixing.mix(docs, model, MIX)
+    share = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(model.domains)]
+    return mixed.select("doc_id", "tokens", *share, "rate", "copies")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _learnable(spark, sf_dir))
@@ -71,7 +88,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op3_language_id, op4_toxicity, op5_byte_bpe, op6_lm_scoring, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op3_language_id, op4_toxicity, op5_byte_bpe, op6_lm_scoring, op7_mixing, op8_quality, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
