@@ -271,19 +271,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text, decode its ids: ``doc_id, n_tokens, ids_sha256, decoded_sha256``. Works in one pass, so the
-    ids (four bytes for each token) do not travel."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """Encode each text, decode its ids: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and with ``ids`` the ids
+    themselves, packed. Works in one pass; without ``ids`` they (four bytes for each token) do not travel."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path, pattern)
-        for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for k in range(0, batch.num_rows, 256):
-                for ids in use.encode(batch.column(1).slice(k, 256).to_pylist()):
-                    n.append(len(ids) // 4)
-                    of_ids.append(hashlib.sha256(ids).hexdigest())
-                    of_text.append(hashlib.sha256(use.decode(ids)).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                found = list(use.encode(batch.column(1).to_pylist()))
+                columns = [
+                    batch.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                    pa.array([hashlib.sha256(use.decode(x)).hexdigest() for x in found], pa.string()), *[_binary(found)] * ids,
+                ]
+                yield pa.record_batch(columns, names)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)

@@ -175,9 +175,8 @@ class Fit:
         return _rate(self.history)
 
 
-def fit(parts: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None, never_drop: bool = False) -> Fit:
-    """Fit rates on rows ``tokens, p``. ``budget``: tokens of the mix (as many as there are by default); with
-    ``never_drop`` the least budget for which no domain has to shrink, so that every rate is one or more."""
+def fit(parts: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None) -> Fit:
+    """Fit rates on rows ``tokens, p``. ``budget``: tokens of the mix (as many as there are by default)."""
     size = range(len(domains))
     sums = [F.sum(F.col("tokens") * F.col("p")[d]).alias(f"t{d}") for d in size]
     gram = [F.sum(F.col("tokens") * F.col("p")[d] * F.col("p")[e]).alias(f"g{d}_{e}") for d in size for e in size]
@@ -191,7 +190,7 @@ def fit(parts: DataFrame, domains: list[str], weights: dict[str, float], budget:
         return Fit(domains, now, now, now, [])
     w /= w.sum()
     if budget is None:
-        budget = float((now[w > 0] / w[w > 0]).max()) if never_drop else float(now.sum())
+        budget = float(now.sum())
     target = budget * w
     scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-12 * np.trace(g)))  # rows of equal norm
     step = 1 / np.linalg.eigvalsh(scale[:, None] * g * scale).max()
@@ -212,8 +211,8 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, never_drop: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tokens, p, rate, copies`` for each document."""
     parts = written(posteriors(docs, model, id_col, text_col), "mixing-posteriors")
-    fitted = fit(parts, model.domains, weights, budget, never_drop)
+    fitted = fit(parts, model.domains, weights, budget)
     return parts.withColumn("rate", fitted.rate()).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, exact_dedup, langid, lm, media, mixing, quality, simhash, toxicity
+from graphmill.llm import bpe, exact_dedup, langid, lm, media, mixing, quality, secrets, simhash, toxicity
 from graphmill.llm.common import fold, table, written
 
 
@@ -81,6 +81,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "path", "start", F.length("candidate").alias("size"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "kind", "score", "is_secret")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,7 +93,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op3_language_id, op4_toxicity, op5_byte_bpe, op6_lm_scoring, op7_mixing, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op3_language_id, op4_toxicity, op5_byte_bpe, op6_lm_scoring, op7_mixing, op8_quality, op9_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
