@@ -267,7 +267,7 @@ def test_quality_tells_junk_from_prose(spark, odd, none):
 def test_language_model_counts_and_probabilities(spark, odd, none):
     rnd = random.Random(1)
     words = [f"w{k}" for k in range(60)]
-    rows = [(k, " ".join(rnd.choices(words, weights=range(60, 0, -1), k=rnd.randint(0, 80)))) for k in range(1000, 1150)] + [r[:2] for r in ROWS]
+    rows = [(k, " ".join(words[(3 * k + j) % 60] for j in range(rnd.randint(0, 80)))) for k in range(1000, 1150)] + [r[:2] for r in ROWS]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     learn = fold("doc_id", 5) != 1
     out = lm.score(df, learn).collect()
@@ -286,6 +286,8 @@ def test_language_model_counts_and_probabilities(spark, odd, none):
             assert r["score"] < 0
     assert lm.score(none, learn).count() == 0
     assert {r["score"] for r in lm.score(odd, F.lit(False)).collect()} == {0.0}
+    held = [r for r in out if (r["doc_id"] or 0) >= 1000 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert lm.perplexity(spark.createDataFrame(out)).first()["perplexity"] < v
 
 
