@@ -31,14 +31,12 @@ def g6_edges(g6: Column) -> Column:
     return F.transform(there, lambda p: F.struct((p["i"] + 1).alias("i"), (p["j"] + 1).alias("j")))
 
 
-def adj_of_edges(edges: Column, n: Column) -> Column:
-    """Neighbour masks, one for each vertex from 0."""
-    side = lambda v: F.transform(F.filter(edges, lambda e: (e["i"] == v + 1) | (e["j"] == v + 1)), lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), (e["i"] + e["j"] - v - 2).cast("int")))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda v: F.aggregate(side(v), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)))
-
-
 def g6_adj(g6: Column) -> Column:
-    return adj_of_edges(g6_edges(g6), g6_n(g6))
+    """Neighbour masks, one for each vertex from 0, straight from the bits."""
+    vertices = F.sequence(F.lit(0), g6_n(g6) - 1)
+    pair = lambda v, w: _bit(g6, (F.greatest(v, w) * (F.greatest(v, w) - 1) / 2).cast("int") + F.least(v, w))
+    bit = lambda v, w: F.when(v == w, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", pair(v, w).cast("long"), w))
+    return F.transform(vertices, lambda v: F.aggregate(vertices, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(bit(v, w))))
 
 
 def num_edges(g6: Column) -> Column:
