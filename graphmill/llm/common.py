@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.scratch import scratch, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster for intermediate tables: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, notebooks) is a folder of our own chosen, once for a session.
-    """
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not (found := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphmill-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+__all__ = ["fold", "scratch", "table", "text_of", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, and survives the loss of an executor."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(id_col: str | Column, n: int) -> Column:
@@ -43,6 +24,3 @@ def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def bounded(df: DataFrame, rows: int, key: Column) -> DataFrame:
-    """At most ``rows`` rows, those with the smallest hash of ``key``: the same for any partitioning."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
