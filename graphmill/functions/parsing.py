@@ -76,7 +76,7 @@ def h_text(h: Column) -> Column:
         ),
     )
     out = F.regexp_replace(F.concat_ws("", term), r"^\+", "")
-    return F.when(out == "", "0").otherwise(out)
+    return F.when(h.isNull(), F.lit(None).cast("string")).when(out == "", "0").otherwise(out)
 
 
 def series_text(h: Column, dim: Column) -> Column:

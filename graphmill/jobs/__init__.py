@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["corpus", "logs"]
+MODULES: list[str] = ["corpus", "logs", "parsing", "features"]
 
 
 def load() -> None:
