@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["corpus", "logs", "parsing", "features"]
+MODULES: list[str] = ["corpus", "logs", "parsing", "features", "relate"]
 
 
 def load() -> None:

@@ -91,8 +91,9 @@ _features(
 _features(
     "f08_nonbipartite_blocks",
     ["n_nonbipartite_blocks"],
-    """, blk AS (SELECT z.g, z.s FROM sub z WHERE z.pc >= 3 AND NOT EXISTS (SELECT 1 FROM sub x JOIN sub y ON y.g = x.g AND (y.s & x.s) = y.s AND y.s <> x.s AND (y.near & x.s & ~y.s) = 0
-      WHERE x.g = z.g AND (x.s & z.s) = x.s AND x.pc >= z.pc - 1 AND x.s > 0)),
+    """, apart AS MATERIALIZED (SELECT DISTINCT x.g, x.s FROM sub x JOIN sub y ON y.g = x.g AND (y.s & x.s) = y.s AND y.s <> x.s AND (y.near & x.s & ~y.s) = 0),
+    notbi AS (SELECT g, s FROM apart UNION SELECT z.g, z.s FROM sub z JOIN (SELECT unnest(range(9)) AS v) v ON (z.s >> v.v::INT) & 1 = 1 JOIN apart a ON a.g = z.g AND a.s = z.s - (1 << v.v::INT)),
+    blk AS (SELECT z.g, z.s FROM sub z ANTI JOIN notbi n ON n.g = z.g AND n.s = z.s WHERE z.pc >= 3),
     odds AS (SELECT DISTINCT b.g, b.s FROM blk b JOIN oddc o ON o.g = b.g AND o.s & b.s = o.s)
     SELECT b.g AS graph_number, (SELECT count(*) FROM odds o WHERE o.g = b.g AND NOT EXISTS (SELECT 1 FROM odds w WHERE w.g = o.g AND w.s <> o.s AND w.s & o.s = o.s)) AS n_nonbipartite_blocks FROM band b""",
     cycles=True,
