@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SERIES = r"^\((.*)\)/\(\(1-T\)\^(\d+)\)$"
-TERM = r"^([+-]?)(\d*)\*?(T?)(?:\^(\d+))?$"
+TERM = r"^([+-]?\d*)\*?(T?)\^?(\d*)$"
 
 
 def _series(s: Column) -> Column:
@@ -19,22 +19,20 @@ def hilbert_dim(s: Column) -> Column:
 
 
 def h_vector(s: Column, strict: bool = False) -> Column:
-    """Coefficients of the numerator by rising power, zeros in the gaps; equal powers add up."""
+    """Coefficients of the numerator by rising power, zeros in the gaps; equal powers add up. The terms are parsed once
+    and folded into the array, so nothing is parsed again for each power."""
     numerator = F.regexp_extract(_series(s), SERIES, 1)
     pieces = F.filter(F.split(F.regexp_replace(numerator, r"(?<!^)([+-])", " $1"), " "), lambda t: t != "")
-    whole = lambda t: F.regexp_extract(t, TERM, 2)
-    terms = F.transform(
-        pieces,
-        lambda t: F.struct(
-            F.when(F.regexp_extract(t, TERM, 3) == "", 0).otherwise(F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(t, TERM, 4), F.lit("")), F.lit("999")).cast("int"), F.lit(1))).alias("p"),
-            (F.when(F.regexp_extract(t, TERM, 1) == "-", -1).otherwise(1) * F.when(whole(t) == "", 1).otherwise(F.expr("1") * whole(t).cast("int"))).alias("c"),
-        ),
+    part = lambda t, k: F.regexp_extract(t, TERM, k)
+    power = lambda t: F.when(part(t, 2) == "", 0).otherwise(F.coalesce(part(t, 3).try_cast("int"), F.lit(1)))
+    factor = lambda t: F.coalesce(part(t, 1).try_cast("int"), F.when(F.startswith(t, F.lit("-")), -1).otherwise(1))
+    terms = F.transform(pieces, lambda t: F.struct(F.when(t.rlike(TERM) & t.rlike(r"[\dT]"), power(t)).alias("p"), factor(t).alias("c")))
+    add = lambda acc, t: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(acc) - 1, t["p"])), lambda k: F.coalesce(F.get(acc, k), F.lit(0)) + F.when(k == t["p"], t["c"]).otherwise(0)
     )
-    top = F.array_max(F.transform(terms, lambda t: t["p"]))
-    dense = F.transform(F.sequence(F.lit(0), top), lambda p: F.aggregate(F.filter(terms, lambda t: t["p"] == p), F.lit(0), lambda acc, t: acc + t["c"]))
-    good = _series(s).rlike(SERIES) & (F.size(pieces) > 0) & F.forall(pieces, lambda t: t.rlike(TERM) & t.rlike(r"[\dT]"))
-    bad = F.raise_error(F.concat(F.lit("bad Hilbert series: "), s)).cast("array<int>") if strict else F.lit(None).cast("array<int>")
-    return F.when(s.isNull(), F.lit(None).cast("array<int>")).when(good, dense).otherwise(bad)
+    none = F.lit(None).cast("array<int>")
+    dense = F.aggregate(terms, F.array().cast("array<int>"), lambda acc, t: F.when(acc.isNull() | t["p"].isNull(), none).otherwise(add(acc, t)), lambda acc: F.when(F.size(acc) > 0, acc).otherwise(none))
+    return F.coalesce(dense, F.raise_error(F.concat(F.lit("bad Hilbert series: "), s)).cast("array<int>")) if strict else dense
 
 
 def ideal_generators(s: Column) -> Column:
@@ -75,8 +73,7 @@ def h_text(h: Column) -> Column:
             )
         ),
     )
-    out = F.regexp_replace(F.concat_ws("", term), r"^\+", "")
-    return F.when(h.isNull(), F.lit(None).cast("string")).when(out == "", "0").otherwise(out)
+    return F.regexp_replace(F.regexp_replace(F.array_join(term, ""), r"^\+", ""), "^$", "0")
 
 
 def series_text(h: Column, dim: Column) -> Column:
