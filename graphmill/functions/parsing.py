@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SERIES = r"^\((.*)\)/\(\(1-T\)\^(\d+)\)$"
-TERM = r"^([+-]?\d*)\*?(T?)\^?(\d*)$"
+TERM = r"(?:\d+(?:\*?T(?:\^\d+)?)?|T(?:\^\d+)?)"
+SERIES = rf"^\(([+-]?{TERM}(?:[+-]{TERM})*)\)/\(\(1-T\)\^(\d+)\)$"
+ANY_SERIES = r"^\(.*\)/\(\(1-T\)\^(\d+)\)$"
 
 
 def _series(s: Column) -> Column:
@@ -15,23 +16,22 @@ def _series(s: Column) -> Column:
 
 def hilbert_dim(s: Column) -> Column:
     """The exponent k of ``(...)/((1-T)^k)``."""
-    return F.when(_series(s).rlike(SERIES), F.regexp_extract(_series(s), SERIES, 2).cast("int"))
+    return F.nullif(F.regexp_extract(_series(s), ANY_SERIES, 1), F.lit("")).cast("int")
 
 
 def h_vector(s: Column, strict: bool = False) -> Column:
     """Coefficients of the numerator by rising power, zeros in the gaps; equal powers add up. The terms are parsed once
     and folded into the array, so nothing is parsed again for each power."""
-    numerator = F.regexp_extract(_series(s), SERIES, 1)
-    pieces = F.filter(F.split(F.regexp_replace(numerator, r"(?<!^)([+-])", " $1"), " "), lambda t: t != "")
-    part = lambda t, k: F.regexp_extract(t, TERM, k)
-    power = lambda t: F.when(part(t, 2) == "", 0).otherwise(F.coalesce(part(t, 3).try_cast("int"), F.lit(1)))
-    factor = lambda t: F.coalesce(part(t, 1).try_cast("int"), F.when(F.startswith(t, F.lit("-")), -1).otherwise(1))
-    terms = F.transform(pieces, lambda t: F.struct(F.when(t.rlike(TERM) & t.rlike(r"[\dT]"), power(t)).alias("p"), factor(t).alias("c")))
+    numerator = F.regexp_extract(_series(s), SERIES, 1)  # empty for bad input
+    pieces = F.filter(F.split(F.replace(numerator, F.lit("-"), F.lit("+-")), r"\+"), lambda t: t != "")
+    power = lambda t: F.when(F.contains(t, F.lit("T")), F.coalesce(F.substring_index(t, "^", -1).try_cast("int"), F.lit(1))).otherwise(0)
+    factor = lambda t: F.coalesce(F.replace(F.substring_index(t, "T", 1), F.lit("*"), F.lit("")).try_cast("int"), F.when(F.startswith(t, F.lit("-")), -1).otherwise(1))
+    terms = F.transform(pieces, lambda t: F.struct(power(t).alias("p"), factor(t).alias("c")))
     add = lambda acc, t: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(acc) - 1, t["p"])), lambda k: F.coalesce(F.get(acc, k), F.lit(0)) + F.when(k == t["p"], t["c"]).otherwise(0)
     )
     none = F.lit(None).cast("array<int>")
-    dense = F.aggregate(terms, F.array().cast("array<int>"), lambda acc, t: F.when(acc.isNull() | t["p"].isNull(), none).otherwise(add(acc, t)), lambda acc: F.when(F.size(acc) > 0, acc).otherwise(none))
+    dense = F.aggregate(terms, F.array().cast("array<int>"), add, lambda acc: F.when(F.size(acc) > 0, acc).otherwise(none))
     return F.coalesce(dense, F.raise_error(F.concat(F.lit("bad Hilbert series: "), s)).cast("array<int>")) if strict else dense
 
 
