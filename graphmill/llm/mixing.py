@@ -94,6 +94,12 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, train_docs: int =
     chosen = known.filter(hashed < rate[F.col("domain")]).orderBy(hashed).limit(2 * train_docs * len(names))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
     texts = written(texts.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).select("text", "domain", "half"), "mixing-sample")
+    # a domain whose documents are gone (an earlier stage may have removed them) cannot be learned
+    sizes = {(r[0], r[1]): r[2] for r in texts.groupBy("domain", "half").count().collect()}
+    names = [name for name in names if sizes.get((name, 0)) and sizes.get((name, 1))]
+    if len(names) < 2:
+        return Classifier(names or ["all"], np.zeros((1, CELLS)), np.zeros((3, 1)))
+    texts = texts.filter(F.col("domain").isin(names))
     number = {name: k for k, name in enumerate(names)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, train_docs: int =
     counts = texts.filter("half = 0").select("text", "domain").mapInArrow(counted, "d long, cell long, n long").groupBy("d", "cell").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((len(names), CELLS))
     n[counts["d"], counts["cell"]] = counts["n"]
-    size = {r[0]: r[1] for r in texts.filter("half = 0").groupBy("domain").count().collect()}
-    size = np.array([size.get(name, 0) for name in names], np.float64)
+    size = np.array([sizes[name, 0] for name in names], np.float64)
     rest, rest_size = n.sum(axis=0) - n, size.sum() - size
     # lower bounds of the log-odds of being in a document of the domain against the others
     odds = np.log((n + 0.5) / (rest + 0.5)) - np.log((size + 1) / (rest_size + 1))[:, None]
@@ -123,12 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, train_docs: int =
             yield pa.record_batch([batch.column(1), pa.array(list(x))], ["domain", "x"])
 
     rows = texts.filter("half = 1").select("text", "domain").mapInArrow(seen, "domain string, x array<double>").toPandas()
-    if rows["domain"].nunique() < len(names):
-        return Classifier(["all"], np.zeros((1, CELLS)), np.zeros((3, 1)))
     y, x = rows["domain"].map(number).to_numpy(), np.stack(rows["x"])
     order = np.lexsort([*x.T, y])  # the same for any partitioning
     y, x = y[order], x[order]
-    share = np.array([totals[name] / sum(totals.values()) / (y == k).mean() for name, k in number.items()])
+    share = np.array([totals[name] / sum(totals[other] for other in names) / (y == k).mean() for name, k in number.items()])
     return Classifier(names, odds, _softmax_fit(x, y, share[y], len(names)))
 
 

@@ -335,6 +335,8 @@ def test_mixing_meets_targets_like_brute_force(spark, odd, none):
     out = mixing.mix(odd, model, {"clean": 0.5, "toxic": 0.5})
     assert out.count() == len(ROWS) and out.filter("copies < 0 or rate < 0").count() == 0
     assert mixing.mix(none, model, {"clean": 1.0}).count() == 0
+    gone = mixing.train(docs, labels.withColumn("doc_id", F.when(F.col("toxic") == 1, F.col("doc_id") + 100_000).otherwise(F.col("doc_id"))).unionByName(labels.filter("doc_id % 4 = 1").withColumn("toxic", F.lit(2))), F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 2, "a").otherwise("clean"))
+    assert gone.domains == ["a", "clean"]
     flat = mixing.mix(odd, mixing.train(docs, labels.limit(0), domain), {"clean": 1.0})
     assert {r["rate"] for r in flat.collect()} == {1.0}
 
