@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import functions as F
 
 from graphmill.functions import parsing
@@ -196,6 +198,49 @@ def g06(spark, sf):
     return hilbert.h_from_hilbert(_hilbert(spark, sf), 9).join(m, "graph_number").groupBy("m", _text("h").alias("h")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The same to the full degree n, where the series is whole unless ``truncated`` says otherwise. The three queries above
+#: stop at MAX_D, as their SQL does.
+WHOLE_D = 9
+WHOLE_SIGNS = ", ".join(f"({j}, {(-1) ** j * comb(9, j)})" for j in range(WHOLE_D + 1))
+
+
+def _whole_sql(graphs_sql: str) -> str:
+    """CTEs ``wsize`` and ``wh`` for the graphs (column g) of a query."""
+    return (
+        f"wvec AS (SELECT g, 0 AS d, 0::BIGINT AS v FROM ({graphs_sql}) UNION SELECT x.g, x.d + 1, x.v + (1::BIGINT << (5 * e.i)::INT) + (1::BIGINT << (5 * e.j)::INT) FROM wvec x JOIN edges e USING (g) WHERE x.d < {WHOLE_D}), "
+        f"wsize AS (SELECT g, d, count(*) AS size FROM wvec GROUP BY g, d), wsign AS (SELECT * FROM (VALUES {WHOLE_SIGNS}) t(j, c)), "
+        f"wh1 AS (SELECT g, d + j AS k, sum(c * size)::BIGINT AS v FROM wsize CROSS JOIN wsign WHERE d + j <= {WHOLE_D} GROUP BY g, d + j), "
+        f"wh AS (SELECT g, string_agg(v::VARCHAR, ',' ORDER BY k) AS h, min(v) AS least, count(*) FILTER (v < 0) AS below, arg_max(v, k) FILTER (v <> 0) AS top, count(*) FILTER (v <> 0 AND k >= {WHOLE_D - 1}) > 0 AS truncated FROM wh1 GROUP BY g)"
+    )
+
+
+def whole_hilbert(edges, key="graph_number"):
+    return hilbert.hilbert_by_graph(edges, WHOLE_D, key)
+
+
+def _whole(spark, sf):
+    return whole_hilbert(edges(spark, sf).join(band(spark, sf).select("graph_number"), "graph_number", "left_semi"))
+
+
+WHOLE = f"WITH RECURSIVE {CYCLES}, {_whole_sql('SELECT g FROM band')}"
+
+
+@query("u03_hilbert_function_whole", f"{WHOLE} SELECT g AS graph_number, d, size FROM wsize")
+def u03_whole(spark, sf):
+    return _whole(spark, sf)
+
+
+@query("u04_negative_h_screen_whole", f"{WHOLE} SELECT g AS graph_number, h, truncated, CASE WHEN least < 0 THEN 0 END AS is_cm FROM wh")
+def u04_whole(spark, sf):
+    return hilbert.negative_h_screen(hilbert.h_from_hilbert(_whole(spark, sf), 9)).select("graph_number", _text("h").alias("h"), "truncated", "is_cm")
+
+
+@query("g06_numerators_by_edges_whole", f"{WHOLE} SELECT m, h, truncated, count(*) AS n FROM wh JOIN band USING (g) GROUP BY m, h, truncated")
+def g06_whole(spark, sf):
+    m = edges(spark, sf).groupBy("graph_number").agg(F.count(F.lit(1)).alias("m"))
+    return hilbert.h_from_hilbert(_whole(spark, sf), 9).join(m, "graph_number").groupBy("m", _text("h").alias("h"), "truncated").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "g07_rates_by_edges",
     f"{JOINED} SELECT m, count(*) AS n, count(*) FILTER (fails_occ = 1) AS failing, count(*) FILTER (is_cm = 1) AS cm, count(*) FILTER (even_cycle_meets_pair = 0) AS predicted FROM joined GROUP BY m",
