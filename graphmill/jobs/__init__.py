@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["corpus", "logs", "parsing", "features", "relate", "order", "models", "streams"]
+MODULES: list[str] = ["corpus", "logs", "parsing", "features", "relate", "conjectures", "order", "models", "streams"]
 
 
 def load() -> None:
