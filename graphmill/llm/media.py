@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import wave
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphmill.llm.common import text_of
 
@@ -151,9 +153,18 @@ def features_of(payload: bytes) -> dict:
     }
 
 
-def audio_features(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """A row for each row of ``media`` (``doc_id, n_bytes, media``), read from the stored bytes; with
-    ``tensors=False`` the bulky tensor column is null."""
+#: Arrow's own name and parameters of the tensor type; a reader that knows them may wrap the stored lists as they are.
+TENSOR_META = {"ARROW:extension:name": "arrow.fixed_shape_tensor", "ARROW:extension:metadata": json.dumps({"shape": list(TENSOR_SHAPE), "dim_names": ["frame", "mel"]})}
+
+
+def _feature_type() -> T.StructType:
+    kind = T.StructType.fromDDL(FEATURE_SCHEMA)
+    return T.StructType([T.StructField(f.name, f.dataType, f.nullable, TENSOR_META if f.name == "tensors" else None) for f in kind])
+
+
+def audio_features(media: DataFrame) -> DataFrame:
+    """A row for each row of ``media`` (``doc_id, n_bytes, media``), read from the stored bytes. Every tensor is a list of
+    ``TENSOR_FRAMES * MELS`` values; the column says by ``TENSOR_META`` how Arrow's tensor type reads it."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
@@ -170,21 +181,22 @@ def audio_features(media: DataFrame, tensors: bool = True) -> DataFrame:
                         | {
                             "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-BLOCK:]),
                             "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(),
-                            "tensors": [v for v in f["tensors"]] if tensors else None,
                         }
                     )
                 col = lambda name, kind: pa.array([r[name] for r in rows], kind)
                 named = lambda name: pa.array([[{"start": a, "end": b} for a, b in r[name]] for r in rows], span)
+                values = np.concatenate([r["tensors"] for r in rows]) if rows else np.zeros((0, TENSOR_FRAMES * MELS), np.float32)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * (TENSOR_FRAMES * MELS)), pa.array(values.ravel()))
+                tensors = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(r["tensors"]) for r in rows]]).astype(np.int32)), cells)
                 yield pa.record_batch(
                     [
                         batch.column(0), batch.column(1), col("payload_bytes", pa.int64()), col("payload_sha256", pa.string()), col("tail_crc32", pa.int64()),
-                        col("media_bytes", pa.int64()), col("media_sha256", pa.string()), col("n_frames", pa.int64()),
-                        col("tensors", pa.list_(pa.list_(pa.float32()))), named("spans"), named("segments"), col("feature", pa.string()),
+                        col("media_bytes", pa.int64()), col("media_sha256", pa.string()), col("n_frames", pa.int64()), tensors, named("spans"), named("segments"), col("feature", pa.string()),
                     ],
                     [f.split()[0] for f in FEATURE_SCHEMA.replace("struct<start:double,end:double>", "x").split(", ")],
                 )
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(compute, FEATURE_SCHEMA)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(compute, _feature_type())
 
 
 def tensor_table(features: pa.Table) -> pa.Table:

@@ -27,7 +27,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(media.encode_media(table(spark, sf_dir, "documents")), "media")
-    return media.audio_features(stored, tensors=False).select(
+    features = written(media.audio_features(stored), "media-features")  # with tensors, spans and segments
+    return features.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
 
