@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from graphmill.llm.common import text_of, written
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{8,}={0,2}"
-#: Characters of context on either side, words of the dictionary, and findings that a forest is fitted on (chosen by
-#: a hash of the candidate).
+#: Characters of context on either side, words of the dictionary, and different findings of either label that a forest
+#: is fitted on (chosen by a hash of candidate and context).
 CONTEXT, DICTIONARY, TRAIN_FINDINGS = 48, 5000, 20_000
 WORD_LENGTHS = (3, 10)
 TREES, DEPTH, NEIGHBOUR_CELLS, SEED = 30, 8, 128, 11
@@ -131,14 +131,24 @@ class Forest:
         return self.model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
-def train(labelled: DataFrame, findings: int = TRAIN_FINDINGS) -> Forest:
-    """``labelled``: rows of ``features`` with ``label`` 0 or 1; at most ``findings`` of them, chosen by hash, are used."""
+def sample(labelled: DataFrame, findings: int = TRAIN_FINDINGS) -> DataFrame:
+    """One row for each different ``candidate, before, label`` with the number of its copies, at most ``findings`` of
+    either label: ``NUMBERS, neighbours, label, copies``."""
+    own = F.struct(*NUMBERS, "neighbours")
+    groups = labelled.filter(F.col("label").isin(0, 1)).groupBy("candidate", "before", F.col("label").cast("double").alias("label")).agg(F.min_by(own, F.struct("doc_id", "start")).alias("own"), F.count(F.lit(1)).alias("copies"))
     key = F.xxhash64("candidate", "before", F.lit(SEED))
-    chosen = written(labelled.orderBy(key, "doc_id", "start").limit(findings).select(*NUMBERS, "neighbours", F.col("label").cast("double").alias("label")), "labelled-findings")
-    sizes = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
+    part = lambda y: groups.filter(F.col("label") == y).orderBy(key, "candidate", "before").limit(findings)
+    return part(0).unionByName(part(1)).select("own.*", "label", "copies")
+
+
+def train(labelled: DataFrame, findings: int = TRAIN_FINDINGS) -> Forest:
+    """``labelled``: rows of ``features`` with ``label`` 0 or 1; those of ``sample`` are used. Copies weigh as often as
+    they stand there, and both labels weigh the same."""
+    chosen = written(sample(labelled, findings), "labelled-findings")
+    sizes = {r[0]: r[1] for r in chosen.groupBy("label").agg(F.sum("copies")).collect()}
     if len(sizes) < 2:
         return Forest(None, float(1.0 in sizes))
-    weight = F.when(F.col("label") == 1, 0.5 / sizes[1.0]).otherwise(0.5 / sizes[0.0]) * sum(sizes.values())
+    weight = F.when(F.col("label") == 1, 0.5 / sizes[1.0]).otherwise(0.5 / sizes[0.0]) * F.col("copies") * chosen.count()
     stages = [
         HashingTF(inputCol="neighbours", outputCol="cells", numFeatures=NEIGHBOUR_CELLS, binary=True),
         VectorAssembler(inputCols=[*NUMBERS, "cells"], outputCol="features"),
