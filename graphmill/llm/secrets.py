@@ -1,6 +1,8 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are the runs of key-like characters with a digit in them. Of each the scan knows its length, its shares of
+Candidates are the runs of key-like characters with a digit in them or in an issuer's format, and whatever is assigned
+to a key like ``password``: up to the closing quote, or else up to a blank, quote, bracket, comma, semicolon or ``&``.
+Of each the scan knows its length, its shares of
 character classes, how often and how unusually its characters change, how much of it words of a dictionary cover, the
 path that it comes from and the words around it. A random forest learned from labelled findings turns that into a
 probability. Everything is DataFrame code and MLlib: candidates are cut out by regular expressions with their offsets,
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.common import text_of, written
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{8,}={0,2}"
 #: Characters of context on either side, words of the dictionary, and different findings of either label that a forest
 #: is fitted on (chosen by a hash of candidate and context).
 CONTEXT, DICTIONARY, TRAIN_FINDINGS = 48, 5000, 20_000
@@ -40,26 +41,47 @@ FORMATS = {
     "chat_token": r"^xox[abprs]-[0-9A-Za-z-]{10,}$",
 }
 ASSIGNED = {"password": r"(?i)(password|passwd|pwd|passphrase)[\"']?\s*[:=]\s*[\"']?$", "token": r"(?i)(token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?$"}
+ISSUED = "|".join(p.strip("^$") for p in FORMATS.values())
+CANDIDATE = rf"(?<![A-Za-z0-9_+/.-])(?:(?=[A-Za-z_+/.-]*[0-9])|(?={ISSUED}))[A-Za-z0-9_+/.-]{{8,}}={{0,2}}"
+_BARE = "(?:" + "|".join(p.removesuffix(r"""[\"']?$""").replace("(?i)", "(?i:", 1).replace(")", "))", 1) for p in ASSIGNED.values()) + ")"
+KEY = _BARE + r"""["']?"""
+ASSIGNMENT = _BARE + r"""(?:"[^"\r\n]+"|'[^'\r\n]+'|["']?[^\s"',;&<>(){}\[\]]+)"""
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``doc_id, path, start, candidate, before, after``: ``start`` counts characters from 0."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text_of(text_col).alias("t"))
-    rows = rows.filter(F.col("t").rlike(CANDIDATE)).select("doc_id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("hit"), F.split("t", CANDIDATE, -1).alias("gap"))
+    rows = rows.filter(F.col("t").rlike(CANDIDATE) | F.col("t").rlike(ASSIGNMENT))
+    for name, pattern in (("run", CANDIDATE), ("assigned", ASSIGNMENT)):
+        rows = rows.withColumn(f"{name}_hit", F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).withColumn(f"{name}_gap", F.split("t", pattern, -1))
+    rows = rows.select("doc_id", "path", _spans("run").alias("runs"), F.filter(F.transform(_spans("assigned"), _value), lambda f: F.trim(f["candidate"]) != "").alias("values"))
+    # a value holds the run that begins where it does
+    runs = F.filter("runs", lambda f: ~F.exists("values", lambda v: v["start"] == f["start"]))
+    return rows.select("doc_id", "path", F.explode(F.concat(runs, "values")).alias("f")).select("doc_id", "path", "f.start", "f.candidate", "f.before", "f.after")
+
+
+def _spans(name: str) -> Column:
+    """Hits with their offsets and context."""
+    hit, gap = F.col(f"{name}_hit"), F.col(f"{name}_gap")
     # where each gap begins: the running sum of the gaps and hits before it
     begins = F.aggregate(
-        F.sequence(F.lit(1), F.size("hit")), F.array(F.lit(0)),
-        lambda acc, k: F.array_append(acc, F.element_at(acc, -1) + F.length(F.element_at("gap", k)) + F.length(F.element_at("hit", k))),
+        F.slice(F.sequence(F.lit(1), F.size(hit) + 1), F.lit(1), F.size(hit)), F.array(F.lit(0)),
+        lambda acc, k: F.array_append(acc, F.element_at(acc, -1) + F.length(F.element_at(gap, k)) + F.length(F.element_at(hit, k))),
     )
-    rows = rows.withColumn("begins", begins)
-    found = F.transform(
-        "hit",
+    return F.transform(
+        hit,
         lambda h, k: F.struct(
-            (F.get("begins", k) + F.length(F.get("gap", k))).alias("start"), F.regexp_replace(h, r"[.]+$", "").alias("candidate"),
-            F.right(F.get("gap", k), F.lit(CONTEXT)).alias("before"), F.left(F.get("gap", k + 1), F.lit(CONTEXT)).alias("after"),
+            (F.get(begins, k) + F.length(F.get(gap, k))).alias("start"), F.regexp_replace(h, r"[.]+$", "").alias("candidate"),
+            F.right(F.get(gap, k), F.lit(CONTEXT)).alias("before"), F.left(F.get(gap, k + 1), F.lit(CONTEXT)).alias("after"),
         ),
     )
-    return rows.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.start", "f.candidate", "f.before", "f.after")
+
+
+def _value(f: Column) -> Column:
+    """The value of an assignment: its key joins what stands before."""
+    key = F.regexp_extract(f["candidate"], f"^{KEY}", 0)
+    value = F.regexp_replace(F.substr(f["candidate"], F.length(key) + 1), r"""["'.]+$""", "")
+    return F.struct((f["start"] + F.length(key)).alias("start"), value.alias("candidate"), F.right(F.concat(f["before"], key), F.lit(CONTEXT)).alias("before"), f["after"].alias("after"))
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY, text_col: str = "text") -> DataFrame:
