@@ -293,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN
     texts = written(texts.select("text", "label", "half"), "toxicity-sample")
     sizes = {(r[0], r[1]): r[2] for r in texts.groupBy("label", "half").count().collect()}
     of = lambda y, h: sizes.get((y, h), 0)
-    chars = char_model(texts)
+    chars = char_model(docs.select(text_of(text_col).alias("text")))
     p, n = sum(of(1, h) for h in (0, 1)), sum(of(0, h) for h in (0, 1))
     counted = _piece_counts(texts, chars).withColumn("p", F.col("p0") + F.col("p1")).withColumn("n", F.col("n0") + F.col("n1")).filter(F.col("p") >= LEAST_DOCS)
     bounds = counted.select("piece", _bound("p", "n", p, n).alias("w"), _bound("p0", "n0", of(1, 0), of(0, 0)).alias("w0"), _bound("p1", "n1", of(1, 1), of(0, 1)).alias("w1"))
