@@ -1,21 +1,28 @@
 """A hierarchical Pitman-Yor language model, sampled by Gibbs over the cluster.
 
-Tokens are words (64-bit hashes) and an end for each text. The ``CONTEXTS`` most frequent training words have a
-restaurant each, as has the start of a text; all other preceding words share one. All restaurants share one parent, the
-root, whose base is uniform over the known words and one unknown word. A customer of a context restaurant who opens a
-table sends a customer to the root.
-
-The work is dealt out by word, so that all that a Gibbs sweep needs of a word, its customers and tables in all
-restaurants, is in one place; what words have in common, the numbers of tables of the restaurants, is a vector of
-bounded size that each sweep sums up and the next one uses. A sweep takes the customers of a dish out of their
-restaurant and seats them anew one by one (beyond ``ONE_BY_ONE``, in blocks of a sixteenth of those seated), context
-restaurants first and the root after. A word's chain depends on those vectors and on a seed only, so it is replayed
-rather than stored. Predictive probabilities are averaged over the sweeps after the burn-in.
-
-Texts are read once and become chunks: token numbers within a chunk and the chunk's words. A chunk sends its pairs of
-context and word with their training counts to the words' buckets, and gets for each pair customers and tables back,
-from which it computes its texts' probabilities. So nothing of the size of the vocabulary goes through the driver or a
-broadcast.
+Tokens are words (64-bit hashes) and an end for each text. Every word that precedes a training token has a restaurant
+of its own, as has the start of a text; all of them share one parent, the root, whose base is uniform over the known
+words and one unknown word. A customer of a context restaurant who opens a table sends a customer to the root.
+
+**Where things are.** A pair of context and word lies in the bucket of its context, so a restaurant's tables are counted
+where they are. Contexts with more than their share of all tokens (``hot``; at most 4/3 of them for each bucket or for
+each 1/1024 of the tokens) are split by word, and their tables are summed by the driver after each sweep. Root dishes
+lie in buckets of the word. The number of buckets follows from the number of tokens, not from the cluster, and each
+bucket has a random stream of its own, so scores do not change with the partitioning.
+
+**A sweep** removes and re-seats ``min(customers, STEPS)`` customers of every dish, drawn at random, one at a time: an
+existing table takes the customer in proportion to its customers less the discount, a new one in proportion to the
+strength, the tables of the restaurant and the parent's probability. Each such step leaves the posterior given the
+parent as it is, whatever was drawn, so dishes of any size go through the same steps; restaurants go side by side. The
+chain starts from a seating of one customer after the other (in growing blocks), drawn by weight out of several. Then each bucket
+tells the root buckets how many tables its words have, these seat their customers likewise, and tell the buckets the
+words' numbers: packed arrays over word lists that both sides know. Predictive probabilities are averaged over the
+sweeps after the burn-in.
+
+Texts are read once and become chunks: token numbers within a chunk and the chunk's words. A chunk sends its pairs with
+their training counts to the buckets, and gets for each pair, context and word its customers and tables back, from
+which it computes its texts' probabilities. So nothing of the size of the vocabulary goes through the driver or a
+broadcast; an empty message is not sent, so there are never more messages than pairs.
 
 Defined cases: null counts as empty, which is one end; without training texts every score is that of the uniform base
 over one unknown word (0); very long texts are scored whole; repeated rows give repeated rows, and are counted as often
@@ -24,9 +31,9 @@ as they stand there; an empty table gives none; columns other than those named a
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,33 +44,45 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.arrays import slices
 from graphmill.llm.common import text_of, written
-from graphmill.llm.words import word_hashes
+from graphmill.llm.words import mix, word_hashes
 
-CONTEXTS, ORDINARY, START = 1022, 0, 1023
-WIDTH = 1024  # context numbers: 0 ordinary, 1..CONTEXTS by frequency, START
-END = np.uint64(1)
-BURN_IN, SAMPLES, SEED = 2, 2, 7
+START, END = np.uint64(0), np.uint64(1)
+BURN_IN, SAMPLES, STEPS, TRIES, SEED = 2, 2, 16, 4, 7
 #: Strengths of the context restaurants and of the root.
 THETA, THETA_ROOT = 2.0, 1.0
-ONE_BY_ONE = 64
+#: Tokens for each bucket, and the least number of shares above one of which a context is hot.
+BUCKET_TOKENS, LEAST_SHARES = 1_000_000, 1024
 #: Bytes of text in a chunk, and of text hashed at a time.
 CHUNK, SLICE = 8_000_000, 2_000_000
 
-CHUNK_SCHEMA = "chunk string, doc_id binary, learn binary, length binary, vocabulary binary, tokens binary"
-SENT_SCHEMA = "bucket int, chunk string, words binary, many binary, context binary, count binary"
-MODEL_SCHEMA = "bucket int, words binary, many binary, context binary, count binary, stats array<long>"
-BACK_SCHEMA = "chunk string, bucket int, root binary, pair binary"
+CHUNK_SCHEMA = "chunk string, n long, doc_id binary, learn binary, length binary, vocabulary binary, tokens binary"
+SENT_SCHEMA = "bucket int, chunk string, words binary, many binary, contexts binary, context binary, count binary"
+MODEL_SCHEMA = "bucket int, words binary, many binary, contexts binary, context binary, count binary"
+INDEX_SCHEMA = "bucket int, other int, words binary, count binary"
+#: Messages of a sweep. ``up``: to root bucket ``bucket`` from ``other``; ``down``: the other way; ``own``, ``root``: what
+#: a bucket or root bucket keeps; ``sum``: figures to be added up.
+SWEEP_SCHEMA = "kind string, bucket int, other int, a binary, b binary, c binary, figures array<long>"
+BACK_SCHEMA = "chunk string, kind string, bucket int, a binary, b binary"
+SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Compressed, the first bytes of all numbers first: most numbers here are small or sorted."""
+    """Compressed, the first bytes of all numbers first: most numbers here are small, so their upper bytes vanish."""
     planes = np.ascontiguousarray(x).ravel().view(np.uint8).reshape(-1, x.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def unpack(raw: bytes, kind: str) -> np.ndarray:
+def unpack(raw: bytes, kind: str = "<i8") -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.array(planes.T, order="C").view(kind).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.cumsum(unpack(raw, kind), dtype=kind)
 
 
 def _record(schema: str, columns: list[list]) -> pa.RecordBatch:
@@ -72,6 +91,15 @@ def _record(schema: str, columns: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_record(schema, [list(c) for c in zip(*rows)] if rows else [[] for _ in schema.split(", ")])])
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    for k in range(batch.num_rows):  # one at a time: a row may have megabytes
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def chunks(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts as chunks of token numbers; ``learn`` says which rows the model learns from."""
 
@@ -79,7 +107,7 @@ def chunks(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: s
         found, sizes = [], []
         for a, b in slices([len(t) for t in texts], SLICE):
             h, n = word_hashes(texts[a:b])
-            found.append(np.where(h == END, np.uint64(2), h))
+            found.append(np.where(h <= END, h + np.uint64(2), h))
             sizes.append(n)
         size = np.concatenate(sizes)
         tokens = np.empty(int(size.sum()) + len(size), np.uint64)
@@ -90,7 +118,7 @@ def chunks(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: s
         vocabulary, at = np.unique(tokens, return_inverse=True)
         valid = pa.array(ids, pa.int64())
         own = np.stack([valid.fill_null(0).to_numpy(zero_copy_only=False), valid.is_null().to_numpy(zero_copy_only=False).astype(np.int64)])
-        return _record(CHUNK_SCHEMA, [[name], [pack(own)], [pack(np.array(learns, np.uint8))], [pack((size + 1).astype(np.int64))], [pack(vocabulary)], [pack(at.astype(np.uint32))]])
+        return _record(CHUNK_SCHEMA, [[name], [len(tokens)], [pack(own)], [pack(np.array(learns, np.uint8))], [pack((size + 1).astype(np.int64))], [pack_sorted(vocabulary)], [pack(at.astype(np.uint32))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, learns, texts, size, k = [], [], [], 0, 0
@@ -112,6 +140,36 @@ def chunks(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, CHUNK_SCHEMA)
 
 
+@dataclass
+class Layout:
+    """Where pairs and words lie: the number of buckets and the sorted hot contexts."""
+
+    buckets: int
+    hot: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def is_hot(self, context: np.ndarray) -> np.ndarray:
+        return np.isin(context, self.hot)
+
+    def of_pairs(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return self.of(mix(np.where(self.is_hot(context), context ^ mix(word + np.uint64(9)), context)))
+
+
+@dataclass
+class Message:
+    """What a chunk has to say to, and to ask of, a bucket: places of its pairs among the chunk's, their words and
+    contexts."""
+
+    bucket: int
+    at: np.ndarray
+    words: np.ndarray
+    many: np.ndarray
+    contexts: np.ndarray
+    context: np.ndarray
+
+
 @dataclass
 class Chunk:
     name: str
@@ -123,304 +181,585 @@ class Chunk:
 
     @classmethod
     def of(cls, row: dict) -> Chunk:
-        return cls(row["chunk"], unpack(row["doc_id"], "<i8").reshape(2, -1), unpack(row["learn"], "u1"), unpack(row["length"], "<i8"), unpack(row["vocabulary"], "<u8"), unpack(row["tokens"], "<u4"))
-
-    def learned(self) -> np.ndarray:
-        return np.repeat(self.learn, self.length)
-
-    def pairs(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different pairs as word number * WIDTH + context, sorted; for each token its pair; training counts."""
-        known = np.searchsorted(self.vocabulary, contexts)
-        known = np.minimum(known, len(self.vocabulary) - 1)
-        there = self.vocabulary[known] == contexts
-        number = np.zeros(len(self.vocabulary), np.int64)
-        number[known[there]] = 1 + np.flatnonzero(there)
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = number[self.tokens[:-1]]
-        before[np.cumsum(self.length) - self.length] = START
-        pair, at = np.unique(self.tokens.astype(np.int64) * WIDTH + before, return_inverse=True)
-        return pair, at, np.bincount(at, self.learned(), len(pair)).astype(np.int64)
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for k in range(batch.num_rows):  # one at a time: a row may have megabytes
-        yield batch.slice(k, 1).to_pylist()[0]
-
+        return cls(row["chunk"], unpack(row["doc_id"]).reshape(2, -1), unpack(row["learn"], "u1"), unpack(row["length"]), unpack_sorted(row["vocabulary"]), unpack(row["tokens"], "<u4"))
 
-def frequent(parts: DataFrame, n: int = CONTEXTS) -> np.ndarray:
-    """Hashes of the ``n`` most frequent training words (not the end)."""
+    def before(self) -> np.ndarray:
+        """For each token the number of the word before it, counted from 1 (0: the start of a text)."""
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = self.tokens[:-1] + np.int64(1)
+        before[np.cumsum(self.length) - self.length] = 0
+        return before
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words and contexts (as of ``before``) of the different pairs, sorted; for each token its pair; training
+        counts."""
+        pair, at = np.unique(self.tokens.astype(np.int64) * (len(self.vocabulary) + 1) + self.before(), return_inverse=True)
+        return *np.divmod(pair, len(self.vocabulary) + 1), at, np.bincount(at, np.repeat(self.learn, self.length), len(pair)).astype(np.int64)
+
+    def messages(self, word: np.ndarray, context: np.ndarray, layout: Layout) -> Iterator[Message]:
+        names = np.concatenate([[START], self.vocabulary])
+        bucket = layout.of_pairs(self.vocabulary[word], names[context])
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        for b, at in zip(found.tolist(), np.split(order, first[1:])):
+            own = word[at]
+            new = np.flatnonzero(np.diff(own, prepend=-1))
+            contexts, which = np.unique(context[at], return_inverse=True)
+            yield Message(b, at, self.vocabulary[own[new]], np.diff(new, append=len(own)), names[contexts], which)
+
+
+def hot_contexts(parts: DataFrame, shares: int) -> np.ndarray:
+    """Contexts that precede more than 1 / ``shares`` of all tokens, and some that precede three quarters of it. Every
+    chunk names those beyond a quarter of a share of its own, so what goes unnamed is a quarter of a share at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 c = Chunk.of(row)
-                count = np.bincount(c.tokens, c.learned(), len(c.vocabulary)).astype(np.int64)
-                keep = (count > 0) & (c.vocabulary != END)
-                yield pa.record_batch([pa.array(c.vocabulary[keep].view(np.int64)), pa.array(count[keep])], ["word", "n"])
+                count = np.bincount(c.before(), minlength=len(c.vocabulary) + 1).astype(np.int64)
+                own = np.flatnonzero(count > len(c.tokens) / (4 * shares))
+                yield pa.record_batch([pa.array(np.concatenate([[START], c.vocabulary])[own].view(np.int64)), pa.array(count[own])], ["context", "n"])
 
-    counts = parts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(n).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    counts = parts.mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r[0] for r in counts.filter(F.col("n") > 0.75 * total / shares).select("context").collect()], np.int64).view(np.uint64))
 
 
-def sent(parts: DataFrame, contexts: np.ndarray, buckets: int) -> DataFrame:
-    """The pairs of each chunk by the bucket of their word: words, pairs of each word, contexts, training counts."""
+def sent(parts: DataFrame, layout: Layout) -> DataFrame:
+    """The pairs of each chunk by their bucket: words, pairs of each word, contexts, training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 c = Chunk.of(row)
-                pair, _, count = c.pairs(contexts)
-                word = pair // WIDTH
-                bucket = ((c.vocabulary >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                many = np.bincount(word, minlength=len(c.vocabulary))
-                w = np.searchsorted(bucket, np.arange(buckets + 1))
-                p = np.concatenate([[0], np.cumsum(many)])[w]
-                out = [[], [], [], [], [], []]
-                for b in np.flatnonzero(np.diff(w)).tolist():
-                    own_w, own_p = slice(w[b], w[b + 1]), slice(p[b], p[b + 1])
-                    cells = (b, c.name, pack(c.vocabulary[own_w]), pack(many[own_w].astype(np.uint16)), pack((pair[own_p] % WIDTH).astype(np.uint16)), pack(count[own_p].astype(np.uint32)))
-                    for column, cell in zip(out, cells):
-                        column.append(cell)
-                yield _record(SENT_SCHEMA, out)
+                word, context, _, count = c.pairs()
+                out = [(m.bucket, c.name, pack_sorted(m.words), pack(m.many.astype(np.uint32)), pack_sorted(m.contexts), pack(m.context.astype(np.uint32)), pack(count[m.at])) for m in c.messages(word, context, layout)]
+                yield _record(SENT_SCHEMA, [list(x) for x in zip(*out)])
 
     return parts.mapInArrow(run, SENT_SCHEMA)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows sorted by bucket, one bucket at a time."""
-    now, rows = None, []
-    for batch in batches:
-        for row in _rows(batch):
-            if row["bucket"] != now and rows:
-                yield now, rows
-                rows = []
-            now = row["bucket"]
-            rows.append(row)
-    if rows:
-        yield now, rows
-
+@dataclass
+class Cells:
+    """Pairs sorted by word and context: words, pairs of each word, contexts, each pair's context among them, counts."""
 
-def _cells(row: dict) -> tuple[np.ndarray, ...]:
-    return unpack(row["words"], "<u8"), unpack(row["many"], "<u2").astype(np.int64), unpack(row["context"], "<u2").astype(np.int64), unpack(row["count"], "<u4").astype(np.int64)
+    words: np.ndarray
+    many: np.ndarray
+    contexts: np.ndarray
+    context: np.ndarray
+    count: np.ndarray
 
+    @classmethod
+    def of(cls, row: dict) -> Cells:
+        return cls(unpack_sorted(row["words"]), unpack(row["many"], "<u4").astype(np.int64), unpack_sorted(row["contexts"]), unpack(row["context"], "<u4").astype(np.int64), unpack(row["count"]))
 
-def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """One sorted set of training pairs out of several: words, pairs of each, contexts, counts."""
-    words = np.concatenate([np.repeat(w, many) for w, many, _, _ in parts])
-    context, count = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-    keep = count > 0
-    words, context, count = words[keep], context[keep], count[keep]
-    word, at = np.unique(words, return_inverse=True)
-    pair, at = np.unique(at * WIDTH + context, return_inverse=True)
-    return word, np.bincount(pair // WIDTH, minlength=len(word)), pair % WIDTH, np.bincount(at, count, len(pair)).astype(np.int64)
+    def packed(self) -> tuple[bytes, ...]:
+        return pack_sorted(self.words), pack(self.many.astype(np.uint32)), pack_sorted(self.contexts), pack(self.context.astype(np.uint32)), pack(self.count)
 
+    def word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.words)), self.many)
 
-def gathered(rows: DataFrame, buckets: int) -> DataFrame:
-    """The training pairs of all chunks, a row for each bucket, with figures that the discounts need: words, tokens,
-    pairs of count 1 and 2, words with 1 and 2 contexts, then customers and pairs of each context."""
+    @classmethod
+    def merged(cls, parts: list[Cells]) -> Cells:
+        """Those with a count, as one."""
+        words = np.concatenate([np.repeat(p.words, p.many) for p in parts])
+        contexts, count = np.concatenate([p.contexts[p.context] for p in parts]), np.concatenate([p.count for p in parts])
+        keep = count > 0
+        words, word = np.unique(words[keep], return_inverse=True)
+        contexts, context = np.unique(contexts[keep], return_inverse=True)
+        pair, at = np.unique(word * max(1, len(contexts)) + context, return_inverse=True)
+        total = np.zeros(len(pair), np.int64)
+        np.add.at(total, at, count[keep])
+        return cls(words, np.bincount(pair // max(1, len(contexts)), minlength=len(words)), contexts, pair % max(1, len(contexts)), total)
+
+    def find(self, other: Cells) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the other's pairs and contexts here, -1 where they are not."""
+        if not len(self.words):
+            return np.full(len(other.context), -1), np.full(len(other.contexts), -1)
+        context, word = _places(self.contexts, other.contexts), _places(self.words, other.words)
+        a, b = np.repeat(word, other.many), context[other.context]
+        keys = self.word() * len(self.contexts) + self.context
+        return np.where((a >= 0) & (b >= 0), _places(keys, a * len(self.contexts) + b), -1), context
+
+
+def _places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, at, -1)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows sorted by bucket: buckets one after the other, with their rows as a stream."""
+    rows = (row for batch in batches for row in _rows(batch))
+    ahead = next(rows, None)
+    while ahead is not None:
+        now = ahead["bucket"]
+
+        def own() -> Iterator[dict]:
+            nonlocal ahead
+            while ahead is not None and ahead["bucket"] == now:
+                yield ahead
+                ahead = next(rows, None)
+
+        yield now, own()
+
+
+def _bucketed(rows: DataFrame, run: Callable, schema: str) -> str:
+    """A table, bucketed and sorted by ``bucket``, of what ``run`` makes of the rows of each bucket."""
+    spark = rows.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lm_{uuid.uuid4().hex}"
+    made = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    made.write.bucketBy(n, "bucket").sortBy("bucket").saveAsTable(name)
+    return name
+
+
+def gathered(rows: DataFrame) -> str:
+    """The training pairs of all chunks, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, own in _by_bucket(batches):
-            held: list[tuple[np.ndarray, ...]] = []
+            held: list[Cells] = []
             size = 0
             for row in own:
-                held.append(_cells(row))
-                size += len(held[-1][2])
-                if size > 4_000_000:  # a word in very many chunks must not pile up
-                    held = [_merge(held)]
-                    size = len(held[0][2])
-            words, many, context, count = _merge(held)
-            customers = np.bincount(context, count, WIDTH).astype(np.int64)
-            pairs = np.bincount(context, minlength=WIDTH)
-            stats = [len(words), int(count.sum()), int((count == 1).sum()), int((count == 2).sum()), int((many == 1).sum()), int((many == 2).sum()), *customers.tolist(), *pairs.tolist()]
-            yield _record(MODEL_SCHEMA, [[bucket], [pack(words)], [pack(many.astype(np.uint16))], [pack(context.astype(np.uint16))], [pack(count.astype(np.uint32))], [stats]])
-
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MODEL_SCHEMA)
-
-
-@dataclass
-class Restaurants:
-    """What all words share. ``history``: for each sweep so far the tables of every context, and of the root."""
-
-    words: int
-    tokens: int
-    customers: np.ndarray
-    discount: float
-    discount_root: float
-    history: list[tuple[np.ndarray, int]]
+                held.append(Cells.of(row))
+                size += len(held[-1].count)
+                if size > 4_000_000:  # a pair in very many chunks must not pile up
+                    held = [Cells.merged(held)]
+                    size = len(held[0].count)
+            yield _record(MODEL_SCHEMA, [[x] for x in (bucket, *Cells.merged(held).packed())])
 
-    @classmethod
-    def of(cls, stats: np.ndarray) -> Restaurants:
-        words, tokens, n1, n2, m1, m2 = (int(x) for x in stats[:6])
-        d = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
-        pairs = stats[6 + WIDTH :]
-        return cls(words, tokens, stats[6 : 6 + WIDTH].astype(np.float64), d(n1, n2), d(m1, m2), [(pairs.astype(np.float64), words)])
-
-    def root(self, customers: np.ndarray, tables: np.ndarray, sweep: int) -> np.ndarray:
-        """Probability of words at the root, by their customers and tables there after a sweep."""
-        of_context, of_root = self.history[sweep]
-        base = (THETA_ROOT + self.discount_root * of_root) / (self.words + 1)
-        return (np.where(customers > 0, customers - self.discount_root * tables, 0) + base) / (THETA_ROOT + of_context.sum())
+    return _bucketed(rows, run, MODEL_SCHEMA)
 
-    def context(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, root: np.ndarray, sweep: int) -> np.ndarray:
-        own = THETA + self.discount * self.history[sweep][0][context]
-        return (np.where(customers > 0, customers - self.discount * tables, 0) + own * root) / (THETA + self.customers[context])
 
-
-def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, theta: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after the customers of each dish sat down one after the other; ``others``: tables of other dishes in the
-    restaurant, ``base``: the dish's probability at the parent."""
+def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, theta: float, discount: float, rng: np.random.Generator, tries: int = TRIES) -> np.ndarray:
+    """A first seating: tables after the customers of each dish sat down one after the other, beyond 64 in blocks of a
+    sixteenth. Of ``tries`` such seatings one is drawn by the product of what each step was normalised by, which is how
+    much the later customers speak for it. ``others``: tables of other dishes in the restaurant, ``base``: the dish's
+    probability at the parent."""
     order = np.argsort(-customers, kind="stable")
     c, o, b = customers[order], others[order], base[order]
-    t, seated = np.ones(len(c)), 1
+    t, weight, seated = np.ones((tries, len(c))), np.zeros((tries, len(c))), 1
     left = len(c)
     while True:
         left = int(np.searchsorted(-c[:left], -seated, "left"))  # those with more customers than are seated
         if not left:
             break
-        opening = (theta + discount * (o[:left] + t[:left])) * b[:left]
-        p = opening / (opening + seated - discount * t[:left])
-        if seated < ONE_BY_ONE:
-            t[:left] += rng.random(left) < p
+        own = t[:, :left]
+        opening = (theta + discount * (o[:left] + own)) * b[:left]
+        either = opening + seated - discount * own
+        if seated < 64:
+            weight[:, :left] += np.log(either)
+            own += rng.random(own.shape) < opening / either
             seated += 1
         else:
             block = np.minimum(seated // 16, c[:left] - seated).astype(np.int64)
-            t[:left] += rng.binomial(block, np.clip(p, 0, 1))
+            weight[:, :left] += block * np.log(either)
+            own += rng.binomial(block, np.clip(opening / either, 0, 1))
             seated += seated // 16
-    out = np.empty(len(c))
-    out[order] = t
+    out = np.empty(len(c), np.int64)
+    out[order] = t[(weight + rng.gumbel(size=weight.shape)).argmax(axis=0), np.arange(len(c))] if tries > 1 else t[0]
     return out
 
 
-class Dishes:
-    """One bucket's words in all restaurants."""
-
-    def __init__(self, bucket: int, cells: tuple[np.ndarray, ...], shared: Restaurants):
-        self.bucket, self.shared = bucket, shared
-        self.words, self.many, self.context, self.count = cells
-        self.word = np.repeat(np.arange(len(self.words)), self.many)
-        self.total = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
-        self.tables = np.ones(len(self.context))
-        self.root_customers = self.many.astype(np.float64)
-        self.root_tables = np.ones(len(self.words))
-
-    def sweep(self, k: int) -> None:
-        """The k-th Gibbs sweep, from the tables that all restaurants had before it."""
-        s, (of_context, of_root) = self.shared, self.shared.history[k]
-        rng = np.random.Generator(np.random.Philox(key=[SEED * 1_000_003 + k, self.bucket]))
-        root = s.root(self.root_customers, self.root_tables, k)
-        open_ = np.flatnonzero(self.count > 1)
-        self.tables[open_] = seat(self.count[open_], of_context[self.context[open_]] - self.tables[open_], root[self.word[open_]], THETA, s.discount, rng)
-        self.root_customers = np.bincount(self.word, self.tables, len(self.words))
-        open_ = np.flatnonzero(self.root_customers > 1)
-        flat = np.full(len(open_), 1 / (s.words + 1))
-        fresh = np.ones(len(self.words))
-        fresh[open_] = seat(self.root_customers[open_], of_root - self.root_tables[open_], flat, THETA_ROOT, s.discount_root, rng)
-        self.root_tables = fresh
-
-
-def sample(model: DataFrame, sweeps: int = BURN_IN + SAMPLES) -> Restaurants:
-    """Run the sweeps: each is a job whose result is one number for each restaurant."""
-    spark = model.sparkSession
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(6 + 2 * WIDTH, np.int64)
+def split(customers: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """First sizes of the tables of all dishes, one dish after the other."""
+    start = np.cumsum(tables) - tables
+    g = rng.gamma(1 - discount, size=int(tables.sum())) + 1e-12
+    dish = np.repeat(np.arange(len(tables)), tables)
+    sizes = 1 + np.floor(g / np.add.reduceat(g, start)[dish] * (customers - tables)[dish]).astype(np.int64) if len(tables) else np.empty(0, np.int64)
+    if len(tables):
+        sizes[start] += customers - np.add.reduceat(sizes, start)
+    return sizes
+
+
+def reseat(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, place: np.ndarray, totals: np.ndarray, base: np.ndarray, theta: float, discount: float, rng: np.random.Generator, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Gibbs steps of single customers: ``tables`` and ``sizes`` after ``min(customers, steps)`` of each dish, drawn at
+    random, were removed and seated again. ``place``: the restaurant of each dish, ``totals``: tables of each
+    restaurant, kept up to date in place."""
+    order = np.argsort(-customers, kind="stable")
+    c, t, where, p0 = customers[order], tables[order].copy(), place[order], base[order]
+    room = t + np.minimum(c, steps)
+    start = np.concatenate([[0], np.cumsum(room)])
+    n = np.zeros(start[-1], np.int64)
+    old = np.cumsum(tables) - tables
+    inner = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+    n[np.repeat(start[:-1], t) + inner] = sizes[np.repeat(old[order], t) + inner]
+    free, first_customer = start[:-1] + t, np.cumsum(c) - c
+    for j in range(steps):
+        d = int(np.searchsorted(-c, -j, "left"))  # dishes with more than j customers
+        if not d:
+            break
+        own = n[: start[d]]
+        out = np.searchsorted(np.cumsum(own), first_customer[:d] + (rng.random(d) * c[:d]).astype(np.int64), "right")
+        own[out] -= 1
+        closed = own[out] == 0
+        t[:d] -= closed
+        weight = np.maximum(own - discount, 0.0)
+        upto = np.cumsum(weight)
+        joining = c[:d] - 1 - discount * t[:d]
+        tables_now = totals[where[:d]] - closed
+        opening = (theta + discount * tables_now) * p0[:d]
+        drawn = rng.random(d) * (opening + joining)
+        to = np.searchsorted(upto, upto[start[:d]] - weight[start[:d]] + drawn, "right")
+        to = np.clip(to, start[:d], start[1 : d + 1] - 1)
+        opens = (drawn >= joining) | (own[to] == 0)  # the latter by rounding at a dish's end only
+        to = np.where(opens, np.where(closed, out, free[:d]), to)
+        free[:d] += opens & ~closed
+        own[to] += 1
+        t[:d] += opens
+        totals += np.bincount(where[:d], opens.astype(np.int64) - closed, len(totals)).astype(totals.dtype)
+    dish = np.repeat(np.arange(len(c)), room)[n > 0]
+    kept = n[n > 0]
+    back = np.argsort(order[dish], kind="stable")
+    out_tables = np.empty(len(c), np.int64)
+    out_tables[order] = t
+    return out_tables, kept[back]
+
+
+@dataclass
+class Shared:
+    """What all buckets know of the model: few figures, and two for each hot context."""
+
+    words: int = 0
+    tokens: int = 0
+    discount: float = 0.5
+    discount_root: float = 0.5
+    hot_customers: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Tables of the hot contexts, customers and tables of the root, after each sweep.
+    hot_tables: list[np.ndarray] = field(default_factory=list)
+    root_customers: list[int] = field(default_factory=list)
+    root_tables: list[int] = field(default_factory=list)
+
+    def root(self, customers: np.ndarray, tables: np.ndarray, sweep: int) -> np.ndarray:
+        """Probability of words at the root, by their customers and tables there after a sweep."""
+        if not self.root_customers:
+            return np.ones(len(customers))
+        base = (THETA_ROOT + self.discount_root * self.root_tables[sweep]) / (self.words + 1)
+        return (np.where(customers > 0, customers - self.discount_root * tables, 0) + base) / (THETA_ROOT + self.root_customers[sweep])
+
+    def context(self, pair: np.ndarray, pair_tables: np.ndarray, customers: np.ndarray, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        own = THETA + self.discount * tables
+        return (np.where(pair > 0, pair - self.discount * pair_tables, 0) + own * root) / (THETA + customers)
+
+
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+
+def _rng(sweep: int, bucket: int, root: bool) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=[SEED * 1_000_003 + 2 * sweep + root, bucket]))
+
+
+class Restaurants:
+    """The pairs of one bucket: their tables, and the restaurants' totals."""
+
+    def __init__(self, cells: Cells, layout: Layout, shared: Shared):
+        self.cells, self.shared, self.word = cells, shared, cells.word()
+        self.hot = np.flatnonzero(layout.is_hot(cells.contexts))
+        self.hot_at = np.searchsorted(layout.hot, cells.contexts[self.hot])
+        self.open = np.flatnonzero(cells.count > 1)
+        self.tables = np.ones(len(cells.count), np.int64)
+        self.sizes = cells.count[self.open]
+
+    def totals(self, sweep: int, tables: np.ndarray) -> np.ndarray:
+        """Tables of each restaurant: those of hot ones as the driver summed them."""
+        out = np.bincount(self.cells.context, tables, len(self.cells.contexts)).astype(np.int64)
+        if self.shared.hot_tables:
+            out[self.hot] = self.shared.hot_tables[sweep][self.hot_at]
+        return out
+
+    def customers(self) -> np.ndarray:
+        out = np.bincount(self.cells.context, self.cells.count, len(self.cells.contexts)).astype(np.int64)
+        out[self.hot] = self.shared.hot_customers[self.hot_at]
+        return out
+
+    def sweep(self, k: int, root: np.ndarray, rng: np.random.Generator) -> None:
+        """The k-th sweep (from 1), with the parent's probabilities of the words."""
+        own, d = self.open, self.shared.discount
+        totals, place, base = self.totals(k - 1, self.tables), self.cells.context[own], root[self.word[own]]
+        count, tables = self.cells.count[own], self.tables[own]
+        if k == 1:
+            tables = seat(count, (totals[place] - tables).astype(np.float64), base, THETA, d, rng)
+            totals = totals + np.bincount(place, tables - self.tables[own], len(totals)).astype(np.int64)
+            self.sizes = split(count, tables, d, rng)
+        self.tables[own], self.sizes = reseat(count, tables, self.sizes, place, totals, base, THETA, d, rng)
+
+    def up(self, bucket: int, layout: Layout, first: bool) -> Iterator[tuple]:
+        """Messages to the root buckets: tables of the words, the first time with the words and their counts."""
+        cells, n = self.cells, len(self.cells.words)
+        tables, count = (np.bincount(self.word, x, n).astype(np.int64) for x in (self.tables, cells.count))
+        for r, part in _slices(layout.of(cells.words)):
+            yield "up", r, bucket, pack_sorted(cells.words[part]) if first else b"", pack(count[part]) if first else b"", pack(tables[part]), []
+
+    def figures(self, layout: Layout) -> list[int]:
+        """Pairs of count one and two, then customers and tables of the hot contexts."""
+        hot = np.zeros((2, len(layout.hot)), np.int64)
+        for row, x in zip(hot, (self.cells.count, self.tables)):
+            row[self.hot_at] = np.bincount(self.cells.context, x, len(self.cells.contexts)).astype(np.int64)[self.hot]
+        return [int((self.cells.count == 1).sum()), int((self.cells.count == 2).sum()), *hot.ravel().tolist()]
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal numbers."""
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    for a, b in zip(edge, [*edge[1:], len(bucket)]):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _summed(rows: DataFrame, sums: str = "figures") -> np.ndarray:
+    """The sum of all arrays of one column, added up in the tasks and then by the driver (one array a task)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
             for row in batch.column(0).to_pylist():
-                total += np.array(row, np.int64)
-        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
-
-    stats = model.select("stats").mapInArrow(summed, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
-    if not stats or not stats[0]["n"]:
-        nothing = Restaurants.of(np.zeros(6 + 2 * WIDTH, np.int64))
-        nothing.history *= sweeps + 1
-        return nothing
-    shared = Restaurants.of(np.array([r["n"] for r in stats], np.int64))
-    for k in range(sweeps):
-        known = spark.sparkContext.broadcast(shared)
-
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, known=known) -> Iterator[pa.RecordBatch]:
-            tables = np.zeros(WIDTH + 1)
-            for batch in batches:
-                for row in _rows(batch):
-                    dishes = Dishes(row["bucket"], _cells(row), known.value)
-                    for j in range(k + 1):
-                        dishes.sweep(j)
-                    tables[:WIDTH] += np.bincount(dishes.context, dishes.tables, WIDTH)
-                    tables[WIDTH] += dishes.root_tables.sum()
-            yield pa.record_batch([pa.array(np.arange(WIDTH + 1)), pa.array(tables.astype(np.int64))], ["k", "n"])
-
-        found = model.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
-        tables = np.array([r["n"] for r in found], np.float64)
-        shared.history.append((tables[:WIDTH], int(tables[WIDTH])))
-    return shared
-
-
-def answered(rows: DataFrame, model: DataFrame, shared: Restaurants, buckets: int) -> DataFrame:
-    """For what each chunk sent to each bucket: of every word the training count and, for every sample, customers and
-    tables at the root; of every pair the training count and, for every sample, the tables."""
-    known = rows.sparkSession.sparkContext.broadcast(shared)
-
-    def replayed(row: dict) -> tuple[Dishes, list[tuple[np.ndarray, ...]]]:
-        dishes, samples = Dishes(row["bucket"], _cells(row), known.value), []
-        for k in range(BURN_IN + SAMPLES):
-            dishes.sweep(k)
-            if k >= BURN_IN:
-                samples.append((dishes.root_customers, dishes.root_tables, dishes.tables.copy()))
-        return dishes, samples
+                total = np.array(row, np.int64) + (0 if total is None else total)
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.int64()))], ["x"])
+
+    found = [np.array(r[0], np.int64) for r in rows.select(sums).mapInArrow(run, "x array<long>").collect()]
+    return np.sum(found, axis=0) if found else np.zeros(0, np.int64)
+
+
+def _of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.filter(F.col("kind") == kind)
+
+
+def indexed(first: DataFrame) -> str:
+    """For each root bucket its words with their counts and numbers of contexts, and where the words of each bucket of
+    pairs stand among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, dishes, samples = None, None, []
+        for bucket, own in _by_bucket(batches):
+            others, words, figures = [], [], []
+            for row in own:
+                others.append(row["other"])
+                words.append(unpack_sorted(row["a"]))
+                figures.append(np.stack([unpack(row["b"]), unpack(row["c"])]))
+            all_words, at = np.unique(np.concatenate(words), return_inverse=True)
+            total = np.zeros((2, len(all_words)), np.int64)
+            for line, x in zip(total, np.concatenate(figures, axis=1)):
+                np.add.at(line, at, x)
+            places = np.split(at, np.cumsum([len(w) for w in words])[:-1])
+            rows = [(bucket, -1, pack_sorted(all_words), pack(total)), *((bucket, b, pack_sorted(p.astype(np.int64)), b"") for b, p in zip(others, places))]
+            yield _record(INDEX_SCHEMA, [list(c) for c in zip(*rows)])
+
+    return _bucketed(_of_kind(first, "up").select("bucket", "other", "a", "b", "c"), run, INDEX_SCHEMA)
+
+
+def _index_figures(index: DataFrame) -> np.ndarray:
+    """Words, tokens, words with one and with two contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4, np.int64)
         for batch in batches:
-            for row in _rows(batch):
-                if row["bucket"] != bucket:
-                    bucket, dishes, samples = row["bucket"], None, []
-                if not row["chunk"]:  # the model's row comes first
-                    dishes, samples = replayed(row)
-                    continue
-                words, many, context, _ = _cells(row)
-                at_root = np.zeros((1 + 2 * SAMPLES, len(words)), np.uint32)
-                at_pair = np.zeros((1 + SAMPLES, len(context)), np.uint32)
-                if dishes is not None and len(dishes.words):
-                    at = np.minimum(np.searchsorted(dishes.words, words), len(dishes.words) - 1)
-                    there = dishes.words[at] == words
-                    keys = dishes.word * WIDTH + dishes.context
-                    pair = np.repeat(at, many) * WIDTH + context
-                    where = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                    hit = (keys[where] == pair) & np.repeat(there, many)
-                    at_root[0], at_pair[0] = np.where(there, dishes.total[at], 0), np.where(hit, dishes.count[where], 0)
-                    for k, (customers, tables, seats) in enumerate(samples):
-                        at_root[1 + 2 * k], at_root[2 + 2 * k] = np.where(there, customers[at], 0), np.where(there, tables[at], 0)
-                        at_pair[1 + k] = np.where(hit, seats[where], 0)
-                yield _record(BACK_SCHEMA, [[row["chunk"]], [bucket], [pack(at_root)], [pack(at_pair)]])
-
-    both = model.select("bucket", F.lit("").alias("chunk"), "words", "many", "context", "count").unionByName(rows)
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, BACK_SCHEMA)
+            for raw in batch.column(0):
+                count, contexts = unpack(raw.as_py()).reshape(2, -1)
+                total += np.array([len(count), count.sum(), (contexts == 1).sum(), (contexts == 2).sum()])
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.int64()))], ["x"])
 
+    return _summed(index.filter("other = -1").select("count").mapInArrow(run, "x array<long>"), "x")
 
-SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def swept_pairs(model: DataFrame, messages: DataFrame, layout: Layout, shared: Shared, k: int) -> DataFrame:
+    """The k-th sweep of the context restaurants, from what the root said and what the buckets kept."""
+    known = model.sparkSession.sparkContext.broadcast((layout, shared))
 
-def scores(parts: DataFrame, back: DataFrame, contexts: np.ndarray, shared: Restaurants) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        layout, shared = known.value
+        out = []
+        for row in _rows(left):
+            own = Restaurants(Cells.of(row), layout, shared)
+            told = sorted((r["other"], r) for r in _rows(right) if r["kind"] == "down")
+            for r in _rows(right):
+                if r["kind"] == "own":
+                    own.tables, own.sizes = unpack(r["a"]), unpack(r["b"])
+            root = shared.root(*(np.concatenate([unpack(r[x]) for _, r in told]) if told else np.zeros(0) for x in "ab"), k - 1)
+            own.sweep(k, root, _rng(k, row["bucket"], False))
+            out += [*own.up(row["bucket"], layout, False), ("own", row["bucket"], -1, pack(own.tables), pack(own.sizes), b"", []), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
+        return _table(SWEEP_SCHEMA, out)
+
+    return model.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(run, SWEEP_SCHEMA)
+
+
+def swept_root(index: DataFrame, up: DataFrame, shared: Shared, k: int) -> DataFrame:
+    """The root's seating for the tables of the k-th sweep: customers sit down anew, then the Gibbs steps."""
+    known = index.sparkSession.sparkContext.broadcast(shared)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        shared, out, places, n = known.value, [], {}, 0
+        for row in _rows(left):
+            bucket = row["bucket"]
+            if row["other"] < 0:
+                n = len(unpack_sorted(row["words"]))
+            else:
+                places[row["other"]] = unpack_sorted(row["words"], "<i8")
+        if not n:
+            return _table(SWEEP_SCHEMA, [])
+        customers, rng = np.zeros(n, np.int64), _rng(k, bucket, True)
+        for row in _rows(right):
+            customers[places[row["other"]]] += unpack(row["c"])
+        tables_before = shared.root_tables[-1] if shared.root_tables else shared.words
+        flat, d = np.full(n, 1 / (shared.words + 1)), shared.discount_root
+        tables = seat(customers, np.full(n, tables_before - 1.0), flat, THETA_ROOT, d, rng, 1)
+        tables, _ = reseat(customers, tables, split(customers, tables, d, rng), np.zeros(n, np.int64), np.array([max(tables_before, tables.sum())]), flat, THETA_ROOT, d, rng)
+        out = [("down", b, bucket, pack(customers[at]), pack(tables[at]), b"", []) for b, at in places.items()]
+        out += [("root", bucket, -1, pack(customers), pack(tables), b"", []), ("sum", bucket, -1, b"", b"", b"", [int(customers.sum()), int(tables.sum())])]
+        return _table(SWEEP_SCHEMA, out)
+
+    return index.groupBy("bucket").cogroup(_of_kind(up, "up").groupBy("bucket")).applyInArrow(run, SWEEP_SCHEMA)
+
+
+@dataclass
+class Sampled:
+    """What the chain left behind: the figures, and the tables of the sweeps after the burn-in."""
+
+    shared: Shared
+    index: str
+    pairs: dict[int, DataFrame]
+    roots: dict[int, DataFrame]
+
+
+def sample(model: DataFrame, layout: Layout, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Sampled:
+    """Run the chain: two small exchanges a sweep."""
+    spark, shared, hot = model.sparkSession, Shared(), len(layout.hot)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                own = Restaurants(Cells.of(row), layout, Shared(hot_customers=np.zeros(hot, np.int64)))
+                rows = [*own.up(row["bucket"], layout, True), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
+                yield _record(SWEEP_SCHEMA, [list(c) for c in zip(*rows)])
+
+    first = written(model.mapInArrow(begin, SWEEP_SCHEMA), "lm-sweep")
+    figures = _summed(_of_kind(first, "sum"))
+    if len(figures):
+        shared.discount, shared.hot_customers = _discount(*figures[:2].tolist()), figures[2 : 2 + hot]
+    shared.hot_tables.append(figures[2 + hot :])
+    index = indexed(first)
+    table = spark.table(index)
+    shared.words, shared.tokens, ones, twos = (_index_figures(table).tolist() or [0] * 4)[:4]
+    shared.discount_root = _discount(ones, twos)
+    done, up, kept = Sampled(shared, index, {}, {}), first, None
+    for k in range(burn_in + samples + 1):
+        if k:
+            messages = _of_kind(down, "down")
+            up = written(swept_pairs(model, messages if kept is None else messages.unionByName(kept), layout, shared, k), "lm-sweep")
+            figures = _summed(_of_kind(up, "sum"))
+            shared.hot_tables.append(figures[2 + hot :] if len(figures) else shared.hot_tables[-1])
+            kept = _of_kind(up, "own")
+        down = written(swept_root(table, up, shared, k), "lm-sweep")
+        figures = _summed(_of_kind(down, "sum")).tolist() or [0, 0]
+        shared.root_customers.append(figures[0])
+        shared.root_tables.append(figures[1])
+        if k > burn_in:
+            done.pairs[k], done.roots[k] = kept, _of_kind(down, "root")
+    return done
+
+
+def answered(rows: DataFrame, model: DataFrame, sampled: Sampled, layout: Layout) -> DataFrame:
+    """For what each chunk sent to each bucket: of every pair the training count and, for every sample, the tables; of
+    every context customers and tables likewise."""
+    known = rows.sparkSession.sparkContext.broadcast((layout, sampled.shared))
+    sweeps = sorted(sampled.pairs)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        layout, shared = known.value
+        own = next((Restaurants(Cells.of(row), layout, shared) for row in _rows(left)), None)
+        tables = {}
+        for row in _rows(right):
+            if row["chunk"].startswith("#"):
+                tables[int(row["chunk"][1:])] = unpack(row["words"])
+        if own is not None:
+            at_pair = [own.cells.count, *(tables[k] for k in sweeps)]
+            at_context = [own.customers(), *(own.totals(k, tables[k]) for k in sweeps)]
+        out = []
+        for row in _rows(right):
+            if row["chunk"].startswith("#"):
+                continue
+            asked = Cells.of(row)
+            cells = np.zeros((1 + len(sweeps), len(asked.context)), np.int64), np.zeros((1 + len(sweeps), len(asked.contexts)), np.int64)
+            if own is not None:
+                for lines, values, at in zip(cells, (at_pair, at_context), own.cells.find(asked)):
+                    for line, x in zip(lines, values):
+                        line[at >= 0] = x[at[at >= 0]]
+            # hot contexts have their customers wherever they are
+            hot = np.flatnonzero(layout.is_hot(asked.contexts))
+            where = np.searchsorted(layout.hot, asked.contexts[hot])
+            if len(shared.hot_customers):
+                cells[1][:, hot] = np.stack([shared.hot_customers[where], *(shared.hot_tables[k][where] for k in sweeps)])
+            out.append((row["chunk"], "pair", row["bucket"], pack(cells[0]), pack(cells[1])))
+        return _table(BACK_SCHEMA, out)
+
+    kept = [df.select("bucket", F.lit(f"#{k}").alias("chunk"), F.col("a").alias("words"), *[F.lit(b"").alias(c) for c in ("many", "contexts", "context", "count")]) for k, df in sampled.pairs.items()]
+    for df in kept:
+        rows = rows.unionByName(df)
+    return model.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, BACK_SCHEMA)
+
+
+def answered_words(parts: DataFrame, sampled: Sampled, layout: Layout) -> DataFrame:
+    """For the words of each chunk: training counts and, for every sample, customers and tables at the root."""
+    sweeps = sorted(sampled.roots)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                words = unpack_sorted(row["vocabulary"])
+                out = [(r, row["chunk"], pack_sorted(words[part]), b"") for r, part in _slices(layout.of(words))]
+                yield _record("bucket int, chunk string, words binary, tables binary", [list(c) for c in zip(*out)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, count, root = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        for row in _rows(left):
+            if row["other"] < 0:
+                known, count = unpack_sorted(row["words"]), unpack(row["count"]).reshape(2, -1)[0]
+        for row in _rows(right):
+            if row["chunk"].startswith("#"):
+                root[int(row["chunk"][1:])] = unpack(row["words"]), unpack(row["tables"])
+        out = []
+        for row in _rows(right):
+            if row["chunk"].startswith("#"):
+                continue
+            words = unpack_sorted(row["words"])
+            cells = np.zeros((1 + 2 * len(sweeps), len(words)), np.int64)
+            if len(known):
+                at = _places(known, words)
+                for line, x in zip(cells, [count, *(x for k in sweeps for x in root[k])]):
+                    line[at >= 0] = x[at[at >= 0]]
+            out.append((row["chunk"], "word", row["bucket"], pack(cells), b""))
+        return _table(BACK_SCHEMA, out)
+
+    rows = parts.select("chunk", "vocabulary").mapInArrow(ask, "bucket int, chunk string, words binary, tables binary")
+    for k, df in sampled.roots.items():
+        rows = rows.unionByName(df.select("bucket", F.lit(f"#{k}").alias("chunk"), F.col("a").alias("words"), F.col("b").alias("tables")))
+    index = parts.sparkSession.table(sampled.index).filter("other = -1")
+    return index.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, BACK_SCHEMA)
+
+
+def scores(parts: DataFrame, back: DataFrame, sampled: Sampled, layout: Layout) -> DataFrame:
     """Each chunk with its answers: a row for each text."""
-    known = parts.sparkSession.sparkContext.broadcast((contexts, shared))
+    known = parts.sparkSession.sparkContext.broadcast((layout, sampled.shared))
+    sweeps = sorted(sampled.roots)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        contexts, shared = known.value
-        answers = right.sort_by("bucket")
+        layout, shared = known.value
+        words, pairs = [], {}
+        for row in _rows(right):
+            if row["kind"] == "word":
+                words.append((row["bucket"], unpack(row["a"]).reshape(1 + 2 * len(sweeps), -1)))
+            else:
+                pairs[row["bucket"]] = unpack(row["a"]).reshape(1 + len(sweeps), -1), unpack(row["b"]).reshape(1 + len(sweeps), -1)
+        root = np.concatenate([x for _, x in sorted(words, key=lambda w: w[0])], axis=1)
         out = []
-        for row in left.to_pylist():
+        for row in _rows(left):
             c = Chunk.of(row)
-            pair, at, _ = c.pairs(contexts)
-            word, context = np.divmod(pair, WIDTH)
-            root = np.concatenate([unpack(x.as_py(), "<u4").reshape(1 + 2 * SAMPLES, -1) for x in answers["root"]], axis=1)
-            seats = np.concatenate([unpack(x.as_py(), "<u4").reshape(1 + SAMPLES, -1) for x in answers["pair"]], axis=1)
-            mean = np.zeros(len(pair))
-            for k in range(SAMPLES):
-                sweep = BURN_IN + k + 1
-                parent = shared.root(root[1 + 2 * k], root[2 + 2 * k], sweep)[word]
-                mean += shared.context(context, seats[0], seats[1 + k], parent, sweep) / SAMPLES
+            word, context, at, _ = c.pairs()
+            parents = [shared.root(root[1 + 2 * j], root[2 + 2 * j], k) for j, k in enumerate(sweeps)]
+            mean = np.zeros(len(word))
+            for m in c.messages(word, context, layout):
+                own, of_context = pairs[m.bucket]
+                of_context = of_context[:, m.context]
+                for j, parent in enumerate(parents):
+                    mean[m.at] += shared.context(own[0], own[1 + j], of_context[0], of_context[1 + j], parent[word[m.at]]) / len(sweeps)
             base = np.log10((root[0] + 0.5) / (shared.tokens + 0.5 * (shared.words + 1)))
             start = np.cumsum(c.length) - c.length
             ids = pa.array(c.doc_id[0], pa.int64(), mask=c.doc_id[1].astype(bool))
@@ -429,22 +768,27 @@ def scores(parts: DataFrame, back: DataFrame, contexts: np.ndarray, shared: Rest
                 pa.array(np.add.reduceat(base[c.tokens], start)), pa.array(np.add.reduceat(np.log10(mean)[at], start)),
             ]
             out.append(pa.table(columns, [f.split()[0] for f in SCORE_SCHEMA.split(", ")]))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in (*[pa.int64()] * 4, *[pa.float64()] * 2)], [f.split()[0] for f in SCORE_SCHEMA.split(", ")])
+        return pa.concat_tables(out)
 
     return parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, SCORE_SCHEMA)
 
 
-def score(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """Learn from the rows for which ``learn`` holds and score all rows: ``doc_id, n_tokens, n_known, train_tokens,
     base_score, score`` (the last: the model's log10 probability of the text). ``perplexity`` derives from it."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = written(chunks(docs, learn, id_col, text_col), "lm-chunks")
-    contexts = frequent(parts)
-    model = written(gathered(sent(parts, contexts, buckets), buckets), "lm-model")
-    shared = sample(model)
-    back = answered(sent(parts, contexts, buckets), model, shared, buckets)
-    return scores(parts, back, contexts, shared)
+    tokens = parts.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4, -(-tokens // BUCKET_TOKENS))
+    layout = Layout(buckets, hot_contexts(parts, max(LEAST_SHARES, buckets)))
+    name = gathered(sent(parts, layout))
+    model = spark.table(name)
+    sampled = sample(model, layout, burn_in, samples)
+    back = answered(sent(parts, layout), model, sampled, layout).unionByName(answered_words(parts, sampled, layout))
+    out = written(scores(parts, back, sampled, layout), "lm-scores")
+    for used in (name, sampled.index):
+        spark.sql(f"DROP TABLE {used}")
+    return out
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

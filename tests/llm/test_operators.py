@@ -291,26 +291,97 @@ def test_language_model_counts_and_probabilities(spark, odd, none):
     assert lm.perplexity(spark.createDataFrame([r for r in out if (r["doc_id"] or 0) >= 1000])).first()["perplexity"] < v
 
 
+def _toy_cells(rng, words=20, contexts=4):
+    count = rng.integers(1, 200, words * contexts)
+    names = np.sort(rng.integers(1, 1 << 63, contexts, dtype=np.uint64))
+    return lm.Cells(np.sort(rng.integers(1, 1 << 63, words, dtype=np.uint64)), np.full(words, contexts), names, np.tile(np.arange(contexts), words), count)
+
+
 def test_restaurant_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    words, many = np.arange(1, 21).astype(np.uint64), np.full(20, 3)
-    context, count = np.tile([0, 5, lm.START], 20), rng.integers(1, 200, 60)
-    stats = [20, count.sum(), (count == 1).sum(), 3, 2, 1, *np.bincount(context, count, lm.WIDTH), *np.bincount(context, minlength=lm.WIDTH)]
-    shared = lm.Restaurants.of(np.array(stats, np.int64))
-    dishes = lm.Dishes(0, (words, many, context, count), shared)
-    for k in range(3):
-        dishes.sweep(k)
-        shared.history.append((np.bincount(context, dishes.tables, lm.WIDTH), int(dishes.root_tables.sum())))
-        assert (dishes.tables >= 1).all() and (dishes.tables <= count).all()
-    root = shared.root(dishes.root_customers, dishes.root_tables, 3)
-    unknown = shared.root(np.zeros(1), np.zeros(1), 3)
-    assert math.isclose(root.sum() + unknown[0], 1)
-    for c in (0, 5, lm.START):
-        own = context == c
-        p = shared.context(context[own], count[own], dishes.tables[own], root, 3).sum() + shared.context(np.array([c]), np.zeros(1), np.zeros(1), unknown, 3)[0]
+    cells = _toy_cells(rng)
+    shared = lm.Shared(20, int(cells.count.sum()), 0.4, 0.6)
+    own = lm.Restaurants(cells, lm.Layout(1, np.zeros(0, np.uint64)), shared)
+    root = np.full(20, 1 / 21)
+    for k in range(1, 4):
+        own.sweep(k, root, rng)
+        assert (own.tables >= 1).all() and (own.tables <= cells.count).all()
+        start = np.cumsum(own.tables[own.open]) - own.tables[own.open]
+        assert (np.add.reduceat(own.sizes, start) == cells.count[own.open]).all() and (own.sizes > 0).all()
+        at_root = np.bincount(own.word, own.tables, 20).astype(np.int64)
+        shared.root_customers, shared.root_tables = [int(at_root.sum())], [20]
+        root = shared.root(at_root, np.ones(20), 0)
+        unknown = shared.root(np.zeros(1), np.zeros(1), 0)
+        assert math.isclose(root.sum() + unknown[0], 1)
+    for c in range(4):
+        mine = cells.context == c
+        figures = own.customers()[c], own.totals(3, own.tables)[c]
+        p = shared.context(cells.count[mine], own.tables[mine], *figures, root).sum() + shared.context(np.zeros(1), np.zeros(1), *figures, unknown)[0]
         assert math.isclose(p, 1)
 
 
+def _exact_mean_tables(n, theta, d, base):
+    """Mean tables of one dish of n customers alone in a restaurant, from generalised Stirling numbers."""
+    stirling = np.zeros((n + 1, n + 1))
+    stirling[0, 0] = 1
+    for c in range(1, n + 1):
+        for t in range(1, c + 1):
+            stirling[c, t] = stirling[c - 1, t - 1] + (c - 1 - t * d) * stirling[c - 1, t]
+    p = np.array([stirling[n, t] * np.prod([(theta + d * k) * base for k in range(t)]) for t in range(1, n + 1)])
+    return (p * np.arange(1, n + 1)).sum() / p.sum()
+
+
+@pytest.mark.parametrize(("n", "d", "base"), [(2, 0.5, 0.3), (9, 0.7, 0.1), (40, 0.4, 0.5)])
+def test_gibbs_steps_leave_the_exact_posterior(n, d, base):
+    rng, many, theta = np.random.default_rng(n), 4000, 2.0
+    c, place, p0 = np.full(many, n), np.arange(many), np.full(many, base)
+    tables = lm.seat(c, np.zeros(many), p0, theta, d, rng)
+    sizes, totals = lm.split(c, tables, d, rng), tables.copy()
+    for _ in range(1 + n * 3 // lm.STEPS * n // 8):
+        tables, sizes = lm.reseat(c, tables, sizes, place, totals, p0, theta, d, rng)
+    assert (totals == tables).all() and sizes.sum() == n * many
+    assert abs(tables.mean() - _exact_mean_tables(n, theta, d, base)) < 4 * tables.std() / math.sqrt(many)
+
+
+def test_two_dishes_of_one_restaurant_match_a_plain_sampler():
+    """A customer-by-customer sampler in plain Python, for restaurants with two dishes that share their tables' total."""
+    theta, d, count, base = 2.0, 0.5, (6, 3), (0.2, 0.05)
+    rnd = random.Random(5)
+    seats = [[c] for c in count]
+    total = np.zeros(2)
+    for sweep in range(30_000):
+        for dish, c in enumerate(count):
+            own = seats[dish]
+            k = rnd.choices(range(len(own)), own)[0]
+            own[k] -= 1
+            own[:] = [x for x in own if x]
+            weights = [x - d for x in own] + [(theta + d * sum(map(len, seats))) * base[dish]]
+            k = rnd.choices(range(len(weights)), weights)[0]
+            own[k : k + 1] = [own[k] + 1] if k < len(own) else [1]
+        total += [len(x) for x in seats]
+    many, rng = 3000, np.random.default_rng(3)
+    c, p0, place = np.tile(count, many), np.tile(base, many), np.repeat(np.arange(many), 2)
+    tables = np.ones(2 * many, np.int64)
+    sizes, totals = c.copy(), np.full(many, 2)
+    for _ in range(25):
+        tables, sizes = lm.reseat(c, tables, sizes, place, totals, p0, theta, d, rng)
+    assert np.allclose(tables.reshape(-1, 2).mean(axis=0), total / 30_000, rtol=0.04)
+
+
+def test_language_model_does_not_depend_on_the_partitioning(spark):
+    rnd = random.Random(2)
+    rows = [(k, " ".join(f"w{min(rnd.randint(0, 40), rnd.randint(0, 40))}" for _ in range(30))) for k in range(60)]
+    found = [{r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), fold("doc_id", 5) != 1).collect()} for n in (1, 7)]
+    assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][k], found[1][k], rel_tol=1e-9) for k in found[0])
+
+
+def test_counts_beyond_32_bits_survive():
+    cells = _toy_cells(np.random.default_rng(1))
+    cells.count = cells.count + 5_000_000_000
+    back = lm.Cells.of(dict(zip(("words", "many", "contexts", "context", "count"), cells.packed())))
+    assert (back.count == cells.count).all() and (lm.Cells.merged([back, back]).count == 2 * cells.count).all()
+
+
 def test_mixing_meets_targets_like_brute_force(spark, odd, none):
     rng = np.random.default_rng(3)
     n = 300
