@@ -337,7 +337,7 @@ def test_gibbs_steps_leave_the_exact_posterior(n, d, base):
     c, place, p0 = np.full(many, n), np.arange(many), np.full(many, base)
     tables = lm.seat(c, np.zeros(many), p0, theta, d, rng)
     sizes, totals = lm.split(c, tables, d, rng), tables.copy()
-    for _ in range(1 + n * 3 // lm.STEPS * n // 8):
+    for _ in range(5 * n):
         tables, sizes = lm.reseat(c, tables, sizes, place, totals, p0, theta, d, rng)
     assert (totals == tables).all() and sizes.sum() == n * many
     assert abs(tables.mean() - _exact_mean_tables(n, theta, d, base)) < 4 * tables.std() / math.sqrt(many)
