@@ -17,6 +17,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,12 +180,41 @@ def latin(pattern: str):
     return re.compile(out).findall
 
 
+def _classes(pattern: str) -> list[str]:
+    return sorted({*regex.findall(r"\\[pP]\{\^?\w+\}", pattern), *[c.lower() for c in regex.findall(r"\\[sSwWdD]", pattern)]})
+
+
+@cache
+def stand_ins(pattern: str) -> dict[int, int]:
+    """Code points that the pattern's classes hold by the Unicode tables of the tiktoken library and not by those of
+    ``regex``, or the other way round, each with one that both put where tiktoken puts the former. The library tells its
+    classes itself: it drops what a pattern does not match, so encoding all code points by a class leaves the class."""
+    import tiktoken
+
+    every = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    ranks = {bytes([b]): b for b in range(256)}
+    theirs = [set(bytes(tiktoken.Encoding("class", pat_str=c, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every)).decode()) for c in _classes(pattern)]
+    ours = [set(regex.findall(c, every)) for c in _classes(pattern)]
+    differ = sorted(set().union(*(a ^ b for a, b in zip(theirs, ours))))
+    kind = lambda ch: tuple(ch in a for a in theirs)
+    wanted, found = {kind(ch) for ch in differ}, {}
+    for ch in every[256:]:
+        if wanted <= found.keys():
+            break
+        if (k := kind(ch)) in wanted and k == tuple(ch in b for b in ours):
+            found.setdefault(k, ch)
+    return {ord(ch): ord(found[kind(ch)]) for ch in differ if kind(ch) in found}
+
+
 class Encoder:
-    """Encodes texts as the rank file and the pattern say, without special tokens."""
+    """Encodes texts as the rank file and the pattern say, without special tokens. ``strange``: what ``stand_ins``
+    found."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, strange: dict[int, int] | None = None):
         self.tokens, self.whole = tokens, {t: k for k, t in enumerate(tokens)}
-        self.find, self.find_latin = regex.compile(pattern).findall, latin(pattern)
+        self.pattern, self.find, self.find_latin = regex.compile(pattern), regex.compile(pattern).findall, latin(pattern)
+        self.strange = stand_ins(pattern) if strange is None else strange
+        self.none_strange = frozenset(map(chr, self.strange)).isdisjoint
         self.forest = SegmentForest(tokens)
         self.known: dict[str, bytes] = {}
 
@@ -192,7 +222,9 @@ class Encoder:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.find(text)
+            if self.none_strange(text):
+                return self.find(text)
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.strange))]
         return self.find_latin(text)
 
     def _learn(self, words: set[str]) -> None:
@@ -236,10 +268,10 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, strange: dict[int, int] | None = None) -> Encoder:
     """One encoder for a worker process; the rank file is part of the installation on every machine."""
     if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
+        _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern, strange)
     return _ENCODERS[path, pattern]
 
 
@@ -250,8 +282,10 @@ def _binary(values: Iterable[bytes]) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: the token ids of each text, packed as little-endian unsigned 32-bit integers."""
 
+    strange = stand_ins(pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(path, pattern)
+        use = encoder(path, pattern, strange)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
@@ -263,8 +297,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, text``: the decoded bytes of each list of ids, as text (bytes that are no UTF-8 are replaced)."""
 
+    strange = stand_ins(pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(path, pattern)
+        use = encoder(path, pattern, strange)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([use.decode(b.as_py()).decode("utf-8", "replace") for b in batch.column(1)], pa.string())], ["doc_id", "text"])
 
@@ -276,8 +312,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     themselves, packed. Works in one pass; without ``ids`` they (four bytes for each token) do not travel."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
 
+    strange = stand_ins(pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(path, pattern)
+        use = encoder(path, pattern, strange)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)

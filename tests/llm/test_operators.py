@@ -135,6 +135,17 @@ def test_bpe_equals_the_public_library_and_round_trips(spark, odd, none):
     assert back[5] == LONG and back[3] == ""
 
 
+def test_bpe_splits_as_the_public_library_at_every_code_point():
+    path, pattern, known = _tiktoken()
+    strange = bpe.stand_ins(pattern)
+    texts = ["".join(f"a{chr(k)}{chr(k)}1 {chr(k)}b!{chr(k)}" for k in sorted(strange)[j : j + 200]) for j in range(0, len(strange), 200)]
+    rnd = random.Random(7)
+    texts += ["".join(chr(rnd.choice([rnd.randrange(0x20, 0xD800), rnd.randrange(0xE000, 0x110000), 32, 97])) for _ in range(60)) for _ in range(1000)]
+    use = bpe.encoder(path, pattern)
+    for text, ids in zip(texts, use.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text)
+
+
 def _fingerprint(text):
     w = (text or "").encode().lower().split()
     if not w:
