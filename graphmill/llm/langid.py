@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.arrays import HashIndex, slices
-from graphmill.llm.common import text_of
+from graphmill.llm.common import bounded, text_of
 
 ORDER = 3
-#: About so many documents of each language are learned from, chosen by a hash of the id.
+#: At most so many documents of each language are learned from, chosen by a hash of the id.
 TRAIN_DOCS = 3000
 #: Bytes scored at a time.
 SLICE = 4_000_000
@@ -136,14 +136,15 @@ def gram_counts(docs: DataFrame, order: int, lang_col: str = "lang", text_col: s
 
 
 def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Learn from about ``train_docs`` documents of each language: those whose id hashes below the language's rate."""
-    docs = docs.filter(F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    """Learn from ``train_docs`` documents of each language, those whose ids have the least hashes (all where there are
+    no more). Of rows that repeat an id and a language one is learned from."""
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")).filter("lang is not null")
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Model({}, order)
-    rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, train_docs / n) * 1_000_000))])
-    chosen = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < rate[F.col(lang_col).cast("string")])
-    found = gram_counts(chosen, order, lang_col, text_col).toPandas()
+    chosen = bounded(known.select("id", "lang"), "lang", dict.fromkeys(sizes, train_docs), sizes, "lang").distinct()
+    texts = known.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id", "lang"])
+    found = gram_counts(texts, order).toPandas()
     return Model({name: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for name, g in found.groupby("lang")}, order)
 
 

@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.arrays import slices
-from graphmill.llm.common import text_of, written
+from graphmill.llm.common import bounded, text_of, written
 from graphmill.llm.words import word_hashes
 
-#: About so many labelled documents of each domain are learned from, chosen by a hash of the id.
+#: At most so many labelled documents of each domain are learned from, chosen by a hash of the id.
 TRAIN_DOCS = 3000
 #: Word hashes share so many cells.
 CELLS = 1 << 18
@@ -89,9 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, train_docs: int =
     names = sorted(totals)
     if len(names) < 2:
         return Classifier(names or ["all"], np.zeros((1, CELLS)), np.zeros((3, 1)))
-    hashed = F.pmod(F.xxhash64("id", F.lit("domain")), F.lit(1_000_000))
-    rate = F.create_map(*[F.lit(v) for name, n in totals.items() for v in (name, int(min(1.0, train_docs / n) * 1_000_000))])
-    chosen = known.filter(hashed < rate[F.col("domain")]).orderBy(hashed).limit(2 * train_docs * len(names))
+    chosen = bounded(known, "domain", dict.fromkeys(names, train_docs), totals, "domain")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
     texts = written(texts.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).select("text", "domain", "half"), "mixing-sample")
     # a domain whose documents are gone (an earlier stage may have removed them) cannot be learned
