@@ -35,7 +35,7 @@ def bounded(rows: DataFrame, label_col: str, bounds: dict, totals: dict, salt: s
     if not bounds:
         return rows.limit(0)
     top = (1 << 63) - 1
-    limit = F.create_map(*[F.lit(v) for y, n in bounds.items() for v in (y, top if (reach := 2 * n + 200) >= totals[y] else top * reach // totals[y])])
+    limit = F.create_map(*[F.lit(v) for y, n in bounds.items() for v in (y, min(top, top * (2 * n + 200) // totals[y]))])
     most = F.create_map(*[F.lit(v) for y, n in bounds.items() for v in (y, n)])
     label, hashed = F.col(label_col), F.xxhash64(F.col(id_col), F.lit(salt)).bitwiseAND(F.lit(top))
     near = rows.filter(label.isin(*bounds)).filter(hashed <= limit[label]).withColumn("_hash", hashed)
