@@ -20,8 +20,8 @@ words' numbers: packed arrays over word lists that both sides know. Predictive p
 sweeps after the burn-in.
 
 Texts are read once and become chunks: token numbers within a chunk and the chunk's words. A chunk sends its pairs with
-their training counts to the buckets, and gets for each pair, context and word its customers and tables back, from
-which it computes its texts' probabilities. So nothing of the size of the vocabulary goes through the driver or a
+their training counts to the buckets, which keep where these lie among their own, and gets for each pair, context and
+word its customers and tables back, from which it computes its texts' probabilities. So nothing of the size of the vocabulary goes through the driver or a
 broadcast; an empty message is not sent, so there are never more messages than pairs.
 
 Defined cases: null counts as empty, which is one end; without training texts every score is that of the uniform base
@@ -57,7 +57,9 @@ CHUNK, SLICE = 8_000_000, 2_000_000
 
 CHUNK_SCHEMA = "chunk string, n long, doc_id binary, learn binary, length binary, vocabulary binary, tokens binary"
 SENT_SCHEMA = "bucket int, chunk string, words binary, many binary, contexts binary, context binary, count binary"
-MODEL_SCHEMA = "bucket int, words binary, many binary, contexts binary, context binary, count binary"
+#: A row of an empty ``chunk`` has the pairs of a bucket; one of a chunk says by two masks and two lists of places
+#: which of these the chunk's pairs and contexts are.
+MODEL_SCHEMA = SENT_SCHEMA
 INDEX_SCHEMA = "bucket int, other int, words binary, count binary"
 #: Messages of a sweep. ``up``: to root bucket ``bucket`` from ``other``; ``down``: the other way; ``own``, ``root``: what
 #: a bucket or root bucket keeps; ``sum``: figures to be added up.
@@ -85,6 +87,18 @@ def unpack_sorted(raw: bytes, kind: str = "<u8") -> np.ndarray:
     return np.cumsum(unpack(raw, kind), dtype=kind)
 
 
+def pack_places(at: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising places, -1 where there is none: a mask and the others."""
+    return pack((at >= 0).astype(np.uint8)), pack_sorted(at[at >= 0])
+
+
+def unpack_places(mask: bytes, places: bytes) -> np.ndarray:
+    known = unpack(mask, "u1").astype(bool)
+    at = np.full(len(known), -1)
+    at[known] = unpack_sorted(places, "<i8")
+    return at
+
+
 def _record(schema: str, columns: list[list]) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]
@@ -196,6 +210,18 @@ class Chunk:
         pair, at = np.unique(self.tokens.astype(np.int64) * (len(self.vocabulary) + 1) + self.before(), return_inverse=True)
         return *np.divmod(pair, len(self.vocabulary) + 1), at, np.bincount(at, np.repeat(self.learn, self.length), len(pair)).astype(np.int64)
 
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same without the tokens' pairs, by one sort in place."""
+        key = self.tokens.astype(np.int64)
+        key *= len(self.vocabulary) + 1
+        key += self.before()
+        key <<= 1
+        key += np.repeat(self.learn, self.length)
+        key.sort()
+        first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+        count = np.add.reduceat(key & 1, first) if len(first) else np.zeros(0, np.int64)
+        return *np.divmod(key[first] >> 1, len(self.vocabulary) + 1), count
+
     def messages(self, word: np.ndarray, context: np.ndarray, layout: Layout) -> Iterator[Message]:
         names = np.concatenate([[START], self.vocabulary])
         bucket = layout.of_pairs(self.vocabulary[word], names[context])
@@ -232,9 +258,9 @@ def sent(parts: DataFrame, layout: Layout) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 c = Chunk.of(row)
-                word, context, _, count = c.pairs()
-                out = [(m.bucket, c.name, pack_sorted(m.words), pack(m.many.astype(np.uint32)), pack_sorted(m.contexts), pack(m.context.astype(np.uint32)), pack(count[m.at])) for m in c.messages(word, context, layout)]
-                yield _record(SENT_SCHEMA, [list(x) for x in zip(*out)])
+                word, context, count = c.counted()
+                for m in c.messages(word, context, layout):
+                    yield _record(SENT_SCHEMA, [[x] for x in (m.bucket, c.name, pack_sorted(m.words), pack(m.many.astype(np.uint32)), pack_sorted(m.contexts), pack(m.context.astype(np.uint32)), pack(count[m.at]))])
 
     return parts.mapInArrow(run, SENT_SCHEMA)
 
@@ -313,19 +339,25 @@ def _bucketed(rows: DataFrame, run: Callable, schema: str) -> str:
 
 
 def gathered(rows: DataFrame) -> str:
-    """The training pairs of all chunks, a row for each bucket."""
+    """The training pairs of all chunks, a row for each bucket, and a row for each chunk that says where its own are.
+    What a bucket was sent stays packed until its pairs are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, own in _by_bucket(batches):
             held: list[Cells] = []
-            size = 0
+            told, size = [], 0
             for row in own:
+                told.append(row)
                 held.append(Cells.of(row))
                 size += len(held[-1].count)
                 if size > 4_000_000:  # a pair in very many chunks must not pile up
                     held = [Cells.merged(held)]
                     size = len(held[0].count)
-            yield _record(MODEL_SCHEMA, [[x] for x in (bucket, *Cells.merged(held).packed())])
+            cells = Cells.merged(held)
+            yield _record(MODEL_SCHEMA, [[x] for x in (bucket, "", *cells.packed())])
+            for row in told:
+                pair, context = cells.find(Cells.of(row))
+                yield _record(MODEL_SCHEMA, [[x] for x in (bucket, row["chunk"], *pack_places(pair), *pack_places(context), b"")])
 
     return _bucketed(rows, run, MODEL_SCHEMA)
 
@@ -656,44 +688,34 @@ def sample(model: DataFrame, layout: Layout, burn_in: int = BURN_IN, samples: in
     return done
 
 
-def answered(rows: DataFrame, model: DataFrame, sampled: Sampled, layout: Layout) -> DataFrame:
-    """For what each chunk sent to each bucket: of every pair the training count and, for every sample, the tables; of
-    every context customers and tables likewise."""
-    known = rows.sparkSession.sparkContext.broadcast((layout, sampled.shared))
+def answered(table: DataFrame, sampled: Sampled, layout: Layout) -> DataFrame:
+    """For the pairs and contexts of each chunk in each bucket, of every pair the training count and, for every sample,
+    the tables; of every context customers and tables likewise. Hot contexts are left to the chunk."""
+    known = table.sparkSession.sparkContext.broadcast((layout, sampled.shared))
     sweeps = sorted(sampled.pairs)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         layout, shared = known.value
-        own = next((Restaurants(Cells.of(row), layout, shared) for row in _rows(left)), None)
-        tables = {}
-        for row in _rows(right):
-            if row["chunk"].startswith("#"):
-                tables[int(row["chunk"][1:])] = unpack(row["words"])
-        if own is not None:
-            at_pair = [own.cells.count, *(tables[k] for k in sweeps)]
-            at_context = [own.customers(), *(own.totals(k, tables[k]) for k in sweeps)]
-        out = []
-        for row in _rows(right):
-            if row["chunk"].startswith("#"):
-                continue
-            asked = Cells.of(row)
-            cells = np.zeros((1 + len(sweeps), len(asked.context)), np.int64), np.zeros((1 + len(sweeps), len(asked.contexts)), np.int64)
-            if own is not None:
-                for lines, values, at in zip(cells, (at_pair, at_context), own.cells.find(asked)):
+        own, out = next(Restaurants(Cells.of(row), layout, shared) for row in _rows(left) if not row["chunk"]), []
+        tables = {row["k"]: unpack(row["a"]) for row in _rows(right)}
+        of_pair = [own.cells.count, *(tables[k] for k in sweeps)]
+        of_context = [own.customers(), *(own.totals(k, tables[k]) for k in sweeps)]
+        for row in _rows(left):
+            if row["chunk"]:
+                cells = []
+                for values, at in ((of_pair, unpack_places(row["words"], row["many"])), (of_context, unpack_places(row["contexts"], row["context"]))):
+                    lines = np.zeros((1 + len(sweeps), len(at)), np.int64)
                     for line, x in zip(lines, values):
                         line[at >= 0] = x[at[at >= 0]]
-            # hot contexts have their customers wherever they are
-            hot = np.flatnonzero(layout.is_hot(asked.contexts))
-            where = np.searchsorted(layout.hot, asked.contexts[hot])
-            if len(shared.hot_customers):
-                cells[1][:, hot] = np.stack([shared.hot_customers[where], *(shared.hot_tables[k][where] for k in sweeps)])
-            out.append((row["chunk"], "pair", row["bucket"], pack(cells[0]), pack(cells[1])))
+                    cells.append(pack(lines))
+                out.append((row["chunk"], "pair", row["bucket"], *cells))
         return _table(BACK_SCHEMA, out)
 
-    kept = [df.select("bucket", F.lit(f"#{k}").alias("chunk"), F.col("a").alias("words"), *[F.lit(b"").alias(c) for c in ("many", "contexts", "context", "count")]) for k, df in sampled.pairs.items()]
-    for df in kept:
-        rows = rows.unionByName(df)
-    return model.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, BACK_SCHEMA)
+    kept = None
+    for k, df in sampled.pairs.items():
+        one = df.select("bucket", F.lit(k).alias("k"), "a")
+        kept = one if kept is None else kept.unionByName(one)
+    return table.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(run, BACK_SCHEMA)
 
 
 def answered_words(parts: DataFrame, sampled: Sampled, layout: Layout) -> DataFrame:
@@ -757,6 +779,10 @@ def scores(parts: DataFrame, back: DataFrame, sampled: Sampled, layout: Layout)
             mean = np.zeros(len(word))
             for m in c.messages(word, context, layout):
                 own, of_context = pairs[m.bucket]
+                hot = np.flatnonzero(layout.is_hot(m.contexts))
+                if len(hot):
+                    where = np.searchsorted(layout.hot, m.contexts[hot])
+                    of_context[:, hot] = np.stack([shared.hot_customers[where], *(shared.hot_tables[k][where] for k in sweeps)])
                 of_context = of_context[:, m.context]
                 for j, parent in enumerate(parents):
                     mean[m.at] += shared.context(own[0], own[1 + j], of_context[0], of_context[1 + j], parent[word[m.at]]) / len(sweeps)
@@ -782,9 +808,9 @@ def score(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: st
     buckets = max(4, -(-tokens // BUCKET_TOKENS))
     layout = Layout(buckets, hot_contexts(parts, max(LEAST_SHARES, buckets)))
     name = gathered(sent(parts, layout))
-    model = spark.table(name)
-    sampled = sample(model, layout, burn_in, samples)
-    back = answered(sent(parts, layout), model, sampled, layout).unionByName(answered_words(parts, sampled, layout))
+    table = spark.table(name)
+    sampled = sample(table.filter("chunk = ''"), layout, burn_in, samples)
+    back = answered(table, sampled, layout).unionByName(answered_words(parts, sampled, layout))
     out = written(scores(parts, back, sampled, layout), "lm-scores")
     for used in (name, sampled.index):
         spark.sql(f"DROP TABLE {used}")
