@@ -64,7 +64,7 @@ INDEX_SCHEMA = "bucket int, other int, words binary, count binary"
 #: Messages of a sweep. ``up``: to root bucket ``bucket`` from ``other``; ``down``: the other way; ``own``, ``root``: what
 #: a bucket or root bucket keeps; ``sum``: figures to be added up.
 SWEEP_SCHEMA = "kind string, bucket int, other int, a binary, b binary, c binary, figures array<long>"
-BACK_SCHEMA = "chunk string, kind string, bucket int, a binary, b binary"
+BACK_SCHEMA = "chunk string, kind string, bucket int, a binary, b binary, c binary, d binary"
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -99,6 +99,21 @@ def unpack_places(mask: bytes, places: bytes) -> np.ndarray:
     return at
 
 
+def pack_lines(lines: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers of customers, and of tables (or customers again) after some sweeps. One customer sits at one table, so the
+    later lines hold those of two and more only, and each what it differs from the line before."""
+    rest = np.diff(lines[1:, lines[0] > 1], axis=0, prepend=0)
+    return pack(lines[0]), pack(rest << 1 ^ rest >> 63)
+
+
+def unpack_lines(first: bytes, rest: bytes, lines: int) -> np.ndarray:
+    own = unpack(first)
+    out = np.tile(own, (lines, 1))
+    found = unpack(rest).reshape(lines - 1, -1)
+    out[1:, own > 1] = np.cumsum(found >> 1 ^ -(found & 1), axis=0)
+    return out
+
+
 def _record(schema: str, columns: list[list]) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]
@@ -707,7 +722,7 @@ def answered(table: DataFrame, sampled: Sampled, layout: Layout) -> DataFrame:
                     lines = np.zeros((1 + len(sweeps), len(at)), np.int64)
                     for line, x in zip(lines, values):
                         line[at >= 0] = x[at[at >= 0]]
-                    cells.append(pack(lines))
+                    cells += pack_lines(lines)
                 out.append((row["chunk"], "pair", row["bucket"], *cells))
         return _table(BACK_SCHEMA, out)
 
@@ -747,7 +762,7 @@ def answered_words(parts: DataFrame, sampled: Sampled, layout: Layout) -> DataFr
                 at = _places(known, words)
                 for line, x in zip(cells, [count, *(x for k in sweeps for x in root[k])]):
                     line[at >= 0] = x[at[at >= 0]]
-            out.append((row["chunk"], "word", row["bucket"], pack(cells), b""))
+            out.append((row["chunk"], "word", row["bucket"], *pack_lines(cells), b"", b""))
         return _table(BACK_SCHEMA, out)
 
     rows = parts.select("chunk", "vocabulary").mapInArrow(ask, "bucket int, chunk string, words binary, tables binary")
@@ -767,9 +782,9 @@ def scores(parts: DataFrame, back: DataFrame, sampled: Sampled, layout: Layout)
         words, pairs = [], {}
         for row in _rows(right):
             if row["kind"] == "word":
-                words.append((row["bucket"], unpack(row["a"]).reshape(1 + 2 * len(sweeps), -1)))
+                words.append((row["bucket"], unpack_lines(row["a"], row["b"], 1 + 2 * len(sweeps))))
             else:
-                pairs[row["bucket"]] = unpack(row["a"]).reshape(1 + len(sweeps), -1), unpack(row["b"]).reshape(1 + len(sweeps), -1)
+                pairs[row["bucket"]] = unpack_lines(row["a"], row["b"], 1 + len(sweeps)), unpack_lines(row["c"], row["d"], 1 + len(sweeps))
         root = np.concatenate([x for _, x in sorted(words, key=lambda w: w[0])], axis=1)
         out = []
         for row in _rows(left):

@@ -443,3 +443,13 @@ def test_coverage_counts_covered_characters(spark):
     words = spark.createDataFrame([("house",), ("tree",), ("use",)], "word string")
     out = {r["candidate"]: r["covered"] for r in secrets.coverage(found, words).collect()}
     assert out == {"houseXtree9": pytest.approx(9 / 11)}
+
+
+def test_packed_lines_and_places_come_back():
+    rng = np.random.default_rng(4)
+    count = rng.integers(0, 6, 500)
+    lines = np.stack([count, *(np.where(count > 1, rng.integers(1, 6, 500), count) for _ in range(3))])
+    assert (lm.unpack_lines(*lm.pack_lines(lines), 4) == lines).all()
+    at = np.where(rng.random(500) < 0.3, -1, np.arange(500) * 3)
+    assert (lm.unpack_places(*lm.pack_places(at)) == at).all()
+    assert lm.unpack_lines(*lm.pack_lines(lines[:, :0]), 4).shape == (4, 0) and len(lm.unpack_places(*lm.pack_places(at[:0]))) == 0
