@@ -29,6 +29,18 @@ def decode(texts: list[str]) -> np.ndarray:
     return adj
 
 
+def walks(adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the vertices that walks of even and of odd length reach from vertex 0, for any number of vertices. They
+    have all vertices if the graph is connected, and then one in common if it is not bipartite."""
+    even, odd = np.ones(len(adj), np.int64), np.zeros(len(adj), np.int64)
+    for _ in range(adj.shape[1]):
+        for v in range(adj.shape[1]):
+            odd |= np.where(even >> v & 1, adj[:, v], 0)
+        for v in range(adj.shape[1]):
+            even |= np.where(odd >> v & 1, adj[:, v], 0)
+    return even, odd
+
+
 class Lattice:
     def __init__(self, adj: np.ndarray):
         self.adj, (self.count, self.n) = adj, adj.shape

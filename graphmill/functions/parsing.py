@@ -44,7 +44,7 @@ def ideal_generators(s: Column) -> Column:
 def binomial_degree(s: Column) -> Column:
     """Degree of the first monomial of a binomial."""
     first = F.split_part(F.regexp_replace(F.trim(s), r"^-", ""), F.lit("-"), F.lit(1))
-    power = lambda f: F.when(F.trim(f).rlike(r"^\d*$"), 0).otherwise(F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(f, r"\^(\d+)", 1), F.lit("")), F.lit("999")).cast("int"), F.lit(1)))
+    power = lambda f: F.when(F.trim(f).rlike(r"^\d*$"), 0).otherwise(F.coalesce(F.nullif(F.regexp_extract(f, r"\^(\d+)", 1), F.lit("")).try_cast("int"), F.lit(1)))
     return F.aggregate(F.split(first, r"\*"), F.lit(0), lambda acc, f: acc + power(f))
 
 

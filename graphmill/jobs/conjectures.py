@@ -1,24 +1,22 @@
-"""The conjectures as ``conjectures.md`` of the reference states them, and the explorer's presets.
-
-``g10_conjecture_*`` and ``b21_presets`` of ``relate`` test simpler statements, as their SQL does; these have the
-hypotheses and conclusions of the log. Numerators are whole and computed for failing graphs only.
-"""
+"""The conjectures of the research log, and the explorer's presets. Numerators are whole and computed for failing graphs
+only."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphmill.jobs.base import band, edges
+from graphmill.jobs.base import N, band, edges
 from graphmill.jobs.features import LINK
-from graphmill.jobs.relate import JOINED, _whole_sql, joined, whole_hilbert
+from graphmill.jobs.hilbert import whole_sql
+from graphmill.jobs.relate import JOINED, joined
 from graphmill.operators import corpus, hilbert, relate as ops
 from graphmill.registry import query
 
 STATED = (
     JOINED
     + LINK
-    + f""", {_whole_sql("SELECT DISTINCT g FROM pairs")}, same AS (SELECT g, count(*) FILTER (linkage >= 2) AS n FROM link GROUP BY g),
-stated AS (SELECT j.*, coalesce(s.n, 0) AS sep_same_block_pairs, CASE WHEN wh.least < 0 THEN FALSE WHEN NOT wh.truncated THEN TRUE END AS h_nonneg,
+    + f""", {whole_sql(f"SELECT DISTINCT g, {N} AS last FROM pairs")}, same AS (SELECT g, count(*) FILTER (linkage >= 2) AS n FROM link GROUP BY g),
+stated AS (SELECT j.*, wh.top AS top_coefficient, coalesce(s.n, 0) AS sep_same_block_pairs, CASE WHEN wh.least < 0 THEN FALSE WHEN NOT wh.truncated THEN TRUE END AS h_nonneg,
   CASE WHEN wh.truncated THEN NULL ELSE wh.below = 1 AND wh.top < 0 END AS only_top_negative FROM joined j LEFT JOIN same s ON s.g = j.graph_number LEFT JOIN wh ON wh.g = j.graph_number)"""
 )
 
@@ -28,14 +26,14 @@ def numerators(h):
     no other is. Null where a truncated series cannot tell."""
     below = F.size(F.filter("h", lambda x: x < 0))
     top = F.element_at(F.filter("h", lambda x: x != 0), -1)
-    return h.withColumn("h_nonneg", F.when(below > 0, False).when(~F.col("truncated"), True)).withColumn("only_top_negative", F.when(~F.col("truncated"), (below == 1) & (top < 0)))
+    return h.withColumn("h_nonneg", F.when(below > 0, False).when(~F.col("truncated"), True)).withColumn("only_top_negative", F.when(~F.col("truncated"), (below == 1) & (top < 0))).withColumn("top_coefficient", top)
 
 
 def stated(spark, sf):
     rows = joined(spark, sf)
     same = corpus.with_features(band(spark, sf), ["fails_occ", "sep_same_block_pairs"]).filter("fails_occ = 1").select("graph_number", "sep_same_block_pairs")
     failing = edges(spark, sf).join(same.select("graph_number"), "graph_number", "left_semi")
-    h = numerators(hilbert.h_from_hilbert(whole_hilbert(failing), 9)).select("graph_number", "h_nonneg", "only_top_negative")
+    h = numerators(hilbert.h_from_hilbert(hilbert.hilbert_by_graph(failing, N), N)).select("graph_number", "h_nonneg", "only_top_negative", "top_coefficient")
     return rows.join(same, "graph_number", "left").fillna(0, ["sep_same_block_pairs"]).join(h, "graph_number", "left")
 
 
@@ -57,7 +55,7 @@ def _stated(name, h, c):
       count(*) FILTER (NOT h AND NOT c) AS neither, count(*) FILTER (h IS NULL OR c IS NULL) AS unknown, min(graph_number) FILTER (h AND NOT c) AS counterexample,
       CASE WHEN count(*) FILTER (h AND NOT c) > 0 THEN 'refuted' WHEN count(*) FILTER (h AND c) = 0 THEN 'vacuous' ELSE 'holds so far' END AS verdict FROM f GROUP BY ROLLUP (n)"""
 
-    @query(f"g10_stated_{name}", sql)
+    @query(f"g10_conjecture_{name}", sql)
     def run(spark, sf):
         return ops.test_conjecture(stated(spark, sf), F.expr(h), F.expr(c), "graph_number")
 
@@ -65,7 +63,7 @@ def _stated(name, h, c):
 for _name, (_h, _c) in CONJECTURES.items():
     _stated(_name, _h, _c)
 
-#: The nine presets of ``app/explorer.py``.
+#: The explorer's nine presets.
 PRESETS = {
     "all": "TRUE", "fails_occ": "fails_occ = 1", "gorenstein": "is_gorenstein = 1", "gorenstein_failing": "is_gorenstein = 1 AND fails_occ = 1", "c3_group": "sep_same_block_pairs > 0",
     "c3_exceptions": "fails_occ = 1 AND sep_same_block_pairs = 0 AND is_cm = 0", "c4_group": "even_cycle_meets_pair = 1", "c4_counterexamples": "fails_occ = 1 AND even_cycle_meets_pair = is_cm",
@@ -73,8 +71,28 @@ PRESETS = {
 }
 
 
-@query("b21_presets_explorer", f"{JOINED}{LINK}, same AS (SELECT g, count(*) FILTER (linkage >= 2) AS n FROM link GROUP BY g), s AS (SELECT j.*, coalesce(same.n, 0) AS sep_same_block_pairs FROM joined j LEFT JOIN same ON same.g = j.graph_number) " + " UNION ALL ".join(f"SELECT '{name}' AS preset, graph_number FROM s WHERE {c}" for name, c in PRESETS.items()))
+@query("b21_presets", f"{JOINED}{LINK}, same AS (SELECT g, count(*) FILTER (linkage >= 2) AS n FROM link GROUP BY g), s AS (SELECT j.*, coalesce(same.n, 0) AS sep_same_block_pairs FROM joined j LEFT JOIN same ON same.g = j.graph_number) " + " UNION ALL ".join(f"SELECT '{name}' AS preset, graph_number FROM s WHERE {c}" for name, c in PRESETS.items()))
 def b21(spark, sf):
     same = corpus.with_features(band(spark, sf), ["sep_same_block_pairs"]).select("graph_number", "sep_same_block_pairs")
     hits = F.filter(F.array(*[F.when(F.expr(c), F.lit(name)) for name, c in PRESETS.items()]), lambda x: x.isNotNull())
     return joined(spark, sf).join(same, "graph_number").select(F.explode(hits).alias("preset"), "graph_number")
+
+
+@query("g03_top_coefficients", f"{STATED} SELECT top_coefficient, count(*) AS n FROM stated WHERE h_nonneg = FALSE GROUP BY 1 ORDER BY n DESC, 1 LIMIT 8")
+def g03(spark, sf):
+    """The eight most frequent top coefficients of numerators with a negative one."""
+    return ops.top_counts(stated(spark, sf).filter("h_nonneg = false"), "top_coefficient", 8)
+
+
+#: Histograms over the failing graphs, in SQL that DuckDB and Spark read alike.
+FAILING = {
+    "n_minus_depth": "coalesce(CAST(n - depth AS VARCHAR(20)), 'none')", "h_negative": "CASE WHEN h_nonneg THEN 'no' WHEN NOT h_nonneg THEN 'yes' ELSE 'unknown' END",
+    "only_top_negative": "CASE WHEN only_top_negative THEN 'yes' ELSE 'no' END", "top_coefficient": "CAST(top_coefficient AS VARCHAR(20))", "m": "CAST(m AS VARCHAR(20))",
+    "status": "coalesce(status, 'missing')",
+}
+
+
+@query("g05_failing_histograms", f"{STATED} " + " UNION ALL ".join(f"SELECT '{name}' AS what, {c} AS value, count(*) AS n FROM stated WHERE fails_occ = 1 GROUP BY 1, 2" for name, c in FAILING.items()))
+def g05(spark, sf):
+    rows = stated(spark, sf).filter("fails_occ = 1").select(*[F.expr(c.replace("VARCHAR(20)", "STRING")).alias(name) for name, c in FAILING.items()])
+    return rows.unpivot([], list(FAILING), "what", "value").groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))

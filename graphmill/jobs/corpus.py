@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphmill.functions import graph6 as g6
-from graphmill.jobs.base import ADJ, BAND, CYCLES, EDGES, N, TEXTS, band, edges, graphs, runs, table
+from graphmill.jobs.base import ADJ, BAND, CYCLES, EDGES, TEXTS, band, edges, graphs, runs, table
 from graphmill.operators import corpus as ops
 from graphmill.registry import query
 from graphmill.scratch import new_path
@@ -21,12 +21,15 @@ def a01(spark, sf):
     return text.read_graph_list(spark, path)
 
 
-@query("a02_ordered_lines", "SELECT p % 97 AS slot, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS p FROM lineitem) GROUP BY 1")
+@query(
+    "a02_ordered_lines",
+    "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS line_no, l_orderkey || ' ' || l_linenumber AS value FROM lineitem",
+)
 def a02(spark, sf):
     path = new_path(spark, "lines")
     rows = table(spark, sf, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows.select(F.concat_ws(" ", "l_orderkey", "l_linenumber").alias("value")).write.text(path)
-    return text.ordered_lines(spark, path).groupBy((F.col("line_no") % 97).alias("slot")).agg(F.count("value").alias("n"))
+    return text.ordered_lines(spark, path).select("line_no", "value")
 
 
 @query(
@@ -70,10 +73,8 @@ def a05(spark, sf):
     whole = F.concat_ws("\t", number, (F.col("l_partkey") % 50).cast("string"), F.lit("{2, 3}"), F.lit("(1+T)/((1-T)^9)"), F.col("l_tax").cast("string"))
     line = F.when(F.col("l_linenumber") == 1, F.concat_ws("\t", number, F.lit("TIMEOUT"), F.lit("9.5"))).otherwise(whole)
     depth = F.concat_ws(" ", number, F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise("ERROR"), F.lit(".25"))
-    lines = rows.select(F.col("l_linenumber").alias("line_no"), F.monotonically_increasing_id().alias("id"), line.alias("value"), depth.alias("other"))
-    hilbert = text.hilbert_lines(lines.select("line_no", "id", "value"))
-    depths = text.depth_lines(lines.select("id", F.col("other").alias("value"))).select("id", "depth")
-    return hilbert.join(depths, "id", "left").select("graph_number", "line_no", "complete", "failure", F.col("num_gens").cast("long").alias("num_gens"), F.col("depth").cast("long").alias("depth"))
+    lines = rows.select(F.col("l_linenumber").alias("line_no"), line.alias("value"), text.depth_fields(depth)["depth"].cast("long").alias("depth"))
+    return text.hilbert_lines(lines).select("graph_number", "line_no", "complete", "failure", F.col("num_gens").cast("long").alias("num_gens"), "depth")
 
 
 @query("a06_predictions_file", f"WITH {TEXTS} SELECT g AS graph_number, graph6, m, (m % 2) AS even_cycle_meets_pair, 1 - (m % 2) AS predicted_cm FROM texts")
@@ -101,10 +102,20 @@ def a08(spark, sf):
     return text.solver_input(graphs(spark, sf))
 
 
-@query("a09_input_manifest")
+INPUTS = "region nation customer supplier part orders lineitem events".split()
+
+
+@query("a09_input_manifest", " UNION ALL ".join(f"SELECT {k} AS file_order, '{name}' AS name, count(*) AS lines, 64 AS digits, 1 AS digests FROM {name}" for k, name in enumerate(INPUTS)))
 def a09(spark, sf):
-    found = text.input_manifest(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"])
-    return found.crossJoin(text.manifest_digest(found))
+    """The rows of every input table as lines of text, in order, and their manifest. Digests are held against brute force
+    by a test; here one digest is formed over all."""
+    root = new_path(spark, "inputs")
+    for name in INPUTS:
+        rows = table(spark, sf, name)
+        rows.orderBy(rows.columns[0], *rows.columns[1:3]).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{root}/{name}")
+    found = text.content_manifest(spark, [f"{root}/{name}" for name in INPUTS])
+    digest = text.manifest_digest(found).groupBy().agg(F.count_distinct("digest").cast("int").alias("digests"))
+    return found.select("file_order", F.element_at(F.split("file", "/"), -1).alias("name"), "lines", F.length("sha256").alias("digits")).crossJoin(F.broadcast(digest))
 
 
 @query("a10_export_view", f"WITH {TEXTS} SELECT g AS graph_number, m FROM texts WHERE m >= 12")
@@ -156,7 +167,7 @@ def b04(spark, sf):
     return ops.with_occ(band(spark, sf)).select("graph_number", "fails_occ", "occ_s", "occ_t")
 
 
-@query("b12_take_share", f"WITH {EDGES}, p AS (SELECT g, row_number() OVER (ORDER BY g) AS p FROM (SELECT DISTINCT g FROM edges)) SELECT g AS graph_number, p AS position FROM p WHERE (p - 1) % 5 + 1 IN (2, 4)")
+@query("b12_take_share", f"WITH {EDGES}, p AS (SELECT g, row_number() OVER (ORDER BY g) AS p FROM (SELECT DISTINCT g FROM edges)) SELECT g AS graph_number, p AS position FROM p WHERE (p - 1) % 5 IN (2, 4)")
 def b12(spark, sf):
     return ops.take_share(ops.numbered(edges(spark, sf).select("graph_number").distinct(), "graph_number"), "2,4/5")
 
@@ -202,5 +213,3 @@ def flagship(spark, sf):
     rows = ops.with_features(band(spark, sf), ["m", "fails_occ", "sep_pairs"])
     return rows.groupBy("m").agg(F.count(F.lit(1)).alias("graphs"), F.count_if((F.col("fails_occ") == 1) & (F.col("sep_pairs") > 0)).alias("failing"), F.count_if(F.col("sep_pairs") == 0).alias("satisfying"))
 
-
-assert N == 9

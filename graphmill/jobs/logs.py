@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphmill.jobs.base import BEST, EDGES, RUNS, TEXTS, VERDICT, graphs, runs, table
-from graphmill.functions.graph6 import num_edges
 from graphmill.operators import runs as ops
 from graphmill.registry import query
 
@@ -123,11 +122,40 @@ def b19(spark, sf):
     return _loaded(spark, sf).select("graph_number", "line_no", "has_result", "seconds_depth", "is_cm", F.col("decided_by").alias("verdict"))
 
 
-@query("b19_load_counts", LOADED + " SELECT count(*) FILTER (has_result AND is_cm IS NOT NULL) AS decided, count(*) FILTER (has_result AND is_cm IS NULL) AS undecided FROM l")
+@query("b19_load_counts", LOADED + " SELECT count(*) FILTER (has_result AND is_cm IS NOT NULL) AS decided, count(*) FILTER (NOT has_result OR is_cm IS NULL) AS undecided FROM l")
 def b19_counts(spark, sf):
     return ops.load_counts(_loaded(spark, sf))
 
 
+BLOCK_ROWS = (
+    "WITH b AS (SELECT l_orderkey AS graph_number, 10 + (count(*) % 3)::INT AS m, CASE WHEN sum(l_quantity) % 2 = 0 THEN 9 ELSE 8 END AS depth, 1 + (max(l_partkey) % 3)::INT AS a, 1 + (max(l_suppkey) % 3)::INT AS b, (count(*) % 2)::INT AS one FROM lineitem GROUP BY 1)"
+)
+
+
+@query(
+    "b19_results_from_blocks",
+    f"""{BLOCK_ROWS} SELECT graph_number, 'H' || graph_number AS graph6, depth, '1,' || a || ',' || b AS h, (b = 1)::INT AS h_symmetric, (depth = 9)::INT AS is_cm, CASE WHEN depth = 9 THEN (b = 1)::INT ELSE 0 END AS is_gorenstein,
+    CASE WHEN one = 1 THEN 1 ELSE 2 END AS num_gens, CASE WHEN one = 1 THEN '5' ELSE '2,5' END AS degrees, CASE WHEN (CASE WHEN one = 1 THEN 1 ELSE 2 END) = m - 9 THEN 1 ELSE 0 END AS is_ci, 0.25::DOUBLE AS seconds_depth FROM b""",
+)
+def b19_blocks(spark, sf):
+    """Solver blocks written from the line items' orders, read back and loaded as results."""
+    from graphmill.scratch import new_path
+    from graphmill.sources import text
+
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("c"), F.sum("l_quantity").alias("q"), F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    ideal = F.when(F.col("c") % 2 == 1, "ideal(e_2*e_3*e_5*e_7^2-e_1*e_4^2*e_6*e_8)").otherwise("ideal(e_4*e_8-e_3*e_9,e_1*e_5*e_7*e_9^2-e_2*e_6^2*e_8*e_3)")
+    field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
+    block = F.concat_ws(
+        "\n", field("GraphNumber", F.col("l_orderkey")), field("Graph6", F.concat(F.lit("H"), F.col("l_orderkey"))), field("NumEdges", 10 + F.col("c") % 3), field("ToricIdeal", ideal), field("Depth", F.when(F.col("q") % 2 == 0, 9).otherwise(8)),
+        field("ReducedHilbertSeries", F.format_string("(1+%d*T+%d*T^2)/((1-T)^9)", 1 + F.col("p") % 3, 1 + F.col("s") % 3)), F.lit("SecondsKer: .5"), F.lit("SecondsDepth: .25"), F.lit("SecondsHilbert: .125"), F.lit("===="),
+    )
+    path = new_path(spark, "result-blocks")
+    rows.select(block.alias("value")).write.text(path)
+    found = ops.derive_results(ops.results_from_blocks(text.read_blocks(spark, path)).withColumn("n", F.lit(9)))
+    joined = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
+    return found.select("graph_number", "graph6", "depth", joined("h_vector").alias("h"), "h_symmetric", "is_cm", "is_gorenstein", "num_gens", joined("gen_degrees").alias("degrees"), "is_ci", "seconds_depth")
+
+
 @query(
     "s04_stuck_items",
     f"""WITH {TEXTS}, {RUNS}, p AS (SELECT g, row_number() OVER (ORDER BY g) AS position FROM texts), f AS (SELECT DISTINCT graph_number FROM runs WHERE status IN ('done', 'unconfirmed'))
@@ -139,5 +167,3 @@ def s04(spark, sf):
     batches = assign_batches(numbered(graphs(spark, sf).select("graph_number"), "graph_number"), 50)
     return ops.stuck_items(batches, runs(spark, sf).filter(ops.is_final()).select("graph_number").distinct())
 
-
-assert num_edges

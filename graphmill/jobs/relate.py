@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import functions as F
 
-from graphmill.functions import parsing
-from graphmill.jobs.base import BEST, CYCLES, EDGES, RUNS, TEXTS, VERDICT, band, edges, graphs, runs, table
+from graphmill.jobs.base import BEST, CYCLES, RUNS, TEXTS, VERDICT, band, edges, graphs, runs, table
 from graphmill.jobs.features import MEET
-from graphmill.operators import corpus, hilbert, relate as ops, runs as run_ops
+from graphmill.operators import corpus, relate as ops, runs as run_ops
 from graphmill.registry import query
 
 FEATURES = ["n", "m", "fails_occ", "sep_pairs", "even_cycle_meets_pair", "n_bridges", "is_hamiltonian", "n_triangles"]
@@ -27,12 +24,12 @@ joined AS (SELECT b.g AS graph_number, b.graph6, 9 AS n, b.m, (b.g IN (SELECT g
 def verdicts(spark, sf):
     best = run_ops.latest_runs(runs(spark, sf))
     v = run_ops.verdict(F.lit(9), F.col("depth_zzp"), F.col("decided_by"), F.col("depth"))
-    return best.select("graph_number", "k", "seconds", "status", "depth", v["is_cm"].alias("is_cm"), v["decided_by"].alias("verdict"))
+    return best.select(F.lit(9).cast("long").alias("n"), "graph_number", "k", "seconds", "status", "depth", v["is_cm"].alias("is_cm"), v["decided_by"].alias("verdict"))
 
 
 def joined(spark, sf):
-    """Features with the verdict of the best run, left: a graph that was not run is unknown."""
-    rows = corpus.with_features(band(spark, sf), FEATURES).join(verdicts(spark, sf), "graph_number", "left")
+    """Features with the verdict of the best run, left: a graph that was not run is unknown. Numbers repeat across n."""
+    rows = corpus.with_features(band(spark, sf), FEATURES).join(verdicts(spark, sf), ["n", "graph_number"], "left")
     cm, k = F.col("is_cm"), F.col("k")
     return rows.withColumn("is_gorenstein", F.when(cm == 0, 0).when(cm == 1, (k % 2 == 0).cast("int"))).withColumn("is_ci", F.when(cm == 1, (k % 4 == 0).cast("int")).when(cm == 0, 0))
 
@@ -48,7 +45,7 @@ def j01(spark, sf):
 @query("j01_modelling_inner", f"{JOINED} SELECT {', '.join(J01)} FROM joined WHERE is_cm IS NOT NULL")
 def j01_inner(spark, sf):
     known = verdicts(spark, sf).filter("is_cm is not null")
-    return corpus.with_features(band(spark, sf), ["m", "fails_occ"]).join(known, "graph_number").select(*J01)
+    return corpus.with_features(band(spark, sf), ["n", "m", "fails_occ"]).join(known, ["n", "graph_number"]).select(*J01)
 
 
 CATEGORY = "CASE WHEN v.graph_number IS NULL THEN 'no run' WHEN v.depth IS NULL THEN 'no depth' ELSE 'depth' END"
@@ -126,28 +123,48 @@ def g01(spark, sf):
 
 @query(
     "g02_scorecard",
-    f"""{JOINED}, k AS (SELECT graph_number, 1 - even_cycle_meets_pair AS p, is_cm AS t FROM joined WHERE is_cm IS NOT NULL),
+    f"""{JOINED}, k AS (SELECT graph_number, 1 - even_cycle_meets_pair AS p, is_cm AS t FROM joined WHERE is_cm IS NOT NULL AND fails_occ = 1),
     c AS (SELECT count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 1 AND t = 0) AS fp, count(*) FILTER (p = 0 AND t = 1) AS fn, count(*) FILTER (p = 0 AND t = 0) AS tn FROM k)
     SELECT tp, fp, fn, tn, round((tp + tn) / nullif(tp + fp + fn + tn, 0)::DOUBLE, 6) AS accuracy, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall,
     coalesce((SELECT string_agg(graph_number::VARCHAR, ',' ORDER BY graph_number) FROM (SELECT graph_number FROM k WHERE p <> t ORDER BY 1 LIMIT 30)), '') AS counterexamples FROM c""",
 )
 def g02(spark, sf):
-    return ops.scorecard(joined(spark, sf).withColumn("predicted", 1 - F.col("even_cycle_meets_pair")), "predicted", "is_cm", "graph_number")
+    return ops.scorecard(joined(spark, sf).filter("fails_occ = 1").withColumn("predicted", 1 - F.col("even_cycle_meets_pair")), "predicted", "is_cm", "graph_number")
+
+
+#: What a failing graph is in the summary of a run, in SQL that DuckDB and Spark read alike. ``final``: its best record
+#: has a series; the rest follow from that record.
+FINAL = "status IN ('done', 'unconfirmed')"
+RUN_PARTS = {
+    "done": FINAL, "failed": "status IN ('timeout', 'error')", "missing": "status IS NULL", "negative": f"{FINAL} AND verdict = 'negative_h'", "nonnegative": f"{FINAL} AND verdict IS DISTINCT FROM 'negative_h'",
+    "proven": f"{FINAL} AND is_cm = 1", "depth_missing": f"{FINAL} AND verdict IS NULL", "screened": f"{FINAL} AND verdict IN ('screen_ZZp', 'depth_QQ') AND is_cm IS DISTINCT FROM 1",
+}
+LISTED = ["failed", "depth_missing", "screened"]
+
+
+def _failing(spark, sf):
+    return joined(spark, sf).filter("fails_occ = 1")
 
 
 @query(
     "g03_run_summary",
-    f"""{JOINED} SELECT count(*) AS band, count(*) FILTER (fails_occ = 1) AS failing, count(*) FILTER (status IN ('done', 'unconfirmed')) AS done, count(*) FILTER (verdict = 'negative_h') AS negative,
-    count(*) FILTER (is_cm = 1) AS proven, count(*) FILTER (status IS NULL) AS missing, count(*) FILTER (verdict = 'screen_ZZp') AS screened, round(sum(seconds) / 3600, 6) AS hours,
-    coalesce(bool_and(is_cm = 1) FILTER (fails_occ = 0 AND is_cm IS NOT NULL), TRUE) AS holds_so_far FROM joined""",
+    f"""{JOINED}, s AS (SELECT count(*) AS failing, {", ".join(f"count(*) FILTER ({c}) AS {name}" for name, c in RUN_PARTS.items())}, coalesce(round(sum(seconds) FILTER ({FINAL}) / 3600, 6), 0) AS hours FROM joined WHERE fails_occ = 1)
+    SELECT *, screened = 0 AND depth_missing = 0 AND failed = 0 AND done = failing AS holds_so_far FROM s""",
 )
 def g03(spark, sf):
-    c = F.col
-    return joined(spark, sf).agg(
-        F.count(F.lit(1)).alias("band"), F.count_if(c("fails_occ") == 1).alias("failing"), F.count_if(c("status").isin("done", "unconfirmed")).alias("done"), F.count_if(c("verdict") == "negative_h").alias("negative"),
-        F.count_if(c("is_cm") == 1).alias("proven"), F.count_if(c("status").isNull()).alias("missing"), F.count_if(c("verdict") == "screen_ZZp").alias("screened"), F.round(F.sum("seconds") / 3600, 6).alias("hours"),
-        F.coalesce(F.bool_and(F.when((c("fails_occ") == 0) & c("is_cm").isNotNull(), c("is_cm") == 1)), F.lit(True)).alias("holds_so_far"),
-    )
+    """The conjecture that nothing non-negative is short of depth holds so far if nothing is screened, missing or failed
+    and every failing graph is done."""
+    parts = [F.count_if(F.coalesce(F.expr(c), F.lit(False))).alias(name) for name, c in RUN_PARTS.items()]
+    hours = F.coalesce(F.round(F.sum(F.when(F.expr(FINAL), F.col("seconds"))) / 3600, 6), F.lit(0.0))
+    row = _failing(spark, sf).agg(F.count(F.lit(1)).alias("failing"), *parts, hours.alias("hours"))
+    return row.withColumn("holds_so_far", F.expr("screened = 0 AND depth_missing = 0 AND failed = 0 AND done = failing"))
+
+
+@query("g03_run_ids", f"{JOINED} " + " UNION ALL ".join(f"SELECT '{name}' AS what, graph_number FROM joined WHERE fails_occ = 1 AND {RUN_PARTS[name]}" for name in LISTED))
+def g03_ids(spark, sf):
+    """The summary's lists, a row for each graph."""
+    hits = F.filter(F.array(*[F.when(F.expr(RUN_PARTS[name]), F.lit(name)) for name in LISTED]), lambda x: x.isNotNull())
+    return _failing(spark, sf).select(F.explode(hits).alias("what"), "graph_number")
 
 
 @query("g04_hamiltonian_by_status", f"{JOINED} SELECT is_hamiltonian, coalesce(verdict, 'unknown') AS verdict, count(*) AS n, count(*) FILTER (is_cm = 1) AS cm FROM joined GROUP BY 1, 2")
@@ -155,6 +172,11 @@ def g04(spark, sf):
     return ops.contingency(joined(spark, sf).withColumn("verdict", F.coalesce("verdict", F.lit("unknown"))), ["is_hamiltonian", "verdict"], cm=F.col("is_cm") == 1)
 
 
+@query("g04_counterexamples", f"{JOINED} SELECT graph_number, graph6, m FROM joined WHERE fails_occ = 1 AND is_hamiltonian = 1 AND is_cm = 1")
+def g04_counterexamples(spark, sf):
+    return _failing(spark, sf).filter("is_hamiltonian = 1 AND is_cm = 1").select("graph_number", "graph6", "m")
+
+
 @query(
     "g05_histograms",
     f"{JOINED} SELECT 'verdict' AS what, coalesce(verdict, 'none') AS value, count(*) AS n FROM joined GROUP BY 1, 2 UNION ALL SELECT 'n_triangles', n_triangles::VARCHAR, count(*) FROM joined GROUP BY 1, 2 UNION ALL SELECT 'm', m::VARCHAR, count(*) FROM joined GROUP BY 1, 2",
@@ -164,83 +186,6 @@ def g05(spark, sf):
     return rows.unpivot([], ["verdict", "n_triangles", "m"], "what", "value").groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-MAX_D = 4
-BINOMIALS = "sign AS (SELECT * FROM (VALUES (0, 1), (1, -9), (2, 36), (3, -84), (4, 126)) t(j, c))"
-HILBERT = (
-    f"WITH RECURSIVE {CYCLES}, vec AS (SELECT g, 0 AS d, 0::BIGINT AS v FROM band UNION SELECT x.g, x.d + 1, x.v + (1::BIGINT << (5 * e.i)::INT) + (1::BIGINT << (5 * e.j)::INT) FROM vec x JOIN edges e USING (g) WHERE x.d < {MAX_D}), "
-    f"size AS (SELECT g, d, count(*) AS size FROM vec GROUP BY g, d), {BINOMIALS}, "
-    f"h1 AS (SELECT g, d + j AS k, sum(c * size)::BIGINT AS v FROM size CROSS JOIN sign WHERE d + j <= {MAX_D} GROUP BY g, d + j), h AS (SELECT g, string_agg(v::VARCHAR, ',' ORDER BY k) AS h, min(v) AS least FROM h1 GROUP BY g)"
-)
-
-
-def _hilbert(spark, sf):
-    kept = edges(spark, sf).join(band(spark, sf).select("graph_number"), "graph_number", "left_semi")
-    return hilbert.hilbert_function(kept, MAX_D)
-
-
-def _text(c):
-    return F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
-
-
-@query("u03_hilbert_function", f"{HILBERT} SELECT g AS graph_number, d, size FROM size")
-def u03(spark, sf):
-    return _hilbert(spark, sf)
-
-
-@query("u04_negative_h_screen", f"{HILBERT} SELECT g AS graph_number, h, CASE WHEN least < 0 THEN 0 END AS is_cm FROM h")
-def u04(spark, sf):
-    return hilbert.negative_h_screen(hilbert.h_from_hilbert(_hilbert(spark, sf), 9)).select("graph_number", _text("h").alias("h"), "is_cm")
-
-
-@query("g06_numerators_by_edges", f"{HILBERT} SELECT m, h, count(*) AS n FROM h JOIN band USING (g) GROUP BY m, h")
-def g06(spark, sf):
-    m = edges(spark, sf).groupBy("graph_number").agg(F.count(F.lit(1)).alias("m"))
-    return hilbert.h_from_hilbert(_hilbert(spark, sf), 9).join(m, "graph_number").groupBy("m", _text("h").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-
-
-#: The same to the full degree n, where the series is whole unless ``truncated`` says otherwise. The three queries above
-#: stop at MAX_D, as their SQL does.
-WHOLE_D = 9
-WHOLE_SIGNS = ", ".join(f"({j}, {(-1) ** j * comb(9, j)})" for j in range(WHOLE_D + 1))
-
-
-def _whole_sql(graphs_sql: str) -> str:
-    """CTEs ``wsize`` and ``wh`` for the graphs (column g) of a query."""
-    return (
-        f"wvec AS (SELECT g, 0 AS d, 0::BIGINT AS v FROM ({graphs_sql}) UNION SELECT x.g, x.d + 1, x.v + (1::BIGINT << (5 * e.i)::INT) + (1::BIGINT << (5 * e.j)::INT) FROM wvec x JOIN edges e USING (g) WHERE x.d < {WHOLE_D}), "
-        f"wsize AS (SELECT g, d, count(*) AS size FROM wvec GROUP BY g, d), wsign AS (SELECT * FROM (VALUES {WHOLE_SIGNS}) t(j, c)), "
-        f"wh1 AS (SELECT g, d + j AS k, sum(c * size)::BIGINT AS v FROM wsize CROSS JOIN wsign WHERE d + j <= {WHOLE_D} GROUP BY g, d + j), "
-        f"wh AS (SELECT g, string_agg(v::VARCHAR, ',' ORDER BY k) AS h, min(v) AS least, count(*) FILTER (v < 0) AS below, arg_max(v, k) FILTER (v <> 0) AS top, count(*) FILTER (v <> 0 AND k >= {WHOLE_D - 1}) > 0 AS truncated FROM wh1 GROUP BY g)"
-    )
-
-
-def whole_hilbert(edges, key="graph_number"):
-    return hilbert.hilbert_by_graph(edges, WHOLE_D, key)
-
-
-def _whole(spark, sf):
-    return whole_hilbert(edges(spark, sf).join(band(spark, sf).select("graph_number"), "graph_number", "left_semi"))
-
-
-WHOLE = f"WITH RECURSIVE {CYCLES}, {_whole_sql('SELECT g FROM band')}"
-
-
-@query("u03_hilbert_function_whole", f"{WHOLE} SELECT g AS graph_number, d, size FROM wsize")
-def u03_whole(spark, sf):
-    return _whole(spark, sf)
-
-
-@query("u04_negative_h_screen_whole", f"{WHOLE} SELECT g AS graph_number, h, truncated, CASE WHEN least < 0 THEN 0 END AS is_cm FROM wh")
-def u04_whole(spark, sf):
-    return hilbert.negative_h_screen(hilbert.h_from_hilbert(_whole(spark, sf), 9)).select("graph_number", _text("h").alias("h"), "truncated", "is_cm")
-
-
-@query("g06_numerators_by_edges_whole", f"{WHOLE} SELECT m, h, truncated, count(*) AS n FROM wh JOIN band USING (g) GROUP BY m, h, truncated")
-def g06_whole(spark, sf):
-    m = edges(spark, sf).groupBy("graph_number").agg(F.count(F.lit(1)).alias("m"))
-    return hilbert.h_from_hilbert(_whole(spark, sf), 9).join(m, "graph_number").groupBy("m", _text("h").alias("h"), "truncated").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "g07_rates_by_edges",
     f"{JOINED} SELECT m, count(*) AS n, count(*) FILTER (fails_occ = 1) AS failing, count(*) FILTER (is_cm = 1) AS cm, count(*) FILTER (even_cycle_meets_pair = 0) AS predicted FROM joined GROUP BY m",
@@ -275,27 +220,21 @@ def g09(spark, sf):
     return ops.check_rules(rows, rules).unionByName(twice)
 
 
-def _conjecture(name, h_sql, c_sql, h, c):
-    sql = f"""{JOINED}, f AS (SELECT n, graph_number, {h_sql} AS h, {c_sql} AS c FROM joined), t AS (SELECT n, count(*) FILTER (h AND c) AS holds, count(*) FILTER (h AND NOT c) AS fails, count(*) FILTER (NOT h AND c) AS only_conclusion,
-      count(*) FILTER (NOT h AND NOT c) AS neither, count(*) FILTER (h IS NULL OR c IS NULL) AS unknown, min(graph_number) FILTER (h AND NOT c) AS counterexample FROM f GROUP BY ROLLUP (n))
-      SELECT *, CASE WHEN fails > 0 THEN 'refuted' WHEN holds = 0 THEN 'vacuous' ELSE 'holds so far' END AS verdict FROM t"""
-
-    @query(name, sql)
-    def run(spark, sf):
-        return ops.test_conjecture(joined(spark, sf), h(), c(), "graph_number")
-
-
-_conjecture("g10_conjecture_c1", "fails_occ = 0", "is_cm = 1", lambda: F.col("fails_occ") == 0, lambda: F.col("is_cm") == 1)
-_conjecture("g10_conjecture_c3", "n_bridges > 0", "is_cm = 1", lambda: F.col("n_bridges") > 0, lambda: F.col("is_cm") == 1)
-_conjecture("g10_conjecture_c4", "even_cycle_meets_pair = 1", "is_cm = 0", lambda: F.col("even_cycle_meets_pair") == 1, lambda: F.col("is_cm") == 0)
-_conjecture("g10_conjecture_c5", "is_hamiltonian = 1", "is_cm = 0", lambda: F.col("is_hamiltonian") == 1, lambda: F.col("is_cm") == 0)
-_conjecture("g10_conjecture_c6", "is_gorenstein = 1", "is_ci = 1", lambda: F.col("is_gorenstein") == 1, lambda: F.col("is_ci") == 1)
-
-
-@query("g11_progress", f"WITH {RUNS} SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'timeout') AS timeouts, count(*) FILTER (status = 'error') AS errors, round(sum(seconds), 4) AS elapsed, round(count(*) / sum(seconds), 6) AS rate FROM runs")
+@query(
+    "g11_progress",
+    f"""WITH {TEXTS}, {BEST}, r AS (SELECT count(*) FILTER (status IN ('done', 'unconfirmed')) AS done, count(*) FILTER (status = 'timeout') AS timeouts, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (depth_zzp = 9) AS found,
+    sum(seconds) AS seconds FROM best WHERE graph_number IN (SELECT g FROM texts)) SELECT done, timeouts, errors, found, (SELECT count(*) FROM texts) - done AS remaining, round(seconds, 4) AS elapsed, round(done / seconds, 6) AS rate,
+    round(((SELECT count(*) FROM texts) - done) * seconds / done, 2) AS eta FROM r""",
+)
 def g11(spark, sf):
+    """Best records of the graphs of the corpus, and the seconds that the rest takes at the rate so far."""
     s = F.col("status")
-    return runs(spark, sf).agg(F.count_if(s == "done").alias("done"), F.count_if(s == "timeout").alias("timeouts"), F.count_if(s == "error").alias("errors"), F.round(F.sum("seconds"), 4).alias("elapsed"), F.round(F.count(F.lit(1)) / F.sum("seconds"), 6).alias("rate"))
+    own = graphs(spark, sf).select("graph_number")
+    rows = own.join(run_ops.latest_runs(runs(spark, sf)), "graph_number", "left").agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(s.isin("done", "unconfirmed")).alias("done"), F.count_if(s == "timeout").alias("timeouts"), F.count_if(s == "error").alias("errors"), F.count_if(F.col("depth_zzp") == 9).alias("found"), F.sum("seconds").alias("seconds"),
+    )
+    left = F.col("all") - F.col("done")
+    return rows.select("done", "timeouts", "errors", "found", left.alias("remaining"), F.round("seconds", 4).alias("elapsed"), F.round(F.try_divide("done", "seconds"), 6).alias("rate"), F.round(F.try_divide(left * F.col("seconds"), "done"), 2).alias("eta"))
 
 
 @query("g12_cost", f"WITH {RUNS} SELECT graph_number, round(sum(seconds), 6) AS cpu, round(sum(coalesce(CASE WHEN depth IS NOT NULL THEN seconds END, 0)), 6) AS depth_cpu FROM runs GROUP BY 1")
@@ -311,28 +250,16 @@ def g13(spark, sf):
     return ops.profile(table(spark, sf, "lineitem").withColumn("one", F.lit(1)), ["l_quantity", "l_discount", "l_linenumber", "one"])
 
 
-STATUS = "CASE WHEN is_cm IS NULL THEN 'unknown' WHEN is_cm = 0 THEN 'not CM' WHEN is_ci = 1 THEN 'complete intersection' WHEN is_gorenstein = 1 THEN 'Gorenstein' ELSE 'CM' END"
+STATUS = (
+    "CASE WHEN fails_occ = 0 THEN 'satisfies OCC' WHEN verdict = 'screen_ZZp' THEN 'fails OCC · screened not CM (unproven)' WHEN is_cm IS NULL THEN 'fails OCC · not computed yet' "
+    "WHEN is_cm = 1 THEN 'fails OCC · CM' ELSE 'fails OCC · not CM' END"
+)
 
 
 @query("b20_status_labels", f"{JOINED} SELECT graph_number, {STATUS} AS status_label, 'n=9 #' || graph_number AS name FROM joined")
 def b20(spark, sf):
-    rows = joined(spark, sf)
-    label = ops.status(F.col("is_cm"), F.col("is_gorenstein"), F.col("is_ci"), F.col("fails_occ"))
-    return rows.select("graph_number", label.alias("status_label"), F.format_string("n=%d #%d", "n", "graph_number").alias("name"))
-
-
-PRESET_SQL = {
-    "fails_occ": "fails_occ = 1", "satisfies_occ": "fails_occ = 0", "cm_failing": "fails_occ = 1 AND is_cm = 1", "gorenstein": "is_gorenstein = 1", "complete_intersection": "is_ci = 1",
-    "c3_group": "fails_occ = 1 AND n_bridges > 0", "c3_exceptions": "fails_occ = 1 AND n_bridges > 0 AND is_cm = 0", "c4_group": "fails_occ = 1 AND even_cycle_meets_pair = 0",
-    "c4_counterexamples": "fails_occ = 1 AND even_cycle_meets_pair = is_cm",
-}
-
-
-@query("b21_presets", f"{JOINED} " + " UNION ALL ".join(f"SELECT '{name}' AS preset, graph_number FROM joined WHERE {c}" for name, c in PRESET_SQL.items()))
-def b21(spark, sf):
-    rows = joined(spark, sf)
-    hits = F.filter(F.array(*[F.when(c(), F.lit(name)) for name, c in ops.PRESETS.items()]), lambda x: x.isNotNull())
-    return rows.select(F.explode(hits).alias("preset"), "graph_number")
+    label = ops.status(F.col("fails_occ"), F.col("verdict"), F.col("is_cm"))
+    return joined(spark, sf).select("graph_number", label.alias("status_label"), F.format_string("n=%d #%d", "n", "graph_number").alias("name"))
 
 
 @query("b22_filters", f"{JOINED} SELECT graph_number, m, n_triangles FROM joined WHERE n = 9 AND m BETWEEN 11 AND 14 AND fails_occ = 0 AND n_triangles BETWEEN 1 AND 3 AND n_bridges BETWEEN 0 AND 1")
@@ -368,13 +295,11 @@ def b24_bounds(spark, sf):
 
 @query(
     "b25_label_set",
-    f"{JOINED}, l AS (SELECT graph_number, m, (verdict IS DISTINCT FROM 'negative_h') AS h_nonneg, (verdict = 'depth_QQ') AS label_proved, coalesce(is_cm, 0) AS label FROM joined WHERE verdict IS NOT NULL) "
+    f"{JOINED}, l AS (SELECT graph_number, m, (verdict IS DISTINCT FROM 'negative_h') AS h_nonneg, (verdict = 'negative_h' OR coalesce(is_cm, 0) = 1) AS label_proved, coalesce(is_cm, 0) AS label FROM joined WHERE verdict IS NOT NULL) "
     "SELECT graph_number, m, h_nonneg, label_proved, label FROM l WHERE h_nonneg UNION ALL SELECT * FROM (SELECT graph_number, m, h_nonneg, label_proved, 0 FROM l WHERE NOT h_nonneg ORDER BY md5('5:' || graph_number), graph_number LIMIT 20)",
 )
 def b25(spark, sf):
-    rows = joined(spark, sf).filter("verdict is not null").select("graph_number", "m", (F.col("verdict") != "negative_h").alias("h_nonneg"), (F.col("verdict") == "depth_QQ").alias("label_proved"), F.coalesce("is_cm", F.lit(0)).alias("label"))
+    rows = joined(spark, sf).filter("verdict is not null").select("graph_number", "m", (F.col("verdict") != "negative_h").alias("h_nonneg"), ((F.col("verdict") == "negative_h") | (F.coalesce("is_cm", F.lit(0)) == 1)).alias("label_proved"), F.coalesce("is_cm", F.lit(0)).alias("label"))
     sample = rows.filter(~F.col("h_nonneg")).orderBy(F.md5(F.concat(F.lit("5:"), F.col("graph_number"))), "graph_number").limit(20).withColumn("label", F.lit(0))
     return rows.filter("h_nonneg").unionByName(sample)
 
-
-assert parsing and EDGES

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from graphmill.functions import kernel
-from graphmill.functions.graph6 import g6_adj, g6_edges, g6_n, mask_to_list
+from graphmill.functions.graph6 import MOST_VERTICES, g6_adj, g6_edges, g6_n, mask_to_list
 
 #: Subsets times graphs that the kernel holds at a time.
 CELLS = 1 << 17
@@ -60,8 +62,8 @@ def decoded(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
 
 
 def band_filter(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
-    """Connected, not bipartite, least degree two or more, n + 1 <= m <= C(n, 2) - 9. Degrees are counted first, and
-    only what they leave reaches the kernel."""
+    """Connected, not bipartite, least degree two or more, n + 1 <= m <= C(n, 2) - 9, for all sizes that the format has
+    (up to 62 vertices; more are an error). Degrees are counted first, and only what they leave is walked through."""
     at = graphs.columns.index(g6_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +72,9 @@ def band_filter(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
             keep = np.zeros(len(texts), bool)
             by_n: dict[int, list[int]] = {}
             for k, t in enumerate(texts):
-                if t and 2 <= ord(t[0]) - 63 <= kernel.MOST_VERTICES:
+                if t and ord(t[0]) - 63 > MOST_VERTICES:
+                    raise ValueError(f"graph6: more than {MOST_VERTICES} vertices")
+                if t and ord(t[0]) - 63 >= 2:
                     by_n.setdefault(ord(t[0]) - 63, []).append(k)
             for n, rows in by_n.items():
                 adj, rows = kernel.decode([texts[r] for r in rows]), np.array(rows)
@@ -78,10 +82,8 @@ def band_filter(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
                 m = degrees.sum(axis=1, dtype=np.int64) // 2
                 cheap = (m >= n + 1) & (m <= n * (n - 1) // 2 - 9) & (degrees.min(axis=1) >= 2)
                 adj, rows = adj[cheap], rows[cheap]
-                for k in range(0, len(rows), max(1, CELLS >> n)):
-                    part = slice(k, k + max(1, CELLS >> n))
-                    found = kernel.compute(adj[part], ["n_components", "is_nonbipartite"])
-                    keep[rows[part]] = (found["n_components"] == 1) & (found["is_nonbipartite"] == 1)
+                even, odd = kernel.walks(adj)
+                keep[rows] = (even | odd == (1 << n) - 1) & (even & odd != 0)
             yield batch.filter(pa.array(keep))
 
     return graphs.mapInArrow(run, graphs.schema)
@@ -93,19 +95,25 @@ def with_occ(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
 
 
 def failing_filter(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
-    """Band filter, then the graphs that fail the odd cycle condition. Stateless: works on streams as well."""
-    return with_features(band_filter(graphs, g6_col), ["fails_occ"], g6_col).filter("fails_occ = 1").select(*graphs.columns)
-
-
-def numbered(df: DataFrame, order_col: str, name: str = "position", bucket: int = 100_000) -> DataFrame:
-    """With the position (from 1) by a whole-number column without repeats. Two passes and no window over everything:
-    rows are counted by buckets of the order, the few counts are summed up, and a row's rank in its bucket is added."""
-    key = F.floor(F.col(order_col) / bucket)
-    counts = df.groupBy(key.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
-    before = F.sum("rows").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(order_col))
-    return df.withColumn("bucket", key).join(offsets, "bucket").withColumn(name, F.col("before") + rank).drop("bucket", "before")
+    """Band filter, then the graphs that fail the odd cycle condition. Stateless: works on streams as well. A graph of the
+    band that is too large for the kernel is an error, not left out."""
+    fails = F.coalesce("fails_occ", F.raise_error(F.concat(F.lit(f"more than {kernel.MOST_VERTICES} vertices: "), F.col(g6_col))).cast("long"))
+    return with_features(band_filter(graphs, g6_col), ["fails_occ"], g6_col).filter(fails == 1).select(*graphs.columns)
+
+
+def numbered(df: DataFrame, order_col: str, name: str = "position", ranges: int = 1024) -> DataFrame:
+    """With the position (from 1) by a whole-number column without repeats, however sparse. The order is cut at (about)
+    equal shares of the rows into at most ``ranges`` ranges; their sizes are summed up, and a row's rank in its range is
+    added, so no window runs over everything and the driver sees ``ranges`` numbers."""
+    found = df.agg(F.percentile_approx(F.col(order_col).cast("double"), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(4 * ranges))).first()[0]
+    splits = [-math.inf, *sorted(set(found or [0.0])), math.inf]
+    # a cast to double never turns the order round, so ranges of doubles are ranges of the numbers
+    rows = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(df.withColumn("_order", F.col(order_col).cast("double"))).drop("_order")
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(order_col))
+    return rows.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + rank).drop("_range", "_before")
 
 
 def number_graphs(lines: DataFrame, order_col: str = "line_no", g6_col: str = "graph6") -> DataFrame:
@@ -124,9 +132,10 @@ def keep_numbered(graphs: DataFrame, failing: DataFrame, g6_col: str = "graph6")
 
 
 def take_share(positions: DataFrame, share: str, reverse: bool = False, position: str = "position") -> DataFrame:
-    """The rows at positions (from 0) k1, k2, ... modulo K for a share ``k1,k2/K``, in order or reversed."""
+    """The rows whose place (the position, counted from 0) is k1, k2, ... modulo K for a share ``k1,k2/K``, in order or
+    reversed. Shares that name every remainder once are a partition of the rows."""
     picks, k = share.split("/")
-    out = positions.filter(((F.col(position) - 1) % int(k) + 1).isin([int(p) for p in picks.split(",")]))
+    out = positions.filter(((F.col(position) - 1) % int(k)).isin([int(p) for p in picks.split(",")]))
     return out.orderBy(F.desc(position) if reverse else position)
 
 

@@ -7,7 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.scratch import written
@@ -15,13 +15,19 @@ from graphmill.scratch import written
 BITS = 5
 
 
+def _unit(vertex: str) -> Column:
+    """One at a vertex (from 0). More vertices than a long has room for are an error."""
+    v = F.col(vertex).cast("int")
+    return F.when(v < 63 // BITS, F.call_function("shiftleft", F.lit(1).cast("long"), v * BITS)).otherwise(F.raise_error(F.lit(f"more than {63 // BITS} vertices")).cast("long"))
+
+
 def hilbert_function(edges: DataFrame, max_d: int, key: str = "graph_number") -> DataFrame:
     """``key, d, size``: different vertex-degree vectors of multisets of d edges. Vectors are packed in a long, five
     bits for each vertex (n <= 12, d <= 31). Each round needs only the vectors of the one before; every third is
     written, so a plan stays short."""
     if max_d >= 1 << BITS:
         raise ValueError("degrees would not fit")
-    step = edges.select(key, (F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("i") * BITS).cast("int")) + F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("j") * BITS).cast("int"))).alias("step"))
+    step = edges.select(key, (_unit("i") + _unit("j")).alias("step"))
     front = edges.select(key).distinct().withColumn("vec", F.lit(0).cast("long"))
     out = front.groupBy(key).agg(F.count(F.lit(1)).alias("size")).select(key, F.lit(0).alias("d"), "size")
     for d in range(1, max_d + 1):
@@ -32,18 +38,18 @@ def hilbert_function(edges: DataFrame, max_d: int, key: str = "graph_number") ->
     return out
 
 
-def hilbert_by_graph(edges: DataFrame, max_d: int, key: str = "graph_number") -> DataFrame:
+def hilbert_by_graph(edges: DataFrame, max_d: int | Column, key: str = "graph_number") -> DataFrame:
     """The same, a graph at a time within a task: for whole numerators of small graphs, where the last degrees have most
-    of the vectors. A degree of a graph with n vertices has at most C(2 d + n - 1, n - 1) of them (1.6 million at
-    n = d = 9), and only two degrees are held."""
-    if max_d >= 1 << BITS:
-        raise ValueError("degrees would not fit")
+    of the vectors. ``max_d`` may differ from graph to graph (a column of ``edges``). A degree of a graph with n vertices
+    has at most C(2 d + n - 1, n - 1) vectors (1.6 million at n = d = 9), and only two degrees are held."""
+    last = max_d if isinstance(max_d, Column) else F.lit(max_d)
+    last = F.when(last < 1 << BITS, last).otherwise(F.raise_error(F.lit("degrees would not fit")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, masks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, masks, last in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 steps, front, sizes = np.array(sorted(set(masks)), np.int64), np.zeros(1, np.int64), [1]
-                for _ in range(max_d):
+                for _ in range(last):
                     found = np.empty(0, np.int64)
                     for k in range(0, len(steps), 8):
                         found = np.unique(np.concatenate([found, (front[:, None] + steps[k : k + 8]).ravel()]))
@@ -51,19 +57,17 @@ def hilbert_by_graph(edges: DataFrame, max_d: int, key: str = "graph_number") ->
                     sizes.append(len(front))
                 yield pa.record_batch([pa.array([name] * len(sizes), pa.int64()), pa.array(range(len(sizes)), pa.int32()), pa.array(sizes, pa.int64())], [key, "d", "size"])
 
-    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(c) * BITS).cast("int"))
-    steps = edges.groupBy(F.col(key).cast("long").alias(key)).agg(F.collect_set(one("i") + one("j")).alias("steps"))
+    steps = edges.groupBy(F.col(key).cast("long").alias(key)).agg(F.collect_set(_unit("i") + _unit("j")).alias("steps"), F.max(last).cast("int").alias("last"))
     return steps.mapInArrow(run, f"{key} long, d int, size long")
 
 
 def h_from_hilbert(sizes: DataFrame, n: int, key: str = "graph_number") -> DataFrame:
-    """``key, h, truncated``: coefficients of sum H(d) T^d times (1 - T)^n up to the last d. ``truncated`` says that the
-    last two are not both zero, so that more may follow."""
-    signs = sizes.sparkSession.createDataFrame([(j, (-1) ** j * comb(n, j)) for j in range(n + 1)], "j int, c long")
-    last = sizes.agg(F.max("d").alias("last"))
-    terms = sizes.crossJoin(F.broadcast(signs)).crossJoin(F.broadcast(last)).withColumn("k", F.col("d") + F.col("j")).filter(F.col("k") <= F.col("last"))
-    h = terms.groupBy(key, "k").agg(F.sum(F.col("c") * F.col("size")).alias("v"))
-    h = h.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("h"))
+    """``key, h, truncated``: coefficients of sum H(d) T^d times (1 - T)^n up to the graph's last d. ``truncated`` says
+    that the last two are not both zero, so that more may follow."""
+    signs = F.array(*[F.lit((-1) ** j * comb(n, j)).cast("long") for j in range(n + 1)])
+    own = sizes.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "size"))), lambda x: x["size"]).alias("s"))
+    upto = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0).cast("long"), lambda acc, d: acc + F.get("s", d) * F.coalesce(F.get(signs, k - d), F.lit(0)))
+    h = own.select(key, F.transform(F.sequence(F.lit(0), F.size("s") - 1), upto).alias("h"))
     return h.select(key, "h", ((F.element_at("h", -1) != 0) | (F.element_at("h", -2) != 0)).alias("truncated"))
 
 

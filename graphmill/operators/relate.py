@@ -16,7 +16,8 @@ from graphmill.operators.corpus import CELLS
 
 
 def odd_cycles(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
-    """A row for each chordless odd cycle: the graph's columns, ``mask, len, closed`` (with its neighbourhood)."""
+    """A row for each chordless odd cycle: the graph's columns, ``mask, len, closed`` (with its neighbourhood). Graphs of
+    more than ``kernel.MOST_VERTICES`` vertices are an error."""
     at = graphs.columns.index(g6_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,7 +25,9 @@ def odd_cycles(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
             texts = batch.column(at).to_pylist()
             by_n: dict[int, list[int]] = {}
             for k, t in enumerate(texts):
-                if t and 3 <= ord(t[0]) - 63 <= kernel.MOST_VERTICES:
+                if t and ord(t[0]) - 63 > kernel.MOST_VERTICES:
+                    raise ValueError(f"more than {kernel.MOST_VERTICES} vertices: {t}")
+                if t and ord(t[0]) - 63 >= 3:
                     by_n.setdefault(ord(t[0]) - 63, []).append(k)
             for n, rows in by_n.items():
                 for k in range(0, len(rows), max(1, CELLS >> n)):
@@ -115,12 +118,15 @@ def top_counts(rows: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def apply_filters(rows: DataFrame, spec: dict) -> DataFrame:
-    """Conjunction of what ``spec`` names: ``n`` in a list, ``m`` between, equal flags, and up to two feature ranges."""
+    """Conjunction of what ``spec`` names: ``n`` in a list, ``m`` between, equal flags, and up to two feature ranges (more
+    are an error)."""
+    if len(spec.get("ranges", {})) > 2:
+        raise ValueError("more than two ranges")
     if "n" in spec:
         rows = rows.filter(F.col("n").isin(*spec["n"]))
     for name, value in spec.get("equal", {}).items():
         rows = rows.filter(F.col(name) == value)
-    for name, (low, high) in {**({"m": spec["m"]} if "m" in spec else {}), **dict(list(spec.get("ranges", {}).items())[:2])}.items():
+    for name, (low, high) in {**({"m": spec["m"]} if "m" in spec else {}), **spec.get("ranges", {})}.items():
         rows = rows.filter(F.col(name).between(low, high))
     return rows
 
@@ -137,19 +143,12 @@ def page(rows: DataFrame, sort_by: str, number: int, size: int = 24) -> DataFram
     return rows.orderBy(sort_by, "graph_number").offset(number * size).limit(size)
 
 
-def status(is_cm: Column, is_gorenstein: Column, is_ci: Column, fails: Column) -> Column:
-    return F.when(is_cm.isNull(), "unknown").when(is_cm == 0, "not CM").when(F.coalesce(is_ci, F.lit(0)) == 1, "complete intersection").when(F.coalesce(is_gorenstein, F.lit(0)) == 1, "Gorenstein").otherwise("CM")
-
-
-#: Named filters over joined features and results.
-PRESETS = {
-    "fails_occ": lambda: F.col("fails_occ") == 1,
-    "satisfies_occ": lambda: F.col("fails_occ") == 0,
-    "cm_failing": lambda: (F.col("fails_occ") == 1) & (F.col("is_cm") == 1),
-    "gorenstein": lambda: F.col("is_gorenstein") == 1,
-    "complete_intersection": lambda: F.col("is_ci") == 1,
-    "c3_group": lambda: (F.col("fails_occ") == 1) & (F.col("n_bridges") > 0),
-    "c3_exceptions": lambda: (F.col("fails_occ") == 1) & (F.col("n_bridges") > 0) & (F.col("is_cm") == 0),
-    "c4_group": lambda: (F.col("fails_occ") == 1) & (F.col("even_cycle_meets_pair") == 0),
-    "c4_counterexamples": lambda: (F.col("fails_occ") == 1) & (F.col("even_cycle_meets_pair") == F.col("is_cm")),
-}
+def status(fails: Column, decided_by: Column, is_cm: Column) -> Column:
+    """What the explorer says of a graph: fixed values."""
+    return (
+        F.when(fails == 0, "satisfies OCC")
+        .when(decided_by == "screen_ZZp", "fails OCC · screened not CM (unproven)")
+        .when(is_cm.isNull(), "fails OCC · not computed yet")
+        .when(is_cm == 1, "fails OCC · CM")
+        .otherwise("fails OCC · not CM")
+    )

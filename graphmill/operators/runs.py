@@ -81,8 +81,9 @@ def verdict(n: Column, depth_zzp: Column, decided_by: Column, depth: Column) ->
 
 def derive_results(rows: DataFrame) -> DataFrame:
     """From ``n, m, depth, hilbert_series, toric_ideal, gens_minimal`` (and ``is_cm`` if known): h-vector, symmetry,
-    Gorenstein and complete-intersection flags. A series of another dimension than n is an error."""
-    h = parsing.h_vector(F.col("hilbert_series"))
+    Gorenstein and complete-intersection flags. A malformed series, or one of another dimension than n, is an error; no
+    series gives nulls."""
+    h = F.when(F.col("hilbert_series").isNotNull(), parsing.h_vector(F.col("hilbert_series"), strict=True))
     dim = parsing.hilbert_dim(F.col("hilbert_series"))
     gens = parsing.ideal_generators(F.coalesce("toric_ideal", F.lit("")))
     known = F.col("is_cm") if "is_cm" in rows.columns else F.lit(None).cast("int")
@@ -114,7 +115,19 @@ def results_from_runs(runs: DataFrame) -> DataFrame:
 
 
 def load_counts(results: DataFrame) -> DataFrame:
-    return results.agg(F.count_if(F.col("has_result") & F.col("is_cm").isNotNull()).alias("decided"), F.count_if(F.col("has_result") & F.col("is_cm").isNull()).alias("undecided"))
+    """Graphs with a result and a proven verdict, and the others: those without a result are undecided as well."""
+    decided = F.col("has_result") & F.col("is_cm").isNotNull()
+    return results.agg(F.count_if(decided).alias("decided"), F.count_if(~decided).alias("undecided"))
+
+
+def results_from_blocks(blocks: DataFrame) -> DataFrame:
+    """Rows ``graph_number, graph6, m, depth, hilbert_series, toric_ideal, gens_minimal`` and the three seconds from
+    ``kv`` maps of ``Key: value`` records, ready for ``derive_results``. Their generators are minimal."""
+    kv = F.col("kv")
+    return blocks.select(
+        kv["GraphNumber"].cast("long").alias("graph_number"), kv["Graph6"].alias("graph6"), kv["NumEdges"].cast("int").alias("m"), kv["Depth"].cast("int").alias("depth"), kv["ReducedHilbertSeries"].alias("hilbert_series"), kv["ToricIdeal"].alias("toric_ideal"),
+        F.lit(1).alias("gens_minimal"), *[kv[f"Seconds{name}"].try_cast("double").alias(f"seconds_{name.lower()}") for name in ("Ker", "Depth", "Hilbert")],
+    )
 
 
 def stuck_items(batches: DataFrame, finished: DataFrame, key: str = "graph_number") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphmill.functions.graph6 import edges_text, g6_edges
+from graphmill.scratch import written
 
 RUN_SCHEMA = T.StructType(
     [
@@ -22,16 +23,22 @@ RUN_SCHEMA = T.StructType(
 
 
 def ordered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, file_order, line_no, value``: files are ordered as given (or by name within a folder), lines as they
-    stand. Line numbers come from the position in a file's partitions, not from ids that skip."""
+    """``file, file_order, line_no, value``: files are ordered as given (by name within a folder), lines as they stand.
+
+    All paths are read at once. Rows of a task come block after block of the files, so a line's place is the lines of
+    the blocks before its own (a few numbers for each block) and its distance from the first of its block. The marked
+    lines are written first, so both passes see the same marks."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    out = None
+    meta = F.col("_metadata")
+    marked = None
     for k, path in enumerate(paths):
-        numbered = spark.sparkContext.textFile(path).zipWithIndex()
-        lines = spark.createDataFrame(numbered.map(lambda x: (x[1], x[0])), "line_no long, value string")
-        lines = lines.select(F.lit(path).alias("file"), F.lit(k).alias("file_order"), "line_no", "value")
-        out = lines if out is None else out.unionByName(lines)
-    return out
+        one = spark.read.text(path).select(F.lit(path).alias("file"), F.lit(k).alias("file_order"), meta["file_path"].alias("part"), meta["file_block_start"].alias("block"), "value")
+        marked = one if marked is None else marked.unionByName(one)
+    marked = written(marked.withColumn("id", F.monotonically_increasing_id()), "marked-lines")
+    sizes = marked.groupBy("file", "file_order", "part", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"))
+    before = F.sum("rows").over(Window.partitionBy("file_order").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("file_order", "part", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    return marked.join(offsets, ["file_order", "part", "block"]).select("file", "file_order", (F.col("id") + F.col("offset")).alias("line_no"), "value")
 
 
 def _fields(pattern: str = r"\s+") -> Column:
@@ -59,8 +66,6 @@ def run_records(lines: DataFrame) -> DataFrame:
 def blocks(lines: DataFrame, first_key: str = "GraphNumber") -> DataFrame:
     """``file, rec, kv``: records of ``Key: value`` lines. A record begins at each ``first_key``; lines before the first
     are dropped; of a key that repeats in a record the last value holds. Lines are told by ``file, line_no``."""
-    from pyspark.sql import Window
-
     pattern = r"^(\w+): (.*)$"
     rows = lines.filter(F.col("value").rlike(pattern)).select("file", "line_no", F.regexp_extract("value", pattern, 1).alias("key"), F.trim(F.regexp_extract("value", pattern, 2)).alias("val"))
     rec = F.sum((F.col("key") == first_key).cast("long")).over(Window.partitionBy("file").orderBy("line_no"))
@@ -91,11 +96,18 @@ def hilbert_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def depth_fields(value: Column) -> Column:
+    """``struct<graph_number, depth, seconds>`` of a line ``number depth seconds``; null unless it has three fields and a
+    whole number in the first two."""
+    f = F.split(F.trim(value), r"\s+")
+    good = (F.size(f) >= 3) & f[0].rlike(r"^-?\d+$") & F.get(f, F.lit(1)).rlike(r"^-?\d+$")
+    return F.when(good, F.struct(f[0].cast("long").alias("graph_number"), F.get(f, F.lit(1)).cast("int").alias("depth"), F.get(f, F.lit(2)).try_cast("double").alias("seconds")))
+
+
 def depth_lines(lines: DataFrame) -> DataFrame:
-    """``number depth seconds`` lines; valid with three fields and a whole second one."""
-    rows = lines.withColumn("f", _fields())
-    good = (F.size("f") >= 3) & F.col("f")[0].rlike(r"^-?\d+$") & F.get("f", F.lit(1)).rlike(r"^-?\d+$")
-    return rows.filter(good).select(*[c for c in lines.columns if c != "value"], F.col("f")[0].cast("long").alias("graph_number"), F.col("f")[1].cast("int").alias("depth"), F.col("f")[2].try_cast("double").alias("seconds"))
+    """The valid ``number depth seconds`` lines."""
+    rows = lines.withColumn("_f", depth_fields(F.col("value"))).filter("_f is not null")
+    return rows.select(*[c for c in lines.columns if c != "value"], "_f.*")
 
 
 def solver_input(graphs: DataFrame) -> DataFrame:
@@ -121,19 +133,42 @@ def write_corpus(tables: dict[str, DataFrame], path: str, partition: str = "n")
         (writer.partitionBy(partition) if partition in df.columns else writer).parquet(f"{path}/{name}")
 
 
+#: Lines, and digests, that are digested together.
+MANIFEST_LINES = 4096
+
+
 def input_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file_order, file, sha256`` of each input's bytes, with line ends normalised."""
+    """``file_order, file, sha256`` of each input's bytes, with line ends normalised. A file is one row here (2 GB at
+    most): for solver inputs. ``content_manifest`` takes texts of any size."""
     out = None
     for k, path in enumerate(paths):
-        one = spark.read.format("binaryFile").load(path)
-        # bytes apart by blanks, so that no match begins inside one
-        pairs = F.regexp_replace(F.regexp_replace(F.hex("content"), "(..)", "$1 "), "0D 0A ", "0A ")
-        one = one.select(F.lit(k).alias("file_order"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2(F.unhex(F.replace(pairs, F.lit(" "), F.lit(""))), 256).alias("sha256"))
+        # one byte, one character: line ends are replaced without spelling the bytes out
+        plain = F.replace(F.decode("content", "ISO-8859-1"), F.lit("\r\n"), F.lit("\n"))
+        one = spark.read.format("binaryFile").load(path).select(F.lit(k).alias("file_order"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2(F.encode(plain, "ISO-8859-1"), 256).alias("sha256"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def content_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file_order, file, lines, sha256`` of each text input (a file or a folder), with line ends normalised. Lines are
+    digested in blocks of ``MANIFEST_LINES`` in their order, and so are the digests, until one is left: no row and no
+    group has more than a block."""
+    rows = ordered_lines(spark, paths)
+    rows = rows.select("file_order", "file", F.col("line_no").alias("k"), F.sha2(F.regexp_replace("value", r"\r$", ""), 256).alias("sha256"))
+    lines = written(rows, "manifest")
+    total = lines.groupBy("file_order", "file").agg(F.count(F.lit(1)).alias("lines"))
+    most = total.agg(F.max("lines")).first()[0] or 0
+    level = lines
+    while True:
+        block = F.floor(F.col("k") / MANIFEST_LINES)
+        inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sha256"))), lambda x: x["sha256"]), "")
+        level = level.groupBy("file_order", "file", block.alias("k")).agg(F.sha2(inside, 256).alias("sha256"))
+        most = -(-most // MANIFEST_LINES)
+        if most <= 1:
+            return total.join(level.select("file_order", "file", "sha256"), ["file_order", "file"])
+
+
 def manifest_digest(manifest: DataFrame) -> DataFrame:
     """One digest over names and content digests in order."""
     rows = F.sort_array(F.collect_list(F.struct("file_order", "file", "sha256")))
-    return manifest.agg(F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: F.concat_ws(":", r["file"], r["sha256"]))), 256).alias("digest"))
+    return manifest.agg(F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: F.concat_ws(":", F.element_at(F.split(r["file"], "/"), -1), r["sha256"]))), 256).alias("digest"))

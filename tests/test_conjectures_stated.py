@@ -1,4 +1,4 @@
-"""Conjectures and presets as the reference states them, on rows made by hand."""
+"""Conjectures and presets of the research log, on rows made by hand."""
 
 from pyspark.sql import functions as F
 

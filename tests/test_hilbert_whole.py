@@ -1,7 +1,13 @@
-"""Whole numerators, against those that Macaulay2 gave (conjectures.md, n = 9)."""
+"""Whole numerators, against those that Macaulay2 gave (n = 7 and n = 9)."""
 
-from graphmill.jobs import relate as jobs
-from graphmill.operators import hilbert
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphmill.functions.graph6 import g6_edges
+from graphmill.operators import corpus, hilbert
 
 #: Graph number: edges (from 1) and h-vector; the negative coefficient is the last.
 KNOWN = {
@@ -13,6 +19,33 @@ KNOWN = {
 
 def test_negative_coefficients_at_the_top_are_found(spark):
     edges = spark.createDataFrame([(g, int(e[0]) - 1, int(e[1]) - 1) for g, (text, _) in KNOWN.items() for e in text.split()], "graph_number long, i long, j long")
-    out = {r["graph_number"]: r for r in hilbert.negative_h_screen(hilbert.h_from_hilbert(jobs.whole_hilbert(edges), 9)).collect()}
+    out = {r["graph_number"]: r for r in hilbert.negative_h_screen(hilbert.h_from_hilbert(hilbert.hilbert_by_graph(edges, 9), 9)).collect()}
     for g, (_, h) in KNOWN.items():
         assert out[g]["h"] == h + [0] * (10 - len(h)) and out[g]["truncated"] is False and out[g]["is_cm"] == 0
+
+
+#: h-vectors of the six 7-vertex graphs that fail the condition.
+SEVEN = {"FCQrO": [1, 1, 1, 1, 1], "FQhV?": [1, 2, 2, 2, 1], "FQhV_": [1, 3, 4, 3, 1], "FQhVO": [1, 3, 4, 4, 1], "FQhVo": [1, 4, 7, 5, 1], "FQhVw": [1, 5, 11, 6, 1]}
+
+
+def test_seven_vertices(spark):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(SEVEN)], "graph_number long, graph6 string")
+    e = rows.select("graph_number", F.explode(g6_edges(F.col("graph6"))).alias("e")).select("graph_number", (F.col("e.i") - 1).alias("i"), (F.col("e.j") - 1).alias("j"))
+    for sizes in (hilbert.hilbert_by_graph(e, 7), hilbert.hilbert_function(e, 7)):
+        out = {r["graph_number"]: r for r in hilbert.h_from_hilbert(sizes, 7).collect()}
+        for k, h in enumerate(SEVEN.values()):
+            assert out[k]["h"] == h + [0] * (8 - len(h)) and not out[k]["truncated"]
+    with pytest.raises(Exception, match="more than 12 vertices"):
+        hilbert.hilbert_by_graph(e.withColumn("j", F.col("j") + 12), 2).collect()
+
+
+def test_normal_numerators_end_at_half_of_the_vertices(spark):
+    rnd = random.Random(3)
+    edges = [(k, i, j) for k in range(60) for i, j in itertools.combinations(range(6), 2) if rnd.random() < 0.6]
+    df = spark.createDataFrame(edges, "graph_number long, i long, j long")
+    from graphmill.functions.graph6 import g6_encode
+
+    known = corpus.with_features(g6_encode(df, 6), ["fails_occ", "n_components", "is_nonbipartite"]).filter("fails_occ = 0 and n_components = 1 and is_nonbipartite = 1")
+    own = df.join(known.select("graph_number"), "graph_number", "left_semi")
+    out = hilbert.h_from_hilbert(hilbert.hilbert_by_graph(own, 6), 6).collect()
+    assert len(out) > 20 and all(r["h"][4:] == [0, 0, 0] and min(r["h"]) >= 0 for r in out)

@@ -75,6 +75,46 @@ def test_readers(spark, tmp_path):
     assert digests[0] == digests[1] == hashlib.sha256(b"a\nb\n").hexdigest()
 
 
+def test_lines_and_their_digests_keep_their_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "MANIFEST_LINES", 4)
+    lines = [[f"{name} {k * 7919 % 1000}" for k in range(n)] for name, n in (("x", 70), ("y", 3))]
+    spark.createDataFrame([(k, v) for k, v in enumerate(lines[0])], "k int, value string").repartitionByRange(5, "k").sortWithinPartitions("k").select("value").write.text(str(tmp_path / "x"))
+    (tmp_path / "y").write_bytes("\r\n".join([*lines[1], ""]).encode())
+    paths = [str(tmp_path / "x"), str(tmp_path / "y")]
+    out = sorted((r["file_order"], r["line_no"], r["value"].strip()) for r in text.ordered_lines(spark, paths).collect())
+    assert out == [(f, k, v) for f, own in enumerate(lines) for k, v in enumerate(own)]
+    for r in text.content_manifest(spark, paths).collect():
+        level = [hashlib.sha256(v.encode()).hexdigest() for v in lines[r["file_order"]]]
+        assert r["lines"] == len(level)
+        for _ in range(3):
+            level = [hashlib.sha256("".join(level[k : k + 4]).encode()).hexdigest() for k in range(0, len(level), 4)]
+        if r["file_order"] == 0:
+            level = [hashlib.sha256("".join(level[k : k + 4]).encode()).hexdigest() for k in range(0, len(level), 4)]
+        assert len(level) == 1
+
+
+def test_bands_of_large_graphs(spark):
+    from graphmill.functions.graph6 import g6_encode
+    from graphmill.operators import corpus
+
+    # a cycle of 20 vertices with a chord that closes a triangle, the same cut in two, and an even cycle with an even chord
+    ring = [(k, (k + 1) % 20) for k in range(20)]
+    graphs = {1: [*ring, (0, 2)], 2: [*[(k, (k + 1) % 10) for k in range(10)], *[(10 + k, 10 + (k + 1) % 10) for k in range(10)], (0, 2)], 3: [*ring, (0, 3)]}
+    rows = spark.createDataFrame([(g, min(e), max(e)) for g, es in graphs.items() for e in es], "graph_number long, i long, j long")
+    assert [r["graph_number"] for r in corpus.band_filter(g6_encode(rows, 20)).collect()] == [1]
+    with pytest.raises(Exception, match="more than 12 vertices"):
+        corpus.failing_filter(g6_encode(rows, 20)).collect()
+
+
+def test_positions_of_sparse_orders(spark):
+    from graphmill.operators import corpus
+
+    ids = [(k * k * 10**9 + k,) for k in range(3000)]
+    out = corpus.numbered(spark.createDataFrame(ids[::-1], "id long"), "id", ranges=16).collect()
+    assert {r["id"]: r["position"] for r in out} == {v: k + 1 for k, (v,) in enumerate(ids)}
+    assert corpus.numbered(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
 def test_h_vectors_of_seven_vertex_graphs(spark):
     from graphmill.functions.graph6 import g6_edges
 
@@ -109,3 +149,32 @@ def test_stream_state_does_not_depend_on_arrival(spark):
         spark.createDataFrame([(8, 1, "done", None), (5, 99, "error", None)], df.schema).coalesce(1).write.mode("append").json(path)
         out = log.stream_latest(stream(), store, checkpoint)  # goes on from the checkpoint
         assert {r["graph_number"]: r["status"] for r in out.collect()} == {5: "done", 6: "timeout", 8: "done"}
+
+
+def test_shares_are_a_partition(spark):
+    from graphmill.operators import corpus
+
+    rows = spark.range(1, 31).withColumnRenamed("id", "position")
+    parts = [[r["position"] for r in corpus.take_share(rows, share).collect()] for share in ("0/3", "1,2/3")]
+    assert parts[0] == list(range(1, 31, 3)) and sorted(parts[0] + parts[1]) == list(range(1, 31))
+
+
+def test_status_labels_and_counts(spark):
+    from graphmill.operators import relate
+
+    rows = [(0, None, None, "satisfies OCC"), (1, "screen_ZZp", None, "fails OCC · screened not CM (unproven)"), (1, None, None, "fails OCC · not computed yet"), (1, "depth_QQ", 1, "fails OCC · CM"), (1, "negative_h", 0, "fails OCC · not CM")]
+    df = spark.createDataFrame(rows, "fails int, by string, cm int, want string")
+    assert df.filter(relate.status(F.col("fails"), F.col("by"), F.col("cm")) != F.col("want")).count() == 0
+    loaded = spark.createDataFrame([(True, 1), (True, None), (False, None), (False, 0)], "has_result boolean, is_cm int")
+    assert tuple(runs.load_counts(loaded).first()) == (1, 3)
+    with pytest.raises(ValueError, match="two ranges"):
+        relate.apply_filters(df, {"ranges": {"a": (0, 1), "b": (0, 1), "c": (0, 1)}})
+
+
+def test_blocks_become_results(spark):
+    kv = {"GraphNumber": "50", "Graph6": "FCQrO", "NumEdges": "8", "ToricIdeal": "ideal(e_2*e_3*e_5*e_7^2-e_1*e_4^2*e_6*e_8)", "Depth": "7", "ReducedHilbertSeries": "(1+T+T^2+T^3+T^4)/((1-T)^7)", "SecondsKer": ".0157908", "SecondsDepth": ".00783634", "SecondsHilbert": ".000859727"}
+    one = runs.derive_results(runs.results_from_blocks(spark.createDataFrame([(kv,)], "kv map<string,string>")).withColumn("n", F.lit(7))).first()
+    assert (one["graph_number"], one["graph6"], one["is_cm"], one["h_vector"], one["is_gorenstein"], one["is_ci"], one["gen_degrees"], one["seconds_ker"]) == (50, "FCQrO", 1, [1] * 5, 1, 1, [5], 0.0157908)
+    bad = spark.createDataFrame([(7, 8, None, "(1+x)/((1-T)^7)", None, 1)], "n int, m int, depth int, hilbert_series string, toric_ideal string, gens_minimal int")
+    with pytest.raises(Exception, match="bad Hilbert series"):
+        runs.derive_results(bad).collect()

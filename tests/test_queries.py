@@ -8,6 +8,8 @@ from graphmill import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events"
+#: The smallest tables have no counterexample.
+NONE_SO_SMALL = {"g04_counterexamples"}
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
@@ -34,7 +36,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    assert rows
+    assert rows or name in NONE_SO_SMALL
     if name in SQL:
         out = duck.sql(SQL[name])
         assert sorted(out.columns) == columns
