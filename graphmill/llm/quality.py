@@ -5,6 +5,9 @@ compressed with either dictionary, and the difference of the total sizes over th
 good texts) becomes a probability by a logistic calibration on other labelled texts. Blocks are compressed one by one
 because a long text soon teaches the compressor more than the dictionary does; all blocks of a text count.
 
+Half of the chosen labelled documents give blocks for the dictionaries (each trained in a task of its own), the other half
+calibrates; only the dictionaries and a number for each calibrating document come to the driver.
+
 Defined cases: null counts as empty; an empty text has difference zero and so a score like any other; where one
 class has no labelled text the score is the share of the class that has (0.5 without labels); conflicting labels of
 one id count as 0; repeated rows give repeated rows; an empty table gives none; columns other than those named are not
@@ -23,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.arrays import logistic, sigmoid
-from graphmill.llm.common import text_of
+from graphmill.llm.common import bounded, text_of, written
 
 BLOCK, LEVEL, DICT_BYTES = 2048, 3, 48 * 1024
-#: About so many labelled documents of each class are learned from, chosen by a hash of the id; half build the
+#: At most so many labelled documents of each class are learned from, chosen by a hash of the id; half build the
 #: dictionaries, half calibrate.
 TRAIN_DOCS = 1600
-#: Bytes of one document that go into a dictionary, taken as blocks spread over the whole text.
-DICT_BLOCKS = 8
+#: At most so many labelled blocks (of all blocks of the chosen documents, by a hash of each) go into a dictionary.
+DICT_BLOCKS = 8000
 
 
 def blocks(text: bytes) -> list[bytes]:
@@ -61,11 +64,7 @@ def difference(text: bytes, good, bad) -> tuple[float, int, int]:
     return (b - a) / (a + b) if own else 0.0, a, b
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    samples = []
-    for text in texts:
-        own = blocks(text)
-        samples += own[:: max(1, len(own) // DICT_BLOCKS)]
+def _dictionary(samples: list[bytes]) -> bytes:
     samples = [s for s in samples if s]
     if not samples:
         return b""
@@ -75,40 +74,56 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:]
 
 
-def fit(samples: list[tuple[int, int, bytes]], totals: dict[int, int]) -> Model:
-    """``samples``: (label, half, text) in a fixed order; ``totals``: labelled documents of each class."""
+def dictionaries(texts: DataFrame) -> dict[int, bytes]:
+    """A dictionary for each ``label`` of ``texts`` (``label, text``): blocks are cut and drawn where the texts are, and
+    each dictionary is trained in one task from ``DICT_BLOCKS`` blocks at most."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = blocks(text.as_py())
+                yield pa.record_batch([pa.array([label] * len(own), pa.int32()), pa.array(own, pa.binary())], ["label", "block"])
+
+    def learn(group: pa.Table) -> pa.Table:
+        own = sorted(zip(group["hash"].to_pylist(), group["block"].to_pylist()))
+        return pa.table({"label": pa.array([group["label"][0].as_py()], pa.int32()), "dictionary": pa.array([_dictionary([b for _, b in own])], pa.binary())})
+
+    cuts = texts.select("label", "text").mapInArrow(cut, "label int, block binary").withColumn("hash", F.xxhash64("block"))
+    drawn = None
+    for label in (0, 1):
+        part = cuts.filter(F.col("label") == label).orderBy("hash", "block").limit(DICT_BLOCKS)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    return {r["label"]: bytes(r["dictionary"]) for r in drawn.groupBy("label").applyInArrow(learn, "label int, dictionary binary").collect()}
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """``labels`` has the id and the label of what may be learned from; what is chosen of it is bounded, so it is
+    broadcast and the documents are read once."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     everything = sum(totals.values())
     prior = (totals.get(1, 0) + 0.5) / (everything + 1)
     flat = Model(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
-    part = lambda label, half: [t for y, h, t in samples if y == label and h == half]
-    if any(not part(y, h) for y in (0, 1) for h in (0, 1)):
+    if len(totals) < 2:
+        return flat
+    chosen = bounded(known, "label", {0: train_docs, 1: train_docs}, totals, "quality")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
+    texts = written(texts.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).select("label", "half", "text"), "quality-sample")
+    found = dictionaries(texts.filter("half = 0"))
+    if not found.get(0) or not found.get(1):
         return flat
-    model = Model(_dictionary(part(1, 0)), _dictionary(part(0, 0)), 0.0, 0.0)
-    if not model.good or not model.bad:
+    model = Model(found[1], found[0], 0.0, 0.0)
+    seen = assess(texts.filter("half = 1").withColumnRenamed("label", "doc_id"), model).select("doc_id", "difference").toPandas()
+    if seen["doc_id"].nunique() < 2:
         return flat
-    good, bad = model.compressors()
-    x, y = zip(*[(difference(t, good, bad)[0], y) for y, h, t in samples if h == 1])
-    y = np.array(y)
+    seen = seen.sort_values(["doc_id", "difference"])  # the same for any partitioning
+    y, x = seen["doc_id"].to_numpy(), seen["difference"].to_numpy()
     share = np.array([totals[0] / everything / (y == 0).mean(), totals[1] / everything / (y == 1).mean()])
-    model.slope, model.intercept = map(float, logistic(np.array(x) * 100, y, share[y], ridge=1e-4))
-    model.slope *= 100
+    slope, model.intercept = map(float, logistic(x * 100, y, share[y], ridge=1e-4))
+    model.slope = slope * 100
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """``labels`` has the id and the label of what may be learned from; what is chosen of it is bounded, so it is
-    broadcast and the documents are read once."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    totals = {r[0]: r[1] for r in known.filter("label in (0, 1)").groupBy("label").count().collect()}
-    hashed = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000))
-    rate = lambda y: int(min(1.0, train_docs / max(1, totals.get(y, 0))) * 1_000_000)
-    chosen = known.filter(hashed < F.when(F.col("label") == 1, rate(1)).when(F.col("label") == 0, rate(0)))
-    chosen = chosen.orderBy(hashed).limit(4 * train_docs)  # the rate bounds it on average, the limit in any case
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
-    rows = sorted((r["label"], r["id"], bytes(r["text"])) for r in texts.collect())
-    return fit([(y, k % 2, t) for k, (y, _, t) in enumerate(rows)], totals)
-
-
 def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, difference, good_bytes, bad_bytes``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -273,6 +273,16 @@ def test_quality_tells_junk_from_prose(spark, odd, none):
     assert np.mean([(out[k] >= 0.5) == truth[k] for k in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in quality.assess(odd, model).collect()) and quality.assess(none, model).count() == 0
     assert {r["score"] for r in quality.assess(odd, quality.train(docs, labels.limit(0))).collect()} == {0.5}
+    # brute force: every block of every text, one dictionary after the other
+    import zstandard
+
+    texts = {k: (t or "").encode() for k, t in rows} | {5: LONG.encode()}
+    found = {r["doc_id"]: r for r in quality.assess(docs.filter("doc_id <> 5").unionByName(odd.filter("doc_id = 5").select("doc_id", "text")), model).collect()}
+    for k, t in texts.items():
+        sizes = [sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=3, write_content_size=False, write_dict_id=False).compress(t[b : b + 2048])) for b in range(0, len(t), 2048)) for d in (model.good, model.bad)]
+        assert (found[k]["good_bytes"], found[k]["bad_bytes"]) == tuple(sizes)
+        z = model.slope * (sizes[1] - sizes[0]) / sum(sizes) + model.intercept
+        assert math.isclose(found[k]["score"], 1 / (1 + math.exp(-min(30, max(-30, z)))), rel_tol=1e-9)
 
 
 def test_language_model_counts_and_probabilities(spark, odd, none):
