@@ -5,9 +5,13 @@ or a row of spaced single characters becomes a lattice (each character as itself
 a run as one, two or all of its characters, a separator as a word break or as nothing), and Viterbi's algorithm finds
 the path of least cost under a character trigram model plus the costs of the channel. Tokens of letters alone have a
 one-path lattice and stay. The restored words are scored: words and their five-character pieces carry weights (lower
-confidence bounds of the log-odds of standing in toxic documents), a document's evidence is its three strongest pieces,
-and a logistic calibration turns evidence and length into a probability. Evidence for the calibration comes from weights of
-the other half of the labelled documents.
+confidence bounds of the log-odds of standing in toxic documents), a document's evidence is its three strongest pieces and
+the sum of all others, and a logistic calibration turns evidence and length into a probability. Evidence for the calibration
+comes from weights of the other half of the labelled documents.
+
+The character model counts the trigrams of all documents, in a fixed number of cells by a hash (so that it may be
+broadcast whatever scripts the corpus has, and no trigram is left out); weights are learned from a bounded sample of
+labelled documents, of which all pieces with a weight are kept.
 
 Defined cases: null counts as empty; an empty text has no evidence and gets the calibrated score of that; without
 labels of both classes every score is the share of toxic labels (0 without labels); conflicting labels of one id count
@@ -19,6 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.arrays import logistic, sigmoid
-from graphmill.llm.common import text_of, written
+from graphmill.llm.common import bounded, text_of, written
 
 #: What a character may stand for: fixed values.
 LOOKALIKES = {
@@ -41,12 +46,17 @@ SEPARATORS = " \t.-_*/~'`,"
 LOOKALIKE_COST, RUN_COST, DROP_COST = 1.0, 0.5, 0.3
 #: Characters that only decorate a token's ends.
 EDGE = ".,;:?\"'()[]{}<>*#%&~^`_-=/\\«»“”‘’…"
-#: About so many labelled documents of each class are learned from, chosen by a hash of the id.
+#: At most so many labelled documents of each class are learned from, chosen by a hash of the id.
 TRAIN_DOCS = {1: 6000, 0: 12000}
-PIECE, LEAST_DOCS, PIECES, TRIGRAMS = 5, 3, 30_000, 100_000
+#: Characters of a piece, and toxic documents of the sample that a piece must stand in before it says anything.
+PIECE, LEAST_DOCS = 5, 3
+#: Cells of the character model: trigrams, their first two and last two characters, their second and third character.
+CELLS = (1 << 20, 1 << 17, 1 << 17, 1 << 14, 1 << 14)
 THRESHOLD = 0.7
-#: Heaviest pieces of a text that are its evidence.
+#: Heaviest pieces of a text that count one by one; the others count by their sum.
 STRONGEST = 3
+#: Figures of a text: its strongest pieces, the sum of the others, the logarithm of one more than its tokens.
+FIGURES = STRONGEST + 2
 #: Tokens whose score a worker keeps; the table starts anew beyond that, which changes no result.
 KEPT = 400_000
 
@@ -65,26 +75,43 @@ def core(token: str) -> str:
     return token
 
 
+def cells_of(trigram: str) -> tuple[int, ...]:
+    """Where a trigram is counted: one cell of each kind, all kinds one after the other."""
+    out, begin = [], 0
+    for part, size in zip((trigram, trigram[:2], trigram[1:], trigram[1], trigram[2]), CELLS):
+        out.append(begin + zlib.crc32(part.encode("utf-8", "surrogatepass")) % size)
+        begin += size
+    return tuple(out)
+
+
 class CharModel:
-    """Character trigrams with two levels of back-off; a blank is the word break."""
+    """Character trigrams with two levels of back-off; a blank is the word break. ``counts``: all cells."""
 
-    def __init__(self, trigrams: dict[str, int]):
-        self.n3 = trigrams
-        self.c2, self.n2, self.c1, self.n1 = Counter(), Counter(), Counter(), Counter()
-        for t, n in trigrams.items():
-            self.c2[t[:2]] += n
-            self.n2[t[1:]] += n
-            self.c1[t[1]] += n
-            self.n1[t[2]] += n
-        self.total = sum(self.n1.values())
+    def __init__(self, counts: np.ndarray | None = None):
+        self.counts = np.zeros(sum(CELLS), np.int64) if counts is None else counts
+        self.total = int(self.counts[-CELLS[-1] :].sum())
         self.costs: dict[str, float] = {}
 
+    def __getstate__(self):
+        return self.counts
+
+    def __setstate__(self, counts):
+        self.__init__(counts)
+
+    @classmethod
+    def of(cls, trigrams: dict[str, int]) -> CharModel:
+        counts = np.zeros(sum(CELLS), np.int64)
+        for t, n in trigrams.items():
+            counts[list(cells_of(t))] += n
+        return cls(counts)
+
     def cost(self, trigram: str) -> float:
         if (found := self.costs.get(trigram)) is None:
-            p = (self.n1[trigram[2]] + 1) / (self.total + 1000)
-            p = (self.n2[trigram[1:]] + 5 * p) / (self.c1[trigram[1]] + 5)
-            p = (self.n3.get(trigram, 0) + 5 * p) / (self.c2[trigram[:2]] + 5)
-            found = self.costs[trigram] = -math.log(p)
+            n3, c2, n2, c1, n1 = self.counts[list(cells_of(trigram))].tolist()
+            p = (n1 + 1) / (self.total + 1000)
+            p = (n2 + 5 * p) / (c1 + 5)
+            p = (n3 + 5 * p) / (c2 + 5)
+            found = self.costs[trigram] = -math.log(min(p, 1.0))  # cells are shared, so a sum may be short
             if len(self.costs) > 500_000:
                 self.costs.clear()
         return found
@@ -199,8 +226,8 @@ class Model:
         return best
 
     def evidence(self, text: str) -> list[float]:
-        """The weights of the text's ``STRONGEST`` heaviest pieces, falling, filled up with zeros (a token counts with
-        one piece, a piece once), and the logarithm of one more than its number of tokens."""
+        """The ``FIGURES`` of a text: strongest pieces first, falling, filled up with zeros. A token counts with one
+        piece, a piece once."""
         lower, kept, hits = text.lower(), self.kept, {}
         for m in SPACED.finditer(lower):
             if found := self._token(viterbi(m.group(), self.chars).split()):
@@ -216,12 +243,13 @@ class Model:
             if found:
                 hits[found[1]] = found[0]
         top = heapq.nlargest(STRONGEST, hits.values())
-        return [*top, *[0.0] * (STRONGEST - len(top)), math.log1p(len(tokens))]
+        rest = math.fsum(hits.values()) - math.fsum(top)
+        return [*top, *[0.0] * (STRONGEST - len(top)), math.log1p(max(0.0, rest)), math.log1p(len(tokens))]
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.coefficients is None:
             return np.zeros(len(evidence))
-        return sigmoid(np.column_stack([evidence.reshape(len(evidence), STRONGEST + 1), np.ones(len(evidence))]) @ self.coefficients)
+        return sigmoid(np.column_stack([evidence.reshape(len(evidence), FIGURES), np.ones(len(evidence))]) @ self.coefficients)
 
     def __getstate__(self):
         return (self.chars, self.weights, self.coefficients)
@@ -238,10 +266,11 @@ def _bound(pos: str, neg: str, positives: int, negatives: int) -> F.Column:
 
 
 def char_model(texts: DataFrame) -> CharModel:
-    """Trigram counts over all rows of ``texts`` (column ``text``); the most frequent ``TRIGRAMS`` are kept."""
+    """Trigrams of all rows of ``texts`` (column ``text``). A task holds one array of cells and the trigrams of a batch;
+    what comes to the driver has a row for each cell at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total, places = np.zeros(sum(CELLS), np.int64), {}
         for batch in batches:
             words: Counter = Counter()
             for text in batch.column(0).to_pylist():
@@ -249,11 +278,21 @@ def char_model(texts: DataFrame) -> CharModel:
             plain: Counter = Counter()
             for w, n in words.items():
                 plain[core(w)] += n
-            total.update(CharModel.trigrams(plain))
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["t", "n"])
+            found = CharModel.trigrams(plain)
+            if len(places) > KEPT:
+                places.clear()
+            for t in found.keys() - places.keys():
+                places[t] = cells_of(t)
+            if found:
+                at = np.array([places[t] for t in found])
+                np.add.at(total, at.ravel(), np.repeat(np.fromiter(found.values(), np.int64, len(found)), len(CELLS)))
+        cell = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return CharModel({r[0]: r[1] for r in counts.orderBy(F.desc("n"), "t").limit(TRIGRAMS).collect() if len(r[0]) == 3})
+    found = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(sum(CELLS), np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return CharModel(counts)
 
 
 def _piece_counts(texts: DataFrame, chars: CharModel) -> DataFrame:
@@ -283,11 +322,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN
     everything = sum(totals.values())
     if len(totals) < 2:
         share = totals.get(1, 0) / max(1, everything)
-        flat = None if share == 0 else np.array([*[0.0] * (STRONGEST + 1), 30.0])
-        return Model(CharModel({}), {}, flat)
-    hashed = F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000))
-    rate = lambda y: int(min(1.0, train_docs[y] / totals[y]) * 1_000_000)
-    chosen = known.filter(hashed < F.when(F.col("label") == 1, rate(1)).otherwise(rate(0))).orderBy(hashed).limit(2 * sum(train_docs.values()))
+        flat = None if share == 0 else np.array([*[0.0] * FIGURES, 30.0])
+        return Model(CharModel(), {}, flat)
+    chosen = bounded(known, "label", train_docs, totals, "toxic")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
     texts = texts.withColumn("digest", F.xxhash64("text")).dropDuplicates(["digest", "label"]).withColumn("half", F.pmod("digest", F.lit(2)).cast("int"))
     texts = written(texts.select("text", "label", "half"), "toxicity-sample")
@@ -297,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN
     p, n = sum(of(1, h) for h in (0, 1)), sum(of(0, h) for h in (0, 1))
     counted = _piece_counts(texts, chars).withColumn("p", F.col("p0") + F.col("p1")).withColumn("n", F.col("n0") + F.col("n1")).filter(F.col("p") >= LEAST_DOCS)
     bounds = counted.select("piece", _bound("p", "n", p, n).alias("w"), _bound("p0", "n0", of(1, 0), of(0, 0)).alias("w0"), _bound("p1", "n1", of(1, 1), of(0, 1)).alias("w1"))
-    found = bounds.filter("greatest(w, w0, w1) > 0.5").orderBy(F.desc("w"), "piece").limit(PIECES).collect()
+    found = bounds.filter("greatest(w, w0, w1) > 0.5").collect()
     weights = [{r["piece"]: r[name] for r in found if r[name] > 0.5} for name in ("w0", "w1", "w")]
     halves = [Model(chars, w, None) for w in weights[:2]]
     shared = docs.sparkSession.sparkContext.broadcast(halves)
@@ -308,8 +345,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] = TRAIN
             yield pa.record_batch([batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["label", "evidence"])
 
     seen = texts.select("text", "half", "label").mapInArrow(crossed, "label int, evidence array<double>").toPandas()
-    x = np.stack(seen["evidence"])
     y = seen["label"].to_numpy()
+    if len(set(y)) < 2:  # the texts of a class are gone
+        share = totals[1] / everything
+        return Model(chars, weights[2], np.array([*[0.0] * FIGURES, math.log(share / (1 - share))]))
+    x = np.stack(seen["evidence"])
     share = np.array([totals[0] / everything / max(1e-9, (y == 0).mean()), totals[1] / everything / max(1e-9, (y == 1).mean())])
     order = np.lexsort([*x.T, y])  # the same for any partitioning
     x, y = x[order], y[order]
@@ -322,7 +362,7 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            evidence = np.array([shared.value.evidence(t.as_py()) for t in batch.column(1)], np.float64).reshape(batch.num_rows, STRONGEST + 1)
+            evidence = np.array([shared.value.evidence(t.as_py()) for t in batch.column(1)], np.float64).reshape(batch.num_rows, FIGURES)
             score = shared.value.score(evidence)
             yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(evidence[:, 0])], ["doc_id", "score", "predicted", "evidence"])
 
@@ -337,7 +377,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence = np.array([shared.value.evidence(t.as_py() or "") for t in batch.column(at)], np.float64)
-            score = shared.value.score(evidence.reshape(batch.num_rows, STRONGEST + 1))
+            score = shared.value.score(evidence.reshape(batch.num_rows, FIGURES))
             yield batch.filter(pa.array(score < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
