@@ -6,7 +6,8 @@ Of each the scan knows its length, its shares of
 character classes, how often and how unusually its characters change, how much of it words of a dictionary cover, the
 path that it comes from and the words around it. A random forest learned from labelled findings turns that into a
 probability. Everything is DataFrame code and MLlib: candidates are cut out by regular expressions with their offsets,
-the dictionary is the most frequent words by the number of documents that have them, over all documents.
+the dictionary is the words that a share of all documents has. Work grows with the length of a text and of a candidate:
+offsets are summed up in two levels, characters are taken apart once, and coverage looks at pieces of a candidate.
 
 Defined cases: null counts as empty and has no candidate; texts of any length are scanned whole; a null path is an
 empty path; where the labelled findings have one class, or there are none, every score is the share of secrets among
@@ -16,6 +17,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml import Pipeline
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.common import text_of, written
 
-#: Characters of context on either side, words of the dictionary, and different findings of either label that a forest
-#: is fitted on (chosen by a hash of candidate and context).
-CONTEXT, DICTIONARY, TRAIN_FINDINGS = 48, 5000, 20_000
-WORD_LENGTHS = (3, 10)
+#: Characters of context on either side, and different findings of either label that a forest is fitted on (chosen by a
+#: hash of candidate and context).
+CONTEXT, TRAIN_FINDINGS = 48, 20_000
+#: Share of the documents (and two at least) that a word of the dictionary stands in, and its letters.
+DICTIONARY_SHARE, WORD_LENGTHS = 1e-4, (3, 16)
+#: Hits, and characters of a candidate, that are taken together.
+HITS, PIECE = 64, 256
 TREES, DEPTH, NEIGHBOUR_CELLS, SEED = 30, 8, 128, 11
 
 #: Formats of issuers, and words before an assigned secret: fixed values.
@@ -63,15 +68,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _spans(name: str) -> Column:
     """Hits with their offsets and context."""
     hit, gap = F.col(f"{name}_hit"), F.col(f"{name}_gap")
-    # where each gap begins: the running sum of the gaps and hits before it
-    begins = F.aggregate(
-        F.slice(F.sequence(F.lit(1), F.size(hit) + 1), F.lit(1), F.size(hit)), F.array(F.lit(0)),
-        lambda acc, k: F.array_append(acc, F.element_at(acc, -1) + F.length(F.element_at(gap, k)) + F.length(F.element_at(hit, k))),
-    )
+    # where each gap begins: running sums within blocks of hits, and of the blocks' totals
+    steps = F.zip_with(gap, hit, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+    add = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.size(hit), F.lit(HITS)), lambda b: F.aggregate(F.slice(steps, b + 1, F.lit(HITS)), F.array(F.lit(0)), add))
+    starts = F.slice(F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: add(acc, F.element_at(b, -1))), F.lit(1), F.size(blocks))
+    begins = F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda v: v + s)))
     return F.transform(
-        hit,
-        lambda h, k: F.struct(
-            (F.get(begins, k) + F.length(F.get(gap, k))).alias("start"), F.regexp_replace(h, r"[.]+$", "").alias("candidate"),
+        F.zip_with(F.slice(begins, F.lit(1), F.size(hit)), hit, lambda begin, h: F.struct(begin.alias("begin"), h.alias("h"))),
+        lambda x, k: F.struct(
+            (x["begin"] + F.length(F.get(gap, k))).alias("start"), F.regexp_replace(x["h"], r"[.]+$", "").alias("candidate"),
             F.right(F.get(gap, k), F.lit(CONTEXT)).alias("before"), F.left(F.get(gap, k + 1), F.lit(CONTEXT)).alias("after"),
         ),
     )
@@ -84,30 +90,36 @@ def _value(f: Column) -> Column:
     return F.struct((f["start"] + F.length(key)).alias("start"), value.alias("candidate"), F.right(F.concat(f["before"], key), F.lit(CONTEXT)).alias("before"), f["after"].alias("after"))
 
 
-def dictionary(docs: DataFrame, size: int = DICTIONARY, text_col: str = "text") -> DataFrame:
-    """The ``size`` words that stand in most documents: ``word``. Counted over all documents, combined before the
-    shuffle."""
+def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE, text_col: str = "text") -> DataFrame:
+    """``word``: the words that stand in at least ``share`` of the documents and in two. Counted over all documents,
+    combined before the shuffle."""
     low, high = WORD_LENGTHS
-    words = F.filter(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^a-z]+")), lambda w: F.length(w).between(low, high))
+    words = F.filter(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+")), lambda w: F.length(w).between(low, high))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(size).select("word")
+    return counts.filter(F.col("n") >= max(2, math.ceil(share * docs.count()))).select("word")
 
 
 def _classes(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, string.ascii_lowercase + string.ascii_uppercase + string.digits, "l" * 26 + "u" * 26 + "d" * 10), "[^lud]", "s")
 
 
+def _key(candidate: Column) -> Column:
+    return F.sha2(candidate.cast("binary"), 256)
+
+
 def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Share of each different candidate's characters that words of the dictionary cover: ``candidate, covered``.
-    ``words`` has at most ``DICTIONARY`` rows and is broadcast."""
+    """Share of each different candidate's characters that words of the dictionary cover: ``key`` (the candidate's
+    digest), ``covered``. A candidate is looked at in pieces, each with what a word may reach beyond its end."""
     low, high = WORD_LENGTHS
-    parts = found.select("candidate").distinct().filter(F.col("candidate").rlike(f"[A-Za-z]{{{low}}}"))
-    starts = F.sequence(F.lit(1), F.length("candidate") - (low - 1))
-    pieces = F.flatten(F.transform(starts, lambda k: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(k.alias("k"), n.alias("n"), F.lower(F.substr(F.col("candidate"), k, n)).alias("word")))))
-    pieces = F.filter(pieces, lambda p: (F.length(p["word"]) == p["n"]) & p["word"].rlike("^[a-z]+$"))
-    hits = parts.select("candidate", F.explode(pieces).alias("p")).select("candidate", "p.*").join(F.broadcast(words), "word")
-    spots = hits.select("candidate", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("at")).distinct()
-    return spots.groupBy("candidate").agg((F.count(F.lit(1)) / F.first(F.length("candidate"))).alias("covered"))
+    c = F.col("candidate")
+    parts = found.select("candidate").distinct().filter(c.rlike(rf"\p{{L}}{{{low}}}")).select(_key(c).alias("key"), F.length(c).alias("size"), F.regexp_extract_all(c, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
+    parts = parts.select("key", "size", F.posexplode(F.zip_with("pieces", F.slice("pieces", F.lit(2), F.size("pieces")), lambda a, b: F.struct(F.length(a).alias("own"), F.lower(F.concat(a, F.coalesce(F.left(b, F.lit(high - 1)), F.lit("")))).alias("text")))).alias("at", "p"))
+    starts = F.sequence(F.lit(1), F.col("p.own"))
+    cut = F.flatten(F.transform(starts, lambda k: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.struct(k.alias("k"), n.alias("n"), F.substr(F.col("p.text"), k, n).alias("word")))))
+    cut = F.filter(cut, lambda p: (F.length(p["word"]) == p["n"]) & p["word"].rlike(r"^\p{L}+$"))
+    hits = parts.select("key", "size", "at", F.explode(cut).alias("q")).select("key", "size", "at", "q.*").join(words, "word")
+    spots = hits.select("key", "size", F.explode(F.sequence(F.col("at") * PIECE + F.col("k"), F.col("at") * PIECE + F.col("k") + F.col("n") - 1)).alias("spot")).distinct()
+    return spots.groupBy("key").agg((F.count(F.lit(1)) / F.first("size")).alias("covered"))
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -115,12 +127,14 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     c = F.col("candidate")
     size = F.greatest(F.length(c), F.lit(1)).cast("double")
     kind = _classes(c)
-    at = F.sequence(F.lit(2), F.greatest(F.length(c), F.lit(2)))
-    changes = F.aggregate(at, F.lit(0), lambda acc, k: acc + (F.substr(kind, k, F.lit(1)) != F.substr(kind, k - 1, F.lit(1))).cast("int"))
-    pairs = F.size(F.array_distinct(F.transform(at, lambda k: F.substr(F.lower(c), k - 1, F.lit(2)))))
+    changes = F.greatest(F.length(F.regexp_replace(kind, r"(?s)(.)\1*", "$1")) - 1, F.lit(0))
+    chars = F.regexp_extract_all(F.lower(c), F.lit("(?s)."), F.lit(0))
+    shorter = F.greatest(F.size(chars) - 1, F.lit(0))
+    pairs = F.greatest(F.size(F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), shorter), F.slice(chars, F.lit(2), shorter), lambda a, b: F.concat(a, b)))), F.lit(1))
     share = lambda name: (F.length(kind) - F.length(F.replace(kind, F.lit(name), F.lit("")))) / size
     around = lambda col, mark: F.transform(F.filter(F.split(F.lower(col), r"[^\p{L}=:@(]+"), lambda w: w != ""), lambda w: F.concat(F.lit(mark), w))
-    rows = found.join(coverage(found, words), "candidate", "left")
+    covered = coverage(found, words)
+    rows = found.join(covered, _key(c) == covered["key"], "left")
     return rows.select(
         "doc_id", "path", "start", "candidate", "before", "after", size.alias("size"), share("d").alias("digits"), share("u").alias("upper"), share("l").alias("lower"), share("s").alias("symbols"),
         (changes / size).alias("changes"), (pairs / size).alias("variety"), c.rlike("^[0-9a-f]+$").cast("double").alias("hex"), F.coalesce("covered", F.lit(0.0)).alias("covered"),
