@@ -1,9 +1,10 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table of one row for each distinct text, bucketed and sorted by the SHA-256 digest. A batch of
-documents is reduced to its digests, its groups are anti-joined with the index (sort-merge; the index side
-needs no shuffle) and what is new is appended. Rows meet the label of their digest in a join that keeps hot digests
-where they are. All of it is DataFrame code that runs in the JVM.
+The index is a table bucketed and sorted by the SHA-256 digest: a first row for each distinct text with the id that
+stays, and a row with the number of further copies for each later batch that has some. A batch of documents is reduced
+to its digests, its groups are anti-joined with the index (sort-merge; the index side needs no shuffle) and what is new is
+appended. ``compact`` merges the rows of a digest and the files of a bucket. Rows meet the label of their digest in a join
+that keeps hot digests where they are. All of it is DataFrame code that runs in the JVM.
 
 Defined cases: a null text counts as empty; an empty text is a text like any other; repeated rows (same id, same
 text) are members of one group and share the decision of their id; rows with a null id never win against a row
@@ -13,52 +14,87 @@ is; columns other than the id and the text are not looked at, whatever their nam
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.llm.common import text_of, written
 from graphmill.llm.skew import join_labels
 
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col).cast("binary"), 256).alias("text_sha256"))
 
 
 class DigestIndex:
-    """A bucketed table ``(text_sha256, keep_id, group_size)``; ``buckets`` is fixed when it is created."""
+    """A bucketed table ``(text_sha256, keep_id, group_size, first)``; ``buckets`` is fixed when it is created."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name = spark, name
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(name):
-            self._append(spark.createDataFrame([], "text_sha256 string, keep_id long, group_size long"))
+            self._append(spark.createDataFrame([], "text_sha256 string, keep_id long, group_size long, first boolean"))
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def _append(self, groups: DataFrame) -> None:
+    def groups(self) -> DataFrame:
+        """``text_sha256, keep_id, group_size``: a row for each distinct text, with its copies in all batches so far."""
+        return self.table().groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def _append(self, rows: DataFrame, name: str | None = None) -> None:
         (
-            groups.select("text_sha256", "keep_id", "group_size")
+            rows.select("text_sha256", "keep_id", "group_size", "first")
             .repartition(self.buckets, "text_sha256")
             .write.bucketBy(self.buckets, "text_sha256")
             .sortBy("text_sha256")
             .mode("append")
-            .saveAsTable(self.name)
+            .saveAsTable(name or self.name)
         )
 
+    def compact(self) -> None:
+        """One row for each digest and one file for each bucket. The new table takes the old one's name when it is whole."""
+        new = f"{self.name}_{uuid.uuid4().hex}"
+        self._append(self.groups().withColumn("first", F.lit(True)), new)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.name}")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate ``docs`` within the batch and against the index, append what is new, and return a row for
         each document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
         Within a batch the row with the largest id stays; a text that the index has already keeps its old id, and
-        all its new copies are dropped. ``group_size`` counts the batch.
+        all its new copies are dropped (so batches are added newest first where the largest id of all is to stay).
+        ``group_size`` counts the batch; ``groups`` counts all.
         """
         rows = written(digests(docs, id_col, text_col), "digests")
         groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        groups = written(groups, "groups")
-        known = self.table().select("text_sha256")
-        self._append(groups.hint("merge").join(known.hint("merge"), "text_sha256", "left_anti"))
-        keep = self.table().select("text_sha256", "keep_id")
+        groups = written(groups, "groups").hint("merge")
+        known = self.table().filter("first").select("text_sha256").hint("merge")
+        copies = groups.join(known, "text_sha256", "left_semi").select("text_sha256", F.lit(None).cast("long").alias("keep_id"), "group_size", F.lit(False).alias("first"))
+        self._append(copies)
+        known = self.table().filter("first").select("text_sha256").hint("merge")
+        self._append(groups.join(known, "text_sha256", "left_anti").withColumn("first", F.lit(True)))
+        keep = self.table().filter("first").select("text_sha256", "keep_id")
         labels = groups.drop("keep_id").hint("merge").join(keep.hint("merge"), "text_sha256")
         return join_labels(rows, labels, "text_sha256", "group_size", rows.count()).select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
         )
+
+
+def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All of ``docs`` against an index in two batches, those with the larger ids first: a row for each document as of
+    ``add``, where the largest id stays and ``group_size`` counts both batches."""
+    key = F.col(id_col).cast("long")
+    middle = docs.agg(F.percentile_approx(key, 0.5)).first()[0]
+    late = key > F.lit(middle) if middle is not None else F.lit(False)
+    found = None
+    for part in (docs.filter(late), docs.filter(~F.coalesce(late, F.lit(False)))):
+        one = written(index.add(part, id_col, text_col), "deduplicated")
+        found = one if found is None else found.unionByName(one)
+    labels = index.groups().select("text_sha256", "group_size")
+    return join_labels(found.drop("group_size"), labels, "text_sha256", "group_size", found.count()).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

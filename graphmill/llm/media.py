@@ -8,8 +8,8 @@ the unsigned 8-bit samples of a WAV file. ``audio_features`` reads the stored by
 * a hysteresis segmentation of the frame energies (on above the upper, off below the lower threshold),
 
 and packs the frames in tensors of the fixed shape ``TENSOR_SHAPE`` with the span of seconds each one covers.
-``tensor_table`` turns collected or read rows into an Arrow table whose tensor column has Arrow's
-``fixed_shape_tensor`` type.
+``tensor_rows`` gives a row for each tensor, and ``tensor_table`` turns an Arrow batch of them into one whose column has
+Arrow's ``fixed_shape_tensor`` type.
 
 Defined cases: null and empty text give 64 zero bytes, one silent frame and no segment; equal texts give equal
 values whatever the partitioning (each document is computed by itself); repeated rows give repeated rows; an empty
@@ -199,16 +199,14 @@ def audio_features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(compute, _feature_type())
 
 
-def tensor_table(features: pa.Table) -> pa.Table:
-    """Rows of ``audio_features`` as one row for each tensor: ``doc_id, start, end, tensor``, the last of Arrow's
-    fixed-shape tensor type."""
-    ids, starts, ends, values = [], [], [], []
-    for row in features.select(["doc_id", "spans", "tensors"]).to_pylist():
-        for span, tensor in zip(row["spans"], row["tensors"]):
-            ids.append(row["doc_id"])
-            starts.append(span["start"])
-            ends.append(span["end"])
-            values.append(tensor)
+def tensor_rows(features: DataFrame) -> DataFrame:
+    """A row for each tensor: ``doc_id, start, end, tensor``, the last with the metadata of Arrow's tensor type."""
+    rows = features.select("doc_id", F.explode(F.arrays_zip("spans", "tensors")).alias("t"))
+    return rows.select("doc_id", "t.spans.start", "t.spans.end", F.col("t.tensors").alias("tensor", metadata=TENSOR_META))
+
+
+def tensor_table(rows: pa.Table) -> pa.Table:
+    """An Arrow batch of ``tensor_rows`` with the column as Arrow's fixed-shape tensor type; no value is copied."""
     kind = pa.fixed_shape_tensor(pa.float32(), TENSOR_SHAPE, dim_names=["frame", "mel"])
-    flat = pa.FixedSizeListArray.from_arrays(pa.array([x for v in values for x in v], pa.float32()), TENSOR_FRAMES * MELS)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.float64()), "end": pa.array(ends, pa.float64()), "tensor": pa.ExtensionArray.from_storage(kind, flat)})
+    flat = pa.FixedSizeListArray.from_arrays(rows["tensor"].combine_chunks().flatten(), TENSOR_FRAMES * MELS)
+    return rows.set_column(rows.schema.get_field_index("tensor"), "tensor", pa.ExtensionArray.from_storage(kind, flat))

@@ -5,7 +5,8 @@ a posterior over the domains. Rates (expected numbers of copies, not negative) a
 of every domain, the sum over documents of rate * tokens * posterior, meet the targets: least squares by projected
 gradient with momentum from rates of one, where a document's step is scaled by its length so that texts of the same posterior get
 the same rate. An iteration is one aggregation of as many sums as there are domains; the rates themselves are never
-collected, for they follow from the posteriors and the (few, short) gradients so far.
+collected, for they follow from the posteriors and the (few, short) gradients so far. Rows may have a least rate, on
+which they are projected instead of 0. Steps end when the targets are met or come no nearer, and the result says which.
 
 The classifier is a softmax over evidence from hashed words: for each domain the mean and the largest of its words'
 log-odds. Word statistics come from one half of the chosen documents and the softmax from the other.
@@ -35,7 +36,9 @@ TRAIN_DOCS = 3000
 #: Word hashes share so many cells.
 CELLS = 1 << 18
 SLICE = 2_000_000
-ITERATIONS, TOLERANCE = 40, 1e-4
+#: Steps at most, steps without a better result after which targets count as out of reach, steps after which rates are
+#: written, and how near (as a share of all tokens) a target is met.
+ITERATIONS, PATIENCE, WRITTEN, TOLERANCE = 200, 30, 20, 1e-4
 
 
 def _features(texts: list[bytes], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,21 +150,21 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, tokens long, p array<double>")
 
 
-def _state(history: list[np.ndarray]) -> Column:
-    """A row after the steps so far, as (r, y): its rate, and the point ahead of it at which the next gradient is
-    taken. A step goes from y against the gradient, is projected on rates that are not negative, and y moves beyond
-    the new rate by the step's momentum (the last number of a step)."""
+def _state(history: list[np.ndarray], r: Column, y: Column, least: Column) -> Column:
+    """A row after some steps from ``r, y``: its rate, and the point ahead of it at which the next gradient is taken. A
+    step goes from y against the gradient, is projected on rates that are at least ``least``, and y moves beyond the new
+    rate by the step's momentum (the last number of a step)."""
+    start = F.struct(r.alias("r"), y.alias("y"))
     if not history:
-        return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    steps = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in h) + ")" for h in history)
+        return start
+    steps = F.array(*[F.array(*[F.lit(float(v)) for v in h]) for h in history])
     last = len(history[0]) - 1
-    dot = " + ".join(f"p[{d}] * h[{d}]" for d in range(last))
-    step = f"greatest(0.0D, s.y - ({dot}))"
-    return F.expr(f"aggregate(array({steps}), named_struct('r', 1.0D, 'y', 1.0D), (s, h) -> named_struct('r', {step}, 'y', {step} + h[{last}] * ({step} - s.r)))")
 
+    def move(s: Column, h: Column) -> Column:
+        r = F.greatest(least, s["y"] - sum((F.col("p")[d] * h[d] for d in range(1, last)), F.col("p")[0] * h[0]))
+        return F.struct(r.alias("r"), (r + h[last] * (r - s["r"])).alias("y"))
 
-def _rate(history: list[np.ndarray]) -> Column:
-    return _state(history)["r"]
+    return F.aggregate(steps, start, move)
 
 
 @dataclass
@@ -171,13 +174,21 @@ class Fit:
     targets: np.ndarray
     reached: np.ndarray
     history: list[np.ndarray]
+    least: Column
+
+    @property
+    def met(self) -> bool:
+        """Whether all targets are met; else the rates are the nearest that were found."""
+        return bool(np.abs(self.reached - self.targets).max(initial=0) <= TOLERANCE * max(self.targets.sum(), 1e-9))
 
     def rate(self) -> Column:
-        return _rate(self.history)
+        return _state(self.history, F.lit(1.0), F.lit(1.0), self.least)["r"]
 
 
-def fit(parts: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None) -> Fit:
-    """Fit rates on rows ``tokens, p``. ``budget``: tokens of the mix (as many as there are by default)."""
+def fit(parts: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None, least: Column | None = None) -> Fit:
+    """Fit rates on rows ``tokens, p``. ``budget``: tokens of the mix (as many as there are by default). ``least``: the least
+    rate of a row, from 0 to 1, by its ``p``."""
+    least = (F.lit(0.0) if least is None else least).cast("double")
     size = range(len(domains))
     sums = [F.sum(F.col("tokens") * F.col("p")[d]).alias(f"t{d}") for d in size]
     gram = [F.sum(F.col("tokens") * F.col("p")[d] * F.col("p")[e]).alias(f"g{d}_{e}") for d in size for e in size]
@@ -188,7 +199,7 @@ def fit(parts: DataFrame, domains: list[str], weights: dict[str, float], budget:
     if not w.sum():
         w = now.copy()
     if not now.sum():
-        return Fit(domains, now, now, now, [])
+        return Fit(domains, now, now, now, [], least)
     w /= w.sum()
     if budget is None:
         budget = float(now.sum())
@@ -197,14 +208,23 @@ def fit(parts: DataFrame, domains: list[str], weights: dict[str, float], budget:
     step = 1 / np.linalg.eigvalsh(scale[:, None] * g * scale).max()
     history: list[np.ndarray] = []
     reached = ahead = now
+    best, best_at = np.inf, 0
+    state, recent = parts.select("tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), []
     for k in range(ITERATIONS):
-        if np.abs(reached - target).max() <= TOLERANCE * budget:
+        off = np.abs(reached - target).max()
+        if off < 0.999 * best:
+            best, best_at = off, k
+        if off <= TOLERANCE * budget or k - best_at > PATIENCE:
             break
         history.append(np.append(step * scale**2 * (ahead - target), k / (k + 3)))
-        moved = parts.select("tokens", "p", _state(history).alias("s"))
+        recent.append(history[-1])
+        moved = state.select("tokens", "p", _state(recent, F.col("r"), F.col("y"), least).alias("s"))
+        if len(recent) == WRITTEN:
+            state, recent = written(moved.select("tokens", "p", "s.r", "s.y"), "mixing-rates"), []
+            moved = state.select("tokens", "p", F.struct("r", "y").alias("s"))
         row = moved.agg(*[F.sum(F.col(f"s.{at}") * F.col("tokens") * F.col("p")[d]).alias(f"{at}{d}") for at in "ry" for d in size]).first()
         reached, ahead = (np.array([row[f"{at}{d}"] for d in size]) for at in "ry")
-    return Fit(domains, now, target, reached, history)
+    return Fit(domains, now, target, reached, history, least)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -212,8 +232,16 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tokens, p, rate, copies`` for each document."""
+def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, least: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tokens, p, rate, copies, met`` for each document. ``least``: the least rate of a document, by its ``p``;
+    the others make up for it. ``met`` says of the whole mix whether its expected shares are the targets."""
     parts = written(posteriors(docs, model, id_col, text_col), "mixing-posteriors")
-    fitted = fit(parts, model.domains, weights, budget)
-    return parts.withColumn("rate", fitted.rate()).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    fitted = fit(parts, model.domains, weights, budget, least)
+    return parts.withColumn("rate", fitted.rate()).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("met", F.lit(fitted.met))
+
+
+def shares(mixed: DataFrame, domains: list[str]) -> dict[str, float]:
+    """The domains' shares of the mix's tokens, counted over the copies."""
+    weight = F.col("tokens") * F.col("copies")
+    row = mixed.agg(*[(F.sum(weight * F.col("p")[d]) / F.sum(weight)).alias(str(d)) for d in range(len(domains))]).first()
+    return {name: row[str(d)] or 0.0 for d, name in enumerate(domains)}

@@ -14,7 +14,9 @@ from graphmill.llm.common import fold, table, written
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(table(spark, sf_dir, "documents"))
+    found = written(exact_dedup.dedup(table(spark, sf_dir, "documents"), index), "deduplicated")
+    index.drop()  # of this query alone
+    return found
 
 
 OP1_SQL = """
@@ -69,7 +71,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mixing.train(docs, table(spark, sf_dir, "labels"), domain())
     mixed = mixing.mix(docs, model, MIX)
     share = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(model.domains)]
-    return mixed.select("doc_id", "tokens", *share, "rate", "copies")
+    return mixed.select("doc_id", "tokens", *share, "rate", "copies", "met")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

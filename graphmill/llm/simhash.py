@@ -3,15 +3,18 @@
 A document's fingerprint has a bit set where more than half of the XXH64 hashes of its word shingles have it set.
 Two fingerprints link if they differ in at most four bits.
 
-The 64 bits are cut in three segments (22, 21, 21), each a word of the perfect binary Golay code [23, 12, 7]. Of
-four errors at most two fall on some two of the segments together, so for linked fingerprints there is a pair of
-segments in which each segment differs in at most two bits. A segment's keys are the indices of the codewords to
-which it and its one-bit neighbours decode; words at distance two or less have a neighbour in common and so a key.
-A fingerprint gets a key for each pair of segments and each choice of a codeword in both (24 bits and the pair),
-the fingerprints of a key are compared, and every link is verified on all 64 bits. Nothing is missed.
+The 64 bits are cut in three segments (22, 21, 21), each a word of the perfect binary Golay code [23, 12, 7]. A
+segment's indices are those of the codewords to which it and its one-bit neighbours decode; words at distance two or less
+have a neighbour in common and so an index. Of four errors either at most two fall on each segment, and then the two
+fingerprints share an index in all three; or three or four fall on one, and then of the other two segments one is the
+same and the other differs in one bit at most. So a fingerprint gets a key for each choice of an index in all three
+segments (36 bits), and for each of the six ordered pairs of segments one for the first as it is and each index of the
+second (33 bits or more): some 180 keys. The fingerprints of a key are compared, and every link is verified on all
+64 bits. Nothing is missed.
 
 Only different fingerprints are compared, and a key with many of them emits a spanning forest of its links rather
-than all pairs. Keys with more than ``BLOCK`` fingerprints are split in blocks that are compared pair by pair.
+than all pairs. Keys with more than ``BLOCK`` fingerprints, as counted on a fixed share of the fingerprints with all their
+keys, are split in blocks that are compared pair by pair; an error in that count costs time, never a link.
 
 Defined cases: null counts as empty; a text without words has fingerprint zero, linked like any other; a text of
 fewer words than a shingle is one shingle; repeated rows share a component; the component id is the least non-null
@@ -20,6 +23,7 @@ id (null if there is none); an empty table gives no rows; columns other than the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +38,12 @@ from graphmill.llm.skew import components, join_labels
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Width and lowest bit of each segment.
 SEGMENTS = ((22, 42), (21, 21), (21, 0))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+PAIRS = ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1))
 #: Generator polynomial of the Golay code, a fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
-#: Fingerprints of one key that are compared in one task; at most so many hot keys are held by the driver.
-BLOCK, HOT_KEYS = 4096, 10_000
+#: Fingerprints of one key that are compared in one task; at most so many hot keys are held by the driver; one of so many
+#: fingerprints is counted to find hot keys.
+BLOCK, HOT_KEYS, COUNTED = 4096, 10_000, 64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -60,14 +65,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint's 64 bits as a signed long."""
+    """``doc_id, fp, text_sha256``: the fingerprint's 64 bits as a signed long, and the digest (32 bytes) that tells rows
+    of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            digest = pa.array([hashlib.sha256(t.as_py()).digest() for t in batch.column(1)], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), digest], ["doc_id", "fp", "text_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, text_sha256 binary")
 
 
 def _golay() -> tuple[np.ndarray, np.ndarray]:
@@ -99,21 +106,28 @@ def segment_keys(fp: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.concatenate([np.ones((len(fp), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
 
 
+def _product(left: np.ndarray, at: np.ndarray, keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``left`` (of the fingerprints ``at``) with every key of its fingerprint (``many`` each) behind it."""
+    times, first = many[at], np.cumsum(many) - many
+    inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    at = np.repeat(at, times)
+    return np.repeat(left, times) << 12 | keys[first[at] + inner], at
+
+
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys, and for each the position of its fingerprint."""
     found = []
     for segment in range(len(SEGMENTS)):
         keys, new = segment_keys(fp, segment)
         found.append((keys[new], new.sum(axis=1)))
-    out_key, out_at = [], []
+    key, at = np.zeros(len(fp), np.int64), np.arange(len(fp))
+    for keys, many in found:
+        key, at = _product(key, at, keys, many)
+    out_key, out_at = [key], [at]
     for n, (i, j) in enumerate(PAIRS):
-        (a, many_a), (b, many_b) = found[i], found[j]
-        row_a = np.repeat(np.arange(len(fp)), many_a)
-        times = many_b[row_a]
-        first_b = np.cumsum(many_b) - many_b
-        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        at = np.repeat(row_a, times)
-        out_key.append(n << 24 | np.repeat(a, times) << 12 | b[first_b[at] + inner])
+        width, low = SEGMENTS[i]
+        key, at = _product((fp >> np.uint64(low)).astype(np.int64) & (1 << width) - 1, np.arange(len(fp)), *found[j])
+        out_key.append(n + 1 << 36 | key)
         out_at.append(at)
     return np.concatenate(out_key), np.concatenate(out_at)
 
@@ -129,18 +143,6 @@ def _keyed(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def _main_keys(fps: DataFrame) -> DataFrame:
-    """The key of each pair of segments to which a fingerprint itself decodes, without its neighbours."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own = [decode((fp >> np.uint64(low)).astype(np.int64) & (1 << width) - 1) for width, low in SEGMENTS]
-            yield pa.record_batch([pa.array(np.concatenate([n << 24 | own[i] << 12 | own[j] for n, (i, j) in enumerate(PAIRS)]))], ["key"])
-
-    return fps.select("fp").mapInArrow(run, "key long")
-
-
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
@@ -206,29 +208,47 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """``a, b``: enough verified links between the different fingerprints of ``fps`` to connect all that are linked."""
     spark = fps.sparkSession
-    many = _main_keys(fps).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK // 4)
-    many = many.select("key", F.ceil(F.col("n") * 4 / BLOCK).cast("int").alias("blocks"))
+    counted = fps.filter(F.pmod(F.xxhash64("fp", F.lit("hot")), F.lit(COUNTED)) == 0)
+    many = _keyed(counted).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * COUNTED * 2 > BLOCK)
+    many = many.select("key", F.ceil(F.col("n") * COUNTED / BLOCK).cast("int").alias("blocks"))
     keyed = _keyed(fps)
     hot = many.limit(HOT_KEYS + 1).collect()
     if hot:
         side = F.broadcast(spark.createDataFrame(hot, many.schema)) if len(hot) <= HOT_KEYS else many
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.shiftleft(F.least(block, other).cast("long"), 15) + F.greatest(block, other))
+        groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.shiftleft(F.least(block, other).cast("long"), 32) + F.greatest(block, other))
         keyed = keyed.join(side, "key", "left").select(
-            F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(groups)).alias("part"), "key", "fp"
-        ).select((F.shiftleft(F.col("key"), 30) + F.col("part")).alias("key"), "fp")
+            F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(groups)).alias("part"), "key", "fp"
+        ).select(F.when(F.col("part") < 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "fp")  # keys that fall together cost comparisons only
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """A row for each document: ``doc_id, fingerprint, component_id, component_size``."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``doc_id, fp, text_sha256``, fingerprints ``fp, n, root`` and components ``root, component_id, ...``."""
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     of_fp = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     root = components(links(of_fp.select("fp"))).select(F.col("node").alias("fp"), "root")
     of_fp = written(of_fp.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-fingerprints")
     of_root = of_fp.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("component_size"), F.count(F.lit(1)).alias("fps"))
-    kinds = of_fp.count()
-    labels = join_labels(of_fp.select("fp", "n", "root"), of_root, "root", "fps", kinds).select("fp", "n", "component_id", "component_size")
-    out = join_labels(rows, labels, "fp", "n", rows.count())
+    return rows, of_fp, of_root
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """A row for each document: ``doc_id, fingerprint, component_id, component_size``."""
+    rows, of_fp, of_root = _labelled(docs, id_col, text_col, shingle)
+    labels = join_labels(of_fp.select("fp", "n", "root"), of_root, "root", "fps", of_fp.count()).select("fp", "n", "component_id", "component_size")
+    out = join_labels(rows.select("doc_id", "fp"), labels, "fp", "n", rows.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, text_sha256`` of one document of each component: that with the least id (a null id only where all are
+    null), and of rows that share the id that with the least digest."""
+    rows, of_fp, _ = _labelled(docs, id_col, text_col, shingle)
+    first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")).alias("own")
+    of_row = rows.groupBy("fp").agg(first())
+    own = of_row.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min("own").alias("own"))
+    return own.select("own.doc_id", "own.text_sha256")
+
+

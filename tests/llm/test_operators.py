@@ -50,8 +50,18 @@ def test_exact_dedup_keeps_the_largest_id_and_remembers(spark, odd, none):
     assert by[None]["kept"]
     again = index.add(spark.createDataFrame([(99, "same text here"), (100, "new")], "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again} == {99: (6, False), 100: (100, True)}
-    assert index.table().count() == 6
+    sizes = {r["keep_id"]: r["group_size"] for r in index.groups().collect()}
+    assert len(sizes) == 6 and sizes[6] == 5
+    index.compact()
+    assert {r["keep_id"]: r["group_size"] for r in index.table().filter("first").collect()} == sizes and index.table().count() == 6
+    more = index.add(spark.createDataFrame([(101, "new")], "doc_id long, text string")).collect()
+    assert (more[0]["keep_id"], more[0]["kept"]) == (100, False)
     assert index.add(none).count() == 0
+    index.drop()
+    again = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}")
+    both = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(odd, again).collect()}
+    assert both == {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in rows}
+    assert exact_dedup.dedup(none, again).count() == 0
 
 
 def test_join_labels_loses_nothing(spark):
@@ -81,9 +91,38 @@ def test_media_payload_is_lossless(spark, odd):
         assert len(r["tensors"]) == len(r["spans"]) == -(-r["n_frames"] // media.TENSOR_FRAMES)
         texts[t, r["feature"]] += 1
     assert len({t for t, _ in texts}) == len(texts)
-    table = pa.table({"doc_id": [r["doc_id"] for r in rows], "spans": [[s.asDict() for s in r["spans"]] for r in rows], "tensors": [r["tensors"] for r in rows]})
-    tensors = media.tensor_table(table)
-    assert tensors["tensor"].type.shape == list(media.TENSOR_SHAPE)
+    tensors = media.tensor_rows(media.audio_features(media.encode_media(odd)))
+    assert tensors.count() == sum(len(r["tensors"]) for r in rows)
+    table = media.tensor_table(tensors.filter("doc_id = 5").orderBy("start").toArrow())
+    assert table["tensor"].type.shape == list(media.TENSOR_SHAPE)
+    assert np.allclose(table["tensor"].combine_chunks().to_numpy_ndarray().reshape(len(table), -1), next(r["tensors"] for r in rows if r["doc_id"] == 5))
+
+
+def test_features_equal_a_direct_transform():
+    """The whole chain by definition: a sum for each output sample, a discrete Fourier transform for each frame."""
+    payload = bytes(np.random.default_rng(2).integers(0, 256, 1600, dtype=np.uint8))
+    x = (np.frombuffer(payload, np.uint8) - 128.0) / 128
+    x = x - x.mean()
+    h = np.empty(media.UP * media.TAPS)
+    for p in range(media.UP):
+        h[p :: media.UP] = media._phases()[p][::-1]
+    y = [sum(h[m * media.DOWN - k * media.UP] * x[k] for k in range(len(x)) if 0 <= m * media.DOWN - k * media.UP < len(h)) for m in range(len(x) * media.UP // media.DOWN)]
+    frames = 1 + max(0, -(-(len(y) - media.FRAME) // media.HOP))
+    y = np.array([*y, *[0.0] * (media.FRAME + (frames - 1) * media.HOP - len(y))])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    mel = [10 * np.log10(np.abs(turn @ (y[f * media.HOP : f * media.HOP + media.FRAME] * window)) ** 2 / media.FRAME @ media._mel() + 1e-8) for f in range(frames)]
+    got = media.features_of(payload)
+    assert got["n_frames"] == frames and np.allclose(got["tensors"].reshape(-1, media.MELS)[:frames], mel, atol=1e-3)
+    assert not got["tensors"].reshape(-1, media.MELS)[frames:].any()
+    on, segments, energy = False, [], np.mean(mel, axis=1)
+    for f, e in enumerate([*energy, -np.inf]):  # the switch, frame by frame
+        if not on and e > energy.mean() + energy.std() / 2:
+            on, begin = True, f
+        elif on and e < energy.mean() - energy.std() / 2:
+            on = False
+            segments.append((begin * media.HOP / media.OUT_RATE, ((f - 1) * media.HOP + media.FRAME) / media.OUT_RATE))
+    assert np.allclose(got["segments"], segments)
 
 
 def test_resampling_matches_the_direct_sum():
@@ -205,6 +244,43 @@ def test_simhash_hot_keys_are_split_without_loss(spark, monkeypatch):
     assert len(out) == len(fps) and len({r["root"] for r in out}) == 1
 
 
+def test_simhash_representatives(spark, odd, none):
+    found = simhash.representatives(odd).collect()
+    roots = {r["component_id"] for r in simhash.near_duplicates(odd).collect()}
+    assert len(found) >= len(roots) and {r["doc_id"] for r in found} == roots and simhash.representatives(none).count() == 0
+    two = spark.createDataFrame([(5, "a b c d e f g h"), (5, "quite another text with its own words"), (3, "a b c d e f g h")], "doc_id long, text string")
+    assert {(r["doc_id"], bytes(r["text_sha256"])) for r in simhash.representatives(two).collect()} == {(3, hashlib.sha256(b"a b c d e f g h").digest()), (5, hashlib.sha256(b"quite another text with its own words").digest())}
+
+
+def test_ppm_equals_the_definition():
+    """Method C with full exclusion, byte by byte, from plain dictionaries."""
+    rnd = random.Random(11)
+    order, texts, asked = 3, ["".join(rnd.choices("abcd ", k=120)).encode() for _ in range(6)], "".join(rnd.choices("abcdxy ", k=200)).encode()
+    counts = {}
+    for text in texts:
+        padded = bytes(order) + text
+        for at in range(order, len(padded)):
+            for k in range(order + 1):
+                counts.setdefault(padded[at - k : at], Counter())[padded[at]] += 1
+    total, padded = 0.0, bytes(order) + asked
+    for at in range(order, len(padded)):
+        out, bits = set(), 0.0
+        for k in range(order, -1, -1):
+            own = {b: n for b, n in counts.get(padded[at - k : at], {}).items() if b not in out}
+            if not own:
+                continue
+            if padded[at] in own:
+                bits -= math.log2(own[padded[at]] / (sum(own.values()) + len(own)))
+                break
+            bits -= math.log2(len(own) / (sum(own.values()) + len(own)))
+            out |= own.keys()
+        else:
+            bits += math.log2(256 - len(out))
+        total += bits
+    model = langid.Model({"x": np.unique(langid.grams(texts, order)[0], return_counts=True)}, order)
+    assert math.isclose(model.code_lengths([asked])[0, 0], total, rel_tol=1e-9)
+
+
 def test_ppm_code_lengths_sum_to_one():
     code, start = langid.grams([b"abracadabra", b"abc"], 2)
     tree = langid.Tree(*np.unique(code, return_counts=True), 2)
@@ -429,6 +505,13 @@ def test_mixing_meets_targets_like_brute_force(spark, odd, none):
     assert mixing.mix(none, model, {"clean": 1.0}).count() == 0
     gone = mixing.train(docs, labels.withColumn("doc_id", F.when(F.col("toxic") == 1, F.col("doc_id") + 100_000).otherwise(F.col("doc_id"))).unionByName(labels.filter("doc_id % 4 = 1").withColumn("toxic", F.lit(2))), F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 2, "a").otherwise("clean"))
     assert gone.domains == ["a", "clean"]
+    # a least rate, and targets that cannot be met with it
+    held = mixing.fit(parts, ["a", "b", "c"], {"a": 0.6, "b": 0.3, "c": 0.1}, least=F.lit(1.0))
+    assert not held.met and fitted.met
+    least = mixing.mix(docs, model, {"clean": 0.9, "toxic": 0.1}, least=F.when(F.col("p")[0] >= 0.5, 1.0).otherwise(0.0))
+    assert least.filter("p[0] >= 0.5 and copies < 1").count() == 0
+    got = mixing.shares(mixing.mix(docs, model, {"clean": 0.5, "toxic": 0.5}), model.domains)
+    assert abs(got["toxic"] - 0.5) < 0.1
     flat = mixing.mix(odd, mixing.train(docs, labels.limit(0), domain), {"clean": 1.0})
     assert {r["rate"] for r in flat.collect()} == {1.0}
 
