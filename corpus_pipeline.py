@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, mixing to target weights, byte-level BPE.
 
-Each stage takes all that its predecessor kept, written as Parquet and read again. Rows of a stage are told by
-``doc_id``; of rows that repeat an id and a text one stays.
+Each stage takes all that its predecessor kept, written as Parquet and read again. Null texts count as empty and empty
+texts are texts like any other; texts of any length are taken whole; null labels and ids are allowed; columns other than
+the id and the text pass through, whatever their names; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -18,44 +19,57 @@ from graphmill.llm.common import fold, table, written
 from graphmill.llm.queries import MIX, domain
 
 
+def _stay(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text's digest are in ``keep`` (``doc_id, text_sha256`` in hex), one of those that
+    repeat both."""
+    digest = f"digest_{uuid.uuid4().hex}"  # no column of the documents
+    keep = written(keep.select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha256"), "n"), "pipeline-keep")
+    rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    stay = rows.join(keep, rows["doc_id"].eqNullSafe(keep["keep_id"]) & (rows[digest] == keep["keep_sha256"]), "left_semi")
+    return (stay if keep.filter("n > 1").isEmpty() else stay.dropDuplicates(["doc_id", digest])).drop(digest)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go. Texts pass through the workers once and are not shuffled."""
+    """Documents that the toxicity operator rejects go. Texts pass through the workers once and are not shuffled. Repeated
+    rows stay or go together; labels of documents that are not there are not learned from; without labels of both
+    classes no document goes unless all labels are toxic."""
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
     return toxicity.reject(docs, toxicity.train(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays (one with a null id only where all are null); of rows that repeat
+    that id and the text one stays. Null and empty texts are equal."""
     index = exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}")
-    kept = index.add(docs).filter("kept").select("doc_id", "text_sha256")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("text_sha256", digest)
-    stay = rows.join(kept.distinct(), rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_sha256"] == kept["text_sha256"]), "left_semi")
-    if kept.groupBy("text_sha256").count().filter("count > 1").isEmpty():
-        return stay.drop("text_sha256")
-    return stay.dropDuplicates(["text_sha256"]).drop("text_sha256")
+    kept = exact_dedup.dedup(docs, index).filter("kept")
+    rows = _stay(docs, kept.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")))
+    index.drop()  # what stays was written by now
+    return rows
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the row with the least id stays."""
-    found = simhash.near_duplicates(docs)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    """Of each component of linked fingerprints the row with the least id stays (one with a null id only where all are
+    null); of rows that share that id the one with the least digest, whatever else has the id; of equal rows one."""
+    found = simhash.representatives(docs).select("doc_id", F.lower(F.hex("text_sha256")).alias("text_sha256"))
+    return _stay(docs, found.withColumn("n", F.lit(2)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the domains' tokens come to the target shares. A document that is
-    more likely clean than not keeps one copy at least."""
+    """Documents are repeated or left out so that the domains' tokens come to the target shares, as nearly as they can
+    with a rate of one at least for documents that are more likely clean than not: the fit itself holds that bound, and
+    the others make up for it. Rows that share an id get the same number of copies; a text without words has no say in
+    the shares and a rate like any other; without labels every rate is one."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), domain())
-    mixed = mixing.mix(docs, model, MIX)
     clean = F.col("p")[model.domains.index("clean")] >= 0.5 if "clean" in model.domains else F.lit(True)
-    mixed = mixed.select(F.col("doc_id").alias("mix_id"), F.greatest("copies", clean.cast("long")).alias("mix_copies")).groupBy("mix_id").agg(F.max("mix_copies").alias("mix_copies"))
-    rows = docs.join(mixed.filter("mix_copies > 0"), docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    mixed = mixing.mix(docs, model, MIX, least=clean.cast("double"))
+    own, times = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "copies"))  # no columns of the documents
+    of_id = mixed.groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
+    rows = docs.join(of_id, docs["doc_id"].eqNullSafe(F.col(own)))
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).drop(times)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digests of ids and decoded text."""
+    """Token ids of every text, with the digests of ids and decoded text: a row for each row, repeated or not."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
