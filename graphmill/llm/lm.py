@@ -87,6 +87,16 @@ def unpack_sorted(raw: bytes, kind: str = "<u8") -> np.ndarray:
     return np.cumsum(unpack(raw, kind), dtype=kind)
 
 
+def pack_signed(x: np.ndarray) -> bytes:
+    """Small numbers of either sign."""
+    return pack(x << 1 ^ x >> 63)
+
+
+def unpack_signed(raw: bytes) -> np.ndarray:
+    x = unpack(raw)
+    return x >> 1 ^ -(x & 1)
+
+
 def pack_places(at: np.ndarray) -> tuple[bytes, bytes]:
     """Rising places, -1 where there is none: a mask and the others."""
     return pack((at >= 0).astype(np.uint8)), pack_sorted(at[at >= 0])
@@ -103,14 +113,13 @@ def pack_lines(lines: np.ndarray) -> tuple[bytes, bytes]:
     """Numbers of customers, and of tables (or customers again) after some sweeps. One customer sits at one table, so the
     later lines hold those of two and more only, and each what it differs from the line before."""
     rest = np.diff(lines[1:, lines[0] > 1], axis=0, prepend=0)
-    return pack(lines[0]), pack(rest << 1 ^ rest >> 63)
+    return pack(lines[0]), pack_signed(rest)
 
 
 def unpack_lines(first: bytes, rest: bytes, lines: int) -> np.ndarray:
     own = unpack(first)
     out = np.tile(own, (lines, 1))
-    found = unpack(rest).reshape(lines - 1, -1)
-    out[1:, own > 1] = np.cumsum(found >> 1 ^ -(found & 1), axis=0)
+    out[1:, own > 1] = np.cumsum(unpack_signed(rest).reshape(lines - 1, -1), axis=0)
     return out
 
 
@@ -530,12 +539,13 @@ class Restaurants:
             self.sizes = split(count, tables, d, rng)
         self.tables[own], self.sizes = reseat(count, tables, self.sizes, place, totals, base, THETA, d, rng)
 
-    def up(self, bucket: int, layout: Layout, first: bool) -> Iterator[tuple]:
-        """Messages to the root buckets: tables of the words, the first time with the words and their counts."""
-        cells, n = self.cells, len(self.cells.words)
-        tables, count = (np.bincount(self.word, x, n).astype(np.int64) for x in (self.tables, cells.count))
+    def up(self, bucket: int, layout: Layout, before: np.ndarray | None = None) -> Iterator[tuple]:
+        """Messages to the root buckets: by how much the words' tables differ from those ``before``; the first time all
+        tables, with the words and their counts."""
+        cells, n, first = self.cells, len(self.cells.words), before is None
+        tables, count = (np.bincount(self.word, x, n).astype(np.int64) for x in (self.tables if first else self.tables - before, cells.count))
         for r, part in _slices(layout.of(cells.words)):
-            yield "up", r, bucket, pack_sorted(cells.words[part]) if first else b"", pack(count[part]) if first else b"", pack(tables[part]), []
+            yield "up", r, bucket, pack_sorted(cells.words[part]) if first else b"", pack(count[part]) if first else b"", pack_signed(tables[part]), []
 
     def figures(self, layout: Layout) -> list[int]:
         """Pairs of count one and two, then customers and tables of the hot contexts."""
@@ -581,7 +591,7 @@ def indexed(first: DataFrame) -> str:
             for row in own:
                 others.append(row["other"])
                 words.append(unpack_sorted(row["a"]))
-                figures.append(np.stack([unpack(row["b"]), unpack(row["c"])]))
+                figures.append(np.stack([unpack(row["b"]), unpack_signed(row["c"])]))
             all_words, at = np.unique(np.concatenate(words), return_inverse=True)
             total = np.zeros((2, len(all_words)), np.int64)
             for line, x in zip(total, np.concatenate(figures, axis=1)):
@@ -621,15 +631,17 @@ def swept_pairs(model: DataFrame, messages: DataFrame, layout: Layout, shared: S
                 if r["kind"] == "own":
                     own.tables, own.sizes = unpack(r["a"]), unpack(r["b"])
             root = shared.root(*(np.concatenate([unpack(r[x]) for _, r in told]) if told else np.zeros(0) for x in "ab"), k - 1)
+            before = own.tables.copy()
             own.sweep(k, root, _rng(k, row["bucket"], False))
-            out += [*own.up(row["bucket"], layout, False), ("own", row["bucket"], -1, pack(own.tables), pack(own.sizes), b"", []), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
+            out += [*own.up(row["bucket"], layout, before), ("own", row["bucket"], -1, pack(own.tables), pack(own.sizes), b"", []), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
         return _table(SWEEP_SCHEMA, out)
 
     return model.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(run, SWEEP_SCHEMA)
 
 
 def swept_root(index: DataFrame, up: DataFrame, shared: Shared, k: int) -> DataFrame:
-    """The root's seating for the tables of the k-th sweep: customers sit down anew, then the Gibbs steps."""
+    """The root's seating for the tables of the k-th sweep: customers sit down anew, then the Gibbs steps. ``up``: what the
+    buckets say and, after the first time, the customers that the root bucket kept."""
     known = index.sparkSession.sparkContext.broadcast(shared)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -644,7 +656,10 @@ def swept_root(index: DataFrame, up: DataFrame, shared: Shared, k: int) -> DataF
             return _table(SWEEP_SCHEMA, [])
         customers, rng = np.zeros(n, np.int64), _rng(k, bucket, True)
         for row in _rows(right):
-            customers[places[row["other"]]] += unpack(row["c"])
+            if row["kind"] == "root":
+                customers += unpack(row["a"])
+            else:
+                customers[places[row["other"]]] += unpack_signed(row["c"])
         tables_before = shared.root_tables[-1] if shared.root_tables else shared.words
         flat, d = np.full(n, 1 / (shared.words + 1)), shared.discount_root
         tables = seat(customers, np.full(n, tables_before - 1.0), flat, THETA_ROOT, d, rng, 1)
@@ -653,7 +668,7 @@ def swept_root(index: DataFrame, up: DataFrame, shared: Shared, k: int) -> DataF
         out += [("root", bucket, -1, pack(customers), pack(tables), b"", []), ("sum", bucket, -1, b"", b"", b"", [int(customers.sum()), int(tables.sum())])]
         return _table(SWEEP_SCHEMA, out)
 
-    return index.groupBy("bucket").cogroup(_of_kind(up, "up").groupBy("bucket")).applyInArrow(run, SWEEP_SCHEMA)
+    return index.groupBy("bucket").cogroup(up.filter("kind in ('up', 'root')").groupBy("bucket")).applyInArrow(run, SWEEP_SCHEMA)
 
 
 @dataclass
@@ -674,7 +689,7 @@ def sample(model: DataFrame, layout: Layout, burn_in: int = BURN_IN, samples: in
         for batch in batches:
             for row in _rows(batch):
                 own = Restaurants(Cells.of(row), layout, Shared(hot_customers=np.zeros(hot, np.int64)))
-                rows = [*own.up(row["bucket"], layout, True), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
+                rows = [*own.up(row["bucket"], layout), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
                 yield _record(SWEEP_SCHEMA, [list(c) for c in zip(*rows)])
 
     first = written(model.mapInArrow(begin, SWEEP_SCHEMA), "lm-sweep")
@@ -694,7 +709,7 @@ def sample(model: DataFrame, layout: Layout, burn_in: int = BURN_IN, samples: in
             figures = _summed(_of_kind(up, "sum"))
             shared.hot_tables.append(figures[2 + hot :] if len(figures) else shared.hot_tables[-1])
             kept = _of_kind(up, "own")
-        down = written(swept_root(table, up, shared, k), "lm-sweep")
+        down = written(swept_root(table, up.unionByName(_of_kind(down, "root")) if k else up, shared, k), "lm-sweep")
         figures = _summed(_of_kind(down, "sum")).tolist() or [0, 0]
         shared.root_customers.append(figures[0])
         shared.root_tables.append(figures[1])
