@@ -53,7 +53,7 @@ THETA, THETA_ROOT = 2.0, 1.0
 #: Tokens for each bucket, and the least number of shares above one of which a context is hot.
 BUCKET_TOKENS, LEAST_SHARES = 1_000_000, 1024
 #: Bytes of text in a chunk, and of text hashed at a time.
-CHUNK, SLICE = 8_000_000, 2_000_000
+CHUNK, SLICE = 6_000_000, 2_000_000
 
 CHUNK_SCHEMA = "chunk string, n long, doc_id binary, learn binary, length binary, vocabulary binary, tokens binary"
 SENT_SCHEMA = "bucket int, chunk string, words binary, many binary, contexts binary, context binary, count binary"
@@ -799,7 +799,7 @@ def scores(parts: DataFrame, back: DataFrame, sampled: Sampled, layout: Layout)
             if row["kind"] == "word":
                 words.append((row["bucket"], unpack_lines(row["a"], row["b"], 1 + 2 * len(sweeps))))
             else:
-                pairs[row["bucket"]] = unpack_lines(row["a"], row["b"], 1 + len(sweeps)), unpack_lines(row["c"], row["d"], 1 + len(sweeps))
+                pairs[row["bucket"]] = row  # packed until it is looked at
         root = np.concatenate([x for _, x in sorted(words, key=lambda w: w[0])], axis=1)
         out = []
         for row in _rows(left):
@@ -808,7 +808,8 @@ def scores(parts: DataFrame, back: DataFrame, sampled: Sampled, layout: Layout)
             parents = [shared.root(root[1 + 2 * j], root[2 + 2 * j], k) for j, k in enumerate(sweeps)]
             mean = np.zeros(len(word))
             for m in c.messages(word, context, layout):
-                own, of_context = pairs[m.bucket]
+                row = pairs.pop(m.bucket)
+                own, of_context = unpack_lines(row["a"], row["b"], 1 + len(sweeps)), unpack_lines(row["c"], row["d"], 1 + len(sweeps))
                 hot = np.flatnonzero(layout.is_hot(m.contexts))
                 if len(hot):
                     where = np.searchsorted(layout.hot, m.contexts[hot])
@@ -833,7 +834,10 @@ def score(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: st
     """Learn from the rows for which ``learn`` holds and score all rows: ``doc_id, n_tokens, n_known, train_tokens,
     base_score, score`` (the last: the model's log10 probability of the text). ``perplexity`` derives from it."""
     spark = docs.sparkSession
-    parts = written(chunks(docs, learn, id_col, text_col), "lm-chunks")
+    texts, n = f"lm_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # by chunk, so that the answers come to the chunks and these stay where they are
+    chunks(docs, learn, id_col, text_col).write.bucketBy(n, "chunk").sortBy("chunk").saveAsTable(texts)
+    parts = spark.table(texts)
     tokens = parts.agg(F.sum("n")).first()[0] or 0
     buckets = max(4, -(-tokens // BUCKET_TOKENS))
     layout = Layout(buckets, hot_contexts(parts, max(LEAST_SHARES, buckets)))
@@ -842,7 +846,7 @@ def score(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: st
     sampled = sample(table.filter("chunk = ''"), layout, burn_in, samples)
     back = answered(table, sampled, layout).unionByName(answered_words(parts, sampled, layout))
     out = written(scores(parts, back, sampled, layout), "lm-scores")
-    for used in (name, sampled.index):
+    for used in (texts, name, sampled.index):
         spark.sql(f"DROP TABLE {used}")
     return out
 
