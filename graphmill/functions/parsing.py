@@ -20,18 +20,19 @@ def hilbert_dim(s: Column) -> Column:
 
 
 def h_vector(s: Column, strict: bool = False) -> Column:
-    """Coefficients of the numerator by rising power, zeros in the gaps; equal powers add up. The terms are parsed once
-    and folded into the array, so nothing is parsed again for each power."""
-    numerator = F.regexp_extract(_series(s), SERIES, 1)  # empty for bad input
-    pieces = F.filter(F.split(F.replace(numerator, F.lit("-"), F.lit("+-")), r"\+"), lambda t: t != "")
-    power = lambda t: F.when(F.contains(t, F.lit("T")), F.coalesce(F.substring_index(t, "^", -1).try_cast("int"), F.lit(1))).otherwise(0)
-    factor = lambda t: F.coalesce(F.replace(F.substring_index(t, "T", 1), F.lit("*"), F.lit("")).try_cast("int"), F.when(F.startswith(t, F.lit("-")), -1).otherwise(1))
-    terms = F.transform(pieces, lambda t: F.struct(power(t).alias("p"), factor(t).alias("c")))
+    """Coefficients of the numerator by rising power, zeros in the gaps; equal powers add up. Numbers beyond 32 bits are
+    bad input. Each term is parsed once, and only digits are cast: a cast that fails costs more than all the rest."""
+    numerator = F.nullif(F.regexp_extract(_series(s), SERIES, 1), F.lit(""))
+    plain = F.replace(F.replace(numerator, F.lit("*"), F.lit("")), F.lit("-"), F.lit("+-"))
+    power = lambda t: F.when(F.contains(t, F.lit("^")), F.substring_index(t, "^", -1).try_cast("int")).when(F.contains(t, F.lit("T")), 1).otherwise(0)
+    head = lambda t: F.substring_index(t, "T", 1)
+    factor = lambda t: F.when(head(t) == "", 1).when(head(t) == "-", -1).otherwise(head(t).try_cast("int"))
+    terms = F.transform(F.split(F.ltrim(plain, F.lit("+")), r"\+"), lambda t: F.struct(power(t).alias("p"), factor(t).alias("c")))
     add = lambda acc, t: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(acc) - 1, t["p"])), lambda k: F.coalesce(F.get(acc, k), F.lit(0)) + F.when(k == t["p"], t["c"]).otherwise(0)
+        F.sequence(F.lit(0), F.greatest(F.size(acc) - 1, t["p"])), lambda k: F.when(k < F.size(acc), F.get(acc, k)).otherwise(0) + F.when(k == t["p"], t["c"]).when(t["p"].isNotNull(), 0)
     )
-    none = F.lit(None).cast("array<int>")
-    dense = F.aggregate(terms, F.array().cast("array<int>"), add, lambda acc: F.when(F.size(acc) > 0, acc).otherwise(none))
+    whole = lambda acc: F.when((F.size(acc) > 0) & F.forall(acc, F.isnotnull), acc).otherwise(F.lit(None).cast("array<int>"))
+    dense = F.aggregate(terms, F.array().cast("array<int>"), add, whole)
     return F.coalesce(dense, F.raise_error(F.concat(F.lit("bad Hilbert series: "), s)).cast("array<int>")) if strict else dense
 
 

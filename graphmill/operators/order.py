@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -39,20 +41,23 @@ def first_reach(curves: DataFrame, group: list[str], frac: float, cost: str = "c
 
 
 def permuted(rows: DataFrame, perms: int, number: str = "number", cost: str = "cost", hit: str = "hit") -> DataFrame:
-    """Running sums over ``perms`` seeded orders: that of the MD5 of ``perm:number``."""
+    """Running sums over ``perms`` seeded orders: that of the MD5 of ``perm:number``. As many leading digits of the key
+    make a bucket as keep buckets near 65,536 rows, so that no window grows with the data."""
+    digits = max(2, math.ceil(math.log(max(rows.count(), 1) / 65536, 16)))
     key = F.md5(F.concat_ws(":", F.col("perm").cast("string"), F.col(number).cast("string")))
     spread = rows.select(number, cost, hit).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1)))).withColumn("key", key)
-    return cumulative(spread, ["perm"], F.left("key", F.lit(2)), ["key"], {"cum_cost": cost, "cum_hit": hit})
-
-
-def random_baseline(rows: DataFrame, perms: int, fracs: list[float], **names: str) -> DataFrame:
-    """Medians over the permutations of what ``first_reach`` finds, for each share."""
-    curves = permuted(rows, perms, **names)
-    out = None
-    for frac in fracs:
-        one = first_reach(curves, ["perm"], frac).agg(F.lit(frac).alias("frac"), F.median("cost_at").alias("median_cost"), F.median("count_at").alias("median_count"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return cumulative(spread, ["perm"], F.left("key", F.lit(digits)), ["key"], {"cum_cost": cost, "cum_hit": hit})
+
+
+def random_baseline(rows: DataFrame, perms: int, fracs: list[float], number: str = "number", cost: str = "cost", hit: str = "hit") -> DataFrame:
+    """Medians over the permutations of what ``first_reach`` finds, for each share. All orders have the same number of
+    hits, so one pass over the curves serves all shares."""
+    total = rows.agg(F.sum(hit).alias("all_hits"))  # one row
+    curves = permuted(rows, perms, number, cost, hit).crossJoin(F.broadcast(total))
+    at = F.struct("position", "cum_cost")
+    firsts = curves.groupBy("perm").agg(*[F.min(F.when(F.col("cum_hit") >= F.ceil(F.col("all_hits") * F.lit(frac)), at)).alias(f"first_{k}") for k, frac in enumerate(fracs)])
+    medians = [F.struct(F.lit(frac).alias("frac"), F.median(f"first_{k}.cum_cost").alias("median_cost"), F.median(f"first_{k}.position").alias("median_count")) for k, frac in enumerate(fracs)]
+    return firsts.agg(F.array(*medians).alias("medians")).select(F.inline("medians"))
 
 
 def steps_on_grid(curves: DataFrame, group: list[str], points: int, total: Column, x: str = "cum_cost", y: str = "cum_hit") -> DataFrame:
