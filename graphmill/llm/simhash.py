@@ -243,12 +243,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, text_sha256`` of one document of each component: that with the least id (a null id only where all are
-    null), and of rows that share the id that with the least digest."""
+    """``doc_id, text_sha256, n`` of one document of each component: that with the least id (a null id only where all are
+    null), and of rows that share the id that with the least digest. ``n`` rows share both."""
     rows, of_fp, _ = _labelled(docs, id_col, text_col, shingle)
-    first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")).alias("own")
-    of_row = rows.groupBy("fp").agg(first())
+    first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "n")).alias("own")
+    same = rows.groupBy("fp", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))  # spreads the rows of a hot fingerprint
+    of_row = same.groupBy("fp").agg(first())
     own = of_row.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min("own").alias("own"))
-    return own.select("own.doc_id", "own.text_sha256")
+    return own.select("own.doc_id", "own.text_sha256", "own.n")
 
 
