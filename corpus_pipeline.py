@@ -50,8 +50,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints the row with the least id stays (one with a null id only where all are
     null); of rows that share that id the one with the least digest, whatever else has the id; of equal rows one."""
-    found = simhash.representatives(docs).select("doc_id", F.lower(F.hex("text_sha256")).alias("text_sha256"))
-    return _stay(docs, found.withColumn("n", F.lit(2)))
+    found = simhash.representatives(docs).select("doc_id", F.lower(F.hex("text_sha256")).alias("text_sha256"), "n")
+    return _stay(docs, found)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
