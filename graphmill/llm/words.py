@@ -26,14 +26,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of the texts one after the other, A-Z lower-cased, and the number
-    of words of each text. A word's hash is a difference of prefix sums, so all come out of a few array operations."""
+def word_hashes(texts: list[bytes], separates: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts one after the other, A-Z lower-cased, and the number of words of each text. Words are
+    runs of bytes that are not in ``separates`` (a table of 256, with the newline; by default ``[^\\x20\\x09-\\x0D]+``). A
+    word's hash is a difference of prefix sums, so all come out of a few array operations."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     up, down = _powers(1 << max(16, (len(raw) - 1).bit_length()))
-    word = ~_BLANK[raw]
+    word = ~separates[raw]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[_LOWER[raw]] * up[: len(raw)])])
