@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,7 @@ from pyspark.sql import Window
 
 from graphmill.functions import kernel
 from graphmill.functions.graph6 import MOST_VERTICES, g6_adj, g6_edges, g6_n, mask_to_list
+from graphmill.scratch import written
 
 #: Subsets times graphs that the kernel holds at a time.
 CELLS = 1 << 17
@@ -94,26 +93,31 @@ def with_occ(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
     return with_features(graphs, ["fails_occ", "occ_s", "occ_t"], g6_col)
 
 
-def failing_filter(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
-    """Band filter, then the graphs that fail the odd cycle condition. Stateless: works on streams as well. A graph of the
-    band that is too large for the kernel is an error, not left out."""
+def failing_of_band(band: DataFrame, g6_col: str = "graph6") -> DataFrame:
+    """The graphs of the band that fail the odd cycle condition. One that is too large for the kernel is an error, not left
+    out."""
     fails = F.coalesce("fails_occ", F.raise_error(F.concat(F.lit(f"more than {kernel.MOST_VERTICES} vertices: "), F.col(g6_col))).cast("long"))
-    return with_features(band_filter(graphs, g6_col), ["fails_occ"], g6_col).filter(fails == 1).select(*graphs.columns)
-
-
-def numbered(df: DataFrame, order_col: str, name: str = "position", ranges: int = 1024) -> DataFrame:
-    """With the position (from 1) by a whole-number column without repeats, however sparse. The order is cut at (about)
-    equal shares of the rows into at most ``ranges`` ranges; their sizes are summed up, and a row's rank in its range is
-    added, so no window runs over everything and the driver sees ``ranges`` numbers."""
-    found = df.agg(F.percentile_approx(F.col(order_col).cast("double"), F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(4 * ranges))).first()[0]
-    splits = [-math.inf, *sorted(set(found or [0.0])), math.inf]
-    # a cast to double never turns the order round, so ranges of doubles are ranges of the numbers
-    rows = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(df.withColumn("_order", F.col(order_col).cast("double"))).drop("_order")
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
+    return with_features(band, ["fails_occ"], g6_col).filter(fails == 1).select(*band.columns)
+
+
+def failing_filter(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
+    """Band filter, then the graphs that fail the odd cycle condition. Stateless: works on streams as well."""
+    return failing_of_band(band_filter(graphs, g6_col), g6_col)
+
+
+def numbered(df: DataFrame, order_col: str, name: str = "position", ranges: int | None = None) -> DataFrame:
+    """With the position (from 1) by a whole-number column without repeats, however sparse.
+
+    The rows are evaluated once, into a table. That table is dealt in ``ranges`` ranges of the order (as many as shuffle
+    partitions by default) and written again, sorted, with each row's range and place in it; the ranges' sizes, summed up,
+    are the offsets of the places. No window runs over the rows, and the driver sees none of them."""
+    rows = written(df, "numbered-rows")
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), F.col(order_col)).sortWithinPartitions(order_col)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # counts a task's rows as they come
+    dealt = written(dealt.withColumns({"_range": F.spark_partition_id(), "_place": inside}), "numbered-ranges")
     before = F.sum("rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(order_col))
-    return rows.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + rank).drop("_range", "_before")
+    offsets = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("rows")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
 
 
 def number_graphs(lines: DataFrame, order_col: str = "line_no", g6_col: str = "graph6") -> DataFrame:
