@@ -8,7 +8,7 @@ from graphmill.functions import graph6 as g6
 from graphmill.jobs.base import ADJ, BAND, CYCLES, EDGES, TEXTS, band, edges, graphs, runs, table
 from graphmill.operators import corpus as ops
 from graphmill.registry import query
-from graphmill.scratch import new_path
+from graphmill.scratch import new_path, written
 from graphmill.sources import text
 
 FAILING = ", failing AS (SELECT DISTINCT g FROM pairs)"
@@ -102,20 +102,40 @@ def a08(spark, sf):
     return text.solver_input(graphs(spark, sf))
 
 
-INPUTS = "region nation customer supplier part orders lineitem events".split()
+#: Columns of whole numbers of every input table: a row's line has them, and lines are ordered by them.
+INPUTS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
+    "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "events": ["event_id", "user_id"],
+}
 
+LINES = "l AS (" + " UNION ALL ".join(f"SELECT {k} AS file_order, '{name}' AS name, row_number() OVER (ORDER BY {', '.join(c)}) - 1 AS k, concat_ws('|', {', '.join(c)}) AS line FROM {name}" for k, (name, c) in enumerate(INPUTS.items())) + ")"
+#: Up to 4096 * 4096 lines in a file.
+TREE = LINES + """, b AS (SELECT file_order, name, k // 4096 AS block, count(*) AS lines, sha256(string_agg(sha256(line), '' ORDER BY k)) AS sha256 FROM l GROUP BY 1, 2, 3),
+r AS (SELECT file_order, name, sum(lines)::BIGINT AS lines, CASE WHEN count(*) = 1 THEN max(sha256) ELSE sha256(string_agg(sha256, '' ORDER BY block)) END AS sha256 FROM b GROUP BY 1, 2)"""
 
-@query("a09_input_manifest", " UNION ALL ".join(f"SELECT {k} AS file_order, '{name}' AS name, count(*) AS lines, 64 AS digits, 1 AS digests FROM {name}" for k, name in enumerate(INPUTS)))
-def a09(spark, sf):
-    """The rows of every input table as lines of text, in order, and their manifest. Digests are held against brute force
-    by a test; here one digest is formed over all."""
+
+def _inputs(spark, sf, changed=None):
+    """The rows of every input table as lines of text, in order, one folder each."""
     root = new_path(spark, "inputs")
-    for name in INPUTS:
-        rows = table(spark, sf, name)
-        rows.orderBy(rows.columns[0], *rows.columns[1:3]).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{root}/{name}")
-    found = text.content_manifest(spark, [f"{root}/{name}" for name in INPUTS])
-    digest = text.manifest_digest(found).groupBy().agg(F.count_distinct("digest").cast("int").alias("digests"))
-    return found.select("file_order", F.element_at(F.split("file", "/"), -1).alias("name"), "lines", F.length("sha256").alias("digits")).crossJoin(F.broadcast(digest))
+    for name, columns in INPUTS.items():
+        line = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+        rows = table(spark, sf, name).orderBy(*columns).select((line if changed is None else F.when(changed(F.col(columns[0])), F.concat(line, F.lit("|changed"))).otherwise(line)).alias("value"))
+        rows.write.text(f"{root}/{name}")
+    return [f"{root}/{name}" for name in INPUTS]
+
+
+@query("a09_input_manifest", f"WITH {TREE} SELECT file_order, name, lines, sha256, sha256((SELECT string_agg(name || ':' || sha256, chr(10) ORDER BY file_order) FROM r)) AS digest FROM r")
+def a09(spark, sf):
+    """The digest of each input's tree, and one over all of them."""
+    roots = written(text.manifest_roots(text.manifest_tree(spark, _inputs(spark, sf))), "manifest-roots")  # a row for each file
+    return roots.select("file_order", F.element_at(F.split("file", "/"), -1).alias("name"), "lines", "sha256").crossJoin(F.broadcast(text.manifest_digest(roots)))
+
+
+@query("a09_changed_blocks", f"WITH {LINES} SELECT DISTINCT file_order, 0 AS level, k // 4096 AS block FROM l WHERE split_part(line, '|', 1)::BIGINT % 5000 = 4999")
+def a09_changed(spark, sf):
+    """Which blocks of lines are stale after some rows of the inputs changed."""
+    old, new = (text.manifest_tree(spark, _inputs(spark, sf, changed)) for changed in (None, lambda key: key % 5000 == 4999))
+    return text.changed_blocks(old, new).filter("level = 0")
 
 
 @query("a10_export_view", f"WITH {TEXTS} SELECT g AS graph_number, m FROM texts WHERE m >= 12")

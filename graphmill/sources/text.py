@@ -149,23 +149,41 @@ def input_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def content_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file_order, file, lines, sha256`` of each text input (a file or a folder), with line ends normalised. Lines are
-    digested in blocks of ``MANIFEST_LINES`` in their order, and so are the digests, until one is left: no row and no
-    group has more than a block."""
+def manifest_tree(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file_order, file, level, block, lines, sha256``, written: the tree of digests of each text input (a file or a folder),
+    with line ends normalised. Level 0 has the digests of blocks of ``MANIFEST_LINES`` lines in their order (of the lines'
+    digests, one behind the other), each further level those of as many digests, until a file has one. No row and no group
+    has more than a block; ``lines`` counts those below."""
     rows = ordered_lines(spark, paths)
-    rows = rows.select("file_order", "file", F.col("line_no").alias("k"), F.sha2(F.regexp_replace("value", r"\r$", ""), 256).alias("sha256"))
-    lines = written(rows, "manifest")
-    total = lines.groupBy("file_order", "file").agg(F.count(F.lit(1)).alias("lines"))
-    most = total.agg(F.max("lines")).first()[0] or 0
-    level = lines
+    one = F.lit(1).cast("long")
+    level = rows.select("file_order", "file", F.col("line_no").alias("block"), one.alias("lines"), F.sha2(F.regexp_replace("value", r"\r$", ""), 256).alias("sha256"))
+    tree, k = None, 0
     while True:
-        block = F.floor(F.col("k") / MANIFEST_LINES)
-        inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sha256"))), lambda x: x["sha256"]), "")
-        level = level.groupBy("file_order", "file", block.alias("k")).agg(F.sha2(inside, 256).alias("sha256"))
-        most = -(-most // MANIFEST_LINES)
-        if most <= 1:
-            return total.join(level.select("file_order", "file", "sha256"), ["file_order", "file"])
+        inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "sha256"))), lambda x: x["sha256"]), "")
+        groups = level.groupBy("file_order", "file", F.floor(F.col("block") / MANIFEST_LINES).alias("block"))
+        level = written(groups.agg(F.sum("lines").alias("lines"), F.sha2(inside, 256).alias("sha256")), "manifest-level")
+        own = level.withColumn("level", F.lit(k))
+        tree = own if tree is None else tree.unionByName(own)
+        # files of one digest are done; the others go on
+        level = level.join(level.filter("block > 0").select("file_order").distinct(), "file_order", "left_semi")
+        if level.isEmpty():
+            return tree.select("file_order", "file", "level", "block", "lines", "sha256")
+        k += 1
+
+
+def manifest_roots(tree: DataFrame) -> DataFrame:
+    """``file_order, file, lines, sha256``: the digest of each whole file."""
+    return tree.groupBy("file_order", "file").agg(F.max_by(F.struct("lines", "sha256"), "level").alias("r")).select("file_order", "file", "r.*")
+
+
+def changed_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``file_order, level, block`` of every digest in either tree that the other doesn't have: what is stale. Files whose
+    roots agree are not looked into."""
+    roots = lambda t: manifest_roots(t).select("file_order", "sha256")
+    differ = roots(old).alias("a").join(roots(new).alias("b"), "file_order", "full").filter(~F.col("a.sha256").eqNullSafe(F.col("b.sha256"))).select("file_order")
+    own = ["file_order", "level", "block"]
+    inside = lambda t, c: t.join(F.broadcast(differ), "file_order", "left_semi").select(*own, F.col("sha256").alias(c))  # noqa: E731  a row for each file
+    return inside(old, "was").join(inside(new, "is"), own, "full").filter(~F.col("was").eqNullSafe(F.col("is"))).select(*own)
 
 
 def manifest_digest(manifest: DataFrame) -> DataFrame:

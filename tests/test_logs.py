@@ -83,14 +83,24 @@ def test_lines_and_their_digests_keep_their_order(spark, tmp_path, monkeypatch):
     paths = [str(tmp_path / "x"), str(tmp_path / "y")]
     out = sorted((r["file_order"], r["line_no"], r["value"].strip()) for r in text.ordered_lines(spark, paths).collect())
     assert out == [(f, k, v) for f, own in enumerate(lines) for k, v in enumerate(own)]
-    for r in text.content_manifest(spark, paths).collect():
-        level = [hashlib.sha256(v.encode()).hexdigest() for v in lines[r["file_order"]]]
-        assert r["lines"] == len(level)
-        for _ in range(3):
-            level = [hashlib.sha256("".join(level[k : k + 4]).encode()).hexdigest() for k in range(0, len(level), 4)]
-        if r["file_order"] == 0:
-            level = [hashlib.sha256("".join(level[k : k + 4]).encode()).hexdigest() for k in range(0, len(level), 4)]
-        assert len(level) == 1
+    tree = text.manifest_tree(spark, paths)
+    found = {(r["file_order"], r["level"], r["block"]): r["sha256"] for r in tree.collect()}
+    want, roots = {}, {}
+    for f, own in enumerate(lines):
+        level, k = [hashlib.sha256(v.encode()).hexdigest() for v in own], 0
+        while k == 0 or len(level) > 1:
+            level = [hashlib.sha256("".join(level[at : at + 4]).encode()).hexdigest() for at in range(0, len(level), 4)]
+            want |= {(f, k, at): d for at, d in enumerate(level)}
+            k += 1
+        roots[f] = (len(own), level[0])
+    assert found == want
+    assert {r["file_order"]: (r["lines"], r["sha256"]) for r in text.manifest_roots(tree).collect()} == roots
+    # one changed line of the second file and one more line of the first: their blocks and what is above them
+    (tmp_path / "y").write_bytes("\r\n".join([lines[1][0], "other", lines[1][2], ""]).encode())
+    (tmp_path / "x" / "part-99999.txt").write_text("more\n")
+    stale = {(r["file_order"], r["level"], r["block"]) for r in text.changed_blocks(tree, text.manifest_tree(spark, paths)).collect()}
+    assert stale == {(1, 0, 0), (0, 0, 17), (0, 1, 4), (0, 2, 1), (0, 3, 0)}
+    assert text.changed_blocks(tree, tree).count() == 0
 
 
 def test_bands_of_large_graphs(spark):
@@ -141,7 +151,7 @@ def test_stream_state_does_not_depend_on_arrival(spark):
         path = new_path(spark, "test-stream")
         for k in range(2):
             rows.filter(F.col("line_no") % 2 == k).coalesce(1).write.mode("append").json(path)
-        store = log.LatestRuns(spark)
+        store = log.latest_runs(spark)
         stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(path)  # noqa: E731, B023
         checkpoint = new_path(spark, "test-checkpoint")
         out = log.stream_latest(stream(), store, checkpoint)
