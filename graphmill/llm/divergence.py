@@ -50,7 +50,7 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
     """The terms of a text, in parts of bounded size."""
     plain, a = text.translate(_TERM), 0
     while len(plain) - a > SLICE:
-        end = plain.rfind(b" ", a, a + SLICE)
+        end = plain.rfind(b" ", a + 1, a + SLICE)  # beyond the separator that the last part ended at
         if end < 0 and (end := plain.find(b" ", a + SLICE)) < 0:
             break
         yield plain[a:end].split()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.arrays import HashIndex, slices
-from graphmill.llm.common import bounded, text_of
+from graphmill.llm.common import bounded, text_of, written
 
 ORDER = 3
 #: At most so many documents of each language are learned from, chosen by a hash of the id.
@@ -139,10 +139,11 @@ def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, id_
     """Learn from ``train_docs`` documents of each language, those whose ids have the least hashes (all where there are
     no more). Of rows that repeat an id and a language one is learned from."""
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")).filter("lang is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    named = written(known.select("id", "lang").distinct(), "languages")  # an id that repeats counts once, here and in the bound
+    sizes = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
     if not sizes:
         return Model({}, order)
-    chosen = bounded(known.select("id", "lang"), "lang", dict.fromkeys(sizes, train_docs), sizes, "lang").distinct()
+    chosen = bounded(named, "lang", dict.fromkeys(sizes, train_docs), sizes, "lang")
     texts = known.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id", "lang"])
     found = gram_counts(texts, order).toPandas()
     return Model({name: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for name, g in found.groupby("lang")}, order)

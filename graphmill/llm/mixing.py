@@ -19,7 +19,7 @@ id, the text and the labels are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -232,12 +232,20 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, least: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tokens, p, rate, copies, met`` for each document. ``least``: the least rate of a document, by its ``p``;
-    the others make up for it. ``met`` says of the whole mix whether its expected shares are the targets."""
+def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, least: Column | None = None, scales: Sequence[float] = (1.0,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tokens, p, rate, copies, met, bound, reached`` for each document. ``least``: the least rate of a document,
+    by its ``p``; the others make up for it. Where the targets can't be met so, the bound is loosened: it is multiplied by each
+    of ``scales`` in turn until they are. ``bound``: the factor taken; ``met`` says of the whole mix whether its expected
+    shares are the targets, and ``reached`` has these shares in the order of ``model.domains``."""
     parts = written(posteriors(docs, model, id_col, text_col), "mixing-posteriors")
-    fitted = fit(parts, model.domains, weights, budget, least)
-    return parts.withColumn("rate", fitted.rate()).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("met", F.lit(fitted.met))
+    for scale in scales:
+        fitted = fit(parts, model.domains, weights, budget, None if least is None else least * scale)
+        if fitted.met:
+            break
+    total = max(float(fitted.reached.sum()), 1e-9)
+    known = {"met": F.lit(fitted.met), "bound": F.lit(float(scale)), "reached": F.array(*[F.lit(float(t) / total) for t in fitted.reached])}
+    rated = parts.withColumn("rate", fitted.rate())
+    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumns(known)
 
 
 def shares(mixed: DataFrame, domains: list[str]) -> dict[str, float]:

@@ -71,7 +71,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mixing.train(docs, table(spark, sf_dir, "labels"), domain())
     mixed = mixing.mix(docs, model, MIX)
     share = [F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(model.domains)]
-    return mixed.select("doc_id", "tokens", *share, "rate", "copies", "met")
+    reached = [F.col("reached")[k].alias(f"reached_{name}") for k, name in enumerate(model.domains)]
+    return mixed.select("doc_id", "tokens", *share, "rate", "copies", "met", *reached)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,17 +64,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp, text_sha256``: the fingerprint's 64 bits as a signed long, and the digest (32 bytes) that tells rows
-    of one id apart."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp, text_sha256, row``: the fingerprint's 64 bits as a signed long, the digest (32 bytes) that tells texts
+    of one id apart, and the number ``row_col`` of the row (null if none is named) that tells rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             digest = pa.array([hashlib.sha256(t.as_py()).digest() for t in batch.column(1)], pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), digest], ["doc_id", "fp", "text_sha256"])
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), digest, batch.column(2)], ["doc_id", "fp", "text_sha256", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, text_sha256 binary")
+    row = F.lit(None) if row_col is None else F.col(row_col)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"), row.cast("long").alias("row"))
+    return named.mapInArrow(run, "doc_id long, fp long, text_sha256 binary, row long")
 
 
 def _golay() -> tuple[np.ndarray, np.ndarray]:
@@ -224,9 +226,9 @@ def links(fps: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows ``doc_id, fp, text_sha256``, fingerprints ``fp, n, root`` and components ``root, component_id, ...``."""
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``doc_id, fp, text_sha256, row``, fingerprints ``fp, n, root`` and components ``root, component_id, ...``."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle, row_col), "fingerprints")
     of_fp = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     root = components(links(of_fp.select("fp"))).select(F.col("node").alias("fp"), "root")
     of_fp = written(of_fp.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-fingerprints")
@@ -242,14 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, text_sha256, n`` of one document of each component: that with the least id (a null id only where all are
-    null), and of rows that share the id that with the least digest. ``n`` rows share both."""
-    rows, of_fp, _ = _labelled(docs, id_col, text_col, shingle)
-    first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "n")).alias("own")
-    same = rows.groupBy("fp", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))  # spreads the rows of a hot fingerprint
-    of_row = same.groupBy("fp").agg(first())
-    own = of_row.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min("own").alias("own"))
-    return own.select("own.doc_id", "own.text_sha256", "own.n")
-
-
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """``doc_id, text_sha256, row`` of one document of each component: that with the least id (a null id only where all are
+    null), of rows that share the id that with the least digest, and of those that share both the least ``row_col``."""
+    rows, of_fp, _ = _labelled(docs, id_col, text_col, shingle, row_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "row")).alias("own")
+    own = rows.groupBy("fp").agg(first).join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min("own").alias("own"))
+    return own.select("own.doc_id", "own.text_sha256", "own.row")

@@ -79,13 +79,12 @@ def test_the_mix_has_the_rates_copies(spark, stages):
     before, after = stages["mixing"]
     model = mixing.train(before, spark.read.parquet(f"{SF}/labels.parquet"), queries.domain())
     at = model.domains.index("clean")
-    mixed = mixing.mix(before, model, queries.MIX, least=(F.col("p")[at] >= 0.5).cast("double")).collect()
+    mixed = mixing.mix(before, model, queries.MIX, least=(F.col("p")[at] >= 0.5).cast("double"), scales=corpus_pipeline.CLEAN_RATES).collect()
     assert Counter(r["doc_id"] for r in after.collect()) == Counter({r["doc_id"]: r["copies"] for r in mixed if r["copies"]})
-    assert all(r["copies"] >= 1 for r in mixed if r["p"][at] >= 0.5)
+    assert all(r["rate"] >= r["bound"] - 1e-9 for r in mixed if r["p"][at] >= 0.5)
     target, tokens = sum(queries.MIX[d] for d in model.domains), sum(r["tokens"] for r in mixed)
     shares = [sum(r["tokens"] * r["rate"] * r["p"][k] for r in mixed) / tokens for k in range(len(model.domains))]
-    if mixed[0]["met"]:
-        assert all(abs(s - queries.MIX[d] / target) < 1e-3 for s, d in zip(shares, model.domains))
+    assert mixed[0]["met"] and all(abs(s - queries.MIX[d] / target) < 1e-3 for s, d in zip(shares, model.domains))
 
 
 def test_tokens_are_those_of_the_public_library(stages):
@@ -116,6 +115,10 @@ def test_odd_tables(spark):
     copies = corpus_pipeline.drop_copies(spark, odd, SF)
     assert copies.columns == odd.columns
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in copies.collect()) == sorted([(6, "same text here"), (4, ""), (5, LONG), (5, "of that id another text"), (0, "no id"), (9, " \t\n")])
+    # rows that repeat an id and a text, many times over, and not only those
+    many = spark.createDataFrame([(6, "same text here", "en", "s", "e", 5)] * 3000 + ODD[:3], SCHEMA)
+    assert sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_copies(spark, many, SF).collect()) == [(3, ""), (6, "same text here")]
+    assert sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, many, SF).collect()) == [(1, "same text here"), (3, "")]
     near = corpus_pipeline.drop_near_copies(spark, odd, SF)
     # blanks have the fingerprint zero of the empty text
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in near.collect()) == sorted([(1, "same text here"), (3, ""), (5, LONG), (5, "of that id another text"), (0, "no id")])
