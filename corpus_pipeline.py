@@ -19,14 +19,19 @@ from graphmill.llm.common import fold, table, written
 from graphmill.llm.queries import MIX, domain
 
 
-def _stay(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and text's digest are in ``keep`` (``doc_id, text_sha256`` in hex), one of those that
-    repeat both."""
-    digest = f"digest_{uuid.uuid4().hex}"  # no column of the documents
-    keep = written(keep.select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha256"), "n"), "pipeline-keep")
-    rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    stay = rows.join(keep, rows["doc_id"].eqNullSafe(keep["keep_id"]) & (rows[digest] == keep["keep_sha256"]), "left_semi")
-    return (stay if keep.filter("n > 1").isEmpty() else stay.dropDuplicates(["doc_id", digest])).drop(digest)
+#: Least rates of clean documents in the mix, tried in turn until its targets are met.
+CLEAN_RATES = (1.0, 0.9, 0.75, 0.5, 0.0)
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written with a number for each row, and the name of that column: no column of the documents."""
+    row = f"row_{uuid.uuid4().hex}"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
+
+
+def _stay(rows: DataFrame, row: str, keep: DataFrame) -> DataFrame:
+    """The rows whose number is in ``keep``. Texts are neither sorted nor compared: numbers are hashed and rows stream by."""
+    return rows.join(keep.select(F.col("row").alias(row)).hint("shuffle_hash"), row, "left_semi").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,28 +45,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays (one with a null id only where all are null); of rows that repeat
     that id and the text one stays. Null and empty texts are equal."""
+    rows, row = _numbered(docs)
     index = exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}")
-    kept = exact_dedup.dedup(docs, index).filter("kept")
-    rows = _stay(docs, kept.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")))
-    index.drop()  # what stays was written by now
-    return rows
+    try:
+        kept = exact_dedup.dedup(rows, index, carry=[row]).filter("kept")
+        keep = written(kept.groupBy("text_sha256").agg(F.min(row).alias("row")).select("row"), "pipeline-keep")
+    finally:
+        index.drop()
+    return _stay(rows, row, keep)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints the row with the least id stays (one with a null id only where all are
     null); of rows that share that id the one with the least digest, whatever else has the id; of equal rows one."""
-    found = simhash.representatives(docs).select("doc_id", F.lower(F.hex("text_sha256")).alias("text_sha256"), "n")
-    return _stay(docs, found)
+    rows, row = _numbered(docs)
+    return _stay(rows, row, written(simhash.representatives(rows, row_col=row).select("row"), "pipeline-keep"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the domains' tokens come to the target shares, as nearly as they can
-    with a rate of one at least for documents that are more likely clean than not: the fit itself holds that bound, and
-    the others make up for it. Rows that share an id get the same number of copies; a text without words has no say in
-    the shares and a rate like any other; without labels every rate is one."""
+    """Documents are repeated or left out so that the domains' tokens come to the target shares. Documents that are more
+    likely clean than not have a least rate in the fit: the largest of ``CLEAN_RATES`` with which the targets are met, so as
+    few of them as possible go. Rows that share an id get the same number of copies; a text without words has no say in the
+    shares and a rate like any other; without labels every rate is one."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), domain())
     clean = F.col("p")[model.domains.index("clean")] >= 0.5 if "clean" in model.domains else F.lit(True)
-    mixed = mixing.mix(docs, model, MIX, least=clean.cast("double"))
+    mixed = mixing.mix(docs, model, MIX, least=clean.cast("double"), scales=CLEAN_RATES)
     own, times = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "copies"))  # no columns of the documents
     of_id = mixed.groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
     rows = docs.join(of_id, docs["doc_id"].eqNullSafe(F.col(own)))
