@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["corpus", "logs", "parsing", "features", "relate", "hilbert", "conjectures", "order", "models", "streams"]
+MODULES: list[str] = ["corpus", "logs", "parsing", "features", "relate", "hilbert", "conjectures", "order", "models", "graph_models", "streams"]
 
 
 def load() -> None:
