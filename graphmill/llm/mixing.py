@@ -19,8 +19,9 @@ id, the text and the labels are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,8 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int)
 def train(docs: DataFrame, labels: DataFrame, domain: Column, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """``domain``: the name of the class of a row of ``labels``; of several labels of an id the first name holds."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), domain.alias("domain")).filter("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain"))
+    # shares of the documents that there are: an earlier stage may have removed most of a domain
+    known = written(known.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi"), "mixing-labels")
     totals = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}
     names = sorted(totals)
     if len(names) < 2:
@@ -232,12 +235,43 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, least: Column | None = None, scales: Sequence[float] = (1.0,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def largest_bound(parts: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None, least: Column) -> float:
+    """A factor (0 to 1) beyond which ``least``, multiplied by it, makes the targets unreachable.
+
+    What the least rates leave of the targets has to be a combination of rows with rates of 0 or more, so in no direction u
+    can its mean lie beyond the row that lies farthest: u (T - f B) <= max(u p) * |T - f B|, with T the targets and B the least
+    tokens. That bounds f for each direction; one aggregation serves all."""
+    size = range(len(domains))
+    if len(domains) <= 4:
+        directions = [u for u in product((-1, 0, 1, 3), repeat=len(domains)) if len(set(u)) > 1]
+    else:
+        directions = [tuple(int(d == i) - int(d == j) for d in size) for i in size for j in size if i != j]
+    full = parts.filter("tokens > 0")
+    far = [F.max(sum((F.col("p")[d] * u[d] for d in size), F.lit(0.0))) for u in directions]
+    row = full.agg(*[F.sum(F.col("tokens") * F.col("p")[d]) for d in size], *[F.sum(F.col("tokens") * F.col("p")[d] * least) for d in size], *far).first()
+    values = np.array([x or 0.0 for x in row])
+    now, held, far = values[: len(domains)], values[len(domains) : 2 * len(domains)], values[2 * len(domains) :]
+    w = np.array([max(0.0, weights.get(name, 0.0)) for name in domains]) * (now > 0)
+    target = (float(now.sum()) if budget is None else budget) * (w if w.sum() else now) / max((w if w.sum() else now).sum(), 1e-12)
+    found = 1.0
+    for u, most in zip(np.array(directions, float), far):
+        steep = most * held.sum() - u @ held
+        if steep > 1e-9:
+            found = min(found, (most * target.sum() - u @ target) / steep)
+    return max(0.0, found)
+
+
+def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], budget: float | None = None, least: Column | None = None, loosen: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tokens, p, rate, copies, met, bound, reached`` for each document. ``least``: the least rate of a document,
-    by its ``p``; the others make up for it. Where the targets can't be met so, the bound is loosened: it is multiplied by each
-    of ``scales`` in turn until they are. ``bound``: the factor taken; ``met`` says of the whole mix whether its expected
-    shares are the targets, and ``reached`` has these shares in the order of ``model.domains``."""
+    by its ``p``; the others make up for it. ``loosen``: where the targets can't be met so, the bound is multiplied by a factor
+    with which they can, nine tenths of the largest that ``largest_bound`` leaves open, or else given up. ``bound``: the factor
+    taken; ``met`` says of the whole mix whether its expected shares are the targets, and ``reached`` has these shares in the
+    order of ``model.domains``."""
     parts = written(posteriors(docs, model, id_col, text_col), "mixing-posteriors")
+    scales = [1.0]
+    if loosen and least is not None:
+        most = largest_bound(parts, model.domains, weights, budget, least)
+        scales = [*([1.0] if most >= 1.0 else []), 0.9 * most, 0.0]
     for scale in scales:
         fitted = fit(parts, model.domains, weights, budget, None if least is None else least * scale)
         if fitted.met:

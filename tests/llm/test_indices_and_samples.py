@@ -60,7 +60,7 @@ def test_a_bound_is_loosened_until_the_targets_are_met(spark):
     labels = spark.createDataFrame([(k, 1 if k < 100 else 0) for k, _ in rows], "doc_id long, quality int")
     model = mixing.train(docs, labels, F.when(F.col("quality") == 1, "clean").otherwise("poor"))
     clean = F.col("p")[model.domains.index("clean")] >= 0.5
-    mixed = mixing.mix(docs, model, {"clean": 0.5, "poor": 0.5}, least=clean.cast("double"), scales=(1.0, 0.9, 0.5, 0.0))
+    mixed = mixing.mix(docs, model, {"clean": 0.5, "poor": 0.5}, least=clean.cast("double"), loosen=True)
     row = mixed.agg(F.first("met"), F.first("bound"), F.first("reached"), F.min(F.when(clean, F.col("rate")))).first()
     # half of all tokens can't be the clean ones' if each clean document stays
-    assert row[0] and row[1] == 0.5 and all(abs(s - 0.5) < 1e-3 for s in row[2]) and row[3] >= 0.5
+    assert row[0] and 0.3 < row[1] < 0.6 and all(abs(s - 0.5) < 1e-3 for s in row[2]) and row[3] >= row[1] - 1e-9
