@@ -19,10 +19,6 @@ from graphmill.llm.common import fold, table, written
 from graphmill.llm.queries import MIX, domain
 
 
-#: Least rates of clean documents in the mix, tried in turn until its targets are met.
-CLEAN_RATES = (1.0, 0.9, 0.75, 0.5, 0.0)
-
-
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents, written with a number for each row, and the name of that column: no column of the documents."""
     row = f"row_{uuid.uuid4().hex}"
@@ -63,13 +59,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the domains' tokens come to the target shares. Documents that are more
-    likely clean than not have a least rate in the fit: the largest of ``CLEAN_RATES`` with which the targets are met, so as
-    few of them as possible go. Rows that share an id get the same number of copies; a text without words has no say in the
+    """Documents are repeated or left out so that the domains' tokens come to the target shares, which the fit meets with
+    rates near one where it can. Rows that share an id get the same number of copies; a text without words has no say in the
     shares and a rate like any other; without labels every rate is one."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), domain())
-    clean = F.col("p")[model.domains.index("clean")] >= 0.5 if "clean" in model.domains else F.lit(True)
-    mixed = mixing.mix(docs, model, MIX, least=clean.cast("double"), scales=CLEAN_RATES)
+    mixed = mixing.mix(docs, model, MIX)
     own, times = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "copies"))  # no columns of the documents
     of_id = mixed.groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
     rows = docs.join(of_id, docs["doc_id"].eqNullSafe(F.col(own)))
