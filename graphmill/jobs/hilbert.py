@@ -11,8 +11,8 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from graphmill.jobs.base import CYCLES, N, band, edges
-from graphmill.operators import corpus, hilbert, relate as ops
+from graphmill.jobs.base import BEST, CYCLES, N, VERDICT, band, edges, runs
+from graphmill.operators import corpus, hilbert, relate as ops, runs as run_ops
 from graphmill.registry import query
 
 SIGNS = ", ".join(f"({j}, {(-1) ** j * comb(N, j)})" for j in range(N + 1))
@@ -36,13 +36,15 @@ def whole(spark, sf):
     """``graph_number, d, size, fails_occ`` of the band."""
     known = corpus.with_features(band(spark, sf), ["fails_occ"]).select("graph_number", "fails_occ")
     last = F.when(F.col("fails_occ") == 1, N).otherwise(N // 2 + 1)
-    return hilbert.hilbert_by_graph(edges(spark, sf).join(known, "graph_number"), last)
+    return hilbert.hilbert_sizes(edges(spark, sf).join(known, "graph_number"), last)
 
 
 def numerators(spark, sf):
-    """``graph_number, h, truncated``: the normal ones end within what was computed."""
+    """``graph_number, h, truncated``. Those that satisfy the condition have to end within what was computed: a last
+    coefficient that is not 0 is an error."""
     h = hilbert.h_from_hilbert(whole(spark, sf), N)
-    return h.withColumn("truncated", F.col("truncated") & (F.size("h") > N))
+    ends = F.when(F.element_at("h", -1) == 0, False).otherwise(F.raise_error(F.lit("a normal numerator does not end at half of the vertices")).cast("boolean"))
+    return h.withColumn("truncated", F.when(F.size("h") > N, F.col("truncated")).otherwise(ends))
 
 
 def text(c):
@@ -74,3 +76,42 @@ def g09(spark, sf):
     rows = numerators(spark, sf).join(corpus.with_features(band(spark, sf), ["m", "fails_occ"]).select("graph_number", "m", "fails_occ"), "graph_number")
     h = F.col("h")
     return ops.check_rules(rows, {"h0_is_one": h[0] == 1, "h1_is_m_minus_n": h[1] == F.col("m") - N, "satisfied_means_nonnegative": (F.col("fails_occ") == 1) | (F.array_min(h) >= 0)})
+
+
+#: Numbers of the graphs of the band in order, their numerators and, where the log has one, a verdict.
+PROVED = f"""{WHOLE}, {BEST}, v AS (SELECT graph_number, {VERDICT} FROM best),
+p AS (SELECT wh.g, row_number() OVER (ORDER BY wh.g) AS number, wh.h, least, m, wh.g IN (SELECT g FROM pairs) AS fails, is_cm, h0, h1 FROM wh JOIN band ON band.g = wh.g LEFT JOIN v ON v.graph_number = wh.g),
+q AS (SELECT *, CASE WHEN is_cm = 1 THEN (regexp_replace(h, '(,0)+$', '') = array_to_string(list_reverse(string_split(regexp_replace(h, '(,0)+$', ''), ',')), ','))::INT WHEN is_cm = 0 THEN 0 END AS gorenstein FROM p)"""
+
+
+def proved(spark, sf):
+    """``n, number, graph_number, h`` (without the zeros at the end)``, m, fails_occ, is_cm, gorenstein``: joined on the graph's
+    own number among those of n vertices."""
+    own = corpus.with_features(band(spark, sf), ["m", "fails_occ"]).select(F.lit(N).alias("n"), "graph_number", "m", "fails_occ")
+    own = corpus.numbered(own, "graph_number", "number")
+    best = run_ops.latest_runs(runs(spark, sf)).withColumn("v", run_ops.verdict(F.lit(N), F.col("depth_zzp"), F.col("decided_by"), F.col("depth")))
+    best = best.select(F.lit(N).alias("n"), "graph_number", F.col("v.is_cm").alias("is_cm"))
+    zeros = F.aggregate(F.reverse("h"), F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda s, x: F.struct((s["k"] + (s["on"] & (x == 0)).cast("int")).alias("k"), (s["on"] & (x == 0)).alias("on")))
+    short = F.slice("h", F.lit(1), F.size("h") - zeros["k"])
+    rows = own.join(numerators(spark, sf).select(F.lit(N).alias("n"), "graph_number", short.alias("h")), ["n", "graph_number"]).join(best, ["n", "graph_number"], "left")
+    symmetric = (F.col("h") == F.reverse("h")).cast("int")
+    return rows.withColumn("gorenstein", F.when(F.col("is_cm") == 1, symmetric).when(F.col("is_cm") == 0, 0))
+
+
+@query(
+    "g09_theorem_rules",
+    f"""{PROVED} SELECT 'numbers_have_no_gap' AS rule, (max(number) - count(DISTINCT number))::BIGINT AS violations FROM q UNION ALL SELECT 'n_and_number_are_unique', count(*) - count(DISTINCT number) FROM q
+    UNION ALL SELECT 'h0_is_one', count(*) FILTER (h0 <> 1) FROM q UNION ALL SELECT 'h1_is_m_minus_n', count(*) FILTER (h1 <> m - {N}) FROM q
+    UNION ALL SELECT 'cm_means_nonnegative', count(*) FILTER (is_cm = 1 AND least < 0) FROM q UNION ALL SELECT 'occ_means_cm', count(*) FILTER (NOT fails AND is_cm = 0) FROM q""",
+)
+def g09_theorems(spark, sf):
+    rows = proved(spark, sf)
+    c, h = F.col, F.col("h")
+    rules = {"h0_is_one": h[0] == 1, "h1_is_m_minus_n": F.coalesce(F.get("h", F.lit(1)), F.lit(0)) == c("m") - N, "cm_means_nonnegative": (c("is_cm") != 1) | (F.array_min("h") >= 0), "occ_means_cm": (c("fails_occ") == 1) | (c("is_cm") != 0)}
+    return ops.check_rules(rows, rules).unionByName(ops.numbering_rules(rows, ["n"], "number"))
+
+
+@query("g09_gorenstein_set", f"{PROVED} SELECT {N} AS n, number, fails, regexp_replace(h, '(,0)+$', '') AS h FROM q WHERE gorenstein = 1")
+def g09_gorenstein(spark, sf):
+    """The graphs whose ring is Cohen-Macaulay with a symmetric numerator, and whether they fail the condition."""
+    return proved(spark, sf).filter("gorenstein = 1").select("n", "number", (F.col("fails_occ") == 1).alias("fails"), text("h").alias("h"))

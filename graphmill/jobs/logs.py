@@ -156,6 +156,56 @@ def b19_blocks(spark, sf):
     return found.select("graph_number", "graph6", "depth", joined("h_vector").alias("h"), "h_symmetric", "is_cm", "is_gorenstein", "num_gens", joined("gen_degrees").alias("degrees"), "is_ci", "seconds_depth")
 
 
+#: Stage seconds of a solver block, and depths that were measured again for some.
+STAGES = """st AS (SELECT l_orderkey AS graph_number, sum(l_quantity)::BIGINT AS q, count(*) AS c, max(l_partkey) AS p FROM lineitem GROUP BY 1),
+blocks AS (SELECT graph_number, (q % 7) / 8.0::DOUBLE AS seconds_ker, (p % 5) / 16.0::DOUBLE AS seconds_hilbert, (q % 3) / 4.0::DOUBLE AS seconds_depth, CASE WHEN c % 2 = 1 THEN 5 ELSE 2 + (p % 4) END AS top FROM st),
+again AS (SELECT graph_number, (p % 9) / 2.0::DOUBLE AS seconds FROM st WHERE graph_number % 3 = 0)"""
+
+
+def _stage_blocks(spark, sf):
+    """Solver blocks written from the line items' orders and read back, and depths measured again, as lines."""
+    from graphmill.scratch import new_path
+    from graphmill.sources import text
+
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("c"), F.max("l_partkey").alias("p"))
+    field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
+    degrees = F.when(F.col("c") % 2 == 1, F.lit("{2, 5}")).otherwise(F.format_string("{2, %d}", 2 + F.col("p") % 4))
+    block = F.concat_ws(
+        "\n", field("GraphNumber", F.col("l_orderkey")), field("GenDegrees", degrees), field("SecondsKer", F.col("q") % 7 / 8), field("SecondsHilbert", F.col("p") % 5 / 16), field("SecondsDepth", F.col("q") % 3 / 4), F.lit("===="),
+    )
+    path, lines = new_path(spark, "stage-blocks"), new_path(spark, "depth-again")
+    rows.select(block.alias("value")).write.text(path)
+    rows.filter("l_orderkey % 3 = 0").select(F.concat_ws(" ", F.col("l_orderkey").cast("string"), F.lit("9"), (F.col("p") % 9 / 2).cast("string")).alias("value")).write.text(lines)
+    kv = F.col("kv")
+    seconds = [kv[f"Seconds{name}"].try_cast("double").alias(f"seconds_{name.lower()}") for name in ("Ker", "Hilbert", "Depth")]
+    blocks = text.read_blocks(spark, path).select(kv["GraphNumber"].cast("long").alias("graph_number"), kv["GenDegrees"].alias("gen_degrees"), *seconds)
+    return blocks, text.depth_lines(spark.read.text(lines))
+
+
+@query(
+    "g12_cost_by_stage",
+    f"WITH {STAGES} SELECT graph_number, seconds_ker, seconds_hilbert, coalesce(seconds, 0) AS seconds_again, seconds_ker + seconds_hilbert + coalesce(seconds, 0) AS cost, seconds_ker + seconds_hilbert + seconds_depth AS cpu_total FROM blocks LEFT JOIN again USING (graph_number)",
+)
+def g12_stages(spark, sf):
+    """What a graph costs: the stages of its block, and its depth only where that was measured again."""
+    return ops.stage_costs(*_stage_blocks(spark, sf))
+
+
+@query(
+    "g05_block_histograms",
+    f"WITH {STAGES} SELECT 'max_gen_degree' AS what, top::VARCHAR AS value, count(*)::DOUBLE AS n FROM blocks GROUP BY 2 UNION ALL SELECT 'seconds', stage, round(sum(s), 4) FROM (UNPIVOT blocks ON seconds_ker, seconds_hilbert, seconds_depth INTO NAME stage VALUE s) GROUP BY stage",
+)
+def g05_blocks(spark, sf):
+    """Largest generator degrees, and the seconds of each stage in all."""
+    from graphmill.functions import parsing
+
+    blocks, _ = _stage_blocks(spark, sf)
+    top = F.array_max(parsing.gen_degrees(F.col("gen_degrees"))).cast("string")
+    degrees = blocks.groupBy(top.alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("max_gen_degree").alias("what"), "value", "n")
+    spent = blocks.unpivot([], ["seconds_ker", "seconds_hilbert", "seconds_depth"], "value", "s").groupBy("value").agg(F.round(F.sum("s"), 4).alias("n"))
+    return degrees.unionByName(spent.select(F.lit("seconds").alias("what"), "value", "n"))
+
+
 @query(
     "s04_stuck_items",
     f"""WITH {TEXTS}, {RUNS}, p AS (SELECT g, row_number() OVER (ORDER BY g) AS position FROM texts), f AS (SELECT DISTINCT graph_number FROM runs WHERE status IN ('done', 'unconfirmed'))

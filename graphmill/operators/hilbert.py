@@ -21,30 +21,60 @@ def _unit(vertex: str) -> Column:
     return F.when(v < 63 // BITS, F.call_function("shiftleft", F.lit(1).cast("long"), v * BITS)).otherwise(F.raise_error(F.lit(f"more than {63 // BITS} vertices")).cast("long"))
 
 
-def hilbert_function(edges: DataFrame, max_d: int, key: str = "graph_number") -> DataFrame:
-    """``key, d, size``: different vertex-degree vectors of multisets of d edges. Vectors are packed in a long, five
-    bits for each vertex (n <= 12, d <= 31). Each round needs only the vectors of the one before; every third is
-    written, so a plan stays short."""
-    if max_d >= 1 << BITS:
-        raise ValueError("degrees would not fit")
-    step = edges.select(key, (_unit("i") + _unit("j")).alias("step"))
-    front = edges.select(key).distinct().withColumn("vec", F.lit(0).cast("long"))
-    out = front.groupBy(key).agg(F.count(F.lit(1)).alias("size")).select(key, F.lit(0).alias("d"), "size")
-    for d in range(1, max_d + 1):
-        front = front.join(step, key).select(key, (F.col("vec") + F.col("step")).alias("vec")).distinct()
-        if d % 3 == 0 or d == max_d:
-            front = written(front, "hilbert-front")
+def _steps(edges: DataFrame, max_d: int | Column, key: str) -> DataFrame:
+    """``key, n, steps, last``: vertices, packed steps of the edges and last degree of each graph."""
+    last = max_d if isinstance(max_d, Column) else F.lit(max_d)
+    last = F.when(last < 1 << BITS, last).otherwise(F.raise_error(F.lit("degrees would not fit")).cast("int"))
+    most = F.greatest(F.max("i"), F.max("j")) + 1
+    return edges.groupBy(key).agg(most.cast("int").alias("n"), F.collect_set(_unit("i") + _unit("j")).alias("steps"), F.max(last).cast("int").alias("last"))
+
+
+def hilbert_function(edges: DataFrame, max_d: int | Column, key: str = "graph_number", slices: int | None = None) -> DataFrame:
+    """``key, d, size``: different vertex-degree vectors of multisets of d edges, up to ``max_d`` (a number or a column of
+    ``edges``). Vectors are packed in a long, five bits for each vertex (n <= 12, d <= 31), and dealt by (graph, slice of the
+    vector's hash), so that a graph with hundreds of millions of them lies in no task; its steps (66 at most) are there in
+    every slice. A round needs only the vectors of the one before, which are written and counted from there."""
+    return _by_slices(_steps(edges, max_d, key), key, slices)
+
+
+def _by_slices(steps: DataFrame, key: str, slices: int | None = None) -> DataFrame:
+    spark = steps.sparkSession
+    slices = slices or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    steps = written(steps, "hilbert-steps")
+    spread = steps.select(key, "steps", "last", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    front = steps.select(key, F.lit(0).cast("long").alias("vec"))
+    out = steps.select(key, F.lit(0).alias("d"), F.lit(1).cast("long").alias("size"))
+    for d in range(1, (steps.agg(F.max("last")).first()[0] or 0) + 1):
+        dealt = front.withColumn("slice", F.pmod(F.xxhash64("vec"), F.lit(slices)).cast("int"))
+        grown = dealt.join(spread.filter(F.col("last") >= d), [key, "slice"])
+        front = written(grown.select(key, F.explode(F.transform("steps", lambda s: F.col("vec") + s)).alias("vec")).distinct(), "hilbert-front")
         out = out.unionByName(front.groupBy(key).agg(F.count(F.lit(1)).alias("size")).select(key, F.lit(d).alias("d"), "size"))
     return out
 
 
+#: A graph whose last degree can have more vectors than this is dealt over tasks.
+IN_TASK = 4_000_000
+
+
+def hilbert_sizes(edges: DataFrame, max_d: int | Column, key: str = "graph_number", in_task: int = IN_TASK) -> DataFrame:
+    """``key, d, size`` by either way, which agree: graphs with at most ``in_task`` vectors in a degree (there are at most
+    C(2 d + n - 1, n - 1)) are walked within a task, and larger ones dealt over tasks."""
+    steps = written(_steps(edges.withColumn(key, F.col(key).cast("long")), max_d, key), "hilbert-graphs")
+    log = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), F.lit(0.0), lambda t, k: t + F.log((2 * F.col("last") + k).cast("double")) - F.log(k.cast("double")))
+    small = (F.col("n") < 2) | (log <= F.log(F.lit(float(in_task))))
+    found = _in_tasks(steps.filter(small), key)
+    large = steps.filter(~small)
+    return found if large.isEmpty() else found.unionByName(_by_slices(large, key))
+
+
 def hilbert_by_graph(edges: DataFrame, max_d: int | Column, key: str = "graph_number") -> DataFrame:
     """The same, a graph at a time within a task: for whole numerators of small graphs, where the last degrees have most
     of the vectors. ``max_d`` may differ from graph to graph (a column of ``edges``). A degree of a graph with n vertices
     has at most C(2 d + n - 1, n - 1) vectors (1.6 million at n = d = 9), and only two degrees are held."""
-    last = max_d if isinstance(max_d, Column) else F.lit(max_d)
-    last = F.when(last < 1 << BITS, last).otherwise(F.raise_error(F.lit("degrees would not fit")).cast("int"))
+    return _in_tasks(_steps(edges.withColumn(key, F.col(key).cast("long")), max_d, key), key)
+
 
+def _in_tasks(steps: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, masks, last in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -57,8 +87,7 @@ def hilbert_by_graph(edges: DataFrame, max_d: int | Column, key: str = "graph_nu
                     sizes.append(len(front))
                 yield pa.record_batch([pa.array([name] * len(sizes), pa.int64()), pa.array(range(len(sizes)), pa.int32()), pa.array(sizes, pa.int64())], [key, "d", "size"])
 
-    steps = edges.groupBy(F.col(key).cast("long").alias(key)).agg(F.collect_set(_unit("i") + _unit("j")).alias("steps"), F.max(last).cast("int").alias("last"))
-    return steps.mapInArrow(run, f"{key} long, d int, size long")
+    return steps.select(key, "steps", "last").mapInArrow(run, f"{key} long, d int, size long")
 
 
 def h_from_hilbert(sizes: DataFrame, n: int, key: str = "graph_number") -> DataFrame:

@@ -107,6 +107,15 @@ def check_rules(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return out.unpivot([], list(rules), "rule", "violations")
 
 
+def numbering_rules(rows: DataFrame, group: list[str], number: str) -> DataFrame:
+    """``rule, violations``: how many numbers from 1 to the largest are missing, and how many rows repeat a number, within
+    ``group``. Rows are summed up by number first, so no task gets a group."""
+    once = rows.groupBy(*group, number).agg(F.count(F.lit(1)).alias("rows"))
+    found = once.groupBy(*group).agg(F.max(number).alias("most"), F.count(F.lit(1)).alias("numbers"), F.sum("rows").alias("rows"))
+    out = found.agg(F.coalesce(F.sum(F.col("most") - F.col("numbers")), F.lit(0)).alias("numbers_have_no_gap"), F.coalesce(F.sum(F.col("rows") - F.col("numbers")), F.lit(0)).alias("n_and_number_are_unique"))
+    return out.unpivot([], ["numbers_have_no_gap", "n_and_number_are_unique"], "rule", "violations")
+
+
 def profile(rows: DataFrame, columns: list[str], fill: float = -1) -> DataFrame:
     """``column, values``: different values of each column, nulls as ``fill``; columns with one value tell nothing."""
     out = rows.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("double"), F.lit(float(fill)))).alias(c) for c in columns])

@@ -130,6 +130,16 @@ def results_from_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def stage_costs(blocks: DataFrame, again: DataFrame, key: str = "graph_number") -> DataFrame:
+    """Each graph's ``seconds_ker, seconds_hilbert``, ``seconds_again`` (its depth's, where that was measured again: lines
+    ``graph_number, depth, seconds``, the largest of several), their sum ``cost``, and ``cpu_total`` of its own stages."""
+    depth = again.groupBy(key).agg(F.max("seconds").alias("seconds_again"))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = blocks.join(depth, key, "left").withColumn("seconds_again", none(F.col("seconds_again")))
+    early = none(F.col("seconds_ker")) + none(F.col("seconds_hilbert"))
+    return rows.select(key, "seconds_ker", "seconds_hilbert", "seconds_again", (early + F.col("seconds_again")).alias("cost"), (early + none(F.col("seconds_depth"))).alias("cpu_total"))
+
+
 def stuck_items(batches: DataFrame, finished: DataFrame, key: str = "graph_number") -> DataFrame:
     """The first item of each batch that is not finished: the one that an interrupted batch hung on."""
     return batches.join(finished, key, "left_anti").groupBy("batch").agg(F.min_by(key, "position").alias(key))

@@ -49,3 +49,38 @@ def test_normal_numerators_end_at_half_of_the_vertices(spark):
     own = df.join(known.select("graph_number"), "graph_number", "left_semi")
     out = hilbert.h_from_hilbert(hilbert.hilbert_by_graph(own, 6), 6).collect()
     assert len(out) > 20 and all(r["h"][4:] == [0, 0, 0] and min(r["h"]) >= 0 for r in out)
+
+
+def plain_sizes(edges, last):
+    steps = {tuple(int(v in e) for v in range(12)) for e in edges}
+    front, sizes = {(0,) * 12}, [1]
+    for _ in range(last):
+        front = {tuple(a + b for a, b in zip(v, s)) for v in front for s in steps}
+        sizes.append(len(front))
+    return sizes
+
+
+def test_eleven_and_twelve_vertices_over_tasks(spark):
+    rnd = random.Random(9)
+    ring = [(k, (k + 1) % 11) for k in range(11)] + [(0, 5), (2, 8), (3, 9), (1, 6)]
+    more = sorted({tuple(sorted(rnd.sample(range(12), 2))) for _ in range(22)})
+    graphs = {1: (ring, 5), 2: (more, 4), 3: ([(0, 1), (1, 2), (0, 2)], 7)}
+    rows = [(g, min(e), max(e), last) for g, (es, last) in graphs.items() for e in es]
+    df = spark.createDataFrame(rows, "graph_number long, i long, j long, last int").repartition(3)
+    want = {(g, d): size for g, (es, last) in graphs.items() for d, size in enumerate(plain_sizes(es, last))}
+    for found in (hilbert.hilbert_function(df, F.col("last"), slices=5), hilbert.hilbert_sizes(df, F.col("last"), in_task=2000), hilbert.hilbert_sizes(df, F.col("last"))):
+        assert {(r["graph_number"], r["d"]): r["size"] for r in found.collect()} == want
+    with pytest.raises(Exception, match="degrees would not fit"):
+        hilbert.hilbert_sizes(df, 40).collect()
+
+
+def test_a_graph_is_dealt_over_slices(spark):
+    from graphmill.scratch import written
+
+    ring = [(k, (k + 1) % 12) for k in range(12)] + [(0, 2), (3, 7), (5, 10)]
+    df = spark.createDataFrame([(1, min(e), max(e)) for e in ring], "graph_number long, i long, j long")
+    sizes = {r["d"]: r["size"] for r in hilbert.hilbert_function(df, 5, slices=16).collect()}
+    assert sizes[5] > 5000
+    # what a slice gets of the last degree's vectors is near its share
+    front = spark.range(sizes[5]).select(F.pmod(F.xxhash64("id"), F.lit(16)).alias("slice"))
+    assert written(front, "slices").groupBy("slice").count().agg(F.max("count")).first()[0] < 2 * sizes[5] / 16

@@ -188,3 +188,14 @@ def test_blocks_become_results(spark):
     bad = spark.createDataFrame([(7, 8, None, "(1+x)/((1-T)^7)", None, 1)], "n int, m int, depth int, hilbert_series string, toric_ideal string, gens_minimal int")
     with pytest.raises(Exception, match="bad Hilbert series"):
         runs.derive_results(bad).collect()
+
+
+def test_numbering_rules_and_stage_costs(spark):
+    from graphmill.operators import relate
+
+    rows = spark.createDataFrame([(8, 1), (8, 2), (8, 4), (8, 4), (9, 1), (9, 2)], "n int, number long")
+    assert {r["rule"]: r["violations"] for r in relate.numbering_rules(rows, ["n"], "number").collect()} == {"numbers_have_no_gap": 1, "n_and_number_are_unique": 1}
+    blocks = spark.createDataFrame([(1, 0.5, 0.25, 2.0), (2, None, 0.25, 1.0), (3, 1.0, 1.0, None)], "graph_number long, seconds_ker double, seconds_hilbert double, seconds_depth double")
+    again = spark.createDataFrame([(1, 9, 4.0), (1, 9, 3.0), (7, 9, 1.0)], "graph_number long, depth int, seconds double")
+    out = {r["graph_number"]: (r["seconds_again"], r["cost"], r["cpu_total"]) for r in runs.stage_costs(blocks, again).collect()}
+    assert out == {1: (4.0, 4.75, 2.75), 2: (0.0, 0.25, 1.25), 3: (0.0, 2.0, 2.0)}
