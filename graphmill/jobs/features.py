@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphmill.functions import kernel
-from graphmill.jobs.base import BAND, CYCLES, band
+from graphmill.jobs.base import ADJ, BAND, CYCLES, N, band, graphs
 from graphmill.operators import corpus as ops
+from graphmill.operators import structure
 from graphmill.registry import query
 
 
@@ -21,28 +22,75 @@ def _features(name: str, columns: list[str], sql: str | None, cycles: bool = Fal
     query(name, None if sql is None else f"WITH {'RECURSIVE ' + CYCLES if cycles else BAND} {sql}")(run)
 
 
-_features("f01_size", ["n", "m", "m_minus_n", "density"], "SELECT g AS graph_number, 9 AS n, m, m - 9 AS m_minus_n, round(2 * m / 72.0::DOUBLE, 9) AS density FROM band", rounded={"density": 9})
+def _native(name: str, columns: list[str], sql: str, found, cycles: bool = False, rounded: dict[str, int] | None = None, head: str | None = None):
+    """The same, of ``found(spark, sf)``, by built-in functions and joins."""
 
-_features(
+    def run(spark, sf):
+        return found(spark, sf).select("graph_number", *[F.round(c, (rounded or {})[c]).alias(c) if c in (rounded or {}) else F.col(c) for c in columns])
+
+    run.__name__ = name
+    query(name, f"WITH {head or ('RECURSIVE ' + CYCLES if cycles else BAND)} {sql}")(run)
+
+
+def _masks(spark, sf):
+    return structure.with_masks(band(spark, sf))
+
+
+def _pairs(spark, sf):
+    """Graphs of the band with masks, their chordless odd cycles and separated pairs."""
+    rows = _masks(spark, sf)
+    odd = structure.cycles(rows, "graph_number", N, True).filter("len % 2 = 1")
+    return rows, odd, structure.separated(odd, "graph_number")
+
+
+def _cycles(chordless: bool):
+    def found(spark, sf):
+        rows = _masks(spark, sf)
+        return structure.cycle_counts(rows, structure.cycles(rows, "graph_number", N, chordless), "graph_number", kernel.CYCLE_LENGTHS, chordless)
+
+    return found
+
+
+def _hamiltonian(spark, sf):
+    rows = _masks(spark, sf)
+    return structure.hamiltonian(rows, structure.cycles(rows, "graph_number", N, False), "graph_number")
+
+
+def _pair_counts(spark, sf):
+    return structure.pair_counts(*_pairs(spark, sf), "graph_number")
+
+
+def _meeting(spark, sf):
+    rows, _, pairs = _pairs(spark, sf)
+    # only graphs with a pair can have a cycle that meets one
+    some = rows.join(pairs.select("graph_number").distinct(), "graph_number", "left_semi")
+    return structure.meeting(rows, structure.cycles(some, "graph_number", N, False).filter("len % 2 = 0"), pairs, "graph_number")
+
+
+_native("f01_size", ["n", "m", "m_minus_n", "density"], "SELECT g AS graph_number, 9 AS n, m, m - 9 AS m_minus_n, round(2 * m / 72.0::DOUBLE, 9) AS density FROM band", rounded={"density": 9}, found=lambda spark, sf: structure.sizes(_masks(spark, sf)))
+
+_native(
     "f02_degrees",
     ["deg_min", "deg_max", "deg_mean", "deg_std", "deg_count_2", "deg_count_3", "deg_count_4", "deg_count_5plus", "frac_deg_2"],
     """, d AS (SELECT a.g, bit_count(a.a)::INT AS d FROM adj a JOIN band USING (g))
     SELECT g AS graph_number, min(d) AS deg_min, max(d) AS deg_max, round(avg(d), 9) AS deg_mean, round(stddev_pop(d), 9) AS deg_std, count(*) FILTER (d = 2) AS deg_count_2, count(*) FILTER (d = 3) AS deg_count_3,
     count(*) FILTER (d = 4) AS deg_count_4, count(*) FILTER (d >= 5) AS deg_count_5plus, round(count(*) FILTER (d = 2) / 9.0::DOUBLE, 9) AS frac_deg_2 FROM d GROUP BY g""",
     rounded={"deg_mean": 9, "deg_std": 9, "frac_deg_2": 9},
+    found=lambda spark, sf: structure.degrees(_masks(spark, sf)),
 )
 
 #: Components of a vertex set s: 2^components is the number of its subsets that no edge joins to the rest of it.
-_features(
+_native(
     "f03_threads",
     ["n_threads", "thread_max_len"],
     """, two AS (SELECT a.g, coalesce(sum(1 << a.v::INT) FILTER (bit_count(a.a) = 2), 0)::BIGINT AS s FROM adj a JOIN band USING (g) GROUP BY a.g),
     part AS (SELECT t.g, x.s, x.pc FROM two t JOIN sub x ON x.g = t.g AND x.s & t.s = x.s AND (x.near & t.s & ~x.s) = 0),
     least AS (SELECT p.g, p.s, p.pc FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.g = p.g AND q.s <> p.s AND q.s & p.s = q.s))
     SELECT b.g AS graph_number, count(l.s) AS n_threads, coalesce(max(l.pc) + 1, 0) AS thread_max_len FROM band b LEFT JOIN least l USING (g) GROUP BY b.g""",
+    found=lambda spark, sf: structure.threads(_masks(spark, sf)),
 )
 
-_features(
+_native(
     "f04_triangles",
     ["n_triangles", "avg_clustering", "transitivity"],
     """, d AS (SELECT a.g, a.v, bit_count(a.a)::INT AS d FROM adj a JOIN band USING (g)),
@@ -51,9 +99,10 @@ _features(
     SELECT g AS graph_number, (sum(t) // 3)::BIGINT AS n_triangles, round(sum(CASE WHEN d >= 2 THEN 2 * t / (d * (d - 1))::DOUBLE ELSE 0 END) / 9, 9) AS avg_clustering,
     round(sum(t) / nullif(sum(d * (d - 1) / 2), 0), 9) AS transitivity FROM x GROUP BY g""",
     rounded={"avg_clustering": 9, "transitivity": 9},
+    found=lambda spark, sf: structure.triangles(_masks(spark, sf)),
 )
 
-_features(
+_native(
     "f05_cycles",
     [*[f"cyc_len_{k}" for k in kernel.CYCLE_LENGTHS], "n_odd_cycles", "n_even_cycles", "girth", "odd_girth", "even_girth"],
     "SELECT b.g AS graph_number, "
@@ -61,15 +110,17 @@ _features(
     + """, coalesce(sum(c) FILTER (len % 2 = 1), 0)::BIGINT AS n_odd_cycles, coalesce(sum(c) FILTER (len % 2 = 0), 0)::BIGINT AS n_even_cycles,
     min(len) AS girth, min(len) FILTER (len % 2 = 1) AS odd_girth, min(len) FILTER (len % 2 = 0) AS even_girth FROM band b LEFT JOIN cyc USING (g) GROUP BY b.g""",
     cycles=True,
+    found=_cycles(False),
 )
 
-_features(
+_native(
     "f06_chordless_cycles",
     [*[f"chordless_len_{k}" for k in kernel.CYCLE_LENGTHS], "n_chordless_even_cycles"],
     "SELECT b.g AS graph_number, "
     + ", ".join(f"count(s) FILTER (len = {k}) AS chordless_len_{k}" for k in kernel.CYCLE_LENGTHS)
     + ", count(s) FILTER (len % 2 = 0) AS n_chordless_even_cycles FROM band b LEFT JOIN chordless USING (g) GROUP BY b.g",
     cycles=True,
+    found=_cycles(True),
 )
 
 _features(
@@ -99,7 +150,7 @@ _features(
     cycles=True,
 )
 
-_features(
+_native(
     "f09_distances",
     ["diameter", "radius", "avg_shortest_path"],
     """, step AS (SELECT g, v, v AS w, 0 AS d FROM (SELECT DISTINCT g, v FROM bend) UNION SELECT s.g, s.v, e.w, s.d + 1 FROM step s JOIN bend e ON e.g = s.g AND e.v = s.w WHERE s.d < 8),
@@ -107,6 +158,7 @@ _features(
     SELECT g AS graph_number, max(e) AS diameter, min(e) AS radius, round(sum(t) / 72.0::DOUBLE, 9) AS avg_shortest_path FROM ecc GROUP BY g""",
     cycles=True,
     rounded={"avg_shortest_path": 9},
+    found=lambda spark, sf: structure.distances(_masks(spark, sf)),
 )
 
 _features("f10_spectra", ["adj_eig_max", "adj_eig_min", "adj_eig_2nd", "adj_energy", "lap_algebraic_connectivity", "lap_eig_max", "signless_lap_min", "n_spanning_trees", "adj_spectrum", "lap_spectrum"], None)
@@ -120,25 +172,27 @@ _features(
 )
 _features("f13_edge_frustration", ["edge_frustration"], "SELECT g AS graph_number, m - best_cut AS edge_frustration FROM band")
 
-_features(
+_native(
     "f14_separated_pairs",
     ["n_chordless_odd_cycles", "sep_pairs", "sep_pairs_3_3", "sep_pairs_3_5", "sep_pairs_other"],
     """SELECT b.g AS graph_number, (SELECT count(*) FROM oddc o WHERE o.g = b.g) AS n_chordless_odd_cycles, count(p.a) AS sep_pairs, count(p.a) FILTER (la + lb = 6) AS sep_pairs_3_3,
     count(p.a) FILTER (la + lb = 8) AS sep_pairs_3_5, count(p.a) FILTER (la + lb > 8) AS sep_pairs_other FROM band b LEFT JOIN pairs p USING (g) GROUP BY b.g""",
     cycles=True,
+    found=_pair_counts,
 )
-_features("f15_normalization_gap", ["normalization_gap"], "SELECT b.g AS graph_number, count(DISTINCT p.a | p.b) AS normalization_gap FROM band b LEFT JOIN pairs p USING (g) GROUP BY b.g", cycles=True)
+_native("f15_normalization_gap", ["normalization_gap"], "SELECT b.g AS graph_number, count(DISTINCT p.a | p.b) AS normalization_gap FROM band b LEFT JOIN pairs p USING (g) GROUP BY b.g", cycles=True, found=_pair_counts)
 
 LINK = """, link AS (SELECT p.g, p.a, p.b, p.la, p.lb, least(min(bit_count((p.a | s.s | s.near) & ~s.s)) FILTER (s.s & p.b = 0), bit_count(p.a))::INT AS linkage
   FROM pairs p JOIN sub s ON s.g = p.g GROUP BY p.g, p.a, p.b, p.la, p.lb)"""
 _features("f16_same_block_pairs", ["sep_same_block_pairs"], LINK + " SELECT b.g AS graph_number, count(l.a) FILTER (linkage >= 2) AS sep_same_block_pairs FROM band b LEFT JOIN link l USING (g) GROUP BY b.g", cycles=True)
 
 MEET = ", meet AS (SELECT c.g, c.s, c.len, c.c FROM cyc c WHERE c.len % 2 = 0 AND EXISTS (SELECT 1 FROM pairs p WHERE p.g = c.g AND p.a & c.s <> 0 AND p.b & c.s <> 0))"
-_features(
+_native(
     "f17_even_cycles_meeting_pair",
     ["even_cycles_meeting_pair", "even_cycle_meets_pair", "even_meeting_len_min"],
     MEET + " SELECT b.g AS graph_number, coalesce(sum(c), 0)::BIGINT AS even_cycles_meeting_pair, (count(s) > 0)::INT AS even_cycle_meets_pair, min(len) AS even_meeting_len_min FROM band b LEFT JOIN meet USING (g) GROUP BY b.g",
     cycles=True,
+    found=_meeting,
 )
 
 _features(
@@ -168,8 +222,15 @@ _features(
     cycles=True,
 )
 _features("f19_treewidth", ["treewidth"], None)
-_features("f20_hamiltonian", ["is_hamiltonian"], "SELECT b.g AS graph_number, count(c.s)::INT AS is_hamiltonian FROM band b LEFT JOIN cyc c ON c.g = b.g AND c.s = 511 GROUP BY b.g", cycles=True)
-_features("f21_components", ["n_components"], "SELECT g AS graph_number, 1 AS n_components FROM band")
+_native("f20_hamiltonian", ["is_hamiltonian"], "SELECT b.g AS graph_number, count(c.s)::INT AS is_hamiltonian FROM band b LEFT JOIN cyc c ON c.g = b.g AND c.s = 511 GROUP BY b.g", cycles=True, found=_hamiltonian)
+_native(
+    "f21_components",
+    ["n_components"],
+    """r AS (SELECT g, v AS start, v FROM adj UNION SELECT r.g, r.start, e.w FROM r JOIN ends e ON e.g = r.g AND e.v = r.v), l AS (SELECT g, start, min(v) AS least FROM r GROUP BY g, start)
+    SELECT g AS graph_number, count(*) FILTER (start = least) AS n_components FROM l GROUP BY g""",
+    found=lambda spark, sf: structure.components(structure.with_masks(graphs(spark, sf))),
+    head=f"RECURSIVE {ADJ},",
+)
 
 
 @query(
