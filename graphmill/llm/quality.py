@@ -32,7 +32,7 @@ BLOCK, LEVEL, DICT_BYTES = 2048, 3, 48 * 1024
 #: At most so many labelled documents of each class are learned from, chosen by a hash of the id; half build the
 #: dictionaries, half calibrate.
 TRAIN_DOCS = 1600
-#: At most so many labelled blocks (of all blocks of the chosen documents, by a hash of each) go into a dictionary.
+#: At most so many different labelled blocks (of all blocks of the chosen documents, by a hash of each) go into a dictionary.
 DICT_BLOCKS = 8000
 
 
@@ -88,7 +88,7 @@ def dictionaries(texts: DataFrame) -> dict[int, bytes]:
         own = sorted(zip(group["hash"].to_pylist(), group["block"].to_pylist()))
         return pa.table({"label": pa.array([group["label"][0].as_py()], pa.int32()), "dictionary": pa.array([_dictionary([b for _, b in own])], pa.binary())})
 
-    cuts = texts.select("label", "text").mapInArrow(cut, "label int, block binary").withColumn("hash", F.xxhash64("block"))
+    cuts = texts.select("label", "text").mapInArrow(cut, "label int, block binary").distinct().withColumn("hash", F.xxhash64("block"))  # a block that repeats is drawn once
     drawn = None
     for label in (0, 1):
         part = cuts.filter(F.col("label") == label).orderBy("hash", "block").limit(DICT_BLOCKS)
