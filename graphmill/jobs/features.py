@@ -238,7 +238,7 @@ _native(
     f"WITH RECURSIVE {CYCLES}{MEET} SELECT m, count(*) AS graphs, count(*) FILTER (g NOT IN (SELECT g FROM meet)) AS predicted_cm FROM band GROUP BY m",
 )
 def f22(spark, sf):
-    rows = predict_c4(ops.with_features(band(spark, sf), ["m", "even_cycle_meets_pair"]))
+    rows = predict_c4(_meeting(spark, sf).join(structure.sizes(_masks(spark, sf)).select("graph_number", "m"), "graph_number"))
     return rows.groupBy("m").agg(F.count(F.lit(1)).alias("graphs"), F.sum("predicted_cm").alias("predicted_cm"))
 
 
