@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphmill.jobs.base import N, band, edges
+from graphmill.jobs.base import N, edges
 from graphmill.jobs.features import LINK
 from graphmill.jobs.hilbert import whole_sql
 from graphmill.jobs.relate import JOINED, joined
-from graphmill.operators import corpus, hilbert, relate as ops
+from graphmill.operators import hilbert, relate as ops
 from graphmill.registry import query
+from graphmill.scratch import written
 
 STATED = (
     JOINED
@@ -30,11 +31,11 @@ def numerators(h):
 
 
 def stated(spark, sf):
-    rows = joined(spark, sf)
-    same = corpus.with_features(band(spark, sf), ["fails_occ", "sep_same_block_pairs"]).filter("fails_occ = 1").select("graph_number", "sep_same_block_pairs")
-    failing = edges(spark, sf).join(same.select("graph_number"), "graph_number", "left_semi")
-    h = numerators(hilbert.h_from_hilbert(hilbert.hilbert_by_graph(failing, N), N)).select("graph_number", "h_nonneg", "only_top_negative", "top_coefficient")
-    return rows.join(same, "graph_number", "left").fillna(0, ["sep_same_block_pairs"]).join(h, "graph_number", "left")
+    rows = written(joined(spark, sf, ["sep_same_block_pairs"]), "stated")  # one pass of the kernel serves both sides
+    known = edges(spark, sf).withColumn("n", F.lit(N))
+    failing = known.join(rows.filter("fails_occ = 1").select("n", "graph_number"), ["n", "graph_number"], "left_semi")
+    h = numerators(hilbert.h_from_hilbert(hilbert.hilbert_sizes(failing, N), N)).select(F.lit(N).cast("long").alias("n"), "graph_number", "h_nonneg", "only_top_negative", "top_coefficient")
+    return rows.join(h, ["n", "graph_number"], "left")
 
 
 #: Name: hypothesis and conclusion, in SQL that DuckDB and Spark read alike. Unknown values stay unknown.
@@ -73,9 +74,8 @@ PRESETS = {
 
 @query("b21_presets", f"{JOINED}{LINK}, same AS (SELECT g, count(*) FILTER (linkage >= 2) AS n FROM link GROUP BY g), s AS (SELECT j.*, coalesce(same.n, 0) AS sep_same_block_pairs FROM joined j LEFT JOIN same ON same.g = j.graph_number) " + " UNION ALL ".join(f"SELECT '{name}' AS preset, graph_number FROM s WHERE {c}" for name, c in PRESETS.items()))
 def b21(spark, sf):
-    same = corpus.with_features(band(spark, sf), ["sep_same_block_pairs"]).select("graph_number", "sep_same_block_pairs")
     hits = F.filter(F.array(*[F.when(F.expr(c), F.lit(name)) for name, c in PRESETS.items()]), lambda x: x.isNotNull())
-    return joined(spark, sf).join(same, "graph_number").select(F.explode(hits).alias("preset"), "graph_number")
+    return joined(spark, sf, ["sep_same_block_pairs"]).select(F.explode(hits).alias("preset"), "graph_number")
 
 
 @query("g03_top_coefficients", f"{STATED} SELECT top_coefficient, count(*) AS n FROM stated WHERE h_nonneg = FALSE GROUP BY 1 ORDER BY n DESC, 1 LIMIT 8")

@@ -27,9 +27,10 @@ def verdicts(spark, sf):
     return best.select(F.lit(9).cast("long").alias("n"), "graph_number", "k", "seconds", "status", "depth", v["is_cm"].alias("is_cm"), v["decided_by"].alias("verdict"))
 
 
-def joined(spark, sf):
-    """Features with the verdict of the best run, left: a graph that was not run is unknown. Numbers repeat across n."""
-    rows = corpus.with_features(band(spark, sf), FEATURES).join(verdicts(spark, sf), ["n", "graph_number"], "left")
+def joined(spark, sf, more=()):
+    """Features (and those of ``more``) with the verdict of the best run, left: a graph that was not run is unknown. Numbers
+    repeat across n."""
+    rows = corpus.with_features(band(spark, sf), [*FEATURES, *more]).join(verdicts(spark, sf), ["n", "graph_number"], "left")
     cm, k = F.col("is_cm"), F.col("k")
     return rows.withColumn("is_gorenstein", F.when(cm == 0, 0).when(cm == 1, (k % 2 == 0).cast("int"))).withColumn("is_ci", F.when(cm == 1, (k % 4 == 0).cast("int")).when(cm == 0, 0))
 
@@ -212,7 +213,7 @@ def g08(spark, sf):
 def g09(spark, sf):
     c = F.col
     rows = joined(spark, sf)
-    twice = rows.groupBy("graph_number").agg(F.count(F.lit(1)).alias("n")).agg(F.lit("unique_number").alias("rule"), F.coalesce(F.sum(c("n") - 1), F.lit(0)).alias("violations"))
+    twice = rows.groupBy("n", "graph_number").agg(F.count(F.lit(1)).alias("rows")).agg(F.lit("unique_number").alias("rule"), F.coalesce(F.sum(c("rows") - 1), F.lit(0)).alias("violations"))
     rules = {
         "occ_means_pairs": (c("sep_pairs") > 0) == (c("fails_occ") == 1), "satisfied_means_cm": (c("fails_occ") == 1) | (c("is_cm") == 1), "ci_means_gorenstein": (c("is_ci") == 0) | (c("is_gorenstein") == 1),
         "edges_in_band": c("m").between(10, 27),
