@@ -14,9 +14,10 @@ from graphmill.llm.common import fold, table, written
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    found = written(exact_dedup.dedup(table(spark, sf_dir, "documents"), index), "deduplicated")
-    index.drop()  # of this query alone
-    return found
+    try:
+        return written(exact_dedup.dedup(table(spark, sf_dir, "documents"), index), "deduplicated")
+    finally:
+        index.drop()  # of this query alone
 
 
 OP1_SQL = """
