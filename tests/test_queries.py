@@ -8,8 +8,8 @@ from graphmill import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events"
-#: The smallest tables have no counterexample.
-NONE_SO_SMALL = {"g04_counterexamples"}
+#: The smallest tables have no counterexample and no symmetric numerator that is proved.
+NONE_SO_SMALL = {"g04_counterexamples", "g09_gorenstein_set"}
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
