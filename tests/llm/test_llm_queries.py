@@ -136,3 +136,16 @@ def test_op10(spark, docs):
     for r in rows:
         text = docs[r["doc_id"]]["text"]
         assert hashlib.sha256(text[r["start"] : r["start"] + r["size"]].encode()).hexdigest() == r["candidate_sha256"]
+
+
+@pytest.mark.parametrize("name", ["op11_source_divergence", "op12_hard_negatives", "op13_decontamination"])
+def test_new_operators_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    rows = run(spark, name)
+    assert rows and sorted(want.columns) == sorted(rows[0].asDict())
+    assert sorted(tuple(r[c] for c in want.columns) for r in rows) == sorted(want.fetchall())
