@@ -162,7 +162,28 @@ _native(
 )
 
 _features("f10_spectra", ["adj_eig_max", "adj_eig_min", "adj_eig_2nd", "adj_energy", "lap_algebraic_connectivity", "lap_eig_max", "signless_lap_min", "n_spanning_trees", "adj_spectrum", "lap_spectrum"], None)
-_features("f11_automorphisms", ["aut_group_size"], None)
+@query(
+    "f10_spectral_moments",
+    f"""WITH {BAND}, d AS (SELECT a.g, sum(bit_count(a.a)) AS ends, sum(bit_count(a.a) * bit_count(a.a)) AS squares FROM adj a JOIN band USING (g) GROUP BY a.g),
+    t AS (SELECT a.g, count(*) AS t FROM adj a JOIN edges e ON e.g = a.g AND (a.a >> e.i::INT) & 1 = 1 AND (a.a >> e.j::INT) & 1 = 1 GROUP BY a.g)
+    SELECT g AS graph_number, 0::BIGINT AS adj_1, ends::BIGINT AS adj_2, (2 * coalesce(t, 0))::BIGINT AS adj_3, ends::BIGINT AS lap_1, (squares + ends)::BIGINT AS lap_2 FROM d LEFT JOIN t USING (g)""",
+)
+def f10_moments(spark, sf):
+    """Power sums of the spectra, which count closed walks and degrees: what the eigenvalues have to add up to."""
+    rows = ops.with_features(band(spark, sf), ["adj_spectrum", "lap_spectrum"])
+    power = lambda c, k: F.round(F.aggregate(F.transform(c, lambda x: F.pow(x, F.lit(k))), F.lit(0.0), lambda x, y: x + y)).cast("long")
+    return rows.select("graph_number", *[power("adj_spectrum", k).alias(f"adj_{k}") for k in (1, 2, 3)], *[power("lap_spectrum", k).alias(f"lap_{k}") for k in (1, 2)])
+
+
+_features(
+    "f11_automorphisms",
+    ["aut_group_size"],
+    """SELECT g AS graph_number, count(*) AS aut_group_size FROM (WITH RECURSIVE masks AS (SELECT g, list(a ORDER BY v) AS a FROM adj WHERE g IN (SELECT g FROM band) GROUP BY g),
+    maps AS (SELECT g, a, []::BIGINT[] AS m FROM masks UNION ALL
+      SELECT g, a, list_append(m, w) FROM maps JOIN (SELECT unnest(range(9)) AS w) ON len(m) < 9 AND NOT list_contains(m, w) AND bit_count(a[len(m) + 1]) = bit_count(a[w + 1])
+        AND len([i FOR i IN range(len(m)) IF ((a[i + 1] >> len(m)::INT) & 1) <> ((a[m[i + 1] + 1] >> w::INT) & 1)]) = 0)
+    SELECT g FROM maps WHERE len(m) = 9) GROUP BY g""",
+)
 
 _features(
     "f12_odd_cycle_transversal",
