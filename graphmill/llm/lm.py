@@ -34,6 +34,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +69,52 @@ BACK_SCHEMA = "chunk string, kind string, bucket int, a binary, b binary, c bina
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def rising(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of numbers from 0, and the numbers in it. The numbers' upper bits are sorted as they stand with the
+    places in the bits below; where these bits are too few to tell numbers apart, by an argsort."""
+    if not len(key):
+        return np.zeros(0, np.int64), key
+    bits, spare = np.uint64(len(key).bit_length()), np.uint64(64 - max(1, int(key.max()).bit_length()))
+    both = (key.astype(np.uint64) << spare) >> bits << bits
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    order = (both & (np.uint64(1) << bits) - np.uint64(1)).view(np.int64)
+    ranked = key[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+    return order, ranked
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, sorted, and for each number its place among these."""
+    order, ranked = rising(key)
+    new = np.ones(len(key), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Compressed, the first bytes of all numbers first: most numbers here are small, so their upper bytes vanish."""
-    planes = np.ascontiguousarray(x).ravel().view(np.uint8).reshape(-1, x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    """Compressed: the number of bytes that the largest number needs, then the first bytes of all numbers, and so on."""
+    x = np.ascontiguousarray(x).ravel()
+    x = x.view(f"u{x.itemsize}")
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    x = x.astype(f"<u{1 << (width - 1).bit_length()}", copy=False)
+    planes = x.view(np.uint8).reshape(-1, x.itemsize).T[:width]
+    return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + planes.tobytes())
 
 
 def unpack(raw: bytes, kind: str = "<i8") -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.array(planes.T, order="C").view(kind).ravel()
+    plain = zstandard.ZstdDecompressor().decompress(raw)
+    planes = np.frombuffer(plain, np.uint8, offset=1).reshape(plain[0], -1)
+    if len(planes) == 1:
+        return planes[0].astype(kind)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    return out.view(kind).ravel()
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -153,7 +191,7 @@ def chunks(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: s
         word = np.ones(len(tokens), bool)
         word[last] = False
         tokens[last], tokens[word] = END, np.concatenate(found)
-        vocabulary, at = np.unique(tokens, return_inverse=True)
+        vocabulary, at = distinct(tokens)
         valid = pa.array(ids, pa.int64())
         own = np.stack([valid.fill_null(0).to_numpy(zero_copy_only=False), valid.is_null().to_numpy(zero_copy_only=False).astype(np.int64)])
         return _record(CHUNK_SCHEMA, [[name], [len(tokens)], [pack(own)], [pack(np.array(learns, np.uint8))], [pack((size + 1).astype(np.int64))], [pack_sorted(vocabulary)], [pack(at.astype(np.uint32))]])
@@ -189,10 +227,14 @@ class Layout:
         return ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
     def is_hot(self, context: np.ndarray) -> np.ndarray:
-        return np.isin(context, self.hot)
+        return _places(self.hot, context) >= 0 if len(self.hot) else np.zeros(len(context), bool)
 
-    def of_pairs(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        return self.of(mix(np.where(self.is_hot(context), context ^ mix(word + np.uint64(9)), context)))
+    def of_pairs(self, words: np.ndarray, contexts: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Of pairs given as places among words and contexts: nearly all are where their contexts are."""
+        out = self.of(mix(contexts))[context]
+        split = np.flatnonzero(self.is_hot(contexts)[context])
+        out[split] = self.of(mix(contexts[context[split]] ^ mix(words + np.uint64(9))[word[split]]))
+        return out
 
 
 @dataclass
@@ -228,34 +270,43 @@ class Chunk:
         before[np.cumsum(self.length) - self.length] = 0
         return before
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words and contexts (as of ``before``) of the different pairs, sorted; for each token its pair; training
-        counts."""
-        pair, at = np.unique(self.tokens.astype(np.int64) * (len(self.vocabulary) + 1) + self.before(), return_inverse=True)
-        return *np.divmod(pair, len(self.vocabulary) + 1), at, np.bincount(at, np.repeat(self.learn, self.length), len(pair)).astype(np.int64)
+    def keys(self) -> tuple[np.ndarray, int]:
+        """For each token its pair as one number, word first, and the bits of a context."""
+        bits = len(self.vocabulary).bit_length()
+        key = self.tokens.astype(np.int64)
+        key <<= bits
+        key |= self.before()
+        return key, bits
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words and contexts (as of ``before``) of the different pairs, sorted; for each token its pair."""
+        key, bits = self.keys()
+        pair, at = distinct(key)
+        return pair >> bits, pair & (1 << bits) - 1, at
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same without the tokens' pairs, by one sort in place."""
-        key = self.tokens.astype(np.int64)
-        key *= len(self.vocabulary) + 1
-        key += self.before()
+        """The same with training counts instead of the tokens' pairs, by one sort in place."""
+        key, bits = self.keys()
         key <<= 1
-        key += np.repeat(self.learn, self.length)
+        key |= np.repeat(self.learn, self.length)
         key.sort()
         first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
         count = np.add.reduceat(key & 1, first) if len(first) else np.zeros(0, np.int64)
-        return *np.divmod(key[first] >> 1, len(self.vocabulary) + 1), count
+        pair = key[first] >> 1
+        return pair >> bits, pair & (1 << bits) - 1, count
 
     def messages(self, word: np.ndarray, context: np.ndarray, layout: Layout) -> Iterator[Message]:
         names = np.concatenate([[START], self.vocabulary])
-        bucket = layout.of_pairs(self.vocabulary[word], names[context])
-        order = np.argsort(bucket, kind="stable")
-        found, first = np.unique(bucket[order], return_index=True)
-        for b, at in zip(found.tolist(), np.split(order, first[1:])):
-            own = word[at]
+        order, bucket = rising(layout.of_pairs(self.vocabulary, names, word, context))
+        slot = np.empty(len(names), np.int64)
+        for b, part in _slices(bucket):
+            at = order[part]
+            own, asked, place = word[at], context[at], np.arange(len(at))
             new = np.flatnonzero(np.diff(own, prepend=-1))
-            contexts, which = np.unique(context[at], return_inverse=True)
-            yield Message(b, at, self.vocabulary[own[new]], np.diff(new, append=len(own)), names[contexts], which)
+            slot[asked] = place
+            contexts = np.sort(asked[slot[asked] == place])  # each where it stands last
+            slot[contexts] = place[: len(contexts)]
+            yield Message(b, at, self.vocabulary[own[new]], np.diff(new, append=len(own)), names[contexts], slot[asked])
 
 
 def hot_contexts(parts: DataFrame, shares: int) -> np.ndarray:
@@ -312,24 +363,37 @@ class Cells:
     @classmethod
     def merged(cls, parts: list[Cells]) -> Cells:
         """Those with a count, as one."""
-        words = np.concatenate([np.repeat(p.words, p.many) for p in parts])
-        contexts, count = np.concatenate([p.contexts[p.context] for p in parts]), np.concatenate([p.count for p in parts])
-        keep = count > 0
-        words, word = np.unique(words[keep], return_inverse=True)
-        contexts, context = np.unique(contexts[keep], return_inverse=True)
-        pair, at = np.unique(word * max(1, len(contexts)) + context, return_inverse=True)
-        total = np.zeros(len(pair), np.int64)
-        np.add.at(total, at, count[keep])
-        return cls(words, np.bincount(pair // max(1, len(contexts)), minlength=len(words)), contexts, pair % max(1, len(contexts)), total)
+        words, word = _joined([p.words for p in parts], [p.word() for p in parts])
+        contexts, context = _joined([p.contexts for p in parts], [p.context for p in parts])
+        count, many = np.concatenate([p.count for p in parts]), max(1, len(contexts))
+        keep = np.flatnonzero(count)
+        order, pair = rising((word * many + context)[keep])
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        total = np.add.reduceat(count[keep[order]], first) if len(first) else np.zeros(0, np.int64)
+        word, context = np.divmod(pair[first], many)
+        of_word, of_context = np.bincount(word, minlength=len(words)), np.bincount(context, minlength=len(contexts)) > 0
+        return cls(words[of_word > 0], of_word[of_word > 0], contexts[of_context], (np.cumsum(of_context) - 1)[context], total)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return self.word() * len(self.contexts) + self.context
 
     def find(self, other: Cells) -> tuple[np.ndarray, np.ndarray]:
         """Places of the other's pairs and contexts here, -1 where they are not."""
         if not len(self.words):
             return np.full(len(other.context), -1), np.full(len(other.contexts), -1)
         context, word = _places(self.contexts, other.contexts), _places(self.words, other.words)
-        a, b = np.repeat(word, other.many), context[other.context]
-        keys = self.word() * len(self.contexts) + self.context
-        return np.where((a >= 0) & (b >= 0), _places(keys, a * len(self.contexts) + b), -1), context
+        a, b, pair = np.repeat(word, other.many), context[other.context], np.full(len(other.context), -1)
+        both = np.flatnonzero((a >= 0) & (b >= 0))
+        pair[both] = _places(self.keys, a[both] * len(self.contexts) + b[both])
+        return pair, context
+
+
+def _joined(names: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names of several lists, and the places among them of what was given as places in each list."""
+    found, at = distinct(np.concatenate(names))
+    start = np.cumsum([0, *map(len, names)])
+    return found, np.concatenate([at[a:b][p] for a, b, p in zip(start, start[1:], places)])
 
 
 def _places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -378,6 +442,7 @@ def gathered(rows: DataFrame) -> str:
                     held = [Cells.merged(held)]
                     size = len(held[0].count)
             cells = Cells.merged(held)
+            del held
             yield _record(MODEL_SCHEMA, [[x] for x in (bucket, "", *cells.packed())])
             for row in told:
                 pair, context = cells.find(Cells.of(row))
@@ -386,12 +451,16 @@ def gathered(rows: DataFrame) -> str:
     return _bucketed(rows, run, MODEL_SCHEMA)
 
 
+def _falling(customers: np.ndarray) -> np.ndarray:
+    return rising(customers.max(initial=0) - customers)[0]
+
+
 def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, theta: float, discount: float, rng: np.random.Generator, tries: int = TRIES) -> np.ndarray:
     """A first seating: tables after the customers of each dish sat down one after the other, beyond 64 in blocks of a
     sixteenth. Of ``tries`` such seatings one is drawn by the product of what each step was normalised by, which is how
     much the later customers speak for it. ``others``: tables of other dishes in the restaurant, ``base``: the dish's
     probability at the parent."""
-    order = np.argsort(-customers, kind="stable")
+    order = _falling(customers)
     c, o, b = customers[order], others[order], base[order]
     t, weight, seated = np.ones((tries, len(c))), np.zeros((tries, len(c))), 1
     left = len(c)
@@ -430,45 +499,58 @@ def split(customers: np.ndarray, tables: np.ndarray, discount: float, rng: np.ra
 def reseat(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, place: np.ndarray, totals: np.ndarray, base: np.ndarray, theta: float, discount: float, rng: np.random.Generator, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Gibbs steps of single customers: ``tables`` and ``sizes`` after ``min(customers, steps)`` of each dish, drawn at
     random, were removed and seated again. ``place``: the restaurant of each dish, ``totals``: tables of each
-    restaurant, kept up to date in place."""
-    order = np.argsort(-customers, kind="stable")
+    restaurant, kept up to date in place. A lone customer always comes back to a table of its own, and of two it makes no
+    difference which one goes, so only dishes of three and more have their tables laid out."""
+    order = _falling(customers)
     c, t, where, p0 = customers[order], tables[order].copy(), place[order], base[order]
-    room = t + np.minimum(c, steps)
+    slots, pairs = (int(np.searchsorted(-c, -k, "left")) for k in (2, 1))  # dishes of more than two, and of two customers
+    room = np.minimum(c, t + steps)[:slots]  # a dish's tables stand first in its room
     start = np.concatenate([[0], np.cumsum(room)])
     n = np.zeros(start[-1], np.int64)
-    old = np.cumsum(tables) - tables
-    inner = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-    n[np.repeat(start[:-1], t) + inner] = sizes[np.repeat(old[order], t) + inner]
-    free, first_customer = start[:-1] + t, np.cumsum(c) - c
+    old, inner = (np.cumsum(tables) - tables)[order], _within(t[:slots])
+    n[np.repeat(start[:-1], t[:slots]) + inner] = sizes[np.repeat(old[:slots], t[:slots]) + inner]
+    first_customer = (np.cumsum(c) - c)[:slots]
     for j in range(steps):
-        d = int(np.searchsorted(-c, -j, "left"))  # dishes with more than j customers
-        if not d:
+        e = min(pairs, int(np.searchsorted(-c, -j, "left")))  # dishes with more than j customers
+        d = min(slots, e)
+        if not e:
             break
         own = n[: start[d]]
         out = np.searchsorted(np.cumsum(own), first_customer[:d] + (rng.random(d) * c[:d]).astype(np.int64), "right")
         own[out] -= 1
-        closed = own[out] == 0
-        t[:d] -= closed
+        closed = np.concatenate([own[out] == 0, t[d:e] == 2])
         weight = np.maximum(own - discount, 0.0)
         upto = np.cumsum(weight)
-        joining = c[:d] - 1 - discount * t[:d]
-        tables_now = totals[where[:d]] - closed
-        opening = (theta + discount * tables_now) * p0[:d]
-        drawn = rng.random(d) * (opening + joining)
-        to = np.searchsorted(upto, upto[start[:d]] - weight[start[:d]] + drawn, "right")
-        to = np.clip(to, start[:d], start[1 : d + 1] - 1)
-        opens = (drawn >= joining) | (own[to] == 0)  # the latter by rounding at a dish's end only
-        to = np.where(opens, np.where(closed, out, free[:d]), to)
-        free[:d] += opens & ~closed
+        joining = c[:e] - 1 - discount * (t[:e] - closed)
+        opening = (theta + discount * (totals[where[:e]] - closed)) * p0[:e]
+        drawn = rng.random(e) * (opening + joining)
+        opens = drawn >= joining
+        to, joins = np.where(closed[:d], out, start[:d] + t[:d]), np.flatnonzero(~opens[:d])
+        first = start[joins]
+        found = np.searchsorted(upto, upto[first] - weight[first] + drawn[joins], "right")
+        found = np.clip(found, first, start[joins + 1] - 1)
+        opens[joins] = own[found] == 0  # by rounding at a dish's end only
+        to[joins] = np.where(opens[joins], to[joins], found)
         own[to] += 1
-        t[:d] += opens
-        totals += np.bincount(where[:d], opens.astype(np.int64) - closed, len(totals)).astype(totals.dtype)
-    dish = np.repeat(np.arange(len(c)), room)[n > 0]
-    kept = n[n > 0]
-    back = np.argsort(order[dish], kind="stable")
+        gone = np.flatnonzero(closed[:d] & ~opens[:d])
+        last = start[gone] + t[gone] - 1
+        own[out[gone]] = own[last]  # the last table moves into the gap
+        own[last] = 0
+        moved = np.flatnonzero(opens != closed)
+        change = opens[moved].astype(np.int64) - closed[moved]
+        t[moved] += change
+        np.add.at(totals, where[moved], change.astype(totals.dtype))
     out_tables = np.empty(len(c), np.int64)
     out_tables[order] = t
-    return out_tables, kept[back]
+    place = np.repeat((np.cumsum(out_tables) - out_tables)[order], t) + _within(t)
+    out_sizes = np.empty(len(place), np.int64)
+    out_sizes[place] = np.concatenate([n[n > 0], np.repeat(c[slots:] // t[slots:], t[slots:])])
+    return out_tables, out_sizes
+
+
+def _within(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``many``."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
 @dataclass
@@ -577,6 +659,12 @@ def _summed(rows: DataFrame, sums: str = "figures") -> np.ndarray:
     return np.sum(found, axis=0) if found else np.zeros(0, np.int64)
 
 
+def _stored(rows: DataFrame) -> str:
+    name = f"lm_{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").saveAsTable(name)
+    return name
+
+
 def _of_kind(rows: DataFrame, kind: str) -> DataFrame:
     return rows.filter(F.col("kind") == kind)
 
@@ -626,11 +714,13 @@ def swept_pairs(model: DataFrame, messages: DataFrame, layout: Layout, shared: S
         out = []
         for row in _rows(left):
             own = Restaurants(Cells.of(row), layout, shared)
-            told = sorted((r["other"], r) for r in _rows(right) if r["kind"] == "down")
+            told = {}
             for r in _rows(right):
                 if r["kind"] == "own":
                     own.tables, own.sizes = unpack(r["a"]), unpack(r["b"])
-            root = shared.root(*(np.concatenate([unpack(r[x]) for _, r in told]) if told else np.zeros(0) for x in "ab"), k - 1)
+                else:
+                    told[r["other"]] = r
+            root = shared.root(*(np.concatenate([unpack(told[b][x]) for b in sorted(told)]) if told else np.zeros(0) for x in "ab"), k - 1)
             before = own.tables.copy()
             own.sweep(k, root, _rng(k, row["bucket"], False))
             out += [*own.up(row["bucket"], layout, before), ("own", row["bucket"], -1, pack(own.tables), pack(own.sizes), b"", []), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
@@ -679,10 +769,13 @@ class Sampled:
     index: str
     pairs: dict[int, DataFrame]
     roots: dict[int, DataFrame]
+    #: Their tables.
+    tables: list[str]
 
 
 def sample(model: DataFrame, layout: Layout, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Sampled:
-    """Run the chain: two small exchanges a sweep."""
+    """Run the chain: two small exchanges a sweep. A sweep's tables go when the next sweep has no need of them, unless it
+    is one of the samples."""
     spark, shared, hot = model.sparkSession, Shared(), len(layout.hot)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -692,29 +785,41 @@ def sample(model: DataFrame, layout: Layout, burn_in: int = BURN_IN, samples: in
                 rows = [*own.up(row["bucket"], layout), ("sum", row["bucket"], -1, b"", b"", b"", own.figures(layout))]
                 yield _record(SWEEP_SCHEMA, [list(c) for c in zip(*rows)])
 
-    first = written(model.mapInArrow(begin, SWEEP_SCHEMA), "lm-sweep")
-    figures = _summed(_of_kind(first, "sum"))
+    first = _stored(model.mapInArrow(begin, SWEEP_SCHEMA))
+    up = spark.table(first)
+    figures = _summed(_of_kind(up, "sum"))
     if len(figures):
         shared.discount, shared.hot_customers = _discount(*figures[:2].tolist()), figures[2 : 2 + hot]
     shared.hot_tables.append(figures[2 + hot :])
-    index = indexed(first)
+    index = indexed(up)
     table = spark.table(index)
     shared.words, shared.tokens, ones, twos = (_index_figures(table).tolist() or [0] * 4)[:4]
     shared.discount_root = _discount(ones, twos)
-    done, up, kept = Sampled(shared, index, {}, {}), first, None
+    done, kept, spent = Sampled(shared, index, {}, {}, []), None, []
     for k in range(burn_in + samples + 1):
+        names = [first]
         if k:
             messages = _of_kind(down, "down")
-            up = written(swept_pairs(model, messages if kept is None else messages.unionByName(kept), layout, shared, k), "lm-sweep")
+            names = [_stored(swept_pairs(model, messages if kept is None else messages.unionByName(kept), layout, shared, k))]
+            up = spark.table(names[0])
             figures = _summed(_of_kind(up, "sum"))
             shared.hot_tables.append(figures[2 + hot :] if len(figures) else shared.hot_tables[-1])
             kept = _of_kind(up, "own")
-        down = written(swept_root(table, up.unionByName(_of_kind(down, "root")) if k else up, shared, k), "lm-sweep")
+        names.append(_stored(swept_root(table, up.unionByName(_of_kind(down, "root")) if k else up, shared, k)))
+        down = spark.table(names[1])
         figures = _summed(_of_kind(down, "sum")).tolist() or [0, 0]
         shared.root_customers.append(figures[0])
         shared.root_tables.append(figures[1])
+        for used in spent:
+            spark.sql(f"DROP TABLE {used}")
+        spent = names
         if k > burn_in:
             done.pairs[k], done.roots[k] = kept, _of_kind(down, "root")
+            done.tables, spent = done.tables + names, []
+        elif not k:
+            spark.sql(f"DROP TABLE {first}")  # its words are in the index now
+            spent = names[1:]
+    done.tables += spent
     return done
 
 
@@ -804,7 +909,7 @@ def scores(parts: DataFrame, back: DataFrame, sampled: Sampled, layout: Layout)
         out = []
         for row in _rows(left):
             c = Chunk.of(row)
-            word, context, at, _ = c.pairs()
+            word, context, at = c.pairs()
             parents = [shared.root(root[1 + 2 * j], root[2 + 2 * j], k) for j, k in enumerate(sweeps)]
             mean = np.zeros(len(word))
             for m in c.messages(word, context, layout):
@@ -814,9 +919,9 @@ def scores(parts: DataFrame, back: DataFrame, sampled: Sampled, layout: Layout)
                 if len(hot):
                     where = np.searchsorted(layout.hot, m.contexts[hot])
                     of_context[:, hot] = np.stack([shared.hot_customers[where], *(shared.hot_tables[k][where] for k in sweeps)])
-                of_context = of_context[:, m.context]
+                of_context, own_word = of_context[:, m.context], word[m.at]
                 for j, parent in enumerate(parents):
-                    mean[m.at] += shared.context(own[0], own[1 + j], of_context[0], of_context[1 + j], parent[word[m.at]]) / len(sweeps)
+                    mean[m.at] += shared.context(own[0], own[1 + j], of_context[0], of_context[1 + j], parent[own_word]) / len(sweeps)
             base = np.log10((root[0] + 0.5) / (shared.tokens + 0.5 * (shared.words + 1)))
             start = np.cumsum(c.length) - c.length
             ids = pa.array(c.doc_id[0], pa.int64(), mask=c.doc_id[1].astype(bool))
@@ -846,7 +951,7 @@ def score(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: st
     sampled = sample(table.filter("chunk = ''"), layout, burn_in, samples)
     back = answered(table, sampled, layout).unionByName(answered_words(parts, sampled, layout))
     out = written(scores(parts, back, sampled, layout), "lm-scores")
-    for used in (texts, name, sampled.index):
+    for used in (texts, name, sampled.index, *sampled.tables):
         spark.sql(f"DROP TABLE {used}")
     return out
 
