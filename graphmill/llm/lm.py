@@ -7,7 +7,7 @@ words and one unknown word. A customer of a context restaurant who opens a table
 **Where things are.** A pair of context and word lies in the bucket of its context, so a restaurant's tables are counted
 where they are. Contexts with more than their share of all tokens (``hot``; at most 4/3 of them for each bucket or for
 each 1/1024 of the tokens) are split by word, and their tables are summed by the driver after each sweep. Root dishes
-lie in buckets of the word. The number of buckets follows from the number of tokens, not from the cluster, and each
+lie in an eighth as many buckets, by the word. The number of buckets follows from the number of tokens, not from the cluster, and each
 bucket has a random stream of its own, so scores do not change with the partitioning.
 
 **A sweep** removes and re-seats ``min(customers, STEPS)`` customers of every dish, drawn at random, one at a time: an
@@ -53,6 +53,8 @@ BURN_IN, SAMPLES, STEPS, TRIES, SEED = 2, 2, 16, 4, 7
 THETA, THETA_ROOT = 2.0, 1.0
 #: Tokens for each bucket, and the least number of shares above one of which a context is hot.
 BUCKET_TOKENS, LEAST_SHARES = 1_000_000, 1024
+#: Buckets of pairs for each root bucket: every one of the former writes to every one of the latter in each sweep.
+PER_ROOT = 8
 #: Bytes of text in a chunk, and of text hashed at a time.
 CHUNK, SLICE = 6_000_000, 2_000_000
 
@@ -172,8 +174,10 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
-    for k in range(batch.num_rows):  # one at a time: a row may have megabytes
-        yield batch.slice(k, 1).to_pylist()[0]
+    for part in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
+        columns = list(zip(part.schema.names, part.columns))
+        for k in range(part.num_rows):  # one at a time: a row may have megabytes
+            yield {name: column[k].as_py() for name, column in columns}
 
 
 def chunks(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,6 +220,10 @@ def chunks(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, CHUNK_SCHEMA)
 
 
+def _share(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 @dataclass
 class Layout:
     """Where pairs and words lie: the number of buckets and the sorted hot contexts."""
@@ -224,7 +232,11 @@ class Layout:
     hot: np.ndarray
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        return _share(hashes, self.buckets)
+
+    def of_words(self, words: np.ndarray) -> np.ndarray:
+        """Root buckets: fewer, as a word has one place there."""
+        return _share(words, -(-self.buckets // PER_ROOT))
 
     def is_hot(self, context: np.ndarray) -> np.ndarray:
         return _places(self.hot, context) >= 0 if len(self.hot) else np.zeros(len(context), bool)
@@ -626,7 +638,7 @@ class Restaurants:
         tables, with the words and their counts."""
         cells, n, first = self.cells, len(self.cells.words), before is None
         tables, count = (np.bincount(self.word, x, n).astype(np.int64) for x in (self.tables if first else self.tables - before, cells.count))
-        for r, part in _slices(layout.of(cells.words)):
+        for r, part in _slices(layout.of_words(cells.words)):
             yield "up", r, bucket, pack_sorted(cells.words[part]) if first else b"", pack(count[part]) if first else b"", pack_signed(tables[part]), []
 
     def figures(self, layout: Layout) -> list[int]:
@@ -861,7 +873,7 @@ def answered_words(parts: DataFrame, sampled: Sampled, layout: Layout) -> DataFr
         for batch in batches:
             for row in _rows(batch):
                 words = unpack_sorted(row["vocabulary"])
-                out = [(r, row["chunk"], pack_sorted(words[part]), b"") for r, part in _slices(layout.of(words))]
+                out = [(r, row["chunk"], pack_sorted(words[part]), b"") for r, part in _slices(layout.of_words(words))]
                 yield _record("bucket int, chunk string, words binary, tables binary", [list(c) for c in zip(*out)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -113,3 +113,14 @@ def test_spent_sweeps_go_before_the_chain_ends(spark):
     for used in left:
         spark.sql(f"DROP TABLE {used}")
     assert left == {model, done.index, *done.tables} and len(done.tables) == 4
+
+
+def test_buckets_write_to_an_eighth_as_many_root_buckets():
+    rng = np.random.default_rng(2)
+    words = np.unique(rng.integers(2, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1))
+    cells = lm.Cells(words, np.ones(len(words), np.int64), np.array([7], np.uint64), np.zeros(len(words), np.int64), np.ones(len(words), np.int64))
+    for buckets, roots in ((1, 1), (8, 1), (64, 8), (65, 9)):
+        layout = lm.Layout(buckets, np.zeros(0, np.uint64))
+        sent = list(lm.Restaurants(cells, layout, lm.Shared()).up(0, layout))
+        assert [m[1] for m in sent] == list(range(roots))
+        assert (np.concatenate([lm.unpack_sorted(m[3]) for m in sent]) == words).all()
