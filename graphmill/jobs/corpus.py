@@ -126,8 +126,8 @@ def _inputs(spark, sf, changed=None):
 
 @query("a09_input_manifest", f"WITH {TREE} SELECT file_order, name, lines, sha256, sha256((SELECT string_agg(name || ':' || sha256, chr(10) ORDER BY file_order) FROM r)) AS digest FROM r")
 def a09(spark, sf):
-    """The digest of each input's tree, and one over all of them."""
-    roots = written(text.manifest_roots(text.manifest_tree(spark, _inputs(spark, sf))), "manifest-roots")  # a row for each file
+    """The digest of each input's blocks, and one over all of them."""
+    roots = written(text.manifest_files(text.manifest_blocks(spark, _inputs(spark, sf))), "manifest-files")  # a row for each file
     return roots.select("file_order", F.element_at(F.split("file", "/"), -1).alias("name"), "lines", "sha256").crossJoin(F.broadcast(text.manifest_digest(roots)))
 
 
