@@ -51,9 +51,21 @@ def g6_of_bits(n: int, bits: Column) -> Column:
     return F.concat(F.lit(chr(OFFSET + n)), F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(chars - 1)), lambda c: F.chr(value(c) + OFFSET))))
 
 
+def g6_of_long(n: int, bits: Column) -> Column:
+    """The same from a long with a bit for each edge, the first edge's highest of all characters (n <= 11)."""
+    chars = -(-n * (n - 1) // 2 // 6)
+    char = lambda c: F.chr(F.call_function("shiftright", bits, F.lit(6 * (chars - 1 - c))).bitwiseAND(63) + OFFSET)
+    return F.concat(F.lit(chr(OFFSET + n)), *[char(c) for c in range(chars)])
+
+
 def g6_encode(edges: DataFrame, n: int, key: str = "graph_number") -> DataFrame:
-    """``key, graph6`` from long rows ``key, i, j`` (0 <= i < j < n); repeated edges count once."""
+    """``key, graph6`` from long rows ``key, i, j`` (0 <= i < j < n); repeated edges count once. Up to 11 vertices a graph is
+    a long, which rows add their bits to before the shuffle."""
     bit = (F.col("j") * (F.col("j") - 1) / 2).cast("int") + F.col("i").cast("int")
+    top = 6 * -(-n * (n - 1) // 2 // 6) - 1
+    if top < 63:
+        found = edges.groupBy(key).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), top - bit)).alias("bits"))
+        return found.select(key, g6_of_long(n, F.col("bits")).alias("graph6"))
     return edges.groupBy(key).agg(F.collect_set(bit).alias("bits")).select(key, g6_of_bits(n, F.col("bits")).alias("graph6"))
 
 

@@ -19,20 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def edges(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
+    """An edge for each line; edges repeat."""
     u, v = F.col("l_partkey") % n, F.col("l_suppkey") % n
     rows = table(spark, sf_dir, "lineitem").filter(u != v)
-    return rows.select(F.floor(F.col("l_orderkey") / 4).alias("graph_number"), F.least(u, v).alias("i"), F.greatest(u, v).alias("j")).distinct()
+    return rows.select(F.floor(F.col("l_orderkey") / 4).alias("graph_number"), F.least(u, v).alias("i"), F.greatest(u, v).alias("j"))
+
+
+def edges(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
+    return lines(spark, sf_dir, n).distinct()
 
 
 def graphs(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
-    return g6_encode(edges(spark, sf_dir, n), n)
+    return g6_encode(lines(spark, sf_dir, n), n)
 
 
 def band(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
     return band_filter(graphs(spark, sf_dir, n))
 
 
+def spread(graphs: DataFrame) -> DataFrame:
+    """Over all cores: graphs are short rows, which would be put together in a few tasks, and much work each."""
+    spark = graphs.sparkSession
+    return graphs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")

@@ -54,6 +54,27 @@ def with_features(graphs: DataFrame, columns: list[str], g6_col: str = "graph6")
     return graphs.mapInArrow(run, T.StructType([*graphs.schema.fields, *[T.StructField(c, _kind(c)) for c in taken]]))
 
 
+def with_form(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
+    """With ``form``: the graph6 text after the vertices are put in an order that does not depend on their numbers (nearly
+    always: ties that refining leaves go by number). Equal forms are the same graph but for its numbers; nulls as above."""
+    at = graphs.columns.index(g6_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            forms: list[str | None] = [None] * len(texts)
+            by_n: dict[int, list[int]] = {}
+            for k, t in enumerate(texts):
+                if t and 2 <= ord(t[0]) - 63 <= kernel.MOST_VERTICES:
+                    by_n.setdefault(ord(t[0]) - 63, []).append(k)
+            for rows in by_n.values():
+                for r, form in zip(rows, kernel.forms(kernel.decode([texts[r] for r in rows]))):
+                    forms[r] = form
+            yield pa.record_batch([*batch.columns, pa.array(forms, pa.string())], [*batch.schema.names, "form"])
+
+    return graphs.mapInArrow(run, T.StructType([*graphs.schema.fields, T.StructField("form", T.StringType())]))
+
+
 def decoded(graphs: DataFrame, g6_col: str = "graph6") -> DataFrame:
     """With ``n, edges, adj`` by built-in functions."""
     g6 = F.col(g6_col)
